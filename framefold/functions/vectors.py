@@ -26,9 +26,12 @@ def norm(v: Column) -> Column:
 
 
 def normalize(v: Column) -> Column:
-    """L2 normalise; the zero vector stays as it is."""
-    length = norm(v)
-    return F.when(length > 0, F.transform(v, lambda a: (a.cast("double") / length).cast("float"))).otherwise(v)
+    """L2 normalise; the zero vector, and one with a NaN, stay as they are.
+
+    The norm is spread next to the values once; inside a lambda it would be computed again for each of them.
+    """
+    length = F.coalesce(F.nullif(F.nanvl(norm(v), F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
+    return F.zip_with(v, F.array_repeat(length, F.size(v)), lambda a, n: (a.cast("double") / n).cast("float"))
 
 
 def fit_dim(v: Column, dim: int) -> Column:

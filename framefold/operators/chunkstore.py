@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from framefold import schemas
 from framefold.functions import media, text
 from framefold.functions.hashing import content_hash
-from framefold.session import spread_work
+from framefold.session import spread_work, work_partitions
 
 # Fixed values of the stored format.
 KEY_SALT = b"{mex}"
@@ -87,8 +87,9 @@ def read_verified(main: DataFrame, backup: DataFrame) -> DataFrame:
     ``status`` is ok, healable (only the backup verifies) or lost.  Both copies meet in one join on the hash,
     so the key is derived once for the two.
     """
-    a = spread_work(main.select("hash", F.col("content").alias("_main")), "hash")
-    b = spread_work(backup.select("hash", F.col("content").alias("_backup")), "hash")
+    n = work_partitions(main.sparkSession)
+    a = main.select("hash", F.col("content").alias("_main")).repartition(n, "hash")
+    b = backup.select("hash", F.col("content").alias("_backup")).repartition(n, "hash")
     keyed = a.join(b, "hash", "full_outer").withColumn("_key", chunk_key("hash"))
     checked = (keyed.withColumn("_main", decrypt(F.col("_main"), F.col("_key")))
                .withColumn("_backup", decrypt(F.col("_backup"), F.col("_key")))

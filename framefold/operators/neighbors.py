@@ -355,6 +355,18 @@ def review_partners(catalog: DataFrame, edges: DataFrame, queries: DataFrame | N
                   "hash_x", "left"))
 
 
+def partner_of(catalog: DataFrame, edges: DataFrame, hash_x: str) -> DataFrame:
+    """J3 for a single image: one scan of its stratum with a combined argmin; no row when the image is unknown."""
+    x = catalog.filter(F.col("hash") == hash_x)
+    seen = edges.filter(F.col("hash") == hash_x).select(F.col("peer").alias("hash")).distinct()
+    stratum = (catalog.filter(F.col("hash") != hash_x)
+               .filter(F.col("hist_len") == x.select("hist_len").scalar())
+               .join(seen, "hash", "left_anti"))
+    near = (closest(stratum, x.select("vector").scalar())
+            .select(F.lit(hash_x).alias("hash_x"), F.col("hash").alias("hash_y"), "distance"))
+    return near.join(x.select(F.col("hash").alias("hash_x")), "hash_x", "left_semi")
+
+
 def unseen(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Drop proposed pairs (hash, peer) that were compared before."""
     return pairs.join(edges.select("hash", "peer"), ["hash", "peer"], "left_anti")

@@ -6,11 +6,11 @@ Events: (event_id, ts, action, hash_x, hash_y, rotatemode, flipmode) with action
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framefold.operators import neighbors, sampler, snapshot, stats
-from framefold.session import spread_join
+from framefold.session import materialize, spread_join
 
 
 def confirm_edges(events: DataFrame) -> DataFrame:
@@ -36,45 +36,74 @@ def merge_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     return edges.select("hash", "peer").unionByName(new.select("hash", "peer")).distinct()
 
 
+def image_changes(events: DataFrame) -> DataFrame:
+    """E1-E3 without the edges, in one scan and one combined aggregate per image.
+
+    ``lastview`` is the last confirm of the image or the last time it survived a deletion, ``deleted_at`` its
+    first deletion, ``turned`` the latest orientation.
+    """
+    action = F.col("action")
+    confirmed = (action == "confirm") & (F.col("hash_x") != F.col("hash_y"))
+
+    def side(hash_: str, viewed, deleted, turned) -> Column:
+        return F.struct(F.col(hash_).alias("hash"), viewed.alias("viewed"), deleted.alias("deleted"),
+                        turned.alias("turned"))
+
+    left = side("hash_x", confirmed | (action == "delete_right"), action == "delete_left", action == "orient")
+    right = side("hash_y", confirmed | (action == "delete_left"), action == "delete_right", F.lit(False))
+    sides = (events.select("ts", "event_id", "rotatemode", "flipmode", F.explode(F.array(left, right)).alias("s"))
+             .select("ts", "event_id", "rotatemode", "flipmode", "s.*")
+             .filter(F.col("viewed") | F.col("deleted") | F.col("turned")))
+    return sides.groupBy("hash").agg(
+        F.max(F.when(F.col("viewed"), F.col("ts"))).alias("lastview"),
+        F.min(F.when(F.col("deleted"), F.col("ts"))).alias("deleted_at"),
+        F.max(F.when(F.col("turned"), F.struct("ts", "event_id", "rotatemode", "flipmode"))).alias("turned"))
+
+
 def tombstones(events: DataFrame) -> DataFrame:
     """Deleted hashes with the time of their first deletion."""
-    gone = F.when(F.col("action") == "delete_left", F.col("hash_x")).when(
-        F.col("action") == "delete_right", F.col("hash_y"))
-    return (events.select(gone.alias("hash"), "ts").filter(F.col("hash").isNotNull())
-            .groupBy("hash").agg(F.min("ts").alias("deleted_at")))
+    deletions = events.filter(F.col("action").isin("delete_left", "delete_right"))
+    return image_changes(deletions).filter(F.col("deleted_at").isNotNull()).select("hash", "deleted_at")
 
 
 def survivor_views(events: DataFrame) -> DataFrame:
     """The side that stayed was viewed; no history edge comes from a deletion."""
-    kept = F.when(F.col("action") == "delete_left", F.col("hash_y")).when(
-        F.col("action") == "delete_right", F.col("hash_x"))
-    return (events.select(kept.alias("hash"), "ts").filter(F.col("hash").isNotNull())
-            .groupBy("hash").agg(F.max("ts").alias("lastview")))
+    deletions = events.filter(F.col("action").isin("delete_left", "delete_right"))
+    return image_changes(deletions).filter(F.col("lastview").isNotNull()).select("hash", "lastview")
 
 
 def orientations(events: DataFrame) -> DataFrame:
     """The latest orientation per image."""
-    modes = F.struct("ts", "event_id", "rotatemode", "flipmode")
-    return (events.filter(F.col("action") == "orient").groupBy(F.col("hash_x").alias("hash"))
-            .agg(F.max(modes).alias("last")).select("hash", "last.rotatemode", "last.flipmode"))
+    return (image_changes(events.filter(F.col("action") == "orient"))
+            .select("hash", "turned.rotatemode", "turned.flipmode"))
 
 
-def apply_events(catalog: DataFrame, edges: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Catalog + events -> next (catalog, edges).  Applying the same events again changes nothing.
+def next_catalog(catalog: DataFrame, edges: DataFrame, events: DataFrame) -> DataFrame:
+    """E6, rows: deleted images leave; the rest gets view times, orientations and recounted history sizes."""
+    changes = image_changes(events)
+    sizes = merge_edges(edges, confirm_edges(events)).groupBy("hash").agg(F.count("*").alias("_size"))
+    joined = (catalog.withColumnRenamed("lastview", "_seen")
+              .withColumnRenamed("rotatemode", "_rotate").withColumnRenamed("flipmode", "_flip")
+              .join(changes, "hash", "left").filter(F.col("deleted_at").isNull())
+              .join(sizes, "hash", "left"))
+    return (joined.withColumn("lastview", F.coalesce("lastview", "_seen"))
+            .withColumn("rotatemode", F.coalesce("turned.rotatemode", "_rotate"))
+            .withColumn("flipmode", F.coalesce("turned.flipmode", "_flip"))
+            .withColumn("hist_len", F.coalesce("_size", "hist_len")).select(*catalog.columns))
+
+
+def next_edges(catalog: DataFrame, edges: DataFrame, events: DataFrame) -> DataFrame:
+    """E6, history: old and new edges of the images that stay.
 
-    A deleted image leaves the catalog and takes its own edges along; edges that point to it stay (V3 reports
-    them).  ``hist_len`` is recounted from the merged edges.
+    A deleted image takes its own edges along; edges that point to it stay, and V3 reports them.
     """
-    gone = tombstones(events)
-    next_edges = (merge_edges(edges, confirm_edges(events))
-                  .join(catalog.select("hash"), "hash", "left_semi")
-                  .join(gone.select("hash"), "hash", "left_anti"))
-    views = (confirm_edges(events).select("hash", F.col("ts").alias("lastview"))
-             .unionByName(survivor_views(events))
-             .groupBy("hash").agg(F.max("lastview").alias("lastview")))
-    sizes = next_edges.groupBy("hash").agg(F.count("*").alias("hist_len"))
-    changes = views.join(orientations(events), "hash", "full_outer").join(sizes, "hash", "full_outer")
-    return snapshot.update_rows(snapshot.delete_rows(catalog, gone), changes), next_edges
+    staying = catalog.select("hash").join(tombstones(events), "hash", "left_anti")
+    return spread_join(merge_edges(edges, confirm_edges(events)), staying, "hash", "peer", "left_semi")
+
+
+def apply_events(catalog: DataFrame, edges: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Catalog + events -> next (catalog, edges).  Applying the same events again changes nothing."""
+    return next_catalog(catalog, edges, events), next_edges(catalog, edges, events)
 
 
 def review_step(catalog: DataFrame, edges: DataFrame, readable: DataFrame, seed: str, max_images: int,
@@ -86,16 +115,15 @@ def review_step(catalog: DataFrame, edges: DataFrame, readable: DataFrame, seed:
     """
     lost = catalog.select("hash").join(readable.select("hash"), "hash", "left_anti")
     usable = catalog.join(readable.select("hash"), "hash", "left_semi")
-    head = sampler.queue_head(usable, seed)
-    partner = neighbors.review_partners(usable, edges, head)
-    line = stats.status(usable, max_images, now,
-                        partner.select(F.col("hash_x").alias("hash"), "distance"))
-    return partner.join(line.withColumnRenamed("hash", "hash_x"), "hash_x"), lost
+    head = sampler.queue_head(usable, seed).first()
+    partner = neighbors.partner_of(usable, edges, head["hash"] if head else "")
+    step = stats.status(usable, max_images, now, partner.withColumnRenamed("hash_x", "hash"))
+    return step.withColumnRenamed("hash", "hash_x"), lost
 
 
 def partners_after_delete(catalog: DataFrame, edges: DataFrame, deleted: DataFrame) -> DataFrame:
     """E4 after deletions: the neighbour of each deleted image becomes X and gets its own partner."""
-    nearest = neighbors.next_after_delete(catalog, deleted)
+    nearest = materialize(neighbors.next_after_delete(catalog, deleted))
     chosen = nearest.select(F.col("hash").alias("deleted"), F.col("peer").alias("hash_x"))
     survivors = snapshot.delete_rows(catalog, deleted)
     partner = neighbors.review_partners(survivors, edges, chosen.select(F.col("hash_x").alias("hash")))

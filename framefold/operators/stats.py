@@ -50,8 +50,8 @@ def overview(catalog: DataFrame) -> DataFrame:
 def status(catalog: DataFrame, max_images: int, now: str, picks: DataFrame | None = None) -> DataFrame:
     """A8: "min-history count/total (total - budget) [age ago] distance".
 
-    ``picks`` has (hash, distance) of the images on show; their age and distance are added per row.  Without it
-    the line has only the counts.  The totals are scalar subqueries over a single summary row.
+    ``picks`` has (hash, distance, ...) of the images on show; each row gets its line with age and distance.
+    Without it the line has only the counts.  The totals are scalar subqueries over a single summary row.
     """
     summary = overview(catalog).select("images", "min_history_images")
     counts = F.format_string("%d/%d (%d)", F.col("least"), F.col("total"), F.col("total") - F.lit(max_images))
@@ -65,7 +65,7 @@ def status(catalog: DataFrame, max_images: int, now: str, picks: DataFrame | Non
     return (shown
             .withColumn("total", summary.select("images").scalar())
             .withColumn("least", summary.select("min_history_images").scalar())
-            .select("hash", F.concat(counts, F.lit(" ["), text.age_text(seconds), F.lit(" ago]"),
+            .select(*picks.columns, F.concat(counts, F.lit(" ["), text.age_text(seconds), F.lit(" ago]"),
                                      F.coalesce(F.format_string(" %.4f", "distance"), F.lit(""))).alias("status")))
 
 

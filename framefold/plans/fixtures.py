@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from framefold.functions import clock
 from framefold.functions.hashing import content_hash
 from framefold.operators import reviews as review_fold
-from framefold.session import spread_work
+from framefold.session import materialize, spread_work
 
 DIM = 64
 SEED = "lamp"
@@ -56,9 +56,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review_fold.confirm_edges(reviews(spark, sf_dir)).select("hash", "peer")
 
 
-def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _catalog_from(spark: SparkSession, sf_dir: str, folded: DataFrame) -> DataFrame:
     """Every image with its folded reviews; one never reviewed was seen up to 4,095 minutes before the first event."""
-    folded = review_fold.fold_confirms(reviews(spark, sf_dir))
     first = table(spark, sf_dir, "events").agg(F.min("ts")).scalar()
     earlier = F.conv(F.substring(F.md5("hash"), 1, 3), 16, 10).cast("int")
     return (images(spark, sf_dir).join(folded, "hash", "left").withColumn("_first", first)
@@ -67,6 +66,17 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.coalesce("hist_len", F.lit(0)).cast("long").alias("hist_len"), "vector", "label"))
 
 
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _catalog_from(spark, sf_dir, review_fold.fold_confirms(reviews(spark, sf_dir)))
+
+
+def stored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(catalog, edges) as written tables, for operators that read them more than once."""
+    confirmed = materialize(review_fold.confirm_edges(reviews(spark, sf_dir)))
+    folded = confirmed.groupBy("hash").agg(F.max("ts").alias("lastview"), F.count("*").alias("hist_len"))
+    return materialize(_catalog_from(spark, sf_dir, folded)), confirmed.select("hash", "peer")
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per distinct content: (hash, content) from the bytes of the documents."""
     content = F.col("text").cast("binary")

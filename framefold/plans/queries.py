@@ -12,7 +12,7 @@ from framefold.functions import clock, hashing, history, media, text, vectors
 from framefold.operators import (cards, chunkstore, ingest, neighbors, pixels, quality, reviews, sampler, snapshot,
                                  stats)
 from framefold.plans import fixtures as fx
-from framefold.session import spread_work
+from framefold.session import materialize, spread_work
 from framefold.sources import catalog as source
 from framefold.sources import files as file_source
 
@@ -285,17 +285,17 @@ def capacity(spark, sf_dir):
 
 @query
 def oldest_tenth(spark, sf_dir):
-    return sampler.oldest_tenth(fx.catalog(spark, sf_dir)).select("hash", "lastview")
+    return sampler.oldest_tenth(fx.stored(spark, sf_dir)[0]).select("hash", "lastview")
 
 
 @query
 def stratum_picks(spark, sf_dir):
-    return sampler.stratum_picks(sampler.oldest_tenth(fx.catalog(spark, sf_dir)), fx.SEED)
+    return sampler.stratum_picks(sampler.oldest_tenth(fx.stored(spark, sf_dir)[0]), fx.SEED)
 
 
 @query
 def queue_head(spark, sf_dir):
-    return sampler.queue_head(fx.catalog(spark, sf_dir), fx.SEED)
+    return sampler.queue_head(fx.stored(spark, sf_dir)[0], fx.SEED)
 
 
 @query
@@ -318,7 +318,7 @@ def closest_pair(spark, sf_dir):
 @query
 def mixed_pick(spark, sf_dir):
     """Two seeds, one for each branch of the policy."""
-    catalog = fx.catalog(spark, sf_dir)
+    catalog = fx.stored(spark, sf_dir)[0]
     distances = neighbors.nearest_neighbors(catalog)
     picks = [sampler.mixed_pick(catalog, distances, seed).select(F.lit(seed).alias("seed"), "hash", "draw")
              for seed in ("lamp", "a")]
@@ -328,9 +328,9 @@ def mixed_pick(spark, sf_dir):
 @query
 def next_x(spark, sf_dir):
     """The three policies: a fresh draw, the same image, the neighbours of what was deleted."""
-    catalog = fx.catalog(spark, sf_dir)
+    catalog = fx.stored(spark, sf_dir)[0]
     gone = reviews.tombstones(fx.reviews(spark, sf_dir))
-    deleted = catalog.join(gone, "hash").select("hash", "vector")
+    deleted = materialize(catalog.join(gone, "hash").select("hash", "vector"))
     same = sampler.least_scored(catalog).first()["hash"]
     return (sampler.next_x(catalog, fx.SEED).select(F.lit("draw").alias("policy"), "hash")
             .unionByName(sampler.next_x(catalog, fx.SEED, same=same).select(F.lit("same").alias("policy"), "hash"))
@@ -404,7 +404,7 @@ def neighbor_drift(spark, sf_dir):
 
 @query
 def review_partner(spark, sf_dir):
-    partners = neighbors.review_partners(fx.catalog(spark, sf_dir), fx.edges(spark, sf_dir))
+    partners = neighbors.review_partners(*fx.stored(spark, sf_dir))
     return partners.select("hash_x", "hash_y", F.round("distance", 4).alias("distance"))
 
 
@@ -419,16 +419,16 @@ def unseen_pairs(spark, sf_dir):
 def closest_to_deleted(spark, sf_dir):
     images = fx.images(spark, sf_dir)
     gone = reviews.tombstones(fx.reviews(spark, sf_dir))
-    deleted = images.join(gone, "hash").select("hash", "vector")
+    deleted = materialize(images.join(gone, "hash").select("hash", "vector"))
     return neighbors.next_after_delete(images, deleted).select("hash", "peer", F.round("distance", 4).alias("distance"))
 
 
 @query
 def partners_after_delete(spark, sf_dir):
     gone = reviews.tombstones(fx.reviews(spark, sf_dir))
-    catalog = fx.catalog(spark, sf_dir)
-    deleted = catalog.join(gone, "hash").select("hash", "vector")
-    return reviews.partners_after_delete(catalog, fx.edges(spark, sf_dir), deleted).select(
+    catalog, edges = fx.stored(spark, sf_dir)
+    deleted = materialize(catalog.join(gone, "hash").select("hash", "vector"))
+    return reviews.partners_after_delete(catalog, edges, deleted).select(
         "deleted", "hash_x", "hash_y", F.round("distance", 4).alias("distance"))
 
 
@@ -506,14 +506,13 @@ def _before(spark, sf_dir) -> DataFrame:
 @query
 def apply_events(spark, sf_dir):
     none = fx.edges(spark, sf_dir).limit(0)
-    after, _ = reviews.apply_events(_before(spark, sf_dir), none, fx.reviews(spark, sf_dir))
-    return after.drop("vector")
+    return reviews.next_catalog(_before(spark, sf_dir), none, fx.reviews(spark, sf_dir)).drop("vector")
 
 
 @query
 def apply_events_edges(spark, sf_dir):
     none = fx.edges(spark, sf_dir).limit(0)
-    return reviews.apply_events(_before(spark, sf_dir), none, fx.reviews(spark, sf_dir))[1]
+    return reviews.next_edges(_before(spark, sf_dir), none, fx.reviews(spark, sf_dir))
 
 
 @query
@@ -539,16 +538,14 @@ def snapshot_delete(spark, sf_dir):
 @query
 def review_step(spark, sf_dir):
     readable = fx.images(spark, sf_dir).filter("label <> 6")
-    step, _ = reviews.review_step(fx.catalog(spark, sf_dir), fx.edges(spark, sf_dir), readable, fx.SEED,
-                                  fx.MAX_IMAGES, fx.NOW)
+    step, _ = reviews.review_step(*fx.stored(spark, sf_dir), readable, fx.SEED, fx.MAX_IMAGES, fx.NOW)
     return step.select("hash_x", "hash_y", F.round("distance", 4).alias("distance"), "status")
 
 
 @query
 def unreadable_images(spark, sf_dir):
     readable = fx.images(spark, sf_dir).filter("label <> 6")
-    return reviews.review_step(fx.catalog(spark, sf_dir), fx.edges(spark, sf_dir), readable, fx.SEED,
-                               fx.MAX_IMAGES, fx.NOW)[1]
+    return reviews.review_step(*fx.stored(spark, sf_dir), readable, fx.SEED, fx.MAX_IMAGES, fx.NOW)[1]
 
 
 @query
@@ -642,7 +639,7 @@ def legacy_roundtrip(spark, sf_dir):
 @query
 def chunk_audit(spark, sf_dir):
     """Main copies starting with 0-3 lose their last byte, backups starting with 2-5 too."""
-    chunks = chunkstore.encrypt_chunks(fx.payloads(spark, sf_dir))
+    chunks = materialize(chunkstore.encrypt_chunks(fx.payloads(spark, sf_dir)))
     cut = F.substring(F.col("content"), F.lit(1), F.length("content") - 1)
     first = F.substring("hash", 1, 1)
     main = chunks.withColumn("content", F.when(first.isin("0", "1", "2", "3"), cut).otherwise(F.col("content")))

@@ -78,8 +78,14 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, spread_by: str, how:
     return salted_left.join(salted_right, [on, "_salt"], how).drop("_salt")
 
 
-def spread_work(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows for CPU-bound work; a fixed number of partitions is not coalesced again by AQE."""
-    spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(n, *keys)
+def work_partitions(spark: SparkSession) -> int:
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread_work(df: DataFrame, key: str) -> DataFrame:
+    """Spread rows over all cores for CPU-bound work.
+
+    The partition count is given and the key is hashed once more, so neither AQE's coalescing nor an earlier
+    grouping by the same key can undo it.
+    """
+    return df.repartition(work_partitions(df.sparkSession), F.xxhash64(key))
