@@ -27,8 +27,12 @@ def size_text(size: Column) -> Column:
 
 
 def distance_key(hash_: Column, dist: Column) -> Column:
-    """Sortable text: four digits of the distance in ten-thousandths (half-even, 0-9999), then the hash."""
-    digits = F.least(F.lit(9999), F.greatest(F.lit(0), F.bround(dist.cast("double") * 10000).cast("int")))
+    """Sortable text: four digits of the distance in ten-thousandths (half-even, 0-9999), then the hash.
+
+    Stored distances are float32, so the product is too.
+    """
+    scaled = (dist.cast("float") * F.lit(10000).cast("float")).cast("double")
+    digits = F.least(F.lit(9999), F.greatest(F.lit(0), F.bround(scaled).cast("int")))
     return F.concat(F.lpad(digits.cast("string"), 4, "0"), hash_)
 
 

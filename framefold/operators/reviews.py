@@ -86,7 +86,7 @@ def next_catalog(catalog: DataFrame, edges: DataFrame, events: DataFrame) -> Dat
               .withColumnRenamed("rotatemode", "_rotate").withColumnRenamed("flipmode", "_flip")
               .join(changes, "hash", "left").filter(F.col("deleted_at").isNull())
               .join(sizes, "hash", "left"))
-    return (joined.withColumn("lastview", F.coalesce("lastview", "_seen"))
+    return (joined.withColumn("lastview", F.greatest("lastview", "_seen"))
             .withColumn("rotatemode", F.coalesce("turned.rotatemode", "_rotate"))
             .withColumn("flipmode", F.coalesce("turned.flipmode", "_flip"))
             .withColumn("hist_len", F.coalesce("_size", "hist_len")).select(*catalog.columns))
@@ -102,7 +102,10 @@ def next_edges(catalog: DataFrame, edges: DataFrame, events: DataFrame) -> DataF
 
 
 def apply_events(catalog: DataFrame, edges: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Catalog + events -> next (catalog, edges).  Applying the same events again changes nothing."""
+    """Catalog + events -> next (catalog, edges).
+
+    Applying the same batch again changes nothing; batches are applied in order of time.
+    """
     return next_catalog(catalog, edges, events), next_edges(catalog, edges, events)
 
 

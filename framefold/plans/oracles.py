@@ -146,7 +146,7 @@ from (select doc_id, case lang when 'en' then hash || 'x' when 'de' then replace
 sql("age_text", "", f"select event_id, {age('value * value * value')} as age from events")
 sql("size_text", "", f"select doc_id, {size('n_chars')} as size, {size('(n_chars * n_chars)')} as square from documents")
 sql("distance_key", "images", f"""select i.hash, lpad(least(9999, greatest(0,
-    round_even({dist('i.vector', 'b.vector')} * 10000, 0)::INT))::VARCHAR, 4, '0') || i.hash as distance_key
+    round_even((({dist('i.vector', 'b.vector')})::FLOAT * 10000::FLOAT)::DOUBLE, 0)::INT))::VARCHAR, 4, '0') || i.hash as distance_key
 from images i, images b where b.vec_id = 0""")
 sql("capture_date", "", """select event_id, case event_type when 'error' then date_trunc('second', ts)
     when 'purchase' then least(date_trunc('second', ts), timestamp '2023-12-31 00:00:00')
