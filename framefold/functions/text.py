@@ -15,7 +15,7 @@ def age_text(seconds: Column) -> Column:
         text = (F.when(amount >= 2, F.format_string(f"%.0f {name}s", amount))
                 .when(amount >= 1, F.format_string(f"%.0f {name}", amount))
                 .otherwise(text))
-    return text
+    return F.when(secs.isNotNull(), text)
 
 
 def size_text(size: Column) -> Column:
@@ -23,7 +23,7 @@ def size_text(size: Column) -> Column:
     kilo = size.cast("double") / 1024
     return (F.when(size < 1024, F.format_string("%d b", size.cast("long")))
             .when(kilo < 1024, F.format_string("%.1f Kb", kilo))
-            .otherwise(F.format_string("%.4f Mb", kilo / 1024)))
+            .when(kilo >= 1024, F.format_string("%.4f Mb", kilo / 1024)))
 
 
 def distance_key(hash_: Column, dist: Column) -> Column:

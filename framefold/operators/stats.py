@@ -66,7 +66,8 @@ def status(catalog: DataFrame, max_images: int, now: str, picks: DataFrame | Non
             .withColumn("total", summary.select("images").scalar())
             .withColumn("least", summary.select("min_history_images").scalar())
             .select(*picks.columns, F.concat(counts, F.lit(" ["), text.age_text(seconds), F.lit(" ago]"),
-                                     F.coalesce(F.format_string(" %.4f", "distance"), F.lit(""))).alias("status")))
+                                     F.when(F.col("distance").isNotNull(), F.format_string(" %.4f", "distance"))
+                                     .otherwise(F.lit(""))).alias("status")))
 
 
 def outcome_counts(log: DataFrame) -> DataFrame:

@@ -35,10 +35,10 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; only a session that names none (tests) gets a fresh temporary one."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="framefold-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framefold-"))
+        path = spark.sparkContext.getCheckpointDir()
     return path
 
 
