@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,18 +11,22 @@ from framefold.functions import text
 from framefold.operators import chunkstore
 
 
+# Scheme and authority of a path ("file:", "s3a://bucket").
+_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
+
+
 def scan_folder(spark: SparkSession, root: str) -> DataFrame:
     """(path, scan, content).  ``scan`` sorts top-level files first, then subfolder by subfolder."""
+    start = len(re.sub(_SCHEME, "", root).rstrip("/")) + 2
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    inner = F.regexp_replace(F.col("path"), r"^file:/+", "/")
-    below = F.expr(f"substring(inner, {len(root.rstrip('/')) + 2})")
-    parts = F.split("below", "/")
-    return (files.withColumn("inner", inner).withColumn("below", below)
-            .select("path",
-                    F.struct((F.size(parts) > 1).alias("nested"),
-                             F.when(F.size(parts) > 1, F.get(parts, F.lit(0))).otherwise(F.lit("")).alias("folder"),
-                             F.col("below").alias("name")).alias("scan"),
-                    "content"))
+    below = F.substring(F.regexp_replace("path", _SCHEME, ""), start, 2147483647)
+    nested = below.contains("/")
+    return files.select(
+        "path",
+        F.struct(nested.alias("nested"),
+                 F.when(nested, F.substring_index(below, "/", 1)).otherwise(F.lit("")).alias("folder"),
+                 below.alias("name")).alias("scan"),
+        "content")
 
 
 def read_payloads(files: DataFrame) -> DataFrame:
