@@ -11,7 +11,7 @@ import os
 import posixpath
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,8 +145,9 @@ def soft_delete(chunks: DataFrame, readable: DataFrame, deletes: DataFrame) -> t
     """K5: (recycled rows, remaining chunks).
 
     ``deletes`` has (hash, deleted_at), ``readable`` the plain payloads.  An unreadable chunk is removed without
-    a recycled copy.
+    a recycled copy; of several deletions of a hash the first counts.
     """
+    deletes = deletes.groupBy("hash").agg(F.min("deleted_at").alias("deleted_at"))
     taken = readable.filter(F.col("content").isNotNull()).join(deletes, "hash")
     ext = media.file_type(F.col("content"))
     recycled = taken.select(F.to_date("deleted_at").alias("deleted_on"), "deleted_at", "hash", ext.alias("ext"),
@@ -159,11 +160,15 @@ def write_recycled(recycled: DataFrame, path: str) -> None:
 
 
 def export_plan(selection: DataFrame, readable: DataFrame, now: str) -> DataFrame:
-    """K6: (name, content) of the selected hashes; a repeated name gets a counter."""
+    """K6: (hash, name, content) of the selected hashes; a hash selected again gets a counter in its name.
+
+    Repeats are counted before the payload is joined, so the bytes of a hash are shuffled once.
+    """
     at = F.expr(f"timestamp_ntz'{now}'")
-    chosen = selection.select("hash").join(readable.filter(F.col("content").isNotNull()), "hash")
+    times = selection.groupBy("hash").agg(F.count("*").alias("_times"))
+    chosen = times.join(readable.filter(F.col("content").isNotNull()).select("hash", "content"), "hash")
     ext = media.file_type(F.col("content"))
-    named = chosen.withColumn("_copy", F.row_number().over(Window.partitionBy("hash").orderBy(F.lit(1))) - 1)
+    named = chosen.withColumn("_copy", F.explode(F.sequence(F.lit(0), (F.col("_times") - 1).cast("int"))))
     return named.select("hash", text.dated_name(at, F.col("hash"), ext, F.col("_copy")).alias("name"), "content")
 
 

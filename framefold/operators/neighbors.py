@@ -253,6 +253,9 @@ def nearest(queries: DataFrame, candidates: DataFrame | None = None, *, within:
 
     Without ``candidates`` the queries are joined with themselves.  ``within`` names a column that must be equal
     on both sides.  ``exclusions`` has (hash, peer) pairs that must not be matched; a query is never its own peer.
+    They ride along as one array per query, so a caller with hubs restricts them first (``stratum_exclusions``).
+
+    Inputs larger than a block are read a few times; give tables, not long derivations.
     """
     keyed = F.col(within).cast("string") if within else F.lit("")
     q = queries.select("hash", keyed.alias("key"), "vector")

@@ -17,12 +17,14 @@ def confirm_edges(events: DataFrame) -> DataFrame:
     """Both directions of every confirmed pair with the latest time; an image is no peer of itself.
 
     Each event row is turned into two by explode (one scan, no union of two reads) and repeated pairs are
-    combined before the shuffle.
+    combined before the shuffle.  The pair is tested after the explode: pushed below it, the test would compute
+    derived hashes a second time.
     """
-    confirmed = events.filter((F.col("action") == "confirm") & (F.col("hash_x") != F.col("hash_y")))
+    confirmed = events.filter(F.col("action") == "confirm")
     both = F.array(F.struct(F.col("hash_x").alias("hash"), F.col("hash_y").alias("peer")),
                    F.struct(F.col("hash_y").alias("hash"), F.col("hash_x").alias("peer")))
     return (confirmed.select("ts", F.explode(both).alias("e")).select("e.hash", "e.peer", "ts")
+            .filter(F.col("hash") != F.col("peer"))
             .groupBy("hash", "peer").agg(F.max("ts").alias("ts")))
 
 

@@ -38,13 +38,13 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Review events: purchases confirm, some errors delete a side, signups turn an image."""
     n = table(spark, sf_dir, "embeddings").agg(F.count("*")).scalar()
     k = F.get_json_object("props", "$.k").cast("long")
-    numbered = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", k.alias("k"), n.alias("n"))
+    numbered = table(spark, sf_dir, "events").filter("event_type <> 'click'").select("event_id", "ts", "event_type", k.alias("k"), n.alias("n"))
     action = (F.when(F.col("event_type") == "purchase", "confirm")
               .when((F.col("event_type") == "error") & (F.col("k") == 7), "delete_left")
               .when((F.col("event_type") == "error") & (F.col("k") == 8), "delete_right")
               .when(F.col("event_type") == "signup", "orient")
               .when(F.col("event_type") == "view", "offer"))
-    return (numbered.withColumn("action", action).filter(F.col("action").isNotNull())
+    return (numbered.withColumn("action", action)
             .select("event_id", "ts", "action",
                     id_hash(F.col("event_id") % F.col("n")).alias("hash_x"),
                     id_hash((F.col("event_id") * 31 + F.col("k")) % F.col("n")).alias("hash_y"),

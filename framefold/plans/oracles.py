@@ -274,6 +274,11 @@ where i.label = 3 and e.peer < e.hash and not (own.label = 3 and e.hash < e.peer
 # ---------------------------------------------------------------- reviews and snapshots
 sql("review_fold", "edges", "select hash, max(ts) as lastview, count(*) as hist_len from edges group by hash")
 sql("history_text", "edges", "select hash, string_agg(peer, '' order by peer) as history from edges group by hash")
+sql("stored_rows", "catalog", f"""select c.hash, rotatemode, flipmode, epoch_us(lastview) * 10 + 621355968000000000 as lastview,
+    coalesce(history, '') as history, {DIM * 4} as vector_bytes
+from catalog c left join (select hash, string_agg(peer, '' order by peer) as history from edges group by hash) e
+on e.hash = c.hash""")
+sql("stored_rows_read_back", "catalog", f"select hash, lastview, hist_len, {DIM} as dim from catalog")
 sql("merged_edges", "edges", "select hash, peer from edges")
 sql("tombstones", "gone", "select hash, deleted_at from gone")
 VIEWS = """(select hash, max(ts) as lastview from (
@@ -338,6 +343,9 @@ sql("chunk_roundtrip", "payloads", """select hash, bytes + 28 as chunk_bytes, sh
 from payloads""")
 sql("chunk_audit", "payloads", """select case when bytes <= 16 then 'lost' when hash[1] > '3' then 'ok'
     when hash[1] < '2' then 'healable' else 'lost' end as status, count(*) as chunks from payloads group by 1""")
+sql("verified_read", "payloads", """select hash, case when not ok then 'lost' when hash[1] > '3' then 'ok' else 'healable' end
+    as status, ok and hash[1] <= '3' as healed, case when ok then sha256(text) end as sha256
+from (select *, bytes > 16 and (hash[1] > '3' or hash[1] < '2') as ok from payloads)""")
 sql("chunk_path", "payloads", """select hash, 'chunks/' || hash[1] || '/' || hash[2] || '/' || hash || '.mex' as path
 from payloads""")
 sql("read_payloads", "docs", """select doc_id, case when lang = 'fr' then '120000.' || hash else hash end as stem,

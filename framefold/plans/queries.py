@@ -12,6 +12,7 @@ from framefold.functions import clock, hashing, history, media, text, vectors
 from framefold.operators import (cards, chunkstore, ingest, neighbors, pixels, quality, reviews, sampler, snapshot,
                                  stats)
 from framefold.plans import fixtures as fx
+from framefold.plans.fixtures import DIM
 from framefold.session import materialize, spread_work
 from framefold.sources import catalog as source
 from framefold.sources import files as file_source
@@ -472,6 +473,19 @@ def history_text(spark, sf_dir):
     return source.history_text(fx.edges(spark, sf_dir))
 
 
+@query
+def stored_rows(spark, sf_dir):
+    """The row format of the original store."""
+    rows = source.to_stored_rows(*fx.stored(spark, sf_dir))
+    return rows.select("hash", "rotatemode", "flipmode", "lastview", "history", F.length("vector").alias("vector_bytes"))
+
+
+@query
+def stored_rows_read_back(spark, sf_dir):
+    catalog, _ = source.from_stored_rows(source.to_stored_rows(*fx.stored(spark, sf_dir)))
+    return catalog.select("hash", "lastview", "hist_len", F.size("vector").alias("dim"))
+
+
 @query
 def merged_edges(spark, sf_dir):
     events = fx.reviews(spark, sf_dir)
@@ -647,6 +661,17 @@ def chunk_audit(spark, sf_dir):
     return chunkstore.audit(main, backup)
 
 
+@query
+def verified_read(spark, sf_dir):
+    """Chunks whose hash starts with 0-3 have no main copy, those with 2-5 a backup of another chunk's bytes."""
+    chunks = materialize(chunkstore.encrypt_chunks(fx.payloads(spark, sf_dir)))
+    first = F.substring("hash", 1, 1)
+    backup = chunks.withColumn("content", F.when(first.between("2", "5"), F.reverse(F.hex("content")).cast("binary"))
+                               .otherwise(F.col("content")))
+    read = chunkstore.read_verified(chunks.filter(first > "3"), backup)
+    return read.select("hash", "status", "healed", F.sha2("content", 256).alias("sha256"))
+
+
 @query
 def chunk_path(spark, sf_dir):
     return fx.payloads(spark, sf_dir).select("hash", text.chunk_path(F.col("hash"), "chunks").alias("path"))
@@ -690,7 +715,7 @@ def export_plan(spark, sf_dir):
 
 def projection_model():
     """Stand-in for the embedding network: channel means over a fixed grid, projected by a fixed matrix."""
-    weights = np.random.default_rng(7).normal(size=(48, fx.DIM)).astype(np.float32)
+    weights = np.random.default_rng(7).normal(size=(48, DIM)).astype(np.float32)
 
     def apply(batch: np.ndarray) -> np.ndarray:
         n, channels, height, width = batch.shape

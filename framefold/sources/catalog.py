@@ -79,15 +79,15 @@ def all_hashes(catalog: DataFrame) -> DataFrame:
 
 
 def vectors_of(keys: DataFrame, catalog: DataFrame) -> DataFrame:
-    """The vector of every asked hash; an unknown one gets an empty array."""
-    return (keys.join(catalog.select("hash", "vector"), "hash", "left")
+    """The vector of every asked hash, each once; an unknown one gets an empty array."""
+    return (keys.select("hash").distinct().join(catalog.select("hash", "vector"), "hash", "left")
             .withColumn("vector", F.coalesce("vector", F.array().cast("array<float>"))))
 
 
 def contains(keys: DataFrame, catalog: DataFrame) -> DataFrame:
-    """The asked hashes with a ``known`` flag."""
+    """The asked hashes, each once, with a ``known`` flag."""
     known = catalog.select("hash", F.lit(True).alias("known"))
-    return (keys.join(known, "hash", "left")
+    return (keys.select("hash").distinct().join(known, "hash", "left")
             .withColumn("known", F.coalesce("known", F.lit(False))))
 
 
