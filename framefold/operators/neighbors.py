@@ -60,12 +60,12 @@ def labelled_distances(catalog: DataFrame, base: str, query: Column) -> DataFram
 
 # ---------------------------------------------------------------- block comparison inside a task
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list<float> column as a double matrix, and which rows are usable."""
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int, dtype=np.float64) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a list<float> column as a matrix, and which rows are usable; the others are zero, so at distance 1."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     lengths = pc.list_value_length(lists).fill_null(-1).to_numpy(zero_copy_only=False)
     whole = lengths == dim
-    matrix = np.zeros((len(lists), dim))
+    matrix = np.zeros((len(lists), dim), dtype=dtype)
     if whole.any():
         values = lists.filter(pa.array(whole)).flatten().to_numpy(zero_copy_only=False)
         matrix[whole] = values.reshape(-1, dim)
@@ -89,6 +89,33 @@ def _banned_cells(queries: pa.Table, sorted_hashes: pa.Array) -> tuple[np.ndarra
     return np.concatenate(rows), np.concatenate(cols)
 
 
+def _nearest_rows(q: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Column and rounded distance of the nearest allowed column of each row; infinite when none is allowed.
+
+    The product is taken in float32.  Its error is below dim * 2^-24 * |q| |c|, so every column that could be the
+    nearest after rounding is within twice that of the best one; only those few are computed again in double.
+    Columns are in hash order, so the first of equal distances is the smallest hash.  Where everything is at
+    distance 1 the first allowed column is taken.
+    """
+    sims = q @ c.T
+    sims[rows, cols] = -np.inf
+    best = sims.max(axis=1)
+    allowed = np.isfinite(best)
+    error = q.shape[1] * 2.0 ** -23 * np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max()
+    floor = np.where(allowed, np.minimum(best, 1.0) - 2 * error - 2 * ROUNDING, np.inf)
+    r, k = np.nonzero(sims >= floor[:, None])
+    exact = np.einsum("ij,ij->i", q[r].astype(np.float64), c[k].astype(np.float64))
+    d = np.round(np.clip(1.0 - exact, 0.0, 1.0), 6)
+    order = np.lexsort((k, d, r))
+    r, k, d = r[order], k[order], d[order]
+    first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, dtype=int)
+    at, dist = np.zeros(len(q), dtype=np.int64), np.full(len(q), np.inf)
+    at[r[first]], dist[r[first]] = k[first], d[first]
+    far = dist == 1.0
+    at[far] = np.isfinite(sims[far]).argmax(axis=1)
+    return at, dist
+
+
 def _best_in_block(dim: int, whole_stratum: bool):
     """Function for one (query block, candidate block): the best peer of every query in this block.
 
@@ -102,21 +129,15 @@ def _best_in_block(dim: int, whole_stratum: bool):
             return schema.empty_table()
         candidates = candidates.select(["hash", "vector"]).sort_by("hash")
         hashes = candidates["hash"].combine_chunks()
-        c, c_ok = _matrix(candidates["vector"], dim)
-        q, q_ok = _matrix(queries["vector"], dim)
+        c, _ = _matrix(candidates["vector"], dim, np.float32)
+        q, _ = _matrix(queries["vector"], dim, np.float32)
         rows, cols = _banned_cells(queries, hashes)
-        at = np.empty(len(q), dtype=np.int64)
-        dist = np.empty(len(q))
+        parts = []
         step = max(1, 4_000_000 // len(c))
         for start in range(0, len(q), step):
-            stop = min(start + step, len(q))
-            d = np.round(np.clip(1.0 - q[start:stop] @ c.T, 0.0, 1.0), 6)
-            d[~q_ok[start:stop]] = 1.0
-            d[:, ~c_ok] = 1.0
-            inside = (rows >= start) & (rows < stop)
-            d[rows[inside] - start, cols[inside]] = np.inf
-            at[start:stop] = d.argmin(axis=1)
-            dist[start:stop] = d[np.arange(stop - start), at[start:stop]]
+            inside = (rows >= start) & (rows < start + step)
+            parts.append(_nearest_rows(q[start:start + step], c, rows[inside] - start, cols[inside]))
+        at, dist = (np.concatenate(part) for part in zip(*parts))
         keep = np.isfinite(dist) if whole_stratum else dist < 1.0
         picked = hashes.take(pa.array(at[keep]))
         found = queries["hash"].combine_chunks().filter(pa.array(keep))
@@ -280,8 +301,8 @@ def nearest(queries: DataFrame, candidates: DataFrame | None = None, *, within:
     if len(pivots) == 0:
         return _smallest_allowed(q, c)
     place = _placer(pivots)
-    most_banned = q.agg(F.max(F.coalesce(F.size("banned"), F.lit(0)))).first()[0] or 0
-    distinct = _without_spare_copies(c, max(0, most_banned) + 2)
+    most_banned = 0 if exclusions is None else exclusions.groupBy("hash").count().agg(F.max("count")).first()[0] or 0
+    distinct = _without_spare_copies(c, most_banned + 2)
 
     def placed(df: DataFrame) -> DataFrame:
         return df.withColumn("_at", place("vector")).select(*df.columns, "_at.*")

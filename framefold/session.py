@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -16,6 +17,7 @@ SMALL_ROWS = 100_000
 
 def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """Session for tests and benchmarks; on a cluster the submitter's own settings are used instead."""
+    os.environ.setdefault("OMP_NUM_THREADS", "1")  # tasks are the parallelism, as Spark sets it on executors
     builder = (
         SparkSession.builder.master(master).appName("framefold")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
