@@ -111,16 +111,18 @@ def sharded(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("h0", F.substring("hash", 1, 1)).withColumn("h1", F.substring("hash", 2, 1))
 
 
-def write_chunks(chunks: DataFrame, main: str, backup: str, files_per_shard: int = 1) -> None:
+def write_chunks(chunks: DataFrame, main: str, backup: str, files_per_shard: int | None = None) -> None:
     """K4: the same chunks to both trees; Spark's commit protocol makes each write all or nothing.
 
     The chunks are encrypted once: the backup is written from what the main tree now holds.  Of two rows with
-    the same hash a reader takes any that verifies.  ``files_per_shard`` splits the 1,024 shards further.
+    the same hash a reader takes any that verifies.  Each of the 1,024 shards is written by ``files_per_shard``
+    tasks; by default the work is spread as wide as any other shuffle.
     """
+    spark = chunks.sparkSession
+    files_per_shard = files_per_shard or max(1, work_partitions(spark) // 1024)
     parts = sharded(chunks).withColumn("_part", F.pmod(F.xxhash64("hash"), F.lit(files_per_shard)))
     batch = f"{main.rstrip('/')}/batch={_batch_name()}"
     parts.repartition("h0", "h1", "_part").drop("_part").write.partitionBy("h0", "h1").parquet(batch)
-    spark = chunks.sparkSession
     copied = sharded(spark.read.schema(schemas.CHUNKS).parquet(batch).select("hash", "content"))
     target = f"{backup.rstrip('/')}/{posixpath.basename(batch)}"
     copied.write.partitionBy("h0", "h1").parquet(target)

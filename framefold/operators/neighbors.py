@@ -22,12 +22,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framefold.functions import vectors
-from framefold.session import materialize, spread_join
+from framefold.session import HOT_FANOUT, materialize, spread_join
 
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 256
 MAX_BROADCAST_ROWS = 50_000
 ROUNDING = 1e-6
+GROUP_LIMIT = 1000  # Spark's default threshold for limiting ranked groups before the shuffle
 
 RESULT = "hash string, peer string, distance double"
 _PAIR = ["key", "q_cell", "q_block", "cell", "block"]
@@ -177,15 +178,30 @@ def _choose_pivots(candidates: DataFrame, count: int, dim: int) -> np.ndarray:
     return np.array([r["vector"] for r in rows], dtype=float).reshape(-1, dim)
 
 
+def _smallest_hashes(df: DataFrame, by: list[str], depth: int) -> DataFrame:
+    """The ``depth`` smallest hashes of every group.
+
+    Spark limits such groups before the shuffle while the rank is small; above that a first rank over salted
+    parts of the group does it.  Either way a hot group is never sorted in one task.
+    """
+    def limited(part: DataFrame, keys: list) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("hash"))
+        return part.withColumn("_rank", rank).filter(F.col("_rank") <= depth).drop("_rank")
+
+    if depth > GROUP_LIMIT:
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64("hash"), F.lit(HOT_FANOUT)))
+        df = limited(salted, [*by, "_salt"]).drop("_salt")
+    return limited(df, by)
+
+
 def _without_spare_copies(candidates: DataFrame, depth: int) -> DataFrame:
     """Keep the ``depth`` smallest hashes of each set of equal vectors in a stratum.
 
     All copies are equally far from a query, and the query takes the smallest hash it may have: with b exclusions
     that is among the b + 2 smallest.  So nothing is lost, and a third of the collection being one picture does
-    not make its cell quadratic.  The group limit runs before the shuffle.
+    not make its cell quadratic.
     """
-    rank = F.row_number().over(Window.partitionBy("key", "vector").orderBy("hash"))
-    return candidates.withColumn("_rank", rank).filter(F.col("_rank") <= depth).drop("_rank")
+    return _smallest_hashes(candidates, ["key", "vector"], depth)
 
 
 def _layout(placed_q: DataFrame, placed_c: DataFrame, pivots: np.ndarray, block_rows: int) -> DataFrame:
@@ -248,15 +264,12 @@ def _merge(results: DataFrame) -> DataFrame:
 def _smallest_allowed(unresolved: DataFrame, candidates: DataFrame) -> DataFrame:
     """Peer at distance 1 for queries with nothing nearer: the smallest hash that is not excluded.
 
-    A query with b exclusions finds it among the b + 2 smallest hashes of its stratum.  The row_number filter
-    is pushed below the shuffle (group limit), so a hot stratum sends only that many rows per task.
+    A query with b exclusions finds it among the b + 2 smallest hashes of its stratum.
     """
     most = unresolved.agg(F.max(F.coalesce(F.size("banned"), F.lit(0)))).first()[0]
     depth = max(0, most or 0) + 2
     strata = unresolved.select("key").distinct()
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("hash"))
-    heads = (candidates.select("key", "hash").join(strata, "key", "left_semi")
-             .withColumn("_rank", rank).filter(F.col("_rank") <= depth)
+    heads = (_smallest_hashes(candidates.select("key", "hash"), ["key"], depth).join(strata, "key", "left_semi")
              .groupBy("key").agg(F.sort_array(F.collect_list("hash")).alias("heads")))
     own = F.array_union(F.coalesce("banned", F.array().cast("array<string>")), F.array("hash"))
     return (spread_join(unresolved, heads, "key", "hash", "inner")
@@ -297,6 +310,35 @@ def nearest(queries: DataFrame, candidates: DataFrame | None = None, *, within:
         best = _best_in_block(dim, whole_stratum=True)
         return q.groupBy("key").cogroup(c.groupBy("key")).applyInArrow(best, RESULT)
 
+    small = None
+    if within is not None:
+        # Strata of at most a block need no pivots: each is compared whole.
+        sizes = (c.select("key", F.lit(1).alias("c"), F.lit(0).alias("q"))
+                 .unionByName(q.select("key", F.lit(0).alias("c"), F.lit(1).alias("q")))
+                 .groupBy("key").agg(F.greatest(F.sum("c"), F.sum("q")).alias("rows")))
+        large = materialize(sizes.filter(F.col("rows") > block_rows).select("key"))
+        n_large = large.count()
+        small = (_by_key(q, large, n_large, "left_anti").groupBy("key")
+                 .cogroup(_by_key(c, large, n_large, "left_anti").groupBy("key"))
+                 .applyInArrow(_best_in_block(dim, whole_stratum=True), RESULT))
+        if n_large == 0:
+            return small
+        q, c = _by_key(q, large, n_large, "left_semi"), _by_key(c, large, n_large, "left_semi")
+        n_candidates = c.count()
+    found = _pivot_join(q, c, n_candidates, exclusions, dim, block_rows, max_pivots)
+    return found if small is None else found.unionByName(small)
+
+
+def _by_key(df: DataFrame, keys: DataFrame, n_keys: int, how: str) -> DataFrame:
+    """Rows whose stratum is (not) listed; the list is broadcast only when it is short."""
+    if n_keys <= MAX_BROADCAST_ROWS:
+        return df.join(F.broadcast(keys), "key", how)
+    return spread_join(df, keys, "key", "hash", how)
+
+
+def _pivot_join(q: DataFrame, c: DataFrame, n_candidates: int, exclusions: DataFrame | None, dim: int,
+                block_rows: int, max_pivots: int) -> DataFrame:
+    """The pivot-based join of (hash, key, vector, banned) with (hash, key, vector)."""
     pivots = _choose_pivots(c, min(max_pivots, math.ceil(n_candidates / block_rows)), dim)
     if len(pivots) == 0:
         return _smallest_allowed(q, c)

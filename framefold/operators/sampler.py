@@ -5,6 +5,8 @@ Random order is the order of md5(hash, seed, tag), so a draw can be repeated and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,21 +18,21 @@ BUCKETS = 1024
 DIRECT_ROWS = 10_000
 
 
-def rank_cutoff(catalog: DataFrame, k: int) -> tuple[int, str] | None:
-    """(lastview micros, hash) of the k-th row in (lastview, hash) order, without sorting the table.
+def rank_cutoff(catalog: DataFrame, k: Callable[[int], int]) -> tuple[int, str] | None:
+    """(lastview micros, hash) of row number ``k(rows)`` in (lastview, hash) order, without sorting the table.
 
     Each pass counts rows in 1024 buckets of the range that still holds row k, so the driver sees at most 1024
     counters; the range narrows a thousandfold per pass.  When one instant holds too many rows the search goes
     on over hash prefixes.  The last few rows are taken by a bounded top-k.
     """
-    keyed = catalog.select(clock.micros_of(F.col("lastview")).alias("t"), "hash")
-    span = keyed.agg(F.min("t"), F.max("t"), F.count("t")).first()
-    low, high, size = span
-    if k < 1 or size is None or size < k:
+    micros = clock.micros_of(F.col("lastview"))
+    low, high, size, total = catalog.agg(F.min(micros), F.max(micros), F.count("lastview"), F.count("*")).first()
+    left, prefix = k(total), ""
+    if left < 1 or size < left:
         return None
-    left, prefix = k, ""
     while True:
-        here = keyed.filter(F.col("t").between(low, high))
+        here = (catalog.filter(F.col("lastview").between(clock.ts_of_micros(F.lit(low)), clock.ts_of_micros(F.lit(high))))
+                .select(micros.alias("t"), "hash"))
         if prefix:
             here = here.filter(F.col("hash").startswith(prefix))
         if size <= DIRECT_ROWS:
@@ -56,12 +58,11 @@ def rank_cutoff(catalog: DataFrame, k: int) -> tuple[int, str] | None:
 
 def oldest_tenth(catalog: DataFrame) -> DataFrame:
     """The count // 10 rows seen longest ago (none below 10 rows); ties by hash.  A filter, not a sort."""
-    rows = catalog.filter(F.col("lastview").isNotNull())
-    cut = rank_cutoff(rows, catalog.count() // 10)
+    cut = rank_cutoff(catalog, lambda rows: rows // 10)
     if cut is None:
         return catalog.limit(0)
     at = clock.ts_of_micros(F.lit(cut[0]))
-    return rows.filter((F.col("lastview") < at) | ((F.col("lastview") == at) & (F.col("hash") <= cut[1])))
+    return catalog.filter((F.col("lastview") < at) | ((F.col("lastview") == at) & (F.col("hash") <= cut[1])))
 
 
 def stratum_picks(rows: DataFrame, seed: str) -> DataFrame:

@@ -581,7 +581,7 @@ def catalog_card(spark, sf_dir):
 # ---------------------------------------------------------------- import
 
 def _classified(spark, sf_dir, max_added=None) -> DataFrame:
-    known = fx.catalogued(spark, sf_dir)
+    known = materialize(fx.catalogued(spark, sf_dir))
     return ingest.classify(ingest.file_facts(fx.incoming(spark, sf_dir)), known, known, max_added)
 
 
@@ -596,7 +596,7 @@ def ingest_counts(spark, sf_dir):
 
 
 def _imported(spark, sf_dir) -> ingest.Import:
-    known = fx.catalogued(spark, sf_dir)
+    known = materialize(fx.catalogued(spark, sf_dir))
     first = fx.table(spark, sf_dir, "events").agg(F.min("ts")).scalar()
     catalog = known.select("hash").withColumn("lastview", first)
     return ingest.import_files(fx.incoming(spark, sf_dir), catalog, known, fx.MAX_IMAGES)

@@ -73,6 +73,18 @@ def test_two_sets(spark, data, block_rows):
     assert found(got) == brute(data, q, c, False, set())
 
 
+def test_ranks_above_the_group_limit(spark, data, monkeypatch):
+    monkeypatch.setattr(neighbors, "GROUP_LIMIT", 1)
+    got = neighbors.nearest(frame(spark, data, range(N)), exclusions=edges(spark, data), block_rows=150)
+    assert found(got) == brute(data, range(N), range(N), False, data[3])
+
+
+def test_hot_copies_are_limited_before_the_shuffle(spark, data):
+    rows = frame(spark, data, range(N)).withColumn("key", F.lit(""))
+    plan = neighbors._without_spare_copies(rows, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
 def test_salted_layout_join(spark, data, monkeypatch):
     monkeypatch.setattr(neighbors, "MAX_BROADCAST_ROWS", 0)
     got = neighbors.nearest(frame(spark, data, range(N)), within="hist_len", block_rows=150)
