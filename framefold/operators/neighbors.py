@@ -1,7 +1,7 @@
 """Exact nearest neighbours with exclusion rules.
 
 ``nearest`` is an exact k = 1 join that never lists pairs.  Rows are placed in cells around a few pivots
-(Voronoi cells, as in pivot-based kNN joins); cells are cut into blocks of about ``block_rows`` rows, so a hot
+(Voronoi cells, as in pivot-based kNN joins); cells are cut into blocks of 2,048 to 8,192 rows, so a hot
 stratum or cell only makes more blocks, never a bigger task.  A query is compared with one block of its home
 cell first.  The distance found there bounds the rest: a cell is visited only if its pivot, radius and largest
 norm still allow something as near.  Each block pair is one numpy matrix product inside a task and returns a
@@ -14,6 +14,7 @@ that are missing, NaN or of a wrong length are at distance 1 from everything.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,10 @@ from pyspark.sql import functions as F
 from framefold.functions import vectors
 from framefold.session import HOT_FANOUT, materialize, spread_join
 
-BLOCK_ROWS = 2048
+MIN_BLOCK_ROWS = 2048
+MAX_BLOCK_ROWS = 8192
 MAX_PIVOTS = 256
+MAX_SCAN_EXCLUSIONS = 1_000_000
 MAX_BROADCAST_ROWS = 50_000
 ROUNDING = 1e-6
 GROUP_LIMIT = 1000  # Spark's default threshold for limiting ranked groups before the shuffle
@@ -90,16 +93,19 @@ def _banned_cells(queries: pa.Table, sorted_hashes: pa.Array) -> tuple[np.ndarra
     return np.concatenate(rows), np.concatenate(cols)
 
 
-def _nearest_rows(q: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _nearest_rows(q: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndarray,
+                  same: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Column and rounded distance of the nearest allowed column of each row; infinite when none is allowed.
 
     The product is taken in float32.  Its error is below dim * 2^-24 * |q| |c|, so every column that could be the
     nearest after rounding is within twice that of the best one; only those few are computed again in double.
     Columns are in hash order, so the first of equal distances is the smallest hash.  Where everything is at
-    distance 1 the first allowed column is taken.
+    distance 1 the first allowed column is taken.  ``same`` marks the cells of equal strata.
     """
     sims = q @ c.T
     sims[rows, cols] = -np.inf
+    if same is not None:
+        sims[~same] = -np.inf
     best = sims.max(axis=1)
     allowed = np.isfinite(best)
     error = q.shape[1] * 2.0 ** -23 * np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max()
@@ -147,6 +153,49 @@ def _best_in_block(dim: int, whole_stratum: bool):
     return best
 
 
+def _scan_join(q: DataFrame, c: DataFrame, dim: int) -> DataFrame:
+    """Few queries against many candidates: one scan of the candidates, which are not shuffled.
+
+    The caller has counted the queries (at most a block) and their exclusions; they travel with the function.
+    Each task keeps the best candidate per query over its batches, and the tasks' rows are merged by min.
+    """
+    asked = q.select("hash", "key", "vector", "banned").toArrow()
+    vectors_q, _ = _matrix(asked["vector"], dim, np.float32)
+    strata = pc.unique(asked["key"].combine_chunks())
+    stratum_q = pc.index_in(asked["key"].combine_chunks(), value_set=strata).to_numpy(zero_copy_only=False)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nearest_hash: list[str | None] = [None] * len(vectors_q)
+        nearest_dist = np.full(len(vectors_q), np.inf)
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            code = pc.index_in(table["key"].combine_chunks(), value_set=strata)
+            table = table.append_column("code", code).filter(code.is_valid()).sort_by("hash")
+            if table.num_rows == 0:
+                continue
+            hashes = table["hash"].combine_chunks()
+            vectors_c, _ = _matrix(table["vector"], dim, np.float32)
+            stratum_c = table["code"].to_numpy()
+            rows, cols = _banned_cells(asked, hashes)
+            step = max(1, 4_000_000 // len(vectors_c))
+            for start in range(0, len(vectors_q), step):
+                stop = min(start + step, len(vectors_q))
+                inside = (rows >= start) & (rows < stop)
+                at, dist = _nearest_rows(vectors_q[start:stop], vectors_c, rows[inside] - start, cols[inside],
+                                         stratum_q[start:stop, None] == stratum_c[None, :])
+                for i in np.flatnonzero(np.isfinite(dist) & (dist <= nearest_dist[start:stop])):
+                    name = hashes[int(at[i])].as_py()
+                    held = nearest_hash[start + i]
+                    if held is None or (dist[i], name) < (nearest_dist[start + i], held):
+                        nearest_hash[start + i], nearest_dist[start + i] = name, dist[i]
+        hit = np.flatnonzero(np.isfinite(nearest_dist))
+        yield pa.RecordBatch.from_arrays(
+            [asked["hash"].combine_chunks().take(pa.array(hit)), pa.array([nearest_hash[i] for i in hit], pa.string()),
+             pa.array(nearest_dist[hit])], names=["hash", "peer", "distance"])
+
+    return _merge(c.select("hash", "key", "vector").mapInArrow(scan, RESULT))
+
+
 # ---------------------------------------------------------------- placing rows around pivots
 
 def _placer(pivots: np.ndarray):
@@ -281,7 +330,7 @@ def _smallest_allowed(unresolved: DataFrame, candidates: DataFrame) -> DataFrame
 # ---------------------------------------------------------------- the join
 
 def nearest(queries: DataFrame, candidates: DataFrame | None = None, *, within: str | None = None,
-            exclusions: DataFrame | None = None, block_rows: int = BLOCK_ROWS,
+            exclusions: DataFrame | None = None, block_rows: int | None = None,
             max_pivots: int = MAX_PIVOTS, dim: int | None = None) -> DataFrame:
     """Nearest candidate of every query: (hash, peer, distance).  Queries without one are absent.
 
@@ -289,23 +338,34 @@ def nearest(queries: DataFrame, candidates: DataFrame | None = None, *, within:
     on both sides.  ``exclusions`` has (hash, peer) pairs that must not be matched; a query is never its own peer.
     They ride along as one array per query, so a caller with hubs restricts them first (``stratum_exclusions``).
 
-    Inputs larger than a block are read a few times; give tables, not long derivations.
+    ``dim`` is the vector length; by default the most common one.  Up to a block of queries against another table
+    costs one scan of it.  Otherwise inputs larger than a block are read a few times; give tables, not long
+    derivations.
     """
     keyed = F.col(within).cast("string") if within else F.lit("")
     q = queries.select("hash", keyed.alias("key"), "vector")
     # Aliased, so that a self-join has columns of its own on the candidate side.
     c = (queries if candidates is None else candidates).select(
         F.col("hash").alias("hash"), keyed.alias("key"), F.col("vector").alias("vector"))
-    facts = c.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dim")).first()
-    n_candidates, dim = facts["n"], dim or max(1, facts["dim"] or 1)
-    n_queries = n_candidates if candidates is None else q.count()
-
     if exclusions is None:
         q = q.withColumn("banned", F.lit(None).cast("array<string>"))
     else:
         peers = exclusions.groupBy("hash").agg(F.collect_set("peer").alias("banned"))
         q = q.join(peers, "hash", "left")
 
+    # Counted per vector length: NULL vectors have size -1 or NULL and never set the dimension.
+    lengths = c.groupBy(F.greatest(F.coalesce(F.size("vector"), F.lit(-1)), F.lit(0)).alias("len")).count()
+    facts = lengths.agg(F.sum("count").alias("n"),
+                        F.max_by(F.when(F.col("len") > 0, F.col("len")), F.when(F.col("len") > 0, F.struct("count", "len")))
+                        .alias("dim")).first()
+    n_candidates, dim = facts["n"] or 0, dim or facts["dim"] or 1
+    block_rows = block_rows or min(MAX_BLOCK_ROWS, max(MIN_BLOCK_ROWS, n_candidates // MAX_PIVOTS))
+    n_queries = n_candidates
+    if candidates is not None:
+        n_queries, n_banned = q.agg(F.count("*"), F.sum(F.greatest(F.size("banned"), F.lit(0)))).first()
+        if n_queries <= block_rows and (n_banned or 0) <= MAX_SCAN_EXCLUSIONS:
+            return _scan_join(q, c, dim)
+
     if n_candidates <= block_rows and n_queries <= block_rows:
         best = _best_in_block(dim, whole_stratum=True)
         return q.groupBy("key").cogroup(c.groupBy("key")).applyInArrow(best, RESULT)
@@ -359,7 +419,8 @@ def _pivot_join(q: DataFrame, c: DataFrame, n_candidates: int, exclusions: DataF
     homed = materialize(
         _with_layout(placed(q), layout, small)
         .withColumn("q_block", F.pmod(dealt, F.col("home.q_blocks")).cast("int"))
-        .withColumn("seed", F.when(F.col("home.blocks") > 0, F.pmod("q_block", F.col("home.blocks")).cast("int"))))
+        .withColumn("seed", F.when(F.col("home.blocks") > 0, F.pmod("q_block", F.col("home.blocks")).cast("int")))
+        .drop("cells", "home"))
 
     best = _best_in_block(dim, whole_stratum=False)
     seeds = materialize(_probe(
@@ -367,7 +428,7 @@ def _pivot_join(q: DataFrame, c: DataFrame, n_candidates: int, exclusions: DataF
         .select("key", F.col("cell").alias("q_cell"), "q_block", "cell", F.col("seed").alias("block"),
                 "hash", "vector", "banned"), blocked, best))
 
-    bounded = (homed.filter("cell >= 0").join(seeds.select("hash", F.col("distance").alias("bound")), "hash", "left")
+    bounded = (_with_layout(homed.filter("cell >= 0"), layout, small).join(seeds.select("hash", F.col("distance").alias("bound")), "hash", "left")
                .withColumn("bound", F.coalesce("bound", F.lit(1.0)))
                .withColumn("open", F.transform(F.filter("cells", _may_hold),
                                                lambda e: F.struct(e["cell"].alias("cell"),
@@ -404,7 +465,7 @@ def stratum_exclusions(catalog: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def review_partners(catalog: DataFrame, edges: DataFrame, queries: DataFrame | None = None,
-                    block_rows: int = BLOCK_ROWS) -> DataFrame:
+                    block_rows: int | None = None) -> DataFrame:
     """Nearest image of the same history size that was not compared yet; NULL when there is none.
 
     ``queries`` (hash) limits whose partner is searched; by default everybody's.
@@ -438,7 +499,7 @@ def unseen(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(edges.select("hash", "peer"), ["hash", "peer"], "left_anti")
 
 
-def nearest_neighbors(catalog: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_neighbors(catalog: DataFrame, block_rows: int | None = None) -> DataFrame:
     """For each image its nearest other."""
     return nearest(catalog, block_rows=block_rows)
 
@@ -457,7 +518,7 @@ def neighbor_drift(old: DataFrame, new: DataFrame) -> DataFrame:
                     .otherwise(F.format_string("%.4f", "distance")).alias("message")))
 
 
-def next_after_delete(catalog: DataFrame, deleted: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def next_after_delete(catalog: DataFrame, deleted: DataFrame, block_rows: int | None = None) -> DataFrame:
     """For each deleted row (hash, vector) the nearest survivor."""
     survivors = catalog.join(deleted.select("hash"), "hash", "left_anti")
     return nearest(deleted, survivors, block_rows=block_rows)

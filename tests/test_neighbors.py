@@ -66,11 +66,19 @@ def test_all_pairs(spark, data, block_rows):
         data, range(N), range(N), False, set())
 
 
-@pytest.mark.parametrize("block_rows", [2048, 100])
-def test_two_sets(spark, data, block_rows):
-    q, c = range(0, 90), range(90, N)
-    got = neighbors.nearest(frame(spark, data, q), frame(spark, data, c), block_rows=block_rows)
-    assert found(got) == brute(data, q, c, False, set())
+@pytest.mark.parametrize("block_rows", [2048, 64])
+@pytest.mark.parametrize("keyed", [False, True])
+def test_two_sets(spark, data, block_rows, keyed):
+    q, c = range(0, 90), range(70, N)
+    options = {"within": "hist_len", "exclusions": edges(spark, data)} if keyed else {}
+    got = neighbors.nearest(frame(spark, data, q), frame(spark, data, c).repartition(5), block_rows=block_rows, **options)
+    assert found(got) == brute(data, q, c, keyed, data[3] if keyed else set())
+
+
+def test_one_overlong_vector_does_not_set_the_dimension(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [0.8, 0.6]), ("c", [1.0, 0.0, 0.0]), ("d", None)]
+    df = spark.createDataFrame(rows, "hash string, vector array<float>")
+    assert found(neighbors.nearest(df)) == {"a": (0.2, "b"), "b": (0.2, "a"), "c": (1.0, "a"), "d": (1.0, "a")}
 
 
 def test_ranks_above_the_group_limit(spark, data, monkeypatch):
