@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framefold.functions import vectors
-from framefold.session import HOT_FANOUT, materialize, spread_join
+from framefold.session import HOT_FANOUT, hot_keys, materialize, spread_join
 
 MIN_BLOCK_ROWS = 2048
 MAX_BLOCK_ROWS = 8192
@@ -459,8 +459,9 @@ def stratum_exclusions(catalog: DataFrame, edges: DataFrame) -> DataFrame:
     sizes = catalog.select("hash", F.col("hist_len").alias("_left"))
     peers = catalog.select(F.col("hash").alias("peer"), F.col("hist_len").alias("_right"))
     rows = edges.count()
-    with_left = spread_join(edges.select("hash", "peer").distinct(), sizes, "hash", "peer", "inner", rows=rows)
-    return (spread_join(with_left, peers, "peer", "hash", "inner", rows=rows)
+    hot_ends = [hot_keys(edges, end, rows=rows) for end in ("hash", "peer")]
+    with_left = spread_join(edges.select("hash", "peer"), sizes, "hash", "peer", "inner", hot=hot_ends[0])
+    return (spread_join(with_left, peers, "peer", "hash", "inner", hot=hot_ends[1])
             .filter(F.col("_left") == F.col("_right")).select("hash", "peer"))
 
 
@@ -470,12 +471,12 @@ def review_partners(catalog: DataFrame, edges: DataFrame, queries: DataFrame | N
 
     ``queries`` (hash) limits whose partner is searched; by default everybody's.
     """
-    exclusions = stratum_exclusions(catalog, edges)
     if queries is None:
         asked, candidates = catalog, None
     else:
-        asked, candidates = catalog.join(queries.select("hash").distinct(), "hash", "left_semi"), catalog
-        exclusions = exclusions.join(asked.select("hash"), "hash", "left_semi")
+        asked = materialize(catalog.join(queries.select("hash").distinct(), "hash", "left_semi"))
+        candidates, edges = catalog, edges.join(asked.select("hash"), "hash", "left_semi")
+    exclusions = materialize(stratum_exclusions(catalog, edges))
     found = nearest(asked, candidates, within="hist_len", exclusions=exclusions, block_rows=block_rows)
     return (asked.select(F.col("hash").alias("hash_x"))
             .join(found.select(F.col("hash").alias("hash_x"), F.col("peer").alias("hash_y"), "distance"),

@@ -54,9 +54,11 @@ def dangling_edges(edges: DataFrame, catalog: DataFrame) -> DataFrame:
 
     Peers are made distinct before the anti join, so a hub costs one row there; only the missing ones go back.
     """
+    rows = edges.count()
     missing = edges.select("peer").distinct().join(catalog.select(F.col("hash").alias("peer")), "peer", "left_anti")
     return spread_join(edges.select("hash", F.col("peer").alias("peer")),
-                       missing.select(F.col("peer").alias("peer")), "peer", "hash", "inner").select("hash", "peer")
+                       missing.select(F.col("peer").alias("peer")), "peer", "hash", "inner",
+                       rows=rows).select("hash", "peer")
 
 
 def one_sided_edges(edges: DataFrame) -> DataFrame:

@@ -100,7 +100,8 @@ def next_edges(catalog: DataFrame, edges: DataFrame, events: DataFrame) -> DataF
     A deleted image takes its own edges along; edges that point to it stay, and V3 reports them.
     """
     staying = catalog.select("hash").join(tombstones(events), "hash", "left_anti")
-    return spread_join(merge_edges(edges, confirm_edges(events)), staying, "hash", "peer", "left_semi")
+    merged = materialize(merge_edges(edges, confirm_edges(events)))
+    return spread_join(merged, staying, "hash", "peer", "left_semi", rows=merged.count())
 
 
 def apply_events(catalog: DataFrame, edges: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:

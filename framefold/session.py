@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # A key is hot when it holds more than 1/HOT_SHARES of the rows, so there are fewer than HOT_SHARES of them.
@@ -54,29 +54,39 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_keys(left: DataFrame, on: str, small_rows: int = SMALL_ROWS, rows: int | None = None) -> list:
+    """Keys with more than 1/HOT_SHARES of the rows: fewer than HOT_SHARES values, whatever the table's size.
+
+    One job: the total is observed while the keys are counted.  Tables of at most ``small_rows`` have none.
+    """
+    if rows is not None and rows <= small_rows:
+        return []
+    watched = Observation()
+    counts = left.groupBy(on).agg(F.count("*").alias("_n")).observe(watched, F.sum("_n").alias("total"))
+    top = counts.orderBy(F.desc("_n")).limit(HOT_SHARES).collect()
+    total = (watched.get["total"] or 0) if rows is None else rows
+    if total <= small_rows:
+        return []
+    return [r[on] for r in top if r["_n"] > total / HOT_SHARES and r[on] is not None]
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: str, spread_by: str, how: str = "left",
-                small_rows: int = SMALL_ROWS, rows: int | None = None) -> DataFrame:
+                small_rows: int = SMALL_ROWS, rows: int | None = None, hot: list | None = None) -> DataFrame:
     """Join where ``left`` may hold a hot key and ``right`` has at most one row per key.
 
     Only hot keys are salted: their left rows are dealt over HOT_FANOUT salts by ``spread_by`` and their single
-    right row is repeated that often.  The list of hot keys is broadcast; it has fewer than HOT_SHARES rows
-    because each of them holds more than 1/HOT_SHARES of the left side.  ``rows`` saves the count if it is known.
+    right row is repeated that often.  Without hot keys it is a plain join.  ``rows`` is the left row count or an
+    upper bound, if known; ``hot`` the hot keys themselves.
     """
-    total = left.count() if rows is None else rows
-    if total <= small_rows:
+    if hot is None:
+        hot = hot_keys(left, on, small_rows, rows)
+    if not hot:
         return left.join(right, on, how)
-    hot = (left.groupBy(on).agg(F.count("*").alias("_n")).filter(F.col("_n") > total / HOT_SHARES)
-           .select(F.col(on).alias("_hot")).filter(F.col("_hot").isNotNull()))
-    salted_left = (left.join(F.broadcast(hot), F.col(on) == F.col("_hot"), "left")
-                   .withColumn("_salt", F.when(F.col("_hot").isNotNull(),
-                                               F.pmod(F.xxhash64(spread_by), F.lit(HOT_FANOUT)).cast("int"))
-                               .otherwise(F.lit(0)))
-                   .drop("_hot"))
-    salted_right = (right.join(F.broadcast(hot), F.col(on) == F.col("_hot"), "left")
-                    .withColumn("_salt", F.explode(F.when(F.col("_hot").isNotNull(),
-                                                          F.sequence(F.lit(0), F.lit(HOT_FANOUT - 1)))
-                                                   .otherwise(F.array(F.lit(0)))))
-                    .drop("_hot"))
+    is_hot = F.coalesce(F.col(on).isin(hot), F.lit(False))
+    dealt = F.pmod(F.xxhash64(spread_by), F.lit(HOT_FANOUT)).cast("int")
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_FANOUT - 1))).otherwise(F.array(F.lit(0)))
+    salted_left = left.withColumn("_salt", F.when(is_hot, dealt).otherwise(F.lit(0)))
+    salted_right = right.withColumn("_salt", F.explode(salts))
     return salted_left.join(salted_right, [on, "_salt"], how).drop("_salt")
 
 
