@@ -356,4 +356,12 @@ sql("soft_delete", "payloads known", """select case when k.hash is null then p.h
 from payloads p left join known k on k.hash = p.hash and not k.chunk_ok""")
 sql("export_plan", "payloads known", f"""select p.hash, strftime(timestamp '{NOW}', '%Y-%m-%d/%H%M%S.') || p.hash || '.xxx' as name,
     p.bytes from payloads p join known k on k.hash = p.hash""")
+sql("legacy_roundtrip", "payloads", """select hash, (bytes // 16 + 1) * 16 as sealed_bytes, sha256(text) as sha256
+from payloads""")
+TURN = "('0x' || substring(md5(hash), 1, 4))::BIGINT"
+sql("embed_images", "payloads", f"select hash, {DIM} as dim, 1.0::DOUBLE as norm from payloads")
+sql("reorient", "payloads", f"""select hash, ({TURN} % 4 * 90)::INT as rotatemode, ({TURN} % 3)::INT as flipmode, {DIM} as dim
+from payloads""")
+sql("vector_drift", "payloads", f"""select hash, case when hash < 'a' then 0.0::DOUBLE end as distance from payloads
+order by md5(hash || '{SEED}'), hash limit 10""")
 sql("backfill", "payloads", f"select hash, {DIM} as dim from payloads")
