@@ -32,9 +32,9 @@ from .common import id_bucket, labelled, table
 
 BITS = 20
 SIZES = (3, 4, 5)
-PER_CLASS = 8192
-MAX_FEATURES = 1 << 16
-LEAST_Z = 3.0
+PER_CLASS = 6144
+MAX_FEATURES = 1 << 13
+LEAST_Z = 4.0
 HOLD_OUT = 5
 
 
