@@ -14,52 +14,81 @@ from collections.abc import Callable
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
+ENDINGS = ",.;:!?"  # after letters, one of these is a match of its own
+
+
 def whole(part: str) -> bool:
     return part != "" and not part[0].isspace() and not part[-1].isspace()
 
 
-def first_whole(part: str) -> bool:
-    return part != "" and not part[-1].isspace()
+class Unsafe(Exception):
+    pass
+
+
+class PieceCodes(dict):
+    """Codes of text pieces by ``encode`` (list of pieces to list of bytes); about ``limit`` pieces are remembered.
 
+    As a dict it numbers pieces without their leading space; ``codes`` holds the code of each number.
+    """
 
-class PieceCodes:
-    """Codes of text pieces by ``encode`` (list of pieces to list of bytes), remembered for at most ``limit`` pieces."""
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 500_000):
+        super().__init__()
+        self.encode, self.limit = encode, limit
+        self.codes: list[bytes | None] = []
+        self.fresh: list[str] = []  # pieces with their space, not yet encoded, and their numbers
+        self.numbers: list[int] = []
+        self.joined: list[tuple[int, int, str]] = []
+        self.endings = dict(zip(ENDINGS, encode(list(ENDINGS))))
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 300_000, longest: int = 40):
-        self.encode, self.limit, self.longest = encode, limit, longest
-        self.known: dict[str, bytes] = {}  # by piece without its leading space; only safe pieces are in it
+    def __missing__(self, part: str) -> int:
+        if not whole(part):
+            raise Unsafe
+        return self.add(part)
 
-    def parts(self, text: str) -> list[str]:
-        """Pieces of the text: the first as it stands, the others without their leading space."""
-        parts = text.split(" ")
-        if first_whole(parts[0]) and all(map(self.safe, parts[1:])):
-            return parts
-        return SAFE.split(text)
+    def add(self, part: str) -> int:
+        if part[-1] in ENDINGS and part[:-1].isalpha():
+            base = self[part[:-1]]
+            number = self[part] = len(self.codes)
+            self.joined.append((number, base, part[-1]))
+        else:
+            number = self[part] = len(self.codes)
+            self.fresh.append(" " + part)
+            self.numbers.append(number)
+        self.codes.append(None)
+        return number
 
-    def safe(self, part: str) -> bool:
-        return part in self.known or whole(part)
+    def odd(self, part: str) -> int:
+        """Number of a piece with white space at an end; its key has the space, as no safe piece's key has."""
+        number = self.get(" " + part)
+        if number is None:
+            number = self[" " + part] = len(self.codes)
+            self.fresh.append(" " + part)
+            self.numbers.append(number)
+            self.codes.append(None)
+        return number
 
     def of(self, texts: list[str]) -> list[list[bytes]]:
         """For each text the codes of its pieces, in order."""
-        split = [self.parts(t) if t else [] for t in texts]
-        missing = {p for parts in split for p in parts[1:] if p not in self.known}
-        order = list(missing)
-        firsts = [parts[0] for parts in split if parts]
-        codes = self.encode(firsts + [" " + p for p in order])
-        fresh = dict(zip(order, codes[len(firsts):]))
-        if len(self.known) + len(fresh) <= self.limit:
-            self.known.update((p, c) for p, c in fresh.items() if len(p) <= self.longest and whole(p))
-        known, heads = self.known, iter(codes)
-        out = []
-        for parts in split:
-            if not parts:
-                out.append([])
-                continue
-            row = [next(heads)]
+        if len(self) > self.limit:
+            self.clear()
+            self.codes.clear()
+        firsts, rows = [], []
+        for text in texts:
+            parts = text.split(" ")
             try:
-                row.extend(map(known.__getitem__, parts[1:]))
-            except KeyError:
-                del row[1:]
-                row.extend(known[p] if p in known else fresh[p] for p in parts[1:])
-            out.append(row)
-        return out
+                if parts[0] == "" or parts[0][-1].isspace():
+                    raise Unsafe
+                row = list(map(self.__getitem__, parts[1:]))
+            except Unsafe:
+                parts = SAFE.split(text)
+                row = [self[p] if whole(p) else self.odd(p) for p in parts[1:]]
+            firsts.append(parts[0])
+            rows.append(row)
+        found = self.encode(firsts + self.fresh)
+        for number, code in zip(self.numbers, found[len(firsts):]):
+            self.codes[number] = code
+        for number, base, ending in self.joined:
+            self.codes[number] = self.codes[base] + self.endings[ending]
+        self.fresh, self.numbers, self.joined = [], [], []
+        code_of = self.codes.__getitem__
+        return [[first, *map(code_of, row)] for first, row in zip(found, rows)]
