@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .near_dedup import op1_near_dedup
 from .packing import op2_packing
 from .quality_rules import op9_quality_rules
+from .substring_dedup import op3_substring_dedup
 from .toxicity import op4_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_packing": op2_packing,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op9_quality_rules": op9_quality_rules,
 }
