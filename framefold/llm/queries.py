@@ -11,6 +11,7 @@ from .packing import op2_packing
 from .quality_rules import op9_quality_rules
 from .substring_dedup import op3_substring_dedup
 from .toxicity import op4_toxicity
+from .warc import op10_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op9_quality_rules": op9_quality_rules,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {}
