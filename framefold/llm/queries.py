@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .fingerprints import op5_fingerprints
 from .near_dedup import op1_near_dedup
 from .packing import op2_packing
 from .quality_rules import op9_quality_rules
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_fingerprints": op5_fingerprints,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
 }
