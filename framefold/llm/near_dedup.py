@@ -243,7 +243,10 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     copies = materialize(usable.groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("high", "low", "rep"))
     named = usable.join(copies, ["high", "low"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     classes = materialize(named.select("doc_id", "n_shingles", "rep"))
-    heads = materialize(named.where("rep = doc_id").select("rep", "high", "low", "n_shingles", "bands", "signature").dropDuplicates(["rep", "high", "low"]))
+    heads = named.where("rep = doc_id").select("rep", "high", "low", "n_shingles", "bands", "signature")
+    if not classes.where("rep = doc_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+        heads = heads.dropDuplicates(["rep", "high", "low"])  # rows that repeat a doc_id; without any, nothing wide is shuffled
+    heads = materialize(heads)
     families = _families(heads.select(F.explode("bands").alias("key"), "rep"), heads)
     family = components(families).withColumnRenamed("root", "family").withColumnRenamed("node", "rep")
     family = materialize(family.join(heads.select("rep", "n_shingles"), "rep"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import op8_byte_bpe
 from .fingerprints import op5_fingerprints
+from .importance import op6_importance
 from .lm_scoring import op7_lm_scoring
 from .near_dedup import op1_near_dedup
 from .packing import op2_packing
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_fingerprints": op5_fingerprints,
+    "op6_importance": op6_importance,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_rules": op9_quality_rules,
