@@ -30,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage)
 
@@ -257,7 +258,7 @@ class WarcSource(DataSource):
         return WarcWriter(dict(self.options))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def base32_sha1(payload: pd.Series) -> pd.Series:
     return payload.map(lambda x: base64.b32encode(hashlib.sha1(x or b"").digest()).decode())
 
