@@ -7,8 +7,8 @@ whose share does not differ between the classes have no influence and are left o
 
 Training reads a sample of at most ``PER_CLASS`` labelled rows of each class, chosen by a hash of the id; bucket counts
 are summed by Spark, only informative buckets (at most ``MAX_FEATURES``) and the sample's feature lists for them
-reach the driver.  Both bounds are independent of the tables.  A row of label 1 weighs as much as the square root of
-the classes' ratio: half way between the classes' true shares and equal shares.
+reach the driver.  Both bounds are independent of the tables.  In training, rows of label 1 weigh more the rarer they
+are (the classes' ratio to the power 0.75), so a score of 0.5 lies between the classes' true shares and equal shares.
 
 Cases: a null text counts as empty; an empty text has no features and gets the prior; a row with null doc_id is
 scored, its ``held_out`` is null; repeated rows give repeated results; without labels of both classes the
@@ -33,8 +33,8 @@ from .common import id_bucket, labelled, table
 BITS = 20
 SIZES = (3, 4, 5)
 PER_CLASS = 6144
-MAX_FEATURES = 1 << 13
-LEAST_Z = 4.0
+MAX_FEATURES = 1 << 14
+LEAST_Z = 2.5
 HOLD_OUT = 5
 
 
@@ -76,7 +76,7 @@ def fit_weights(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, d
     col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     value = ratio[col]
     per_row = np.bincount(row, value * value, len(rows)) + 1
-    weight = np.where(labels == 1, math.sqrt(1 / labels.mean() - 1), 1.0)
+    weight = np.where(labels == 1, (1 / labels.mean() - 1) ** 0.75, 1.0)
     step = 1 / (0.25 * float(weight @ per_row) + decay)
     w, b, last_w, last_b, loss = np.zeros(len(ratio)), 0.0, np.zeros(len(ratio)), 0.0, math.inf
     momentum = 0
