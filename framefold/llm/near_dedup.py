@@ -189,6 +189,7 @@ def _families(members: DataFrame, signs: DataFrame) -> DataFrame:
             break
         stars = materialize(stars)
         if stars.isEmpty():
+            found = found or [stars]
             break
         known = materialize(
             stars.join(signs.select(F.col("rep").alias("b"), F.col("signature").alias("sign_b")), "b")
