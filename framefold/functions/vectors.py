@@ -15,10 +15,16 @@ def dot(x: Column, y: Column) -> Column:
 def distance(x: Column, y: Column) -> Column:
     """1 - dot, clamped to [0, 1]; unit vectors are assumed.
 
-    A NaN in slot 0 is the "no vector yet" mark and gives 1.  NaN anywhere else gives 1 too: least() sorts NaN
-    last, so least(1, NaN) is 1.
+    Vectors that are missing, of different lengths or not finite are at distance 1: least() skips NULL and sorts NaN and
+    infinity last, and a product of plus infinity counts as NULL.
     """
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - dot(x, y)))
+    product = F.nullif(dot(x, y), F.lit(float("inf")))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - product))
+
+
+def finite(value: Column) -> Column:
+    """Neither NULL nor NaN (which sorts above infinity) nor infinite."""
+    return F.coalesce(F.abs(value) < F.lit(float("inf")), F.lit(False))
 
 
 def norm(v: Column) -> Column:

@@ -1,21 +1,19 @@
 """Exact nearest neighbours with exclusion rules.
 
 ``nearest`` is an exact k = 1 join that never lists pairs.  Rows are placed in cells around a few pivots
-(Voronoi cells, as in pivot-based kNN joins); cells are cut into blocks of 2,048 to 8,192 rows, so a hot
-stratum or cell only makes more blocks, never a bigger task.  A query is compared with one block of its home
+(Voronoi cells, as in pivot-based kNN joins); cells are cut into blocks of ``block_rows`` rows, so a hot
+stratum or cell only makes more blocks, never a bigger task.  Strata of at most a block are packed together by key.  A query is compared with one block of its home
 cell first.  The distance found there bounds the rest: a cell is visited only if its pivot, radius and largest
 norm still allow something as near.  Each block pair is one numpy matrix product inside a task and returns a
 single row per query, and the rows are merged by ``min``.
 
 Ties go to the smaller hash.  Distances are double arithmetic rounded to 6 digits, clamped to [0, 1]; vectors
-that are missing, NaN or of a wrong length are at distance 1 from everything.
+that are missing, not finite or of a wrong length are at distance 1 from everything.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,15 +21,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framefold.functions import vectors
-from framefold.session import HOT_FANOUT, hot_keys, materialize, spread_join
+from framefold.session import hot_keys, materialize, spread_join, work_partitions
 
-MIN_BLOCK_ROWS = 2048
-MAX_BLOCK_ROWS = 8192
+BLOCK_ROWS = 2048  # rows of one block; a task compares one pair of blocks at a time
 MAX_PIVOTS = 256
-MAX_SCAN_EXCLUSIONS = 1_000_000
 MAX_BROADCAST_ROWS = 50_000
+PAIRS_PER_SALT = 16  # query blocks that meet one copy of a candidate block in one join key
 ROUNDING = 1e-6
-GROUP_LIMIT = 1000  # Spark's default threshold for limiting ranked groups before the shuffle
 
 RESULT = "hash string, peer string, distance double"
 _PAIR = ["key", "q_cell", "q_block", "cell", "block"]
@@ -73,7 +69,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int, dtype=np.float64) -> t
     if whole.any():
         values = lists.filter(pa.array(whole)).flatten().to_numpy(zero_copy_only=False)
         matrix[whole] = values.reshape(-1, dim)
-    usable = whole & ~np.isnan(matrix).any(axis=1)
+    usable = whole & np.isfinite(matrix).all(axis=1)
     matrix[~usable] = 0.0
     return matrix, usable
 
@@ -123,29 +119,34 @@ def _nearest_rows(q: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndarr
     return at, dist
 
 
-def _best_in_block(dim: int, whole_stratum: bool):
+def _best_in_block(dim: int, whole_strata: bool):
     """Function for one (query block, candidate block): the best peer of every query in this block.
 
-    Unless the block is the whole stratum, peers at distance 1 are left to the fallback: the smallest hash among
-    them may be in a block that need not be visited.
+    With ``whole_strata`` a block holds one or more entire strata, and rows of different ``key`` are no peers.  Otherwise
+    peers at distance 1 are left to the fallback: the smallest hash among them may be in a block that need not be visited.
     """
 
     def best(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         schema = pa.schema([("hash", pa.string()), ("peer", pa.string()), ("distance", pa.float64())])
         if queries.num_rows == 0 or candidates.num_rows == 0:
             return schema.empty_table()
-        candidates = candidates.select(["hash", "vector"]).sort_by("hash")
+        candidates = candidates.sort_by("hash")
         hashes = candidates["hash"].combine_chunks()
         c, _ = _matrix(candidates["vector"], dim, np.float32)
         q, _ = _matrix(queries["vector"], dim, np.float32)
         rows, cols = _banned_cells(queries, hashes)
+        if whole_strata:
+            strata = pc.unique(candidates["key"].combine_chunks())
+            stratum_c = pc.index_in(candidates["key"].combine_chunks(), value_set=strata).to_numpy(zero_copy_only=False)
+            stratum_q = pc.index_in(queries["key"].combine_chunks(), value_set=strata).fill_null(-1).to_numpy(zero_copy_only=False)
         parts = []
         step = max(1, 4_000_000 // len(c))
         for start in range(0, len(q), step):
             inside = (rows >= start) & (rows < start + step)
-            parts.append(_nearest_rows(q[start:start + step], c, rows[inside] - start, cols[inside]))
+            same = stratum_q[start:start + step, None] == stratum_c[None, :] if whole_strata else None
+            parts.append(_nearest_rows(q[start:start + step], c, rows[inside] - start, cols[inside], same))
         at, dist = (np.concatenate(part) for part in zip(*parts))
-        keep = np.isfinite(dist) if whole_stratum else dist < 1.0
+        keep = np.isfinite(dist) if whole_strata else dist < 1.0
         picked = hashes.take(pa.array(at[keep]))
         found = queries["hash"].combine_chunks().filter(pa.array(keep))
         return pa.Table.from_arrays([found, picked, pa.array(dist[keep])], schema=schema)
@@ -153,49 +154,6 @@ def _best_in_block(dim: int, whole_stratum: bool):
     return best
 
 
-def _scan_join(q: DataFrame, c: DataFrame, dim: int) -> DataFrame:
-    """Few queries against many candidates: one scan of the candidates, which are not shuffled.
-
-    The caller has counted the queries (at most a block) and their exclusions; they travel with the function.
-    Each task keeps the best candidate per query over its batches, and the tasks' rows are merged by min.
-    """
-    asked = q.select("hash", "key", "vector", "banned").toArrow()
-    vectors_q, _ = _matrix(asked["vector"], dim, np.float32)
-    strata = pc.unique(asked["key"].combine_chunks())
-    stratum_q = pc.index_in(asked["key"].combine_chunks(), value_set=strata).to_numpy(zero_copy_only=False)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nearest_hash: list[str | None] = [None] * len(vectors_q)
-        nearest_dist = np.full(len(vectors_q), np.inf)
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            code = pc.index_in(table["key"].combine_chunks(), value_set=strata)
-            table = table.append_column("code", code).filter(code.is_valid()).sort_by("hash")
-            if table.num_rows == 0:
-                continue
-            hashes = table["hash"].combine_chunks()
-            vectors_c, _ = _matrix(table["vector"], dim, np.float32)
-            stratum_c = table["code"].to_numpy()
-            rows, cols = _banned_cells(asked, hashes)
-            step = max(1, 4_000_000 // len(vectors_c))
-            for start in range(0, len(vectors_q), step):
-                stop = min(start + step, len(vectors_q))
-                inside = (rows >= start) & (rows < stop)
-                at, dist = _nearest_rows(vectors_q[start:stop], vectors_c, rows[inside] - start, cols[inside],
-                                         stratum_q[start:stop, None] == stratum_c[None, :])
-                for i in np.flatnonzero(np.isfinite(dist) & (dist <= nearest_dist[start:stop])):
-                    name = hashes[int(at[i])].as_py()
-                    held = nearest_hash[start + i]
-                    if held is None or (dist[i], name) < (nearest_dist[start + i], held):
-                        nearest_hash[start + i], nearest_dist[start + i] = name, dist[i]
-        hit = np.flatnonzero(np.isfinite(nearest_dist))
-        yield pa.RecordBatch.from_arrays(
-            [asked["hash"].combine_chunks().take(pa.array(hit)), pa.array([nearest_hash[i] for i in hit], pa.string()),
-             pa.array(nearest_dist[hit])], names=["hash", "peer", "distance"])
-
-    return _merge(c.select("hash", "key", "vector").mapInArrow(scan, RESULT))
-
-
 # ---------------------------------------------------------------- placing rows around pivots
 
 def _placer(pivots: np.ndarray):
@@ -222,25 +180,20 @@ def _placer(pivots: np.ndarray):
 def _choose_pivots(candidates: DataFrame, count: int, dim: int) -> np.ndarray:
     """``count`` (at most MAX_PIVOTS) usable vectors in a fixed pseudo-random order: a bounded top-k, 256 rows."""
     usable = candidates.filter(~vectors.needs_vector(F.col("vector"), dim)
-                               & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x)))
+                               & F.forall("vector", vectors.finite))
     rows = usable.orderBy(F.xxhash64("hash"), "hash").limit(count).select("vector").collect()
     return np.array([r["vector"] for r in rows], dtype=float).reshape(-1, dim)
 
 
 def _smallest_hashes(df: DataFrame, by: list[str], depth: int) -> DataFrame:
-    """The ``depth`` smallest hashes of every group.
-
-    Spark limits such groups before the shuffle while the rank is small; above that a first rank over salted
-    parts of the group does it.  Either way a hot group is never sorted in one task.
-    """
+    """The ``depth`` smallest hashes of every group: ranked inside salted parts of the group first, so that a hot group is
+    never sorted in one task, then among the parts' survivors."""
     def limited(part: DataFrame, keys: list) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy("hash"))
         return part.withColumn("_rank", rank).filter(F.col("_rank") <= depth).drop("_rank")
 
-    if depth > GROUP_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64("hash"), F.lit(HOT_FANOUT)))
-        df = limited(salted, [*by, "_salt"]).drop("_salt")
-    return limited(df, by)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64("hash"), F.lit(work_partitions(df.sparkSession))))
+    return limited(limited(salted, [*by, "_salt"]).drop("_salt"), by)
 
 
 def _without_spare_copies(candidates: DataFrame, depth: int) -> DataFrame:
@@ -297,9 +250,16 @@ def _may_hold(entry: Column) -> Column:
 
 
 def _probe(routed: DataFrame, blocked: DataFrame, best) -> DataFrame:
-    """Compare every routed query row with the candidate block it names."""
-    pairs = routed.select(*[F.col(name).alias(name) for name in _PAIR]).distinct()
-    repeated = blocked.join(pairs, ["key", "cell", "block"]).select(*_PAIR, "hash", "vector")
+    """Compare every routed query row with the candidate block it names.
+
+    A block that many query blocks visit is copied under as many salts, so no join key gathers all its visits.
+    """
+    block = ["key", "cell", "block"]
+    pairs = materialize(routed.select(*[F.col(name).alias(name) for name in _PAIR]).distinct())
+    load = materialize(pairs.groupBy(*block).agg(F.ceil(F.count("*") / PAIRS_PER_SALT).cast("int").alias("salts")))
+    dealt = pairs.join(load, block).withColumn("salt", F.pmod(F.xxhash64("q_cell", "q_block"), F.col("salts")).cast("int"))
+    copies = blocked.join(load, block).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    repeated = copies.drop("salts").join(dealt.drop("salts"), [*block, "salt"]).select(*_PAIR, "hash", "vector")
     left = routed.select(*_PAIR, "hash", "vector", "banned").groupBy(*_PAIR)
     return left.cogroup(repeated.groupBy(*_PAIR)).applyInArrow(best, RESULT)
 
@@ -338,9 +298,9 @@ def nearest(queries: DataFrame, candidates: DataFrame | None = None, *, within:
     on both sides.  ``exclusions`` has (hash, peer) pairs that must not be matched; a query is never its own peer.
     They ride along as one array per query, so a caller with hubs restricts them first (``stratum_exclusions``).
 
-    ``dim`` is the vector length; by default the most common one.  Up to a block of queries against another table
-    costs one scan of it.  Otherwise inputs larger than a block are read a few times; give tables, not long
-    derivations.
+    ``dim`` is the vector length; by default the most common one among the candidates.  ``block_rows`` is the number of
+    rows a task compares at a time; strata of at most so many rows are packed into blocks by a hash of their key and
+    compared whole, larger ones go through the pivots.  Inputs are read a few times; give tables, not long derivations.
     """
     keyed = F.col(within).cast("string") if within else F.lit("")
     q = queries.select("hash", keyed.alias("key"), "vector")
@@ -358,35 +318,27 @@ def nearest(queries: DataFrame, candidates: DataFrame | None = None, *, within:
     facts = lengths.agg(F.sum("count").alias("n"),
                         F.max_by(F.when(F.col("len") > 0, F.col("len")), F.when(F.col("len") > 0, F.struct("count", "len")))
                         .alias("dim")).first()
-    n_candidates, dim = facts["n"] or 0, dim or facts["dim"] or 1
-    block_rows = block_rows or min(MAX_BLOCK_ROWS, max(MIN_BLOCK_ROWS, n_candidates // MAX_PIVOTS))
-    n_queries = n_candidates
-    if candidates is not None:
-        n_queries, n_banned = q.agg(F.count("*"), F.sum(F.greatest(F.size("banned"), F.lit(0)))).first()
-        if n_queries <= block_rows and (n_banned or 0) <= MAX_SCAN_EXCLUSIONS:
-            return _scan_join(q, c, dim)
-
-    if n_candidates <= block_rows and n_queries <= block_rows:
-        best = _best_in_block(dim, whole_stratum=True)
-        return q.groupBy("key").cogroup(c.groupBy("key")).applyInArrow(best, RESULT)
-
-    small = None
-    if within is not None:
-        # Strata of at most a block need no pivots: each is compared whole.
-        sizes = (c.select("key", F.lit(1).alias("c"), F.lit(0).alias("q"))
-                 .unionByName(q.select("key", F.lit(0).alias("c"), F.lit(1).alias("q")))
-                 .groupBy("key").agg(F.greatest(F.sum("c"), F.sum("q")).alias("rows")))
-        large = materialize(sizes.filter(F.col("rows") > block_rows).select("key"))
-        n_large = large.count()
-        small = (_by_key(q, large, n_large, "left_anti").groupBy("key")
-                 .cogroup(_by_key(c, large, n_large, "left_anti").groupBy("key"))
-                 .applyInArrow(_best_in_block(dim, whole_stratum=True), RESULT))
-        if n_large == 0:
-            return small
+    dim, block_rows = dim or facts["dim"] or 1, block_rows or BLOCK_ROWS
+    sizes = (c.select("key", F.lit(1).alias("c"), F.lit(0).alias("q"))
+             .unionByName(q.select("key", F.lit(0).alias("c"), F.lit(1).alias("q")))
+             .groupBy("key").agg(F.greatest(F.sum("c"), F.sum("q")).alias("rows"), F.sum("c").alias("c")))
+    sizes = materialize(sizes)
+    is_large = F.col("rows") > block_rows
+    n_small, n_large, n_candidates = sizes.agg(
+        F.sum(F.when(~is_large, F.col("rows"))), F.count(F.when(is_large, 1)), F.sum(F.when(is_large, F.col("c")))).first()
+    large = sizes.filter(is_large).select("key")
+    parts = []
+    if n_small:
+        pack = F.pmod(F.xxhash64("key"), F.lit(math.ceil(n_small / block_rows))).alias("pack")
+        asked, given = (_by_key(x, large, n_large, "left_anti").select("*", pack) for x in (q, c))
+        parts.append(asked.groupBy("pack").cogroup(given.groupBy("pack"))
+                     .applyInArrow(_best_in_block(dim, whole_strata=True), RESULT))
+    if n_large:
         q, c = _by_key(q, large, n_large, "left_semi"), _by_key(c, large, n_large, "left_semi")
-        n_candidates = c.count()
-    found = _pivot_join(q, c, n_candidates, exclusions, dim, block_rows, max_pivots)
-    return found if small is None else found.unionByName(small)
+        parts.append(_pivot_join(q, c, n_candidates or 0, exclusions, dim, block_rows, max_pivots))
+    if not parts:
+        return q.limit(0).select("hash", F.col("hash").alias("peer"), F.lit(1.0).alias("distance"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def _by_key(df: DataFrame, keys: DataFrame, n_keys: int, how: str) -> DataFrame:
@@ -422,7 +374,7 @@ def _pivot_join(q: DataFrame, c: DataFrame, n_candidates: int, exclusions: DataF
         .withColumn("seed", F.when(F.col("home.blocks") > 0, F.pmod("q_block", F.col("home.blocks")).cast("int")))
         .drop("cells", "home"))
 
-    best = _best_in_block(dim, whole_stratum=False)
+    best = _best_in_block(dim, whole_strata=False)
     seeds = materialize(_probe(
         homed.filter(F.col("seed").isNotNull())
         .select("key", F.col("cell").alias("q_cell"), "q_block", "cell", F.col("seed").alias("block"),
@@ -458,10 +410,8 @@ def stratum_exclusions(catalog: DataFrame, edges: DataFrame) -> DataFrame:
     """
     sizes = catalog.select("hash", F.col("hist_len").alias("_left"))
     peers = catalog.select(F.col("hash").alias("peer"), F.col("hist_len").alias("_right"))
-    rows = edges.count()
-    hot_ends = [hot_keys(edges, end, rows=rows) for end in ("hash", "peer")]
-    with_left = spread_join(edges.select("hash", "peer"), sizes, "hash", "peer", "inner", hot=hot_ends[0])
-    return (spread_join(with_left, peers, "peer", "hash", "inner", hot=hot_ends[1])
+    with_left = spread_join(edges.select("hash", "peer"), sizes, "hash", "peer", "inner")
+    return (spread_join(with_left, peers, "peer", "hash", "inner", hot=hot_keys(edges, "peer"))
             .filter(F.col("_left") == F.col("_right")).select("hash", "peer"))
 
 

@@ -101,7 +101,7 @@ def next_edges(catalog: DataFrame, edges: DataFrame, events: DataFrame) -> DataF
     """
     staying = catalog.select("hash").join(tombstones(events), "hash", "left_anti")
     merged = materialize(merge_edges(edges, confirm_edges(events)))
-    return spread_join(merged, staying, "hash", "peer", "left_semi", rows=merged.count())
+    return spread_join(merged, staying, "hash", "peer", "left_semi")
 
 
 def apply_events(catalog: DataFrame, edges: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,15 +15,14 @@ from framefold.functions.hashing import seeded_draw
 from framefold.operators import neighbors
 
 BUCKETS = 1024
-DIRECT_ROWS = 10_000
 
 
 def rank_cutoff(catalog: DataFrame, k: Callable[[int], int]) -> tuple[int, str] | None:
     """(lastview micros, hash) of row number ``k(rows)`` in (lastview, hash) order, without sorting the table.
 
     Each pass counts rows in 1024 buckets of the range that still holds row k, so the driver sees at most 1024
-    counters; the range narrows a thousandfold per pass.  When one instant holds too many rows the search goes
-    on over hash prefixes.  The last few rows are taken by a bounded top-k.
+    counters; the range narrows a thousandfold per pass, down to one row or one instant.  Inside one instant the search
+    goes on over hash prefixes.
     """
     micros = clock.micros_of(F.col("lastview"))
     low, high, size, total = catalog.agg(F.min(micros), F.max(micros), F.count("lastview"), F.count("*")).first()
@@ -35,8 +34,8 @@ def rank_cutoff(catalog: DataFrame, k: Callable[[int], int]) -> tuple[int, str]
                 .select(micros.alias("t"), "hash"))
         if prefix:
             here = here.filter(F.col("hash").startswith(prefix))
-        if size <= DIRECT_ROWS:
-            row = here.orderBy("t", "hash").offset(left - 1).limit(1).first()
+        if size == 1:
+            row = here.first()
             return row["t"], row["hash"]
         if low < high:
             width = (high - low) // BUCKETS + 1

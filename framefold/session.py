@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A key is hot when it holds more than 1/HOT_SHARES of the rows, so there are fewer than HOT_SHARES of them.
-HOT_SHARES = 1000
-HOT_FANOUT = 64
-SMALL_ROWS = 100_000
+HOT_SHARES = 100
 
 
 def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -36,9 +35,15 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only a session that names none (tests) gets a fresh temporary one."""
+    """The cluster's shared folder (spark.checkpoint.dir).
+
+    Only a session inside one JVM (tests, benchmarks) may leave it unset and gets a fresh temporary one; on a cluster
+    every executor would see a folder of its own.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framefold-"))
         path = spark.sparkContext.getCheckpointDir()
     return path
@@ -54,42 +59,50 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hot_keys(left: DataFrame, on: str, small_rows: int = SMALL_ROWS, rows: int | None = None) -> list:
-    """Keys with more than 1/HOT_SHARES of the rows: fewer than HOT_SHARES values, whatever the table's size.
+def hot_keys(left: DataFrame, on: str) -> dict:
+    """Keys with more than 1/HOT_SHARES of the rows, and over how many salts to deal each: its share of two rounds of tasks.
 
-    One job: the total is observed while the keys are counted.  Tables of at most ``small_rows`` have none.
+    One job: the total is observed while the keys are counted.  There are fewer than HOT_SHARES such keys, whatever
+    the table's size.
     """
-    if rows is not None and rows <= small_rows:
-        return []
     watched = Observation()
     counts = left.groupBy(on).agg(F.count("*").alias("_n")).observe(watched, F.sum("_n").alias("total"))
     top = counts.orderBy(F.desc("_n")).limit(HOT_SHARES).collect()
-    total = (watched.get["total"] or 0) if rows is None else rows
-    if total <= small_rows:
-        return []
-    return [r[on] for r in top if r["_n"] > total / HOT_SHARES and r[on] is not None]
+    total, tasks = watched.get["total"] or 0, 2 * work_partitions(left.sparkSession)
+    return {r[on]: math.ceil(tasks * r["_n"] / total) for r in top if r["_n"] > total / HOT_SHARES and r[on] is not None}
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: str, spread_by: str, how: str = "left",
-                small_rows: int = SMALL_ROWS, rows: int | None = None, hot: list | None = None) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: str, spread_by: str, how: str = "left", hot: dict | None = None) -> DataFrame:
     """Join where ``left`` may hold a hot key and ``right`` has at most one row per key.
 
-    Only hot keys are salted: their left rows are dealt over HOT_FANOUT salts by ``spread_by`` and their single
-    right row is repeated that often.  Without hot keys it is a plain join.  ``rows`` is the left row count or an
-    upper bound, if known; ``hot`` the hot keys themselves.
+    Only hot keys are salted: their left rows are dealt over as many salts as their share asks for by ``spread_by``, and
+    their single right row is repeated that often.  ``hot`` has the hot keys if they are known already.
     """
     if hot is None:
-        hot = hot_keys(left, on, small_rows, rows)
+        hot = hot_keys(left, on)
     if not hot:
         return left.join(right, on, how)
-    is_hot = F.coalesce(F.col(on).isin(hot), F.lit(False))
-    dealt = F.pmod(F.xxhash64(spread_by), F.lit(HOT_FANOUT)).cast("int")
-    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_FANOUT - 1))).otherwise(F.array(F.lit(0)))
-    salted_left = left.withColumn("_salt", F.when(is_hot, dealt).otherwise(F.lit(0)))
-    salted_right = right.withColumn("_salt", F.explode(salts))
+    salts = F.coalesce(F.create_map(*(F.lit(x) for pair in hot.items() for x in pair))[F.col(on)], F.lit(1))
+    salted_left = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), salts).cast("int"))
+    salted_right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     return salted_left.join(salted_right, [on, "_salt"], how).drop("_salt")
 
 
+def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Adds the row's position from 0 in the order of ``by`` without a one-task window.
+
+    Rows are written in ranges of ``by``; the ranges' sizes (one number each) are summed up and added to the position
+    inside the range.
+    """
+    ranged = df.repartitionByRange(work_partitions(df.sparkSession), *by).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*by)) - 1
+    return ranged.withColumn("_own", own).join(starts, "_range").withColumn(name, F.col("_start") + F.col("_own")).select(*df.columns, name)
+
+
 def work_partitions(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

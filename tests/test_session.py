@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from framefold.session import materialize, shared_dir, spread_join, spread_work
+from framefold.session import hot_keys, materialize, numbered, shared_dir, spread_join, spread_work
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
@@ -13,8 +13,9 @@ def test_spread_join_equals_join_with_a_hot_key(spark, how):
                                     .otherwise(F.concat(F.lit("k"), F.col("id") % 700)).alias("key"))
     right = spark.range(0, 700, 2).select(F.concat(F.lit("k"), F.col("id")).alias("key"), F.col("id").alias("v"))
     right = right.unionByName(spark.range(1).select(F.lit("hot").alias("key"), F.lit(-1).cast("long").alias("v")))
-    salted = spread_join(left, right, "key", "id", how, small_rows=0)
+    salted = spread_join(left, right, "key", "id", how)
     plain = left.join(right, "key", how).select(*salted.columns)
+    assert 1 < hot_keys(left, "key")["hot"] < 16
     assert salted.count() == plain.count()
     assert salted.exceptAll(plain).isEmpty()
 
@@ -33,3 +34,10 @@ def test_materialize_writes_into_the_shared_folder(spark):
 def test_spread_work_survives_an_earlier_grouping(spark):
     grouped = spark.range(1000).groupBy("id").count()
     assert spread_work(grouped, "id").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_numbered_is_the_global_order(spark):
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("v"), F.lit("x").alias("s")).repartition(7)
+    rows = numbered(df, ["v"], "at").collect()
+    assert len(rows) == 500 and all(r["at"] == r["v"] for r in rows)
+    assert numbered(df.limit(0), ["v"], "at").count() == 0
