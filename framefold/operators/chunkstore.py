@@ -81,29 +81,40 @@ def _verified(plain: Column) -> Column:
     return F.when(good, plain)
 
 
+def _checked(tree: DataFrame, rank: int) -> DataFrame:
+    """(hash, rank, content) with the plain content of chunks that verify, checked where they are read."""
+    plain = decrypt(F.col("content"), F.col("_key"))
+    keyed = tree.select("hash", "content").withColumn("_key", chunk_key("hash"))
+    return keyed.select("hash", F.lit(rank).alias("rank"), plain.alias("content")).withColumn("content", _verified(F.col("content")))
+
+
+def _status(best: Column) -> Column:
+    return F.when(best["bad"], "lost").when(best["rank"] == 0, "ok").otherwise("healable")
+
+
 def read_verified(main: DataFrame, backup: DataFrame) -> DataFrame:
-    """(hash, content, healed, status): the main copy if it verifies, else the backup, else NULL.
+    """(hash, content, healed, status), one row per hash: a main copy that verifies, else a backup, else NULL.
 
-    ``status`` is ok, healable (only the backup verifies) or lost.  Both copies meet in one join on the hash,
-    so the key is derived once for the two.
+    ``status`` is ok, healable (only a backup verifies) or lost.  A hash may have several rows in either tree, as
+    after a second write or a repair: any that verifies counts.
     """
-    n = work_partitions(main.sparkSession)
-    a = main.select("hash", F.col("content").alias("_main")).repartition(n, "hash")
-    b = backup.select("hash", F.col("content").alias("_backup")).repartition(n, "hash")
-    keyed = a.join(b, "hash", "full_outer").withColumn("_key", chunk_key("hash"))
-    checked = (keyed.withColumn("_main", decrypt(F.col("_main"), F.col("_key")))
-               .withColumn("_backup", decrypt(F.col("_backup"), F.col("_key")))
-               .withColumn("_main", _verified(F.col("_main"))).withColumn("_backup", _verified(F.col("_backup"))))
-    status = (F.when(F.col("_main").isNotNull(), "ok").when(F.col("_backup").isNotNull(), "healable")
-              .otherwise("lost"))
-    return checked.select("hash", F.coalesce("_main", "_backup").alias("content"),
-                          (F.col("_main").isNull() & F.col("_backup").isNotNull()).alias("healed"),
-                          status.alias("status"))
+    rows = _checked(main, 0).unionByName(_checked(backup, 1))
+    best = rows.groupBy("hash").agg(F.min(F.struct(F.col("content").isNull().alias("bad"), "rank", "content")).alias("best"))
+    status = _status(F.col("best"))
+    return best.select("hash", F.col("best.content").alias("content"), (status == "healable").alias("healed"), status.alias("status"))
 
 
 def audit(main: DataFrame, backup: DataFrame) -> DataFrame:
-    """C3."""
-    return read_verified(main, backup).groupBy("status").agg(F.count("*").alias("chunks"))
+    """C3.  Chunks are verified where they are read; only (hash, verdict) is shuffled, each hash counts once."""
+    rows = _checked(main, 0).unionByName(_checked(backup, 1))
+    facts = rows.select("hash", F.struct(F.col("content").isNull().alias("bad"), "rank").alias("best"))
+    best = facts.groupBy("hash").agg(F.min("best").alias("best"))
+    return best.groupBy(_status(F.col("best")).alias("status")).agg(F.count("*").alias("chunks"))
+
+
+def heal(main: DataFrame, backup: DataFrame, main_path: str, backup_path: str) -> None:
+    """Chunks of which only the backup verifies are written to both trees again, as a batch of their own."""
+    write_chunks(encrypt_chunks(read_verified(main, backup).filter("healed")), main_path, backup_path)
 
 
 def sharded(chunks: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framefold.functions import vectors
 from framefold.operators import neighbors, sampler, snapshot, stats
 from framefold.session import materialize, spread_join
 
@@ -116,14 +117,24 @@ def review_step(catalog: DataFrame, edges: DataFrame, readable: DataFrame, seed:
                 now: str) -> tuple[DataFrame, DataFrame]:
     """E5: one step for the drawn image: (hash_x, hash_y, distance, status), and the tombstone list.
 
+    Strata picks are tried in draw order until one has a partner, usually the first; if none has, the first keeps NULL.
     Rows whose payload cannot be read are listed for deletion and neither drawn nor offered; nothing is deleted
-    here.  An image without a partner keeps NULL.
+    here.  Rows without a usable vector (``snapshot`` and J9 fill them in) are neither drawn nor offered either.
     """
     lost = catalog.select("hash").join(readable.select("hash"), "hash", "left_anti")
-    usable = catalog.join(readable.select("hash"), "hash", "left_semi")
-    head = sampler.queue_head(usable, seed).first()
-    partner = neighbors.partner_of(usable, edges, head["hash"] if head else "")
-    step = stats.status(usable, max_images, now, partner.withColumnRenamed("hash_x", "hash"))
+    seen = catalog.filter(~vectors.needs_vector(F.col("vector"), F.size("vector")))
+    usable = seen.join(readable.select("hash"), "hash", "left_semi")
+    heads = sampler.draw_order(sampler.stratum_picks(sampler.oldest_tenth(usable), seed), seed)
+    chosen = None
+    for head in heads.toLocalIterator():
+        partner = neighbors.partner_of(usable, edges, head["hash"])
+        found = partner.first()
+        if chosen is None or found["hash_y"] is not None:
+            chosen = partner
+        if found["hash_y"] is not None:
+            break
+    chosen = neighbors.partner_of(usable, edges, "") if chosen is None else chosen
+    step = stats.status(usable, max_images, now, chosen.withColumnRenamed("hash_x", "hash"))
     return step.withColumnRenamed("hash", "hash_x"), lost
 
 

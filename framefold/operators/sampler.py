@@ -78,6 +78,11 @@ def queue_head(catalog: DataFrame, seed: str) -> DataFrame:
             .select(F.col("pick.hash").alias("hash")))
 
 
+def draw_order(picks: DataFrame, seed: str) -> DataFrame:
+    """All stratum picks in the order they are drawn; one row per history size."""
+    return picks.select(seeded_draw(F.col("hash"), seed, "outer").alias("draw"), "hash").orderBy("draw", "hash").select("hash")
+
+
 def stalest_checked(checks: DataFrame) -> DataFrame:
     """T4: smallest ``lastcheck``."""
     return checks.select("hash", "lastcheck").orderBy("lastcheck", "hash").limit(1)

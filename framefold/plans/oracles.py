@@ -98,15 +98,15 @@ CTE = {
                  when not decodable then 'bad'
                  when copy = 1 then 'added' else 'found' end as outcome
         from judged)""",
-    "capped": """capped as (select * from (select *, coalesce(sum((outcome = 'added')::INT) over (order by doc_id
-            rows between unbounded preceding and 1 preceding), 0) as before from outcomes) where before < 100)""",
+    "clocked": """clocked as (select *, coalesce(sum((outcome = 'added')::INT) over (order by doc_id
+            rows between unbounded preceding and 1 preceding), 0) as before from outcomes)""",
 }
 
 NEEDS = {
     "payloads": ["docs"], "reviews": ["images", "raw"], "edges": ["reviews"], "catalog": ["edges"],
     "gone": ["reviews"], "tenth": ["catalog"], "picks": ["tenth"], "near": ["images"], "orient": ["reviews"],
     "known": ["docs"], "files": ["docs"], "judged": ["files", "known"], "outcomes": ["judged"],
-    "capped": ["outcomes"],
+    "clocked": ["outcomes"],
 }
 
 
@@ -318,24 +318,24 @@ sql("catalog_card", "catalog docs", f"""select c.hash, substring(c.hash, 1, 4) |
     || {size('(bytes + [0, 3, 4, 4, 2, 4, 4, 12, 8][1 + doc_id % 9])')} || '  (640x' || (label + 480) || ')' || chr(10)
     || ' ' || {age(SECONDS)} || ' ago ' || case when label < 5 then ' [' || strftime(lastview, '%Y-%m-%d') || ']' else '' end
     || ' E:' || label || ' X:' || (bytes + [0, 3, 4, 4, 2, 4, 4, 12, 8][1 + doc_id % 9]) as label
-from catalog c join docs d on d.doc_id = c.vec_id""")
+from catalog c join docs d on d.doc_id % (select count(*) from images) = c.vec_id""")
 
 # ---------------------------------------------------------------- import
 sql("ingest_outcomes", "outcomes", """select path, outcome,
     named and old and not chunk_ok and readable and doc_id <= coalesce(heals, 9e18) as writes from outcomes""")
 SUMS = ", ".join(f"count(*) filter (outcome = '{o}') as {o}" for o in ("added", "found", "bad"))
 sql("ingest_counts", "outcomes", f"select {SUMS} from outcomes")
-sql("ingest_added", "capped", """select content as hash, path, 0 as rotatemode, 0 as flipmode,
+sql("ingest_added", "clocked", """select content as hash, path, 0 as rotatemode, 0 as flipmode,
     (select min(ts) from events) - to_minutes(before::BIGINT) as lastview, 0::BIGINT as hist_len
-from capped where outcome = 'added'""")
-REPAIRED = """select content as hash, arg_max(path, doc_id) as path, arg_max(doc_id, doc_id) as doc_id from capped
+from clocked where outcome = 'added'""")
+REPAIRED = """select content as hash, arg_max(path, doc_id) as path, arg_max(doc_id, doc_id) as doc_id from clocked
     where named and old and not chunk_ok and readable and doc_id <= coalesce(heals, 9e18) group by content"""
-STORED = f"(select content as hash, path, doc_id from capped where outcome = 'added' union all {REPAIRED})"
-sql("ingest_chunks", "capped", f"select hash, path from {STORED}")
-sql("ingest_log", "capped", """select path, outcome,
-    case when readable or (named and old) then content end as hash from capped""")
-sql("ingest_summary", "capped", f"select {SUMS}, {MAX_IMAGES - 100}::BIGINT as max_images from capped")
-sql("ingest_payloads", "capped", f"""select s.hash, sha256(d.text) as sha256, d.bytes
+STORED = f"(select content as hash, path, doc_id from clocked where outcome = 'added' union all {REPAIRED})"
+sql("ingest_chunks", "clocked", f"select hash, path from {STORED}")
+sql("ingest_log", "clocked", """select path, outcome,
+    case when readable or (named and old) then content end as hash from clocked""")
+sql("ingest_summary", "clocked", f"select {SUMS}, {MAX_IMAGES - 100}::BIGINT as max_images from clocked")
+sql("ingest_payloads", "clocked", f"""select s.hash, sha256(d.text) as sha256, d.bytes
 from {STORED} s join docs d on d.doc_id = s.doc_id""")
 
 # ---------------------------------------------------------------- chunk store

@@ -23,10 +23,12 @@ def read_version(spark: SparkSession, root: str, version: int) -> tuple[DataFram
     return source.read_catalog(spark, f"{path}/catalog"), source.read_edges(spark, f"{path}/edges")
 
 
-def _write_version(catalog: DataFrame, edges: DataFrame, root: str, version: int) -> None:
+def _write_version(catalog: DataFrame, edges: DataFrame, root: str, version: int, **more: DataFrame) -> None:
+    """The tables of one version; ``commit`` is written last, and a version without it is not complete."""
     path = version_path(root, version)
-    edges.write.mode("overwrite").parquet(f"{path}/edges")
-    catalog.write.mode("overwrite").parquet(f"{path}/catalog")
+    for name, table in {"edges": edges, "catalog": catalog, **more}.items():
+        table.write.mode("overwrite").parquet(f"{path}/{name}")
+    catalog.sparkSession.range(version, version + 1).write.mode("overwrite").parquet(f"{path}/commit")
 
 
 def fold_reviews(root: str) -> Callable[[DataFrame, int], None]:
@@ -35,8 +37,10 @@ def fold_reviews(root: str) -> Callable[[DataFrame, int], None]:
     def run(batch: DataFrame, batch_id: int) -> None:
         catalog, edges = read_version(batch.sparkSession, root, batch_id)
         batch.persist()
-        _write_version(*reviews.apply_events(catalog, edges, batch), root, batch_id + 1)
-        batch.unpersist()
+        try:
+            _write_version(*reviews.apply_events(catalog, edges, batch), root, batch_id + 1)
+        finally:
+            batch.unpersist()
 
     return run
 
@@ -45,13 +49,16 @@ def import_batches(root: str, chunk_status: Callable[[SparkSession], DataFrame],
                    prepare: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: a batch of files is imported (I2); known content is found again, so replays are safe.
 
-    ``prepare`` adds stem, payload and decodable (S5, M1); ``chunk_status`` gives (hash, chunk_ok).
+    ``prepare`` adds stem, payload and decodable (S5, M1); ``chunk_status`` gives (hash, chunk_ok).  Every file of the
+    batch gets an outcome.  The version also holds the import's log, its summary and the payloads to be stored.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         catalog, edges = read_version(batch.sparkSession, root, batch_id)
-        result = ingest.import_files(prepare(batch), catalog, chunk_status(batch.sparkSession), max_images)
+        files = prepare(batch)
+        result = ingest.import_files(files, catalog, chunk_status(batch.sparkSession), max_images)
         rows = result.added.drop("path").selectExpr("*", "cast(null as array<float>) as vector")
-        _write_version(snapshot.insert_rows(catalog, rows.select(*catalog.columns)), edges, root, batch_id + 1)
+        _write_version(snapshot.insert_rows(catalog, rows.select(*catalog.columns)), edges, root, batch_id + 1,
+                       log=result.log, summary=result.summary, chunks=ingest.payloads_to_store(files, result.chunks))
 
     return run

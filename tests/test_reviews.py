@@ -8,6 +8,7 @@ from framefold import schemas
 from framefold.operators import quality, reviews, snapshot
 from framefold.sources import catalog as source
 from framefold.streaming import microbatch
+from tests.test_functions import python_hash
 
 START = datetime(2024, 1, 1)
 NAMES = [f"{i:016d}" for i in range(30)]
@@ -158,3 +159,40 @@ def test_streamed_fold_equals_batch_fold(spark, tmp_path):
     assert state(*microbatch.read_version(spark, root, 2)) == simulate(rows)
     fold(spark.createDataFrame(ordered[60:], schemas.REVIEWS), 1)
     assert state(*microbatch.read_version(spark, root, 2)) == simulate(rows)
+
+
+def test_review_step_tries_the_next_stratum(spark):
+    """An image alone in its stratum is passed over; one without a vector is neither drawn nor offered."""
+    now = datetime(2024, 1, 1)
+    rows = [("alone", 0, 0, now, 7, [1.0, 0.0]), ("blank", 0, 0, now, 1, None)]
+    rows += [(f"h{i:02d}", 0, 0, now + timedelta(days=1 + i), 1, [1.0, 0.0]) for i in range(38)]
+    catalog = spark.createDataFrame(rows, "hash string, rotatemode int, flipmode int, lastview timestamp_ntz, hist_len long, vector array<float>")
+    none = spark.createDataFrame([], "hash string, peer string")
+    for seed in ("a", "b", "c", "d"):
+        row = reviews.review_step(catalog, none, catalog.select("hash"), seed, 1000, "2024-06-01 00:00:00")[0].first()
+        assert row.hash_x.startswith("h") and row.hash_y.startswith("h") and row.distance == 0
+    lonely = catalog.filter("hash = 'alone'").unionByName(catalog.filter("hist_len = 1").limit(9).withColumn("vector", F.lit(None).cast("array<float>")))
+    empty = reviews.review_step(lonely, none, lonely.select("hash"), "a", 1000, "2024-06-01 00:00:00")[0]
+    assert all(r.hash_y is None for r in empty.collect())
+
+
+def test_a_streamed_import_decides_every_file(spark, tmp_path):
+    """150 files in one batch: 150 outcomes, and the same again when the batch is repeated."""
+    root = str(tmp_path / "import")
+    catalog = spark.createDataFrame([("0" * 16, 0, 0, datetime(2024, 1, 1), 0, [1.0])], schemas.CATALOG)
+    microbatch._write_version(catalog, spark.createDataFrame([], schemas.EDGES), root, 0)
+    bodies = [b"payload number %04d" % i for i in range(150)]
+    files = [(f"raw/{i}", i, f"f{i}", bytearray(b), True) for i, b in enumerate(bodies)]
+    batch = spark.createDataFrame(files, "path string, scan int, stem string, payload binary, decodable boolean")
+    status = lambda s: s.createDataFrame([], "hash string, chunk_ok boolean")
+    step = microbatch.import_batches(root, status, 500, lambda df: df)
+    for _ in range(2):
+        step(batch, 0)
+        path = microbatch.version_path(root, 1)
+        rows = microbatch.read_version(spark, root, 1)[0].collect()
+        assert {r["hash"] for r in rows} == {"0" * 16, *map(python_hash, bodies)} and len(rows) == 151
+        assert len({r.lastview for r in rows if r["hash"] != "0" * 16}) == 150
+        assert {r.outcome for r in spark.read.parquet(f"{path}/log").collect()} == {"added"}
+        assert spark.read.parquet(f"{path}/summary").first().added == 150
+        assert {bytes(r.content) for r in spark.read.parquet(f"{path}/chunks").collect()} == set(bodies)
+        assert spark.read.parquet(f"{path}/commit").count() == 1
