@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import work_partitions
 from .common import table
-from .pretokens import PieceCodes
+from .pretokens import ENDINGS, PieceCodes
 
 CHUNK_CHARS = 8_000_000
 CACHED = 2_000_000  # words whose ids a bucket's task holds at most
@@ -59,28 +60,16 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[
         yield name.intdigest() - (1 << 63), ids, texts
 
 
-def pretokens_of(texts: list[str], pattern: str) -> set[str]:
-    """Distinct pre-tokens of the texts."""
-    import regex
+def pretokens_of(pieces: list[str], find: Callable[[str], list[str]]) -> dict[str, list[str]]:
+    """The pre-tokens of each of the pieces (and of the endings that PieceCodes splits off)."""
+    return {piece: find(piece) for piece in {*pieces, *ENDINGS}}
 
-    find, seen = regex.compile(pattern).findall, set()
 
-    def take(pieces: list[str]) -> list[bytes]:
-        for piece in pieces:
-            seen.update(find(piece))
-        return [b""] * len(pieces)
-
-    codes = PieceCodes(take, limit=1 << 60)
-    for low in range(0, len(texts), 256):
-        codes.of(texts[low:low + 256])
-    return seen
-
-
-def by_bucket(tokens: set[str], buckets: int) -> dict[int, list[str]]:
+def by_bucket(pretokens: dict[str, list[str]], buckets: int) -> dict[int, list[str]]:
     import xxhash
 
     out: dict[int, list[str]] = {}
-    for token in sorted(tokens):
+    for token in sorted(set(chain.from_iterable(pretokens.values()))):
         out.setdefault(xxhash.xxh3_64_intdigest(token.encode()) % buckets, []).append(token)
     return out
 
@@ -126,8 +115,13 @@ def rows_of(rows: list[tuple]) -> pa.RecordBatch:
 
 def _word_rows(pattern: str, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+
+        find = regex.compile(pattern).findall
         for chunk, _, texts in chunks(batches):
-            dealt = by_bucket(pretokens_of(texts, pattern), buckets)
+            codes = PieceCodes(list)
+            firsts, _ = codes.index(texts)
+            dealt = by_bucket(pretokens_of(firsts + codes.fresh, find), buckets)
             yield rows_of([(chunk, 0, bucket, packed(words)) for bucket, words in dealt.items()])
 
     return run
@@ -181,29 +175,27 @@ def _assemble(pattern: str, buckets: int, encoder: Callable[[], Callable[[str],
                 rows = pa.ipc.open_stream(unpack(data)).read_all()
                 doc_ids, texts = rows["doc_id"].to_pylist(), rows["text"].to_pylist()
                 ids: dict[str, bytes] = {}
-                for place, words in by_bucket(pretokens_of(texts, pattern), buckets).items():
+                parts_of: dict[str, list[str]] = {}
+
+                def code(pieces: list[str], ids: dict[str, bytes] = ids, parts_of: dict[str, list[str]] = parts_of) -> list[bytes]:
+                    return [b"".join(map(ids.__getitem__, parts_of[piece])) for piece in pieces]
+
+                codes, table_of = PieceCodes(code), bytes_of.__getitem__
+                firsts, numbers = codes.index(texts)
+                parts_of.update(pretokens_of(firsts + codes.fresh, find))
+                for place, words in by_bucket(parts_of, buckets).items():
                     body = answers.get(place)
                     n = int.from_bytes(body[:4], "little") if body else -1
-                    if n != len(words):
-                        continue
-                    plain = unpack(body[4:])
-                    ids.update(zip(words, parted(plain[4 * n:], np.frombuffer(plain[:4 * n], np.uint32) * 4)))
-
-                def code(pieces: list[str], ids: dict[str, bytes] = ids) -> list[bytes]:
-                    out = []
-                    for piece in pieces:
-                        parts = find(piece)
-                        for p in parts:
-                            if p not in ids:
-                                ids[p] = np.array(encode(p), "<u4").tobytes()
-                        out.append(ids[parts[0]] if len(parts) == 1 else b"".join(map(ids.__getitem__, parts)))
-                    return out
-
-                codes, table_of = PieceCodes(code, limit=1 << 60), bytes_of.__getitem__
-                for low in range(0, len(texts), 256):
+                    if n == len(words):
+                        plain = unpack(body[4:])
+                        ids.update(zip(words, parted(plain[4 * n:], np.frombuffer(plain[:4 * n], np.uint32) * 4)))
+                    else:
+                        ids.update((w, np.array(encode(w), "<u4").tobytes()) for w in words)
+                firsts, code_of = codes.resolve(firsts), codes.codes.__getitem__
+                for low in range(0, len(texts), 1000):
                     out = []
-                    for doc_id, parts in zip(doc_ids[low:low + 256], codes.of(texts[low:low + 256])):
-                        joined = b"".join(parts)
+                    for doc_id, first, row in zip(doc_ids[low:low + 1000], firsts[low:low + 1000], numbers[low:low + 1000]):
+                        joined = b"".join([first, *map(code_of, row)])
                         decoded = b"".join(map(table_of, np.frombuffer(joined, "<u4").tolist()))
                         out.append((doc_id, len(joined) // 4, hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest()))
                     columns = list(zip(*out))

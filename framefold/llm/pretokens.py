@@ -38,7 +38,6 @@ class PieceCodes(dict):
         self.fresh: list[str] = []  # pieces with their space, not yet encoded, and their numbers
         self.numbers: list[int] = []
         self.joined: list[tuple[int, int, str]] = []
-        self.endings = dict(zip(ENDINGS, encode(list(ENDINGS))))
 
     def __missing__(self, part: str) -> int:
         if not whole(part):
@@ -67,11 +66,8 @@ class PieceCodes(dict):
             self.codes.append(None)
         return number
 
-    def of(self, texts: list[str]) -> list[list[bytes]]:
-        """For each text the codes of its pieces, in order."""
-        if len(self) > self.limit:
-            self.clear()
-            self.codes.clear()
+    def index(self, texts: list[str]) -> tuple[list[str], list[list[int]]]:
+        """Each text's first piece and the numbers of its others; pieces seen for the first time wait in ``fresh``."""
         firsts, rows = [], []
         for text in texts:
             parts = text.split(" ")
@@ -84,11 +80,25 @@ class PieceCodes(dict):
                 row = [self[p] if whole(p) else self.odd(p) for p in parts[1:]]
             firsts.append(parts[0])
             rows.append(row)
-        found = self.encode(firsts + self.fresh)
+        return firsts, rows
+
+    def resolve(self, firsts: list[str]) -> list[bytes]:
+        """Codes of the first pieces; pieces that waited get theirs as well."""
+        ends = list(ENDINGS)
+        found = self.encode(firsts + self.fresh + ends)
         for number, code in zip(self.numbers, found[len(firsts):]):
             self.codes[number] = code
+        endings = dict(zip(ends, found[len(firsts) + len(self.fresh):]))
         for number, base, ending in self.joined:
-            self.codes[number] = self.codes[base] + self.endings[ending]
+            self.codes[number] = self.codes[base] + endings[ending]
         self.fresh, self.numbers, self.joined = [], [], []
+        return found[:len(firsts)]
+
+    def of(self, texts: list[str]) -> list[list[bytes]]:
+        """For each text the codes of its pieces, in order."""
+        if len(self) > self.limit:
+            self.clear()
+            self.codes.clear()
+        firsts, rows = self.index(texts)
         code_of = self.codes.__getitem__
-        return [[first, *map(code_of, row)] for first, row in zip(found, rows)]
+        return [[first, *map(code_of, row)] for first, row in zip(self.resolve(firsts), rows)]
