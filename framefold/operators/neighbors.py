@@ -298,9 +298,10 @@ def nearest(queries: DataFrame, candidates: DataFrame | None = None, *, within:
     on both sides.  ``exclusions`` has (hash, peer) pairs that must not be matched; a query is never its own peer.
     They ride along as one array per query, so a caller with hubs restricts them first (``stratum_exclusions``).
 
-    ``dim`` is the vector length; by default the most common one among the candidates.  ``block_rows`` is the number of
-    rows a task compares at a time; strata of at most so many rows are packed into blocks by a hash of their key and
-    compared whole, larger ones go through the pivots.  Inputs are read a few times; give tables, not long derivations.
+    ``dim`` is the vector length the table is meant to have; only if it is not given, the candidates' most common
+    one.  ``block_rows`` is the number of rows a task compares at a time; strata of at most so many rows are packed
+    into blocks by a hash of their key and compared whole, larger ones go through the pivots.  Inputs are read a few
+    times; give tables, not long derivations.
     """
     keyed = F.col(within).cast("string") if within else F.lit("")
     q = queries.select("hash", keyed.alias("key"), "vector")
@@ -313,12 +314,10 @@ def nearest(queries: DataFrame, candidates: DataFrame | None = None, *, within:
         peers = exclusions.groupBy("hash").agg(F.collect_set("peer").alias("banned"))
         q = q.join(peers, "hash", "left")
 
-    # Counted per vector length: NULL vectors have size -1 or NULL and never set the dimension.
-    lengths = c.groupBy(F.greatest(F.coalesce(F.size("vector"), F.lit(-1)), F.lit(0)).alias("len")).count()
-    facts = lengths.agg(F.sum("count").alias("n"),
-                        F.max_by(F.when(F.col("len") > 0, F.col("len")), F.when(F.col("len") > 0, F.struct("count", "len")))
-                        .alias("dim")).first()
-    dim, block_rows = dim or facts["dim"] or 1, block_rows or BLOCK_ROWS
+    block_rows = block_rows or BLOCK_ROWS
+    if dim is None:  # counted per length; NULL vectors have size -1 or NULL and never set it
+        lengths = c.filter(F.size("vector") > 0).groupBy(F.size("vector").alias("len")).count()
+        dim = lengths.agg(F.max_by("len", F.struct("count", "len"))).first()[0] or 1
     sizes = (c.select("key", F.lit(1).alias("c"), F.lit(0).alias("q"))
              .unionByName(q.select("key", F.lit(0).alias("c"), F.lit(1).alias("q")))
              .groupBy("key").agg(F.greatest(F.sum("c"), F.sum("q")).alias("rows"), F.sum("c").alias("c")))
@@ -416,7 +415,7 @@ def stratum_exclusions(catalog: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def review_partners(catalog: DataFrame, edges: DataFrame, queries: DataFrame | None = None,
-                    block_rows: int | None = None) -> DataFrame:
+                    block_rows: int | None = None, dim: int | None = None) -> DataFrame:
     """Nearest image of the same history size that was not compared yet; NULL when there is none.
 
     ``queries`` (hash) limits whose partner is searched; by default everybody's.
@@ -427,7 +426,7 @@ def review_partners(catalog: DataFrame, edges: DataFrame, queries: DataFrame | N
         asked = materialize(catalog.join(queries.select("hash").distinct(), "hash", "left_semi"))
         candidates, edges = catalog, edges.join(asked.select("hash"), "hash", "left_semi")
     exclusions = materialize(stratum_exclusions(catalog, edges))
-    found = nearest(asked, candidates, within="hist_len", exclusions=exclusions, block_rows=block_rows)
+    found = nearest(asked, candidates, within="hist_len", exclusions=exclusions, block_rows=block_rows, dim=dim)
     return (asked.select(F.col("hash").alias("hash_x"))
             .join(found.select(F.col("hash").alias("hash_x"), F.col("peer").alias("hash_y"), "distance"),
                   "hash_x", "left"))
@@ -450,9 +449,9 @@ def unseen(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(edges.select("hash", "peer"), ["hash", "peer"], "left_anti")
 
 
-def nearest_neighbors(catalog: DataFrame, block_rows: int | None = None) -> DataFrame:
+def nearest_neighbors(catalog: DataFrame, block_rows: int | None = None, dim: int | None = None) -> DataFrame:
     """For each image its nearest other."""
-    return nearest(catalog, block_rows=block_rows)
+    return nearest(catalog, block_rows=block_rows, dim=dim)
 
 
 def neighbor_drift(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -469,7 +468,7 @@ def neighbor_drift(old: DataFrame, new: DataFrame) -> DataFrame:
                     .otherwise(F.format_string("%.4f", "distance")).alias("message")))
 
 
-def next_after_delete(catalog: DataFrame, deleted: DataFrame, block_rows: int | None = None) -> DataFrame:
+def next_after_delete(catalog: DataFrame, deleted: DataFrame, block_rows: int | None = None, dim: int | None = None) -> DataFrame:
     """For each deleted row (hash, vector) the nearest survivor."""
     survivors = catalog.join(deleted.select("hash"), "hash", "left_anti")
-    return nearest(deleted, survivors, block_rows=block_rows)
+    return nearest(deleted, survivors, block_rows=block_rows, dim=dim)

@@ -18,7 +18,7 @@ DIM = 64
 SEED = "lamp"
 NOW = "2024-03-01 12:00:00"
 MAX_IMAGES = 450
-BLOCK_ROWS = 128  # neighbour joins of the queries: many blocks at every given size
+BLOCK_ROWS = 256  # neighbour joins of the queries: many blocks at every given size
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -313,14 +313,14 @@ def least_scored(spark, sf_dir):
 
 @query
 def closest_pair(spark, sf_dir):
-    return sampler.closest_pair(neighbors.nearest_neighbors(fx.images(spark, sf_dir), fx.BLOCK_ROWS))
+    return sampler.closest_pair(neighbors.nearest_neighbors(fx.images(spark, sf_dir), fx.BLOCK_ROWS, fx.DIM))
 
 
 @query
 def mixed_pick(spark, sf_dir):
     """Two seeds, one for each branch of the policy."""
     catalog = fx.stored(spark, sf_dir)[0]
-    distances = neighbors.nearest_neighbors(catalog, fx.BLOCK_ROWS)
+    distances = neighbors.nearest_neighbors(catalog, fx.BLOCK_ROWS, fx.DIM)
     picks = [sampler.mixed_pick(catalog, distances, seed).select(F.lit(seed).alias("seed"), "hash", "draw")
              for seed in ("lamp", "a")]
     return picks[0].unionByName(picks[1])
@@ -391,7 +391,7 @@ def separation(spark, sf_dir):
 
 @query
 def nearest_neighbors(spark, sf_dir):
-    return neighbors.nearest_neighbors(fx.images(spark, sf_dir), fx.BLOCK_ROWS).select(
+    return neighbors.nearest_neighbors(fx.images(spark, sf_dir), fx.BLOCK_ROWS, fx.DIM).select(
         "hash", "peer", F.round("distance", 4).alias("distance"))
 
 
@@ -400,12 +400,12 @@ def neighbor_drift(spark, sf_dir):
     """The stored neighbours come from the first 48 values of every vector."""
     images = fx.images(spark, sf_dir)
     short = images.withColumn("vector", vectors.normalize(F.slice("vector", 1, 48)))
-    return neighbors.neighbor_drift(neighbors.nearest_neighbors(short, fx.BLOCK_ROWS), neighbors.nearest_neighbors(images, fx.BLOCK_ROWS))
+    return neighbors.neighbor_drift(neighbors.nearest_neighbors(short, fx.BLOCK_ROWS, 48), neighbors.nearest_neighbors(images, fx.BLOCK_ROWS, fx.DIM))
 
 
 @query
 def review_partner(spark, sf_dir):
-    partners = neighbors.review_partners(*fx.stored(spark, sf_dir), block_rows=fx.BLOCK_ROWS)
+    partners = neighbors.review_partners(*fx.stored(spark, sf_dir), block_rows=fx.BLOCK_ROWS, dim=fx.DIM)
     return partners.select("hash_x", "hash_y", F.round("distance", 4).alias("distance"))
 
 
@@ -421,7 +421,7 @@ def closest_to_deleted(spark, sf_dir):
     images = fx.images(spark, sf_dir)
     gone = reviews.tombstones(fx.reviews(spark, sf_dir))
     deleted = materialize(images.join(gone, "hash").select("hash", "vector"))
-    return neighbors.next_after_delete(images, deleted, fx.BLOCK_ROWS).select("hash", "peer", F.round("distance", 4).alias("distance"))
+    return neighbors.next_after_delete(images, deleted, fx.BLOCK_ROWS, fx.DIM).select("hash", "peer", F.round("distance", 4).alias("distance"))
 
 
 @query
