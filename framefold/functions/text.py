@@ -45,9 +45,13 @@ def dated_name(ts: Column, name: Column, ext: Column, copy: Column | None = None
     return F.concat(*parts)
 
 
+# Fixed value: names of recycled files in the stored naming convention.
+RECYCLED_NAME = r"(?i)^(\d{6})\.([0-9a-z]{16})$"
+
+
 def recycled_hash(stem: Column) -> Column:
     """``dddddd.<16 letters>`` gives the 16 letters; anything else gives an empty string."""
-    return F.regexp_extract(stem, r"(?i)^(\d{6})\.([0-9a-z]{16})$", 2)
+    return F.regexp_extract(stem, RECYCLED_NAME, 2)
 
 
 def shard(hash_: Column) -> Column:

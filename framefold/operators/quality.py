@@ -70,8 +70,3 @@ def capacity(catalog: DataFrame, max_images: int) -> DataFrame:
     limit = max_images + schemas.ARENA_SLACK
     return catalog.agg(F.count("*").alias("images")).select(
         "images", F.lit(limit).cast("long").alias("capacity"), (F.col("images") > limit).alias("over"))
-
-
-def unusable_vectors(catalog: DataFrame, dim: int) -> DataFrame:
-    """P4 as a report."""
-    return catalog.filter(vectors.needs_vector(F.col("vector"), dim)).select("hash")

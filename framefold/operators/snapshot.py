@@ -33,11 +33,3 @@ def update_rows(catalog: DataFrame, updates: DataFrame) -> DataFrame:
 def delete_rows(catalog: DataFrame, hashes: DataFrame) -> DataFrame:
     """K3."""
     return catalog.join(hashes.select("hash"), "hash", "left_anti")
-
-
-def write_snapshot(catalog: DataFrame, edges: DataFrame, path: str, version: int) -> str:
-    """Write one version directory; readers keep the version they opened."""
-    target = f"{path.rstrip('/')}/v{version:08d}"
-    catalog.write.mode("errorifexists").parquet(f"{target}/catalog")
-    edges.write.mode("errorifexists").parquet(f"{target}/edges")
-    return target

@@ -174,11 +174,13 @@ from (select hash, {unit('vector[1:16]')} as a, {unit('vector')} as b from image
 sql("vector_bytes", "images", "select hash, len(vector) * 4 as bytes, true as same from images")
 
 # ---------------------------------------------------------------- scans and lookups
-sql("load_vectors", "images", "select hash, len(vector) as dim from images")
+WEIGHTED = "round(list_dot_product({0}::DOUBLE[], list_transform(range(1, len({0}) + 1), lambda i: i::DOUBLE)), 4)"
+sql("load_vectors", "images", f"select hash, len(vector) as dim, {WEIGHTED.format('vector')} as weighted from images")
 sql("all_hashes", "images", "select hash from images")
 sql("point_lookup", "catalog", "select hash, rotatemode, flipmode, lastview, hist_len from catalog where vec_id = 7")
 ASKED = f"(select distinct {h('(user_id * 7)::VARCHAR')} as hash from events)"
-sql("vectors_of", "images", f"""select a.hash, coalesce(len(i.vector), 0) as dim
+sql("vectors_of", "images", f"""select a.hash, coalesce(len(i.vector), 0) as dim,
+    {WEIGHTED.format('i.vector')} as weighted
 from {ASKED} a left join images i on i.hash = a.hash""")
 sql("contains", "images", f"select a.hash, a.hash in (select hash from images) as known from {ASKED} a")
 sql("lookup_many", "images", f"select hash, label from images where hash in (select hash from {ASKED})")
@@ -362,6 +364,19 @@ TURN = "('0x' || substring(md5(hash), 1, 4))::BIGINT"
 sql("embed_images", "payloads", f"select hash, {DIM} as dim, 1.0::DOUBLE as norm from payloads")
 sql("reorient", "payloads", f"""select hash, ({TURN} % 4 * 90)::INT as rotatemode, ({TURN} % 3)::INT as flipmode, {DIM} as dim
 from payloads""")
+CORNERS = f"""(select hash, n, text, case r when 1 then n - 1 when 2 then n - 1 else 0 end as y1, case when r >= 2 then n - 1 else 0 end as x1,
+    case when r >= 2 then n - 1 else 0 end as y2, case r when 0 then n - 1 when 3 then n - 1 else 0 end as x2, flip
+from (select hash, text, greatest(1, ceil(sqrt(bytes / 3.0)))::BIGINT as n, {TURN} % 4 as r, {TURN} % 3 as flip from payloads))"""
+
+
+def at(y: str, x: str) -> str:
+    """Bytes of a pixel before flip and turn; the payload is zero-padded to the square."""
+    place = f"3 * ((case flip when 2 then n - 1 - {y} else {y} end) * n + (case flip when 1 then n - 1 - {x} else {x} end))"
+    return f"rpad(hex(encode(text)[({place} + 1):({place} + 3)]), 6, '0')"
+
+
+sql("orient_pixels", "payloads", f"""select hash, n::INT as height, n::INT as width, {at('y1', 'x1')} as left_corner,
+    {at('y2', 'x2')} as right_corner from {CORNERS}""")
 sql("vector_drift", "payloads", f"""select hash, case when hash < 'a' then 0.0::DOUBLE end as distance from payloads
 order by md5(hash || '{SEED}'), hash limit 10""")
 sql("backfill", "payloads", f"select hash, {DIM} as dim from payloads")

@@ -202,9 +202,15 @@ def vector_bytes(spark, sf_dir):
 
 # ---------------------------------------------------------------- scans and lookups
 
+def _digest(column: str) -> F.Column:
+    """A number that depends on every value of a vector and its place."""
+    weighted = F.transform(column, lambda x, i: x.cast("double") * (i + 1))
+    return F.round(F.aggregate(weighted, F.lit(0.0), lambda total, x: total + x), 4).alias("weighted")
+
+
 @query
 def load_vectors(spark, sf_dir):
-    return source.load_vectors(fx.images(spark, sf_dir)).select("hash", F.size("vector").alias("dim"))
+    return source.load_vectors(fx.images(spark, sf_dir)).select("hash", F.size("vector").alias("dim"), _digest("vector"))
 
 
 @query
@@ -225,7 +231,7 @@ def _asked(spark, sf_dir) -> DataFrame:
 @query
 def vectors_of(spark, sf_dir):
     found = source.vectors_of(_asked(spark, sf_dir), fx.images(spark, sf_dir))
-    return found.select("hash", F.size("vector").alias("dim"))
+    return found.select("hash", F.size("vector").alias("dim"), _digest("vector"))
 
 
 @query
@@ -734,9 +740,11 @@ def _modes(df: DataFrame) -> DataFrame:
 
 @query
 def orient_pixels(spark, sf_dir):
+    """Two corners of every turned picture; both must come from the right place of the payload."""
     pictures = fx.pictures(spark, sf_dir)
     turned = pixels.orient_images(pictures.join(_modes(pictures), "hash"))
-    return turned.select("hash", "height", "width", F.sha2("data", 256).alias("sha256"))
+    right = F.substring(F.col("data"), (F.col("width") - 1) * 3 + 1, F.lit(3))
+    return turned.select("hash", "height", "width", F.hex(F.substring("data", 1, 3)).alias("left_corner"), F.hex(right).alias("right_corner"))
 
 
 @query

@@ -9,7 +9,7 @@ from framefold.session import get_spark  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = get_spark("local[8]", 8)
+def spark(tmp_path_factory):
+    session = get_spark("local[8]", 8, **{"spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"})
     yield session
     session.stop()

@@ -146,7 +146,7 @@ def test_review_step(spark):
 def test_streamed_fold_equals_batch_fold(spark, tmp_path):
     rows = [r for r in make_events(8, 120) if not r[2].startswith("delete")]
     root, inbox = str(tmp_path / "snap"), tmp_path / "in"
-    snapshot.write_snapshot(make_catalog(spark), spark.createDataFrame([], schemas.EDGES), root, 0)
+    microbatch._write_version(make_catalog(spark), spark.createDataFrame([], schemas.EDGES), root, 0)
     ordered = sorted(rows, key=lambda r: (r[1], r[0]))
     for part in (ordered[:60], ordered[60:]):
         spark.createDataFrame(part, schemas.REVIEWS).coalesce(1).write.mode("append").parquet(str(inbox))
