@@ -6,6 +6,8 @@ import math
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,13 +51,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside are deleted at the end, unless they are ``lasting``.
+
+    For callers that write a result inside: what is derived from such a table can't be read afterwards.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def materialize(df: DataFrame, lasting: bool = False) -> DataFrame:
     """Write ``df`` as parquet in the shared folder and read it back.
 
-    The written table survives lost executors, and unlike a checkpointed RDD it still prunes columns.
+    The written table survives lost executors, and unlike a checkpointed RDD it still prunes columns.  Inside
+    ``temporary_tables`` a ``lasting`` one belongs to the scope around it, if there is one.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    owner = _scopes[:-1] if lasting else _scopes
+    if owner:
+        owner[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

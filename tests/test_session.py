@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from framefold.session import hot_keys, materialize, numbered, shared_dir, spread_join, spread_work
+from framefold.session import hot_keys, materialize, numbered, shared_dir, spread_join, spread_work, temporary_tables
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
@@ -41,3 +41,15 @@ def test_numbered_is_the_global_order(spark):
     rows = numbered(df, ["v"], "at").collect()
     assert len(rows) == 500 and all(r["at"] == r["v"] for r in rows)
     assert numbered(df.limit(0), ["v"], "at").count() == 0
+
+
+def test_temporary_tables_go_and_lasting_ones_stay(spark):
+    def there():
+        return {x for x in os.listdir(shared_dir(spark).removeprefix("file:")) if x.startswith("table-")}
+
+    before = there()
+    with temporary_tables(spark):
+        materialize(spark.range(3))
+        kept = materialize(spark.range(5), lasting=True)
+        assert len(there() - before) == 2
+    assert len(there() - before) == 1 and kept.count() == 5
