@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from framefold.llm import near_dedup, packing, quality_rules, substring_dedup, toxicity
 from framefold.llm.common import table
-from framefold.session import materialize
+from framefold.session import materialize, temporary_tables
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,5 +78,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with temporary_tables(spark):
+            docs = materialize(stage(spark, docs, sf_dir), lasting=True)
     return STAGES[-1][1](spark, docs, sf_dir)
