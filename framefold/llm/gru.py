@@ -11,6 +11,7 @@ import numpy as np
 
 HIDDEN, CLASS_SIZE, STEPS = 16, 48, 32
 RATE = 0.01
+OUTPUTS = 16_384  # positions whose softmax is taken at a time
 
 
 def sizes(symbols: int) -> dict[str, tuple]:
@@ -72,20 +73,20 @@ def run(p: dict, inputs: np.ndarray, state: np.ndarray, starts: np.ndarray | Non
 def outputs(p: dict, states: np.ndarray, targets: np.ndarray, gradient: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log-probabilities of targets (n) given states (n x HIDDEN), and the loss's gradient by the states."""
     kind = targets // CLASS_SIZE
-    logits = states @ p["classes"] + p["class_bias"]
-    logits -= logits.max(1, keepdims=True)
     at = np.arange(len(targets))
-    own = logits[at, kind]
+    logits = p["classes"].T @ states.T + p["class_bias"][:, None]  # a column per position, so sums run along rows
+    logits -= logits.max(0)
+    own = logits[kind, at]
     np.exp(logits, out=logits)
-    total = logits.sum(1)
+    total = logits.sum(0)
     result = own - np.log(total)
     back = None
     if gradient is not None:
-        logits /= total[:, None]
-        logits[at, kind] -= 1
-        gradient["classes"] += states.T @ logits
-        gradient["class_bias"] += logits.sum(0)
-        back = logits @ p["classes"].T
+        logits /= total
+        logits[kind, at] -= 1
+        gradient["classes"] += states.T @ logits.T
+        gradient["class_bias"] += logits.sum(1)
+        back = np.ascontiguousarray((p["classes"] @ logits).T)
     order = np.argsort(kind, kind="stable")
     bounds = np.searchsorted(kind[order], np.arange(len(p["class_bias"]) + 1))
     for c in range(len(bounds) - 1):
@@ -93,19 +94,19 @@ def outputs(p: dict, states: np.ndarray, targets: np.ndarray, gradient: dict | N
         if not len(some):
             continue
         part = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-        mine, place, rows = states[some], targets[some] - c * CLASS_SIZE, np.arange(len(some))
-        logits = mine @ p["words"][part].T + p["word_bias"][part]
-        logits -= logits.max(1, keepdims=True)
-        own = logits[rows, place]
+        mine, place, columns = states[some], targets[some] - c * CLASS_SIZE, at[:len(some)]
+        logits = p["words"][part] @ mine.T + p["word_bias"][part][:, None]
+        logits -= logits.max(0)
+        own = logits[place, columns]
         np.exp(logits, out=logits)
-        total = logits.sum(1)
+        total = logits.sum(0)
         result[some] += own - np.log(total)
         if gradient is not None:
-            logits /= total[:, None]
-            logits[rows, place] -= 1
-            gradient["words"][part] += logits.T @ mine
-            gradient["word_bias"][part] += logits.sum(0)
-            back[some] += logits @ p["words"][part]
+            logits /= total
+            logits[place, columns] -= 1
+            gradient["words"][part] += logits @ mine
+            gradient["word_bias"][part] += logits.sum(1)
+            back[some] += logits.T @ p["words"][part]
     return result, back
 
 
@@ -183,14 +184,29 @@ class Trainer:
 
 
 def log_likelihoods(p: dict, documents: list[np.ndarray], end: int) -> np.ndarray:
-    """Natural log-probability of each whole document (symbols closed by ``end``), all in step, longest first."""
+    """Natural log-probability of each whole document (symbols closed by ``end``), all in step, longest first.
+
+    States wait until ``OUTPUTS`` of them can go through the softmax together, so that the few documents that are left after
+    many windows cost no more per symbol than the many at the start.
+    """
     out = np.zeros(len(documents))
-    order = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
+    order = np.array(sorted(range(len(documents)), key=lambda i: -len(documents[i])), np.int64)
     lengths = np.array([len(documents[i]) for i in order])
     starts = np.concatenate([[0], np.cumsum(lengths)])
-    everything = np.concatenate([documents[i] for i in order]) if order else np.zeros(0, np.int64)
+    everything = np.concatenate([documents[i] for i in order]) if len(order) else np.zeros(0, np.int64)
     state = np.zeros((len(order), HIDDEN), np.float32)
     previous = np.full(len(order), end)
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    held = 0
+
+    def flush() -> None:
+        states, targets, owners = (np.concatenate(x) for x in zip(*waiting))
+        for at in range(0, len(targets), OUTPUTS):
+            part = slice(at, at + OUTPUTS)
+            found, _ = outputs(p, states[part], targets[part])
+            out[:] += np.bincount(owners[part], found, len(out))
+        waiting.clear()
+
     for at in range(0, int(lengths.max(initial=0)), STEPS):
         active = int((lengths > at).sum())
         steps = min(STEPS, int(lengths[0]) - at)
@@ -201,7 +217,11 @@ def log_likelihoods(p: dict, documents: list[np.ndarray], end: int) -> np.ndarra
         states = run(p, inputs, state[:active])
         state, previous = states[-1], targets[:, -1]
         use = real.T.ravel()
-        found = np.zeros(len(use))
-        found[use], _ = outputs(p, states.reshape(-1, HIDDEN)[use], targets.T.ravel()[use])
-        out[order[:active]] += found.reshape(steps, active).sum(0)
+        waiting.append((states.reshape(-1, HIDDEN)[use], targets.T.ravel()[use], np.tile(order[:active], steps)[use]))
+        held += int(use.sum())
+        if held >= OUTPUTS:
+            flush()
+            held = 0
+    if waiting:
+        flush()
     return out
