@@ -42,7 +42,7 @@ BANDS, ROWS, HASHES, BATCH = 32, 5, 256, 32
 MISS = 1e-6
 LOOSE = 0.4
 BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
-STARS = 12  # star rounds with pruning; what is left after them joins its bucket's family unpruned
+STARS = 4  # star rounds with pruning; what is left after them joins its bucket's family unpruned
 SEEDS = seeds(HASHES, 11)
 BAND_SEEDS = seeds(ROWS, 13)
 
@@ -175,14 +175,18 @@ def _loose(least: list[int]):
     return run
 
 
-def _families(members: DataFrame, signs: DataFrame) -> DataFrame:
-    """(a, b) of stars in every bucket: loosely similar members and the member they were compared with."""
+def _families(members: DataFrame, heads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of stars in every bucket: loosely similar members and the member they were compared with; and the
+    signatures (rep, signature) of documents that share a bucket with another, so that later joins move only these."""
     least = least_matches(LOOSE)
     keys = materialize(members)
     found = []
     for turn in range(STARS + 1):
         firsts = keys.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
         pairs = materialize(keys.join(materialize(firsts), "key").where("rep <> a").select("key", "a", F.col("rep").alias("b")))
+        if turn == 0:
+            busy = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+            signs = materialize(heads.select("rep", "signature").join(materialize(busy), "rep"))
         stars = pairs.select("a", "b").distinct()
         if turn == STARS:
             found.append(stars)
@@ -198,7 +202,7 @@ def _families(members: DataFrame, signs: DataFrame) -> DataFrame:
         found.append(known.where("loose").select("a", "b"))
         far = known.where("not loose").select("a", "b")
         keys = materialize(pairs.join(far, ["a", "b"]).select("key", F.col("b").alias("rep")))
-    return reduce(DataFrame.union, found)
+    return reduce(DataFrame.union, found), signs
 
 
 def _sets(size: int):
@@ -248,13 +252,13 @@ def near_duplicates(docs: DataFrame, size: int = WORDS, percent: int = PERCENT,
     if not classes.where("rep = doc_id").groupBy("doc_id").count().where("count > 1").isEmpty():
         heads = heads.dropDuplicates(["rep", "high", "low"])  # rows that repeat a doc_id; without any, nothing wide is shuffled
     heads = materialize(heads)
-    families = _families(heads.select(F.explode("bands").alias("key"), "rep"), heads)
+    families, signs = _families(heads.select(F.explode("bands").alias("key"), "rep"), heads)
     family = components(families).withColumnRenamed("root", "family").withColumnRenamed("node", "rep")
     family = materialize(family.join(heads.select("rep", "n_shingles"), "rep"))
     wide = family.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     family = materialize(family.join(materialize(wide), "family").select("rep", "family", "blocks"))
     texts = source.withColumnRenamed("doc_id", "rep").where("rep is not null")
-    sets = family.join(heads.select("rep", "signature"), "rep").join(texts, "rep")
+    sets = family.join(signs.select("rep", "signature"), "rep").join(texts, "rep")
     sets = sets.mapInArrow(_sets(size), "rep long, family long, blocks int, signature binary, shingles binary")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     other = F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))
