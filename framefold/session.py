@@ -44,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if not f"{spark.sparkContext.master}[".startswith("local["):  # local or local[n], not local-cluster[...]
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="framefold-"))
         path = spark.sparkContext.getCheckpointDir()
