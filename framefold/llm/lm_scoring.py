@@ -4,8 +4,8 @@ Training documents are those whose crc32(doc_id as text) mod 7 is not 2.  Spark
 ``VOCABULARY`` most frequent words, the end, and ``BUCKETS`` classes of other words (by their last letters and
 punctuation) are the symbols of the recurrent model, whose output biases start from the counts.  Its weights are
 trained in ``ROUNDS`` rounds by truncated backpropagation (gru.py): in each round every task trains a copy on its documents
-of that round, and copies are averaged by the tokens they saw.  One in ``SHARE`` training documents takes part in this, by a hash of
-the id: a share of the corpus, not a bound, so the work and what is gathered grow with the input.
+of that round, and copies are averaged by the tokens they saw.  The rounds split all training documents by a hash of the id, so
+each is learned from once.
 
 The probability of a word outside the vocabulary is that of its class times (c + 1) / (N_class + V_class + 1).
 
@@ -35,7 +35,7 @@ from .common import id_bucket, table, words
 
 FOLDS, HELD_OUT = 7, 2
 VOCABULARY, BUCKETS = 2047, 64
-SHARE, ROUNDS = 4, 2
+ROUNDS = 2
 LEARN_TOKENS = 1_000_000  # a task trains on so many tokens at a time
 BLOCK = 4096
 END_WORDS = b".,;:!?"
@@ -53,7 +53,7 @@ def in_training(doc_id: int | None) -> bool:
 
 
 def in_round(doc_id: int, turn: int) -> bool:
-    return zlib.crc32(f"round {doc_id}".encode()) % (SHARE * ROUNDS) == turn
+    return zlib.crc32(f"round {doc_id}".encode()) % ROUNDS == turn
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

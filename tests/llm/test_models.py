@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +173,13 @@ def test_lm_scoring(spark, odd, no_docs):
         assert match and match[0]["train_tokens"] == total and math.isfinite(match[0]["score"]) and match[0]["score"] < 0
         assert match[0]["held_out"] == (None if r["doc_id"] is None else crc_of_id(r["doc_id"]) % 7 == 2)
     assert lm_scoring.lm_scores(no_docs).collect() == []
+
+
+def test_lm_weights_learn_from_every_training_document():
+    ids = [*range(300), None]
+    texts = [text_of(i, 5 + i % 7) for i in range(len(ids))]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    symbols = lm_scoring.Symbols([b"a", b"b"])
+    params = gru.flat(gru.fresh(np.ones(symbols.count)))
+    learned = [next(lm_scoring._learn(symbols, params, turn)(iter([batch])))["tokens"][0].as_py() for turn in range(lm_scoring.ROUNDS)]
+    assert sum(learned) == sum(len(words(t)) + 1 for i, t in zip(ids, texts) if lm_scoring.in_training(i))
