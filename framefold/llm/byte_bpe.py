@@ -9,8 +9,9 @@ as they are read.
    ids.  Decoding looks every id up in the table of token bytes, which is as large as the vocabulary.
 
 Documents are read twice, once for their words and once for their texts, so no row carries a position or an id of a
-frequent word twice.  A chunk is named by its contents; words that a bucket's answer lacks (if a file changed in
-between) are encoded where they are needed, so the result does not depend on the two reads being cut alike.
+frequent word twice.  A chunk is named by its ids and whole texts, so chunks of one name are equal; words that a bucket's
+answer lacks (if a file changed in between) are encoded where they are needed, so the result does not depend on the two
+reads being cut alike.
 
 Cases: a null or empty text has no tokens; rows with null or repeated doc_id are encoded like any other; strings of special
 tokens are ordinary text; extra columns are not read.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_partitions
-from .common import table
+from .common import table, utf8
 from .pretokens import ENDINGS, PieceCodes
 
 CHUNK_CHARS = 8_000_000
@@ -42,7 +43,7 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
-    """(chunk, doc_ids, texts): the chunk's number follows from its rows alone."""
+    """(chunk, doc_ids, texts): the chunk's number is a hash of its rows, whole texts included; equal chunks share it."""
     import xxhash
 
     ids, texts, size, name = [], [], 0, xxhash.xxh3_64()
@@ -52,7 +53,9 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[
             ids.append(doc_id)
             texts.append(text)
             size += len(text)
-            name.update(f"{doc_id} {len(text)} {text[:32]}".encode())
+            data = utf8(text)
+            name.update(f"{doc_id} {len(data)} ".encode())
+            name.update(data)
             if size >= CHUNK_CHARS:
                 yield name.intdigest() - (1 << 63), ids, texts
                 ids, texts, size, name = [], [], 0, xxhash.xxh3_64()

@@ -38,6 +38,7 @@ VOCABULARY, BUCKETS = 2047, 64
 ROUNDS = 2
 LEARN_TOKENS = 1_000_000  # a task trains on so many tokens at a time
 BLOCK = 4096
+TEXTS = 2**31 - 1  # place of a chunk's texts, after its words
 END_WORDS = b".,;:!?"
 
 
@@ -163,26 +164,29 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with pa.ipc.new_stream(sink, batch.schema) as out:
             out.write_batch(batch)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([chunk]), pa.array([2**31 - 1], pa.int32()), pa.array([0]), pa.array([pack(sink.getvalue().to_pybytes())], pa.binary())], ["chunk", "place", "n", "data"])
+            [pa.array([chunk]), pa.array([TEXTS], pa.int32()), pa.array([0]), pa.array([pack(sink.getvalue().to_pybytes())], pa.binary())], ["chunk", "place", "n", "data"])
 
 
 RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
 def _score(symbols: Symbols, params: np.ndarray, tokens: int, distinct: int, end_count: int, others: dict[int, tuple[int, int]]):
-    """Rows sorted by (chunk, place): counts of the chunk's words, then its texts."""
+    """Rows sorted by (chunk, place): counts of the chunk's words, then its texts; each as often as there are equal chunks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = gru.shaped(params, symbols.count)
-        counts: list[np.ndarray] = []
+        now, last, counts = None, -1, []
         for batch in batches:
-            place = batch["place"].to_numpy()
-            last = 0
-            for at in np.flatnonzero(place == 2**31 - 1).tolist():
-                counts.append(batch["n"].to_numpy()[last:at])
-                last = at + 1
-                yield score_chunk(p, np.concatenate(counts), unpack(batch["data"][at].as_py()))
-                counts = []
-            counts.append(batch["n"].to_numpy()[last:])
+            chunk, place, n = (batch[c].to_numpy() for c in ("chunk", "place", "n"))
+            edges = (np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist()
+            for low, high in zip([0, *edges], [*edges, len(chunk)] if len(chunk) else []):
+                if chunk[low] != now:
+                    now, last, counts = chunk[low], -1, []
+                own = place[low:high]
+                new = own != np.concatenate([[last], own[:-1]])  # a copy of the chunk repeats its places
+                last = own[-1]
+                counts.append(n[low:high][new & (own != TEXTS)])
+                for at in (low + np.flatnonzero(own == TEXTS)).tolist():
+                    yield score_chunk(p, np.concatenate(counts), unpack(batch["data"][at].as_py()))
 
     def score_chunk(p: dict, counts: np.ndarray, data: bytes) -> pa.RecordBatch:
         rows = pa.ipc.open_stream(data).read_all()

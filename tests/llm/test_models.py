@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from framefold.llm import gru, importance, lm_scoring, quality_rules, toxicity
+from framefold.llm import byte_bpe, gru, importance, lm_scoring, quality_rules, toxicity
 from framefold.llm.common import crc_of_id, id_bucket, table, words
 from tests.llm.conftest import by_id, odd_rows, text_of
 
@@ -183,3 +183,25 @@ def test_lm_weights_learn_from_every_training_document():
     params = gru.flat(gru.fresh(np.ones(symbols.count)))
     learned = [next(lm_scoring._learn(symbols, params, turn)(iter([batch])))["tokens"][0].as_py() for turn in range(lm_scoring.ROUNDS)]
     assert sum(learned) == sum(len(words(t)) + 1 for i, t in zip(ids, texts) if lm_scoring.in_training(i))
+
+
+def test_lm_scoring_of_one_file_listed_twice(spark, tmp_path):
+    rows = [(i, text_of(i, 40)) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(path := str(tmp_path / "docs"))
+    one = spark.read.parquet(path)
+    twice = one.union(spark.read.parquet(path))  # read as separate partitions
+    once, found = by_id(lm_scoring.lm_scores(one)), by_id(lm_scoring.lm_scores(twice))
+    for i, _ in rows:
+        a, b = found[i]
+        assert a == b and a["n_tokens"] == once[i][0]["n_tokens"] and a["n_known"] == once[i][0]["n_known"]
+        assert a["train_tokens"] == 2 * once[i][0]["train_tokens"] and math.isfinite(a["score"])
+
+
+def test_lm_scoring_of_repeated_rows_that_fill_chunks(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CHUNK_CHARS", 100)
+    text = text_of(3, 60)
+    docs = spark.createDataFrame([(1, text)] * 5 + [(2, text_of(4, 60))], "doc_id long, text string").coalesce(1)
+    found = by_id(lm_scoring.lm_scores(docs))
+    assert len(found[1]) == 5 and len(set(found[1])) == 1 and len(found[2]) == 1
+    trained = [t for i, t in [(1, text)] * 5 + [(2, text_of(4, 60))] if lm_scoring.in_training(i)]
+    assert found[1][0]["train_tokens"] == sum(len(words(t)) + 1 for t in trained)

@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
 from framefold.llm import byte_bpe, fingerprints
+from framefold.session import work_partitions
 from tests.llm.conftest import by_id, odd_rows
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -58,3 +60,23 @@ def test_byte_bpe(odd, no_docs, monkeypatch, size):
         want = len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()
         assert want in [(r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in found[i]]
     assert byte_bpe.encode_decode(no_docs, RANKS, public_tokenizers.PATTERN).collect() == []
+
+
+def test_byte_bpe_of_chunks_that_open_alike(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CHUNK_CHARS", 10)
+    buckets = 2 * work_partitions(spark)
+    first, *rest = (f" {a}{b}{c}" for a in "abcdefgh" for b in "abcdefgh" for c in "abcdefgh")
+    other = next(w for w in rest if [*byte_bpe.by_bucket({"": [w]}, buckets)] == [*byte_bpe.by_bucket({"": [first]}, buckets)])
+    texts = [f"the same opening of both the texts{w}" for w in (first, other)]
+    docs = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.ranks_of(RANKS), special_tokens={})
+    found = {r["ids_sha256"] for r in byte_bpe.encode_decode(docs, RANKS, public_tokenizers.PATTERN).collect()}
+    assert found == {hashlib.sha256(np.array(encoding.encode_ordinary(t), "<u4").tobytes()).hexdigest() for t in texts}
+
+
+def test_chunk_names_follow_whole_texts():
+    def name(text):
+        batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text])], ["doc_id", "text"])
+        return next(byte_bpe.chunks(iter([batch])))[0]
+
+    assert name("x" * 40 + "alpha") == name("x" * 40 + "alpha") != name("x" * 40 + "omega")
