@@ -8,7 +8,8 @@ beforehand if it fails the base rules (fewer than 20 words, or over 30 % of word
 
 The field is trained by its exact conditional likelihood (forward-backward) on at most about ``PER_CLASS`` labelled
 documents of each quality, chosen by a hash of the id: lines of good documents count as content, lines of bad ones as
-boilerplate.  Of a training document, lines beyond ``TRAIN_LINES`` are not used; decoding always takes whole texts.
+boilerplate.  A training document of more lines is cut into consecutive sequences of ``TRAIN_LINES`` lines, all of which are
+used; decoding always takes whole texts.
 
 Cases: a null or empty text has no words, so it fails the base rules; lines without a word are no positions; without
 labels of both kinds the base rules alone decide; repeated rows give repeated results; extra columns are not read.
@@ -179,11 +180,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [marks(t).features[:TRAIN_LINES].astype(np.float32).tobytes() for t in batch["text"].to_pylist()]
+            rows = [marks(t).features.astype(np.float32).tobytes() for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array(rows, pa.binary())], ["doc_id", "label", "lines"])
 
     rows = sample.mapInArrow(lines, "doc_id long, label int, lines binary").toArrow().sort_by("doc_id")
-    found = [(np.frombuffer(b, np.float32).reshape(-1, N_FEATURES).astype(float), y) for b, y in zip(rows["lines"].to_pylist(), rows["label"].to_pylist()) if b]
+    whole = [(np.frombuffer(b, np.float32).reshape(-1, N_FEATURES).astype(float), y) for b, y in zip(rows["lines"].to_pylist(), rows["label"].to_pylist()) if b]
+    found = [(s[low:low + TRAIN_LINES], y) for s, y in whole for low in range(0, len(s), TRAIN_LINES)]
     if len({y for _, y in found}) < 2:
         return None
     return fit_field([s for s, _ in found], [np.full(len(s), y) for s, y in found])

@@ -205,3 +205,13 @@ def test_lm_scoring_of_repeated_rows_that_fill_chunks(spark, monkeypatch):
     assert len(found[1]) == 5 and len(set(found[1])) == 1 and len(found[2]) == 1
     trained = [t for i, t in [(1, text)] * 5 + [(2, text_of(4, 60))] if lm_scoring.in_training(i)]
     assert found[1][0]["train_tokens"] == sum(len(words(t)) + 1 for t in trained)
+
+
+def test_quality_field_learns_from_all_lines(spark, monkeypatch):
+    lengths = {1: 70, 2: 5, 3: 33}
+    docs = spark.createDataFrame([(i, "\n".join(text_of(j, 3) for j in range(n))) for i, n in lengths.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_rules, "fit_field", lambda sequences, ys: seen.extend(zip(map(len, sequences), (y[0] for y in ys))))
+    quality_rules.train(docs, labels)
+    assert sorted(seen) == [(1, 1), (5, 1), (6, 0), (32, 0), (32, 0), (32, 1)]
