@@ -1,11 +1,9 @@
 """Exact nearest neighbours with exclusion rules.
 
-``nearest`` is an exact k = 1 join that never lists pairs.  Rows are placed in cells around a few pivots
-(Voronoi cells, as in pivot-based kNN joins); cells are cut into blocks of ``block_rows`` rows, so a hot
-stratum or cell only makes more blocks, never a bigger task.  Strata of at most a block are packed together by key.  A query is compared with one block of its home
-cell first.  The distance found there bounds the rest: a cell is visited only if its pivot, radius and largest
-norm still allow something as near.  Each block pair is one numpy matrix product inside a task and returns a
-single row per query, and the rows are merged by ``min``.
+``nearest`` is an exact k = 1 join that never lists pairs.  Small strata are packed together and compared whole; larger
+ones go through a tree of pivots (``pivot_tree``) whose leaves hold about ``block_rows`` rows at every size of the table.  Each
+task compares streamed queries with one block by a numpy matrix product and returns a single row per query and
+block; the rows are merged by ``min``.
 
 Ties go to the smaller hash.  Distances are double arithmetic rounded to 6 digits, clamped to [0, 1]; vectors
 that are missing, not finite or of a wrong length are at distance 1 from everything.
@@ -14,23 +12,20 @@ that are missing, not finite or of a wrong length are at distance 1 from everyth
 from __future__ import annotations
 
 import math
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framefold.functions import vectors
-from framefold.session import hot_keys, materialize, spread_join, work_partitions
+from framefold.operators import pivot_tree
+from framefold.session import hot_keys, materialize, materialize_counted, spread_join, work_partitions
 
-BLOCK_ROWS = 2048  # rows of one block; a task compares one pair of blocks at a time
-MAX_PIVOTS = 256
+BLOCK_ROWS = 2048  # candidates that a task compares with at a time
 MAX_BROADCAST_ROWS = 50_000
-PAIRS_PER_SALT = 16  # query blocks that meet one copy of a candidate block in one join key
-ROUNDING = 1e-6
-
-RESULT = "hash string, peer string, distance double"
-_PAIR = ["key", "q_cell", "q_block", "cell", "block"]
+BROADCAST_BYTES = 8 << 20  # candidates, or excluded pairs, that every task may get whole
+PAIR_BYTES = 48
 
 
 # ---------------------------------------------------------------- one query against the whole catalog
@@ -58,132 +53,7 @@ def labelled_distances(catalog: DataFrame, base: str, query: Column) -> DataFram
                            .alias("label"))
 
 
-# ---------------------------------------------------------------- block comparison inside a task
-
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int, dtype=np.float64) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list<float> column as a matrix, and which rows are usable; the others are zero, so at distance 1."""
-    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lengths = pc.list_value_length(lists).fill_null(-1).to_numpy(zero_copy_only=False)
-    whole = lengths == dim
-    matrix = np.zeros((len(lists), dim), dtype=dtype)
-    if whole.any():
-        values = lists.filter(pa.array(whole)).flatten().to_numpy(zero_copy_only=False)
-        matrix[whole] = values.reshape(-1, dim)
-    usable = whole & np.isfinite(matrix).all(axis=1)
-    matrix[~usable] = 0.0
-    return matrix, usable
-
-
-def _banned_cells(queries: pa.Table, sorted_hashes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) positions of excluded pairs that fall into this block pair: itself and its peers."""
-    own = pc.index_in(queries["hash"].combine_chunks(), value_set=sorted_hashes)
-    rows = [np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False))]
-    cols = [own.drop_null().to_numpy()]
-    banned = queries["banned"].combine_chunks()
-    if banned.null_count < len(banned):
-        parents = pc.list_parent_indices(banned).to_numpy()
-        hit = pc.index_in(banned.flatten(), value_set=sorted_hashes)
-        valid = hit.is_valid().to_numpy(zero_copy_only=False)
-        rows.append(parents[valid])
-        cols.append(hit.drop_null().to_numpy())
-    return np.concatenate(rows), np.concatenate(cols)
-
-
-def _nearest_rows(q: np.ndarray, c: np.ndarray, rows: np.ndarray, cols: np.ndarray,
-                  same: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Column and rounded distance of the nearest allowed column of each row; infinite when none is allowed.
-
-    The product is taken in float32.  Its error is below dim * 2^-24 * |q| |c|, so every column that could be the
-    nearest after rounding is within twice that of the best one; only those few are computed again in double.
-    Columns are in hash order, so the first of equal distances is the smallest hash.  Where everything is at
-    distance 1 the first allowed column is taken.  ``same`` marks the cells of equal strata.
-    """
-    sims = q @ c.T
-    sims[rows, cols] = -np.inf
-    if same is not None:
-        sims[~same] = -np.inf
-    best = sims.max(axis=1)
-    allowed = np.isfinite(best)
-    error = q.shape[1] * 2.0 ** -23 * np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max()
-    floor = np.where(allowed, np.minimum(best, 1.0) - 2 * error - 2 * ROUNDING, np.inf)
-    r, k = np.nonzero(sims >= floor[:, None])
-    exact = np.einsum("ij,ij->i", q[r].astype(np.float64), c[k].astype(np.float64))
-    d = np.round(np.clip(1.0 - exact, 0.0, 1.0), 6)
-    order = np.lexsort((k, d, r))
-    r, k, d = r[order], k[order], d[order]
-    first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]]) if len(r) else np.empty(0, dtype=int)
-    at, dist = np.zeros(len(q), dtype=np.int64), np.full(len(q), np.inf)
-    at[r[first]], dist[r[first]] = k[first], d[first]
-    far = dist == 1.0
-    at[far] = np.isfinite(sims[far]).argmax(axis=1)
-    return at, dist
-
-
-def _best_in_block(dim: int, whole_strata: bool):
-    """Function for one (query block, candidate block): the best peer of every query in this block.
-
-    With ``whole_strata`` a block holds one or more entire strata, and rows of different ``key`` are no peers.  Otherwise
-    peers at distance 1 are left to the fallback: the smallest hash among them may be in a block that need not be visited.
-    """
-
-    def best(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        schema = pa.schema([("hash", pa.string()), ("peer", pa.string()), ("distance", pa.float64())])
-        if queries.num_rows == 0 or candidates.num_rows == 0:
-            return schema.empty_table()
-        candidates = candidates.sort_by("hash")
-        hashes = candidates["hash"].combine_chunks()
-        c, _ = _matrix(candidates["vector"], dim, np.float32)
-        q, _ = _matrix(queries["vector"], dim, np.float32)
-        rows, cols = _banned_cells(queries, hashes)
-        if whole_strata:
-            strata = pc.unique(candidates["key"].combine_chunks())
-            stratum_c = pc.index_in(candidates["key"].combine_chunks(), value_set=strata).to_numpy(zero_copy_only=False)
-            stratum_q = pc.index_in(queries["key"].combine_chunks(), value_set=strata).fill_null(-1).to_numpy(zero_copy_only=False)
-        parts = []
-        step = max(1, 4_000_000 // len(c))
-        for start in range(0, len(q), step):
-            inside = (rows >= start) & (rows < start + step)
-            same = stratum_q[start:start + step, None] == stratum_c[None, :] if whole_strata else None
-            parts.append(_nearest_rows(q[start:start + step], c, rows[inside] - start, cols[inside], same))
-        at, dist = (np.concatenate(part) for part in zip(*parts))
-        keep = np.isfinite(dist) if whole_strata else dist < 1.0
-        picked = hashes.take(pa.array(at[keep]))
-        found = queries["hash"].combine_chunks().filter(pa.array(keep))
-        return pa.Table.from_arrays([found, picked, pa.array(dist[keep])], schema=schema)
-
-    return best
-
-
-# ---------------------------------------------------------------- placing rows around pivots
-
-def _placer(pivots: np.ndarray):
-    """Arrow UDF: nearest pivot, distance to it, norm, and the dot products with all pivots."""
-    dim = pivots.shape[1]
-    half_norms = 0.5 * (pivots ** 2).sum(axis=1)
-
-    @F.arrow_udf("struct<cell:int,radius:double,norm:double,dots:array<double>>")
-    def place(column: pa.Array) -> pa.Array:
-        v, usable = _matrix(column, dim)
-        dots = v @ pivots.T
-        cell = (dots - half_norms).argmax(axis=1)
-        radius = np.sqrt(((v - pivots[cell]) ** 2).sum(axis=1))
-        cell[~usable] = -1
-        offsets = pa.array(np.arange(len(v) + 1) * len(pivots), pa.int32())
-        return pa.StructArray.from_arrays(
-            [pa.array(cell, pa.int32()), pa.array(radius), pa.array(np.sqrt((v ** 2).sum(axis=1))),
-             pa.ListArray.from_arrays(offsets, pa.array(dots.ravel()))],
-            names=["cell", "radius", "norm", "dots"])
-
-    return place
-
-
-def _choose_pivots(candidates: DataFrame, count: int, dim: int) -> np.ndarray:
-    """``count`` (at most MAX_PIVOTS) usable vectors in a fixed pseudo-random order: a bounded top-k, 256 rows."""
-    usable = candidates.filter(~vectors.needs_vector(F.col("vector"), dim)
-                               & F.forall("vector", vectors.finite))
-    rows = usable.orderBy(F.xxhash64("hash"), "hash").limit(count).select("vector").collect()
-    return np.array([r["vector"] for r in rows], dtype=float).reshape(-1, dim)
-
+# ---------------------------------------------------------------- helpers of the join
 
 def _smallest_hashes(df: DataFrame, by: list[str], depth: int) -> DataFrame:
     """The ``depth`` smallest hashes of every group: ranked inside salted parts of the group first, so that a hot group is
@@ -196,207 +66,180 @@ def _smallest_hashes(df: DataFrame, by: list[str], depth: int) -> DataFrame:
     return limited(limited(salted, [*by, "_salt"]).drop("_salt"), by)
 
 
+def _with_digest(df: DataFrame) -> DataFrame:
+    """Adds 128 bits that follow from the vector, so that no vector is a grouping key."""
+    return df.withColumn("high", F.xxhash64("vector")).withColumn("low", F.xxhash64(F.lit("vector"), "vector"))
+
+
 def _without_spare_copies(candidates: DataFrame, depth: int) -> DataFrame:
     """Keep the ``depth`` smallest hashes of each set of equal vectors in a stratum.
 
     All copies are equally far from a query, and the query takes the smallest hash it may have: with b exclusions
     that is among the b + 2 smallest.  So nothing is lost, and a third of the collection being one picture does
-    not make its cell quadratic.
+    not make its cell quadratic.  Only digests are ranked; the vectors move once, to meet what is kept.
     """
-    return _smallest_hashes(candidates, ["key", "vector"], depth)
-
+    digests = _with_digest(candidates).select("hash", "key", "high", "low")
+    kept = _smallest_hashes(digests, ["key", "high", "low"], depth).select("hash", "key").distinct()
+    return candidates.join(kept, ["hash", "key"], "left_semi")
 
-def _layout(placed_q: DataFrame, placed_c: DataFrame, pivots: np.ndarray, block_rows: int) -> DataFrame:
-    """One row per stratum: its cells with block counts, radius and largest norm; at most MAX_PIVOTS entries."""
-    counted = (placed_c.select("key", "cell", "radius", "norm", F.lit(1).alias("c"), F.lit(0).alias("q"))
-               .unionByName(placed_q.select("key", "cell", F.lit(0.0).alias("radius"), F.lit(0.0).alias("norm"),
-                                            F.lit(0).alias("c"), F.lit(1).alias("q")))
-               .filter("cell >= 0").groupBy("key", "cell")
-               .agg(F.sum("c").alias("nc"), F.sum("q").alias("nq"),
-                    F.max("radius").alias("radius"), F.max("norm").alias("norm")))
 
-    def blocks(n: str) -> Column:
-        return F.ceil(F.col(n) / block_rows).cast("int")
+def _strata(q: DataFrame | None, c: DataFrame) -> DataFrame:
+    """(key, rows, c, copies): rows of the larger side, candidates, and the most candidates with one vector."""
+    same = _with_digest(c.select("key", "vector")).groupBy("key", "high", "low").agg(F.count("*").alias("n"))
+    sizes = same.groupBy("key").agg(F.sum("n").alias("c"), F.max("n").alias("copies"))
+    if q is None:
+        return sizes.select("key", F.col("c").alias("rows"), "c", "copies")
+    asked = q.groupBy("key").agg(F.count("*").alias("q"))
+    joined = sizes.join(asked, "key", "full_outer").fillna(0, ["c", "copies", "q"])
+    return joined.select("key", F.greatest("c", "q").alias("rows"), "c", "copies")
 
-    pivot_norms = F.array(*[F.lit(float(x)) for x in np.sqrt((pivots ** 2).sum(axis=1))])
-    entry = F.struct("cell", blocks("nc").alias("blocks"), blocks("nq").alias("q_blocks"),
-                     (F.col("radius") * (1 + 1e-9) + 1e-9).alias("radius"), F.col("norm"),
-                     F.get(pivot_norms, F.col("cell")).alias("pivot_norm"))
-    return counted.groupBy("key").agg(F.collect_list(entry).alias("cells"))
-
-
-def _with_layout(placed: DataFrame, layout: DataFrame, broadcast: bool) -> DataFrame:
-    """Add the stratum's cells and the entry of the row's own cell."""
-    if broadcast:
-        joined = placed.join(F.broadcast(layout), "key", "left")
-    else:
-        joined = spread_join(placed, layout, "key", "hash")
-    return joined.withColumn("home", F.get(F.filter("cells", lambda e: e["cell"] == F.col("cell")), F.lit(0)))
 
+def _smallest_allowed(unresolved: DataFrame, candidates: DataFrame, exclusions: DataFrame | None) -> DataFrame:
+    """Peer at distance 1 for queries (hash, key) with nothing nearer: the smallest hash that is not excluded.
 
-def _may_hold(entry: Column) -> Column:
-    """Can this cell hold a candidate at least as near as the bound?
-
-    For x in the cell with pivot p: q.x <= q.p + |q| r, and q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 with
-    |q - x| >= |q - p| - r.  Both hold for any norms; the smaller one is used.
-    """
-    q_dot = F.get(F.col("dots"), entry["cell"])
-    q_norm = F.col("norm")
-    gap = F.sqrt(F.greatest(F.lit(0.0), q_norm * q_norm + entry["pivot_norm"] * entry["pivot_norm"] - 2 * q_dot))
-    reach = F.greatest(F.lit(0.0), gap - entry["radius"] - F.lit(1e-7))
-    top = F.least(q_dot + q_norm * entry["radius"],
-                  (q_norm * q_norm + entry["norm"] * entry["norm"] - reach * reach) / 2)
-    return (entry["blocks"] > 0) & (top + 1e-9 > 0) & (1 - top <= F.col("bound") + ROUNDING)
-
-
-def _probe(routed: DataFrame, blocked: DataFrame, best) -> DataFrame:
-    """Compare every routed query row with the candidate block it names.
-
-    A block that many query blocks visit is copied under as many salts, so no join key gathers all its visits.
+    The candidates of a stratum are numbered in hash order, as far as exclusions can reach: a query with b exclusions
+    finds its peer among the first b + 2.  Each exclusion takes a number away, and the first that is left is the peer's.
     """
-    block = ["key", "cell", "block"]
-    pairs = materialize(routed.select(*[F.col(name).alias(name) for name in _PAIR]).distinct())
-    load = materialize(pairs.groupBy(*block).agg(F.ceil(F.count("*") / PAIRS_PER_SALT).cast("int").alias("salts")))
-    dealt = pairs.join(load, block).withColumn("salt", F.pmod(F.xxhash64("q_cell", "q_block"), F.col("salts")).cast("int"))
-    copies = blocked.join(load, block).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    repeated = copies.drop("salts").join(dealt.drop("salts"), [*block, "salt"]).select(*_PAIR, "hash", "vector")
-    left = routed.select(*_PAIR, "hash", "vector", "banned").groupBy(*_PAIR)
-    return left.cogroup(repeated.groupBy(*_PAIR)).applyInArrow(best, RESULT)
-
-
-def _merge(results: DataFrame) -> DataFrame:
-    near = F.min(F.struct("distance", "peer")).alias("near")
-    return (results.groupBy("hash").agg(near)
-            .select("hash", F.col("near.peer").alias("peer"), F.col("near.distance").alias("distance")))
-
-
-def _smallest_allowed(unresolved: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Peer at distance 1 for queries with nothing nearer: the smallest hash that is not excluded.
-
-    A query with b exclusions finds it among the b + 2 smallest hashes of its stratum.
-    """
-    most = unresolved.agg(F.max(F.coalesce(F.size("banned"), F.lit(0)))).first()[0]
-    depth = max(0, most or 0) + 2
+    own = unresolved.select("hash", F.col("hash").alias("peer"))
+    taken = own if exclusions is None else own.unionByName(
+        exclusions.select("hash", "peer").join(own.select("hash"), "hash", "left_semi")).distinct()
+    most = 1 if exclusions is None else taken.groupBy("hash").count().agg(F.max("count")).first()[0] or 1
     strata = unresolved.select("key").distinct()
-    heads = (_smallest_hashes(candidates.select("key", "hash"), ["key"], depth).join(strata, "key", "left_semi")
-             .groupBy("key").agg(F.sort_array(F.collect_list("hash")).alias("heads")))
-    own = F.array_union(F.coalesce("banned", F.array().cast("array<string>")), F.array("hash"))
-    return (spread_join(unresolved, heads, "key", "hash", "inner")
-            .withColumn("peer", F.get(F.array_except("heads", own), F.lit(0)))
-            .filter(F.col("peer").isNotNull())
-            .select("hash", "peer", F.lit(1.0).alias("distance")))
+    heads = _smallest_hashes(candidates.select("key", "hash"), ["key"], most + 1).join(strata, "key", "left_semi")
+    heads = materialize(heads.select("key", F.col("hash").alias("peer"), F.row_number().over(Window.partitionBy("key").orderBy("hash")).alias("number")))
+    gone = taken.join(heads, "peer").join(unresolved.select("hash", "key"), ["hash", "key"]).select("hash", "number").distinct()
+    place = F.row_number().over(Window.partitionBy("hash").orderBy("number"))
+    first = (gone.withColumn("place", place).groupBy("hash")
+             .agg(F.coalesce(F.min(F.when(F.col("number") != F.col("place"), F.col("place"))), F.count("*") + 1).alias("number")))
+    slot = F.concat_ws("/", F.coalesce("number", F.lit(1)).cast("string"), F.col("key"))
+    asked = unresolved.select("hash", "key").join(first, "hash", "left").select("hash", slot.alias("slot"))
+    offered = heads.select(F.concat_ws("/", F.col("number").cast("string"), F.col("key")).alias("slot"), "peer")
+    return spread_join(asked, offered, "slot", "hash", "inner").select("hash", "peer", F.lit(1.0).alias("distance"))
 
 
 # ---------------------------------------------------------------- the join
 
 def nearest(queries: DataFrame, candidates: DataFrame | None = None, *, within: str | None = None,
-            exclusions: DataFrame | None = None, block_rows: int | None = None,
-            max_pivots: int = MAX_PIVOTS, dim: int | None = None) -> DataFrame:
+            exclusions: DataFrame | None = None, block_rows: int | None = None, dim: int | None = None,
+            broadcast_bytes: int | None = None) -> DataFrame:
     """Nearest candidate of every query: (hash, peer, distance).  Queries without one are absent.
 
     Without ``candidates`` the queries are joined with themselves.  ``within`` names a column that must be equal
     on both sides.  ``exclusions`` has (hash, peer) pairs that must not be matched; a query is never its own peer.
-    They ride along as one array per query, so a caller with hubs restricts them first (``stratum_exclusions``).
+    Each pair travels to the block of its peer, so a caller with hubs restricts them first (``stratum_exclusions``).
 
     ``dim`` is the vector length the table is meant to have; only if it is not given, the candidates' most common
-    one.  ``block_rows`` is the number of rows a task compares at a time; strata of at most so many rows are packed
+    one.  Candidates and exclusions of at most ``broadcast_bytes`` (BROADCAST_BYTES) each go to all tasks and are compared whole, in one pass over
+    the queries.  ``block_rows`` is the number of candidates a task compares at a time; strata of at most so many rows are packed
     into blocks by a hash of their key and compared whole, larger ones go through the pivots.  Inputs are read a few
     times; give tables, not long derivations.
     """
+    block = block_rows or BLOCK_ROWS
     keyed = F.col(within).cast("string") if within else F.lit("")
-    q = queries.select("hash", keyed.alias("key"), "vector")
+    q = queries.select("hash", F.coalesce(keyed, F.lit("")).alias("key"), "vector")
     # Aliased, so that a self-join has columns of its own on the candidate side.
     c = (queries if candidates is None else candidates).select(
-        F.col("hash").alias("hash"), keyed.alias("key"), F.col("vector").alias("vector"))
-    if exclusions is None:
-        q = q.withColumn("banned", F.lit(None).cast("array<string>"))
-    else:
-        peers = exclusions.groupBy("hash").agg(F.collect_set("peer").alias("banned"))
-        q = q.join(peers, "hash", "left")
-
-    block_rows = block_rows or BLOCK_ROWS
+        F.col("hash").alias("hash"), F.coalesce(keyed, F.lit("")).alias("key"), F.col("vector").alias("vector"))
     if dim is None:  # counted per length; NULL vectors have size -1 or NULL and never set it
         lengths = c.filter(F.size("vector") > 0).groupBy(F.size("vector").alias("len")).count()
         dim = lengths.agg(F.max_by("len", F.struct("count", "len"))).first()[0] or 1
-    sizes = (c.select("key", F.lit(1).alias("c"), F.lit(0).alias("q"))
-             .unionByName(q.select("key", F.lit(0).alias("c"), F.lit(1).alias("q")))
-             .groupBy("key").agg(F.greatest(F.sum("c"), F.sum("q")).alias("rows"), F.sum("c").alias("c")))
-    sizes = materialize(sizes)
-    is_large = F.col("rows") > block_rows
-    n_small, n_large, n_candidates = sizes.agg(
-        F.sum(F.when(~is_large, F.col("rows"))), F.count(F.when(is_large, 1)), F.sum(F.when(is_large, F.col("c")))).first()
-    large = sizes.filter(is_large).select("key")
-    parts = []
-    if n_small:
-        pack = F.pmod(F.xxhash64("key"), F.lit(math.ceil(n_small / block_rows))).alias("pack")
-        asked, given = (_by_key(x, large, n_large, "left_anti").select("*", pack) for x in (q, c))
-        parts.append(asked.groupBy("pack").cogroup(given.groupBy("pack"))
-                     .applyInArrow(_best_in_block(dim, whole_strata=True), RESULT))
-    if n_large:
-        q, c = _by_key(q, large, n_large, "left_semi"), _by_key(c, large, n_large, "left_semi")
-        parts.append(_pivot_join(q, c, n_candidates or 0, exclusions, dim, block_rows, max_pivots))
-    if not parts:
-        return q.limit(0).select("hash", F.col("hash").alias("peer"), F.lit(1.0).alias("distance"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def _by_key(df: DataFrame, keys: DataFrame, n_keys: int, how: str) -> DataFrame:
-    """Rows whose stratum is (not) listed; the list is broadcast only when it is short."""
-    if n_keys <= MAX_BROADCAST_ROWS:
-        return df.join(F.broadcast(keys), "key", how)
-    return spread_join(df, keys, "key", "hash", how)
-
-
-def _pivot_join(q: DataFrame, c: DataFrame, n_candidates: int, exclusions: DataFrame | None, dim: int,
-                block_rows: int, max_pivots: int) -> DataFrame:
-    """The pivot-based join of (hash, key, vector, banned) with (hash, key, vector)."""
-    pivots = _choose_pivots(c, min(max_pivots, math.ceil(n_candidates / block_rows)), dim)
-    if len(pivots) == 0:
-        return _smallest_allowed(q, c)
-    place = _placer(pivots)
-    most_banned = 0 if exclusions is None else exclusions.groupBy("hash").count().agg(F.max("count")).first()[0] or 0
-    distinct = _without_spare_copies(c, most_banned + 2)
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_at", place("vector")).select(*df.columns, "_at.*")
-
-    placed_c = materialize(placed(distinct).drop("dots").filter("cell >= 0"))
-    layout = materialize(_layout(placed(q), placed_c, pivots, block_rows))
-    small = layout.count() <= MAX_BROADCAST_ROWS // max_pivots
-    dealt = F.xxhash64("hash")
-    blocked = materialize(
-        _with_layout(placed_c, layout, small)
-        .select("key", "cell", F.pmod(dealt, F.col("home.blocks")).cast("int").alias("block"), "hash", "vector"))
-    homed = materialize(
-        _with_layout(placed(q), layout, small)
-        .withColumn("q_block", F.pmod(dealt, F.col("home.q_blocks")).cast("int"))
-        .withColumn("seed", F.when(F.col("home.blocks") > 0, F.pmod("q_block", F.col("home.blocks")).cast("int")))
-        .drop("cells", "home"))
-
-    best = _best_in_block(dim, whole_strata=False)
-    seeds = materialize(_probe(
-        homed.filter(F.col("seed").isNotNull())
-        .select("key", F.col("cell").alias("q_cell"), "q_block", "cell", F.col("seed").alias("block"),
-                "hash", "vector", "banned"), blocked, best))
-
-    bounded = (_with_layout(homed.filter("cell >= 0"), layout, small).join(seeds.select("hash", F.col("distance").alias("bound")), "hash", "left")
-               .withColumn("bound", F.coalesce("bound", F.lit(1.0)))
-               .withColumn("open", F.transform(F.filter("cells", _may_hold),
-                                               lambda e: F.struct(e["cell"].alias("cell"),
-                                                                  e["blocks"].alias("blocks")))))
-    routed = materialize(bounded.filter(F.size("open") > 0)
-                         .select("key", F.col("cell").alias("q_cell"), "q_block", "seed", "hash", "vector", "banned",
-                                 "open"))
-    visits = (routed.withColumn("_cell", F.explode("open"))
-              .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_cell.blocks") - 1)))
-              .withColumn("cell", F.col("_cell.cell"))
-              .filter((F.col("cell") != F.col("q_cell")) | F.col("seed").isNull() | (F.col("block") != F.col("seed"))))
-    found = materialize(_merge(seeds.unionByName(_probe(visits, blocked, best))))
-
-    unresolved = q.join(found, "hash", "left_anti")
-    if unresolved.isEmpty():
+
+    whole = _small_sides(c, exclusions, dim, broadcast_bytes)
+    if whole is not None:
+        return pivot_tree.compare_all(q, *whole, dim)
+
+    layer = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("c"), F.lit(1)) / block) / 2)).cast("int")
+    sizes = _strata(None if candidates is None else q, c).withColumn("layer", F.when(F.col("rows") > block, layer))
+    if within:
+        sizes = materialize(sizes)
+    small, large = F.col("layer").isNull(), F.col("layer").isNotNull()
+    n_small, n_large, n_rows, n_candidates, depth, copies = sizes.agg(
+        F.sum(F.when(small, F.col("rows"))), F.count(F.when(large, 1)), F.sum(F.when(large, F.col("rows"))),
+        F.sum(F.when(large, F.col("c"))), F.max("layer"), F.max(F.when(large, F.col("copies")))).first()
+
+    if not n_large:
+        if not n_small:
+            return q.limit(0).select("hash", F.col("hash").alias("peer"), F.lit(1.0).alias("distance"))
+        packs = math.ceil(n_small / block)
+        parts = _pack_parts(q, c, packs, exclusions)
+        return pivot_tree.compare(parts, dim, max(work_partitions(q.sparkSession), math.ceil(n_small / pivot_tree.TASK_ROWS)))
+
+    if within:
+        q, c = (_with_layer(x, sizes, n_large) for x in (q, c))
+    else:
+        q, c = (x.withColumn("layer", F.lit(depth).cast("int")) for x in (q, c))
+    q_large, c_large = q.where(large), c.where(large)
+    pivots = pivot_tree.choose_pivots(c_large, 1 << depth, dim) if n_candidates else np.zeros((0, dim))
+    packs = _pack_parts(q.where(small), c.where(small), math.ceil(n_small / block), exclusions) if n_small else []
+    tasks = max(work_partitions(q.sparkSession), math.ceil(((n_small or 0) + n_rows) / pivot_tree.TASK_ROWS))
+    if len(pivots) < 1 << depth:  # fewer usable vectors than pivots: one of them is enough to have cells
+        q_large, c_large = (x.withColumn("layer", F.lit(0)) for x in (q_large, c_large))
+        pivots = pivots[:1]
+    tree, excluded, found = None, None, None
+    if len(pivots):
+        kept = c_large
+        if copies > 2:  # with b exclusions, b + 2 copies are all that a query can ever pick from
+            most = 0 if exclusions is None else exclusions.groupBy("hash").count().agg(F.max("count")).first()[0] or 0
+            kept = _without_spare_copies(c_large, most + 2) if copies > most + 2 else c_large
+        alone = candidates is None and kept is c_large
+        tree = pivot_tree.PivotTree(kept, None if alone else q_large, pivots, block, n_rows)
+        if exclusions is not None:
+            placed = tree.blocks().select(F.col("hash").alias("peer"), "node", "leaf", "block", "salts")
+            excluded = materialize(spread_join(exclusions.select("hash", "peer"), placed, "peer", "hash", "inner"))
+    first = packs + (tree.seed_parts(excluded) if tree else [])
+    if first:
+        found = materialize(pivot_tree.compare(first, dim, tasks))
+    answered = None
+    if tree:
+        found, answered = materialize_counted(_merge(pivot_tree.search(tree, found, n_rows, excluded)))
+    if candidates is None and answered == n_rows + (n_small or 0):
+        return found
+    unresolved = q_large.select("hash", "key") if found is None else q_large.select("hash", "key").join(found, "hash", "left_anti")
+    unresolved, left = materialize_counted(unresolved)
+    if not left:
         return found
-    return found.unionByName(_smallest_allowed(materialize(unresolved), c))
+    rest = _smallest_allowed(unresolved, c_large, exclusions)
+    return rest if found is None else found.unionByName(rest)
+
+
+def _small_sides(c: DataFrame, exclusions: DataFrame | None, dim: int, limit: int | None) -> tuple[pa.Table, pa.Table | None] | None:
+    """Candidates and excluded pairs, if each fits into ``limit`` bytes.  One row more than would fit is fetched at most."""
+    def fetched(df: DataFrame, row_bytes: int) -> pa.Table | None:
+        rows = df.limit(limit // row_bytes + 1).toArrow()
+        return rows if rows.num_rows <= limit // row_bytes and rows.nbytes <= limit else None
+
+    limit = BROADCAST_BYTES if limit is None else limit
+    if limit <= 0:
+        return None
+    candidates = fetched(c, 4 * dim + PAIR_BYTES)
+    if candidates is None or exclusions is None:
+        return None if candidates is None else (candidates, None)
+    pairs = fetched(exclusions.select("hash", "peer"), PAIR_BYTES)
+    return None if pairs is None else (candidates, pairs)
+
+
+def _with_layer(df: DataFrame, sizes: DataFrame, n_large: int) -> DataFrame:
+    """Adds the stratum's layer, NULL for small strata; the list of large ones is broadcast only when it is short."""
+    known = sizes.where("layer is not null").select("key", "layer")
+    if n_large <= MAX_BROADCAST_ROWS:
+        return df.join(F.broadcast(known), "key", "left").select(*df.columns, "layer")
+    return spread_join(df, known, "key", "hash").select(*df.columns, "layer")
+
+
+def _pack_parts(q: DataFrame, c: DataFrame, packs: int, exclusions: DataFrame | None) -> list[DataFrame]:
+    """Rows for ``pivot_tree.compare`` that answer small strata."""
+    offered = pivot_tree.packed(c, packs)
+    parts = [pivot_tree.block_rows(offered, 0), pivot_tree.block_rows(pivot_tree.packed(q, packs), 2)]
+    if exclusions is not None:
+        places = offered.select(F.col("hash").alias("peer"), "node", "leaf", "block")
+        parts.append(pivot_tree.block_rows(spread_join(exclusions.select("hash", "peer"), places, "peer", "hash", "inner"), 1))
+    return parts
+
+
+def _merge(results: DataFrame) -> DataFrame:
+    near = F.min(F.struct("distance", "peer")).alias("near")
+    return (results.groupBy("hash").agg(near)
+            .select("hash", F.col("near.peer").alias("peer"), F.col("near.distance").alias("distance")))
 
 
 # ---------------------------------------------------------------- review partner and friends
@@ -414,8 +257,8 @@ def stratum_exclusions(catalog: DataFrame, edges: DataFrame) -> DataFrame:
             .filter(F.col("_left") == F.col("_right")).select("hash", "peer"))
 
 
-def review_partners(catalog: DataFrame, edges: DataFrame, queries: DataFrame | None = None,
-                    block_rows: int | None = None, dim: int | None = None) -> DataFrame:
+def review_partners(catalog: DataFrame, edges: DataFrame, queries: DataFrame | None = None, block_rows: int | None = None,
+                    dim: int | None = None, broadcast_bytes: int | None = None) -> DataFrame:
     """Nearest image of the same history size that was not compared yet; NULL when there is none.
 
     ``queries`` (hash) limits whose partner is searched; by default everybody's.
@@ -425,8 +268,15 @@ def review_partners(catalog: DataFrame, edges: DataFrame, queries: DataFrame | N
     else:
         asked = materialize(catalog.join(queries.select("hash").distinct(), "hash", "left_semi"))
         candidates, edges = catalog, edges.join(asked.select("hash"), "hash", "left_semi")
-    exclusions = materialize(stratum_exclusions(catalog, edges))
-    found = nearest(asked, candidates, within="hist_len", exclusions=exclusions, block_rows=block_rows, dim=dim)
+    found = None
+    if dim is not None:
+        rows = (catalog, asked)
+        c, q = (x.select("hash", F.coalesce(F.col("hist_len").cast("string"), F.lit("")).alias("key"), "vector") for x in rows)
+        whole = _small_sides(c, edges, dim, broadcast_bytes)
+        found = None if whole is None else pivot_tree.compare_all(q, *whole, dim)
+    if found is None:
+        exclusions = materialize(stratum_exclusions(catalog, edges))
+        found = nearest(asked, candidates, within="hist_len", exclusions=exclusions, block_rows=block_rows, dim=dim, broadcast_bytes=broadcast_bytes)
     return (asked.select(F.col("hash").alias("hash_x"))
             .join(found.select(F.col("hash").alias("hash_x"), F.col("peer").alias("hash_y"), "distance"),
                   "hash_x", "left"))
@@ -449,9 +299,10 @@ def unseen(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     return pairs.join(edges.select("hash", "peer"), ["hash", "peer"], "left_anti")
 
 
-def nearest_neighbors(catalog: DataFrame, block_rows: int | None = None, dim: int | None = None) -> DataFrame:
+def nearest_neighbors(catalog: DataFrame, block_rows: int | None = None, dim: int | None = None,
+                      broadcast_bytes: int | None = None) -> DataFrame:
     """For each image its nearest other."""
-    return nearest(catalog, block_rows=block_rows, dim=dim)
+    return nearest(catalog, block_rows=block_rows, dim=dim, broadcast_bytes=broadcast_bytes)
 
 
 def neighbor_drift(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -468,7 +319,8 @@ def neighbor_drift(old: DataFrame, new: DataFrame) -> DataFrame:
                     .otherwise(F.format_string("%.4f", "distance")).alias("message")))
 
 
-def next_after_delete(catalog: DataFrame, deleted: DataFrame, block_rows: int | None = None, dim: int | None = None) -> DataFrame:
+def next_after_delete(catalog: DataFrame, deleted: DataFrame, block_rows: int | None = None, dim: int | None = None,
+                      broadcast_bytes: int | None = None) -> DataFrame:
     """For each deleted row (hash, vector) the nearest survivor."""
     survivors = catalog.join(deleted.select("hash"), "hash", "left_anti")
-    return nearest(deleted, survivors, block_rows=block_rows, dim=dim)
+    return nearest(deleted, survivors, block_rows=block_rows, dim=dim, broadcast_bytes=broadcast_bytes)

@@ -138,10 +138,11 @@ def review_step(catalog: DataFrame, edges: DataFrame, readable: DataFrame, seed:
     return step.withColumnRenamed("hash", "hash_x"), lost
 
 
-def partners_after_delete(catalog: DataFrame, edges: DataFrame, deleted: DataFrame) -> DataFrame:
+def partners_after_delete(catalog: DataFrame, edges: DataFrame, deleted: DataFrame, block_rows: int | None = None,
+                          dim: int | None = None, broadcast_bytes: int | None = None) -> DataFrame:
     """E4 after deletions: the neighbour of each deleted image becomes X and gets its own partner."""
-    nearest = materialize(neighbors.next_after_delete(catalog, deleted))
+    nearest = materialize(neighbors.next_after_delete(catalog, deleted, block_rows, dim, broadcast_bytes))
     chosen = nearest.select(F.col("hash").alias("deleted"), F.col("peer").alias("hash_x"))
     survivors = snapshot.delete_rows(catalog, deleted)
-    partner = neighbors.review_partners(survivors, edges, chosen.select(F.col("hash_x").alias("hash")))
+    partner = neighbors.review_partners(survivors, edges, chosen.select(F.col("hash_x").alias("hash")), block_rows, dim, broadcast_bytes)
     return spread_join(chosen, partner, "hash_x", "deleted")

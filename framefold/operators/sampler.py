@@ -107,10 +107,11 @@ def mixed_pick(catalog: DataFrame, distances: DataFrame, seed: str) -> DataFrame
     return scored.unionByName(paired)
 
 
-def next_x(catalog: DataFrame, seed: str, same: str | None = None, deleted: DataFrame | None = None) -> DataFrame:
+def next_x(catalog: DataFrame, seed: str, same: str | None = None, deleted: DataFrame | None = None,
+           block_rows: int | None = None, dim: int | None = None) -> DataFrame:
     """The same image again, the neighbour of what was deleted, or a fresh draw."""
     if same is not None:
         return catalog.filter(F.col("hash") == same).select("hash")
     if deleted is not None:
-        return neighbors.next_after_delete(catalog, deleted).select(F.col("peer").alias("hash")).distinct()
+        return neighbors.next_after_delete(catalog, deleted, block_rows, dim).select(F.col("peer").alias("hash")).distinct()
     return queue_head(catalog, seed)

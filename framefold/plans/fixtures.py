@@ -19,6 +19,7 @@ SEED = "lamp"
 NOW = "2024-03-01 12:00:00"
 MAX_IMAGES = 450
 BLOCK_ROWS = 256  # neighbour joins of the queries: many blocks at every given size
+TREE = {"block_rows": BLOCK_ROWS, "dim": DIM, "broadcast_bytes": 0}  # queries that go through the pivots at every given size
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

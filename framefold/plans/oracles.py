@@ -180,7 +180,7 @@ sql("all_hashes", "images", "select hash from images")
 sql("point_lookup", "catalog", "select hash, rotatemode, flipmode, lastview, hist_len from catalog where vec_id = 7")
 ASKED = f"(select distinct {h('(user_id * 7)::VARCHAR')} as hash from events)"
 sql("vectors_of", "images", f"""select a.hash, coalesce(len(i.vector), 0) as dim,
-    {WEIGHTED.format('i.vector')} as weighted
+    coalesce({WEIGHTED.format('i.vector')}, 0.0) as weighted
 from {ASKED} a left join images i on i.hash = a.hash""")
 sql("contains", "images", f"select a.hash, a.hash in (select hash from images) as known from {ASKED} a")
 sql("lookup_many", "images", f"select hash, label from images where hash in (select hash from {ASKED})")
@@ -239,7 +239,7 @@ from (select setting, avg(d) filter (same) as s, avg(d) filter (not same) as o f
     select setting, i.label = b.label as same, {dist(unit('i.vector[1:setting]'), unit('b.vector[1:setting]'))} as d
     from images i, images b, (values (16), (32), (48), (64)) t(setting) where b.vec_id = 0 and i.vec_id <> 0)
     group by setting)""")
-sql("nearest_neighbors", "near", "select hash, peer, round(d, 4) as distance from near")
+sql("nearest_neighbors", "near", "select hash, peer, d as distance from near")
 sql("neighbor_drift", "near", f"""select n.hash, n.peer, abs(n.d - o.d) >= 1e-4 as moved,
     case when abs(n.d - o.d) >= 1e-4 then printf('%.4f', round(o.d, 4)) || ' → ' else '' end || printf('%.4f', round(n.d, 4)) as message
 from near n join (select a.hash, min(round({dist('a.v', 'b.v')}, 6)) as d
@@ -250,15 +250,15 @@ PARTNERS = f"""select hash_x, hash_y, d from (select q.hash as hash_x, c.hash as
     row_number() over (partition by q.hash order by round({dist('q.vector', 'c.vector')}, 6), c.hash) as rn5
     from (%s) q join (%s) c on c.hist_len = q.hist_len and c.hash <> q.hash
     left join edges e on e.hash = q.hash and e.peer = c.hash where e.hash is null) where rn5 = 1"""
-sql("review_partner", "catalog", f"""select c.hash as hash_x, p.hash_y, round(p.d, 4) as distance
+sql("review_partner", "catalog", f"""select c.hash as hash_x, p.hash_y, p.d as distance
 from catalog c left join ({PARTNERS % ('from catalog', 'from catalog')}) p on p.hash_x = c.hash""")
 sql("unseen_pairs", "edges", """select distinct hash_x as hash, hash_y as peer from reviews r
 where action = 'offer' and hash_x <> hash_y
     and not exists (select 1 from edges e where e.hash = r.hash_x and e.peer = r.hash_y)""")
-sql("closest_to_deleted", "after", "select hash, peer, round(d, 4) as distance from after")
+sql("closest_to_deleted", "after", "select hash, peer, d as distance from after")
 ALIVE = "from catalog where hash not in (select hash from gone)"
 sql("partners_after_delete", "catalog after", f"""select a.hash as deleted, a.peer as hash_x, p.hash_y,
-    round(p.d, 4) as distance from after a left join ({PARTNERS % (ALIVE, ALIVE)}) p on p.hash_x = a.peer""")
+    p.d as distance from after a left join ({PARTNERS % (ALIVE, ALIVE)}) p on p.hash_x = a.peer""")
 
 # ---------------------------------------------------------------- consistency
 sql("differences", "images", """select hash, case label when 7 then 'left' else 'right' end as side

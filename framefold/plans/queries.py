@@ -319,7 +319,7 @@ def least_scored(spark, sf_dir):
 
 @query
 def closest_pair(spark, sf_dir):
-    return sampler.closest_pair(neighbors.nearest_neighbors(fx.images(spark, sf_dir), fx.BLOCK_ROWS, fx.DIM))
+    return sampler.closest_pair(neighbors.nearest_neighbors(fx.images(spark, sf_dir), **fx.TREE))
 
 
 @query
@@ -341,7 +341,7 @@ def next_x(spark, sf_dir):
     same = sampler.least_scored(catalog).first()["hash"]
     return (sampler.next_x(catalog, fx.SEED).select(F.lit("draw").alias("policy"), "hash")
             .unionByName(sampler.next_x(catalog, fx.SEED, same=same).select(F.lit("same").alias("policy"), "hash"))
-            .unionByName(sampler.next_x(catalog, fx.SEED, deleted=deleted)
+            .unionByName(sampler.next_x(catalog, fx.SEED, deleted=deleted, block_rows=fx.BLOCK_ROWS, dim=fx.DIM)
                          .select(F.lit("deleted").alias("policy"), "hash")))
 
 
@@ -397,8 +397,7 @@ def separation(spark, sf_dir):
 
 @query
 def nearest_neighbors(spark, sf_dir):
-    return neighbors.nearest_neighbors(fx.images(spark, sf_dir), fx.BLOCK_ROWS, fx.DIM).select(
-        "hash", "peer", F.round("distance", 4).alias("distance"))
+    return neighbors.nearest_neighbors(fx.images(spark, sf_dir), fx.BLOCK_ROWS, fx.DIM)
 
 
 @query
@@ -406,13 +405,12 @@ def neighbor_drift(spark, sf_dir):
     """The stored neighbours come from the first 48 values of every vector."""
     images = fx.images(spark, sf_dir)
     short = images.withColumn("vector", vectors.normalize(F.slice("vector", 1, 48)))
-    return neighbors.neighbor_drift(neighbors.nearest_neighbors(short, fx.BLOCK_ROWS, 48), neighbors.nearest_neighbors(images, fx.BLOCK_ROWS, fx.DIM))
+    return neighbors.neighbor_drift(neighbors.nearest_neighbors(short, **{**fx.TREE, "dim": 48}), neighbors.nearest_neighbors(images, **fx.TREE))
 
 
 @query
 def review_partner(spark, sf_dir):
-    partners = neighbors.review_partners(*fx.stored(spark, sf_dir), block_rows=fx.BLOCK_ROWS, dim=fx.DIM)
-    return partners.select("hash_x", "hash_y", F.round("distance", 4).alias("distance"))
+    return neighbors.review_partners(*fx.stored(spark, sf_dir), block_rows=fx.BLOCK_ROWS, dim=fx.DIM)
 
 
 @query
@@ -427,7 +425,7 @@ def closest_to_deleted(spark, sf_dir):
     images = fx.images(spark, sf_dir)
     gone = reviews.tombstones(fx.reviews(spark, sf_dir))
     deleted = materialize(images.join(gone, "hash").select("hash", "vector"))
-    return neighbors.next_after_delete(images, deleted, fx.BLOCK_ROWS, fx.DIM).select("hash", "peer", F.round("distance", 4).alias("distance"))
+    return neighbors.next_after_delete(images, deleted, fx.BLOCK_ROWS, fx.DIM)
 
 
 @query
@@ -435,8 +433,8 @@ def partners_after_delete(spark, sf_dir):
     gone = reviews.tombstones(fx.reviews(spark, sf_dir))
     catalog, edges = fx.stored(spark, sf_dir)
     deleted = materialize(catalog.join(gone, "hash").select("hash", "vector"))
-    return reviews.partners_after_delete(catalog, edges, deleted).select(
-        "deleted", "hash_x", "hash_y", F.round("distance", 4).alias("distance"))
+    return reviews.partners_after_delete(catalog, edges, deleted, **fx.TREE).select(
+        "deleted", "hash_x", "hash_y", "distance")
 
 
 # ---------------------------------------------------------------- consistency

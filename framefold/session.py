@@ -83,6 +83,13 @@ def materialize(df: DataFrame, lasting: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``materialize``, and the number of rows, observed while they are written."""
+    watched = Observation()
+    table = materialize(df.observe(watched, F.count(F.lit(1)).alias("rows")))
+    return table, watched.get.get("rows", 0)
+
+
 def hot_keys(left: DataFrame, on: str) -> dict:
     """Keys with more than 1/HOT_SHARES of the rows, and over how many salts to deal each: its share of two rounds of tasks.
 

@@ -1,12 +1,22 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from framefold.operators import neighbors
+from framefold.functions import vectors
+from framefold.operators import neighbors, pivot_tree
+from framefold.session import materialize
 
 N, D = 400, 8
 
 
+@pytest.fixture(autouse=True)
+def through_pivots(monkeypatch):
+    """Small tables would be broadcast whole; the tests of that path undo this."""
+    monkeypatch.setattr(neighbors, "BROADCAST_BYTES", 0)
+
+
 @pytest.fixture(scope="module")
 def data(spark):
     rng = np.random.default_rng(1)
@@ -75,6 +85,79 @@ def test_two_sets(spark, data, block_rows, keyed):
     assert found(got) == brute(data, q, c, keyed, data[3] if keyed else set())
 
 
+@pytest.mark.parametrize("keyed", [False, True])
+def test_small_candidates_are_broadcast(spark, data, monkeypatch, keyed):
+    monkeypatch.setattr(neighbors, "BROADCAST_BYTES", 1 << 20)
+    monkeypatch.setattr(pivot_tree, "compare", None)
+    options = {"within": "hist_len", "exclusions": edges(spark, data)} if keyed else {}
+    q, c = range(0, 90), range(70, N)
+    seen = data[3] if keyed else set()
+    assert found(neighbors.nearest(frame(spark, data, q), frame(spark, data, c).repartition(5), dim=D, **options)) == brute(data, q, c, keyed, seen)
+    assert found(neighbors.nearest(frame(spark, data, range(N)), dim=D, **options)) == brute(data, range(N), range(N), keyed, seen)
+    catalog = frame(spark, data, range(N))
+    rows = neighbors.review_partners(catalog, edges(spark, data), dim=D).collect()
+    assert {r.hash_x: (r.distance, r.hash_y) for r in rows if r.hash_y} == brute(data, range(N), range(N), True, data[3])
+
+
+def test_what_does_not_fit_is_not_broadcast(spark, data):
+    c, pairs = frame(spark, data, range(N)).withColumn("key", F.lit("")), edges(spark, data)
+    fits = N * (4 * D + neighbors.PAIR_BYTES)
+    assert neighbors._small_sides(c, None, D, fits)[0].num_rows == N
+    assert neighbors._small_sides(c, None, D, fits - 1) is None
+    assert neighbors._small_sides(c, pairs, D, fits) is None  # more pairs than fit
+    assert neighbors._small_sides(c, pairs, D, 1 << 20)[1].num_rows == len(data[3])
+
+
+def clustered(spark, n, dim=8):
+    """``n`` vectors around n / 500 centres."""
+    noise = [((F.rand(i + 1) - 0.5) * 0.05) for i in range(dim)]
+    middle = [F.cos(F.pmod(F.xxhash64(F.col("id") % max(1, n // 500), F.lit(i)), F.lit(10_000)) / 10_000 * 3.14159) for i in range(dim)]
+    raw = spark.range(n).select(F.lpad(F.col("id").cast("string"), 9, "0").alias("hash"), F.array(*[a + b for a, b in zip(middle, noise)]).alias("v"))
+    return raw.select("hash", F.lit("").alias("key"), vectors.normalize(F.col("v").cast("array<float>")).alias("vector"))
+
+
+def test_leaves_follow_the_table(spark):
+    """Leaves grow like the rows and stay small; compared pairs grow at most like the power 1.5."""
+    block, leaves, pairs = 128, [], []
+    sizes = (10_000, 100_000, 1_000_000)
+    for n in sizes:
+        depth = math.ceil(math.log2(n / block) / 2)
+        rows = materialize(clustered(spark, n)).withColumn("layer", F.lit(depth))
+        tree = pivot_tree.PivotTree(rows, None, pivot_tree.choose_pivots(rows, 1 << depth, 8), block, n)
+        assert len(tree.pivots) <= 2 * math.sqrt(n / block) + 1
+        leaves.append(tree.leaves.count())
+        assert tree.leaves.agg(F.sum("n")).first()[0] == n
+        asked = tree.seeds().where(F.pmod(F.xxhash64("hash"), F.lit(n // 2_000)) == 0)  # a share of the queries, to be scaled up
+        seeds = materialize(pivot_tree.compare([pivot_tree.block_rows(tree.blocks(), 0), pivot_tree.block_rows(asked, 2)], 8, 8))
+        tree.seeds = lambda asked=asked: asked
+        visits = tree.visits(seeds).groupBy("node", "leaf", "block").agg(F.count("*").alias("v"))
+        held = tree.blocks().groupBy("node", "leaf", "block").agg(F.count("*").alias("c"))
+        pairs.append((visits.join(held, ["node", "leaf", "block"]).agg(F.sum(F.col("v") * F.col("c"))).first()[0] + 2_000 * block) * (n / asked.count()))
+    for i in (0, 1):
+        assert 5 < leaves[i + 1] / leaves[i] < 20, leaves
+        assert math.log10(pairs[i + 1] / pairs[i]) < 1.5, pairs
+
+
+def test_a_hub_of_exclusions(spark, monkeypatch):
+    """100,000 exclusions of one image, and no array of hashes in the plans of the comparison."""
+    n = 3_000
+    catalog = clustered(spark, n).withColumn("hist_len", F.lit(1).cast("long"))
+    hub = "000000000"
+    pairs = spark.range(100_000).select(F.lit(hub).alias("hash"), F.lpad((F.col("id") + 1).cast("string"), 9, "0").alias("peer")).where(F.col("peer") != "000002500")
+    plans = []
+    compared = pivot_tree.compare
+
+    def watched(*args):
+        out = compared(*args)
+        plans.append(out._jdf.queryExecution().optimizedPlan().schema().simpleString() + out._jdf.queryExecution().analyzed().toString())
+        return out
+
+    monkeypatch.setattr(pivot_tree, "compare", watched)
+    rows = {r.hash: r.peer for r in neighbors.nearest(materialize(catalog), within="hist_len", exclusions=pairs, block_rows=256, dim=8).collect()}
+    assert rows[hub] == "000002500" and len(rows) == n
+    assert plans and not any("array<string>" in p or "banned" in p for p in plans)
+
+
 def test_one_overlong_vector_does_not_set_the_dimension(spark):
     rows = [("a", [1.0, 0.0]), ("b", [0.8, 0.6]), ("c", [1.0, 0.0, 0.0]), ("d", None)]
     df = spark.createDataFrame(rows, "hash string, vector array<float>")
@@ -117,7 +200,7 @@ def test_vectors_that_are_not_finite(spark):
 
 
 def test_a_block_visited_by_all_is_dealt_over_salts(spark, data, monkeypatch):
-    monkeypatch.setattr(neighbors, "PAIRS_PER_SALT", 1)
+    monkeypatch.setattr(pivot_tree, "BLOCKS_PER_SALT", 0.2)
     assert found(neighbors.nearest(frame(spark, data, range(N)), block_rows=64)) == brute(data, range(N), range(N), False, set())
 
 
