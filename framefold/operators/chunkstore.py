@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from framefold import schemas
 from framefold.functions import media, text
 from framefold.functions.hashing import content_hash
-from framefold.session import spread_work, work_partitions
+from framefold.session import materialize, spread_work, work_partitions
 
 # Fixed values of the stored format.
 KEY_SALT = b"{mex}"
@@ -88,20 +88,47 @@ def _checked(tree: DataFrame, rank: int) -> DataFrame:
     return keyed.select("hash", F.lit(rank).alias("rank"), plain.alias("content")).withColumn("content", _verified(F.col("content")))
 
 
-def _status(best: Column) -> Column:
-    return F.when(best["bad"], "lost").when(best["rank"] == 0, "ok").otherwise("healable")
+def failures(main: DataFrame, backup: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hash, whole) with the number of main copies that verify, and the hashes of either tree that have none.
+
+    Both are narrow and written: verification reads the bytes where they lie and ships a count.
+    """
+    verdicts = materialize(_checked(main, 0).groupBy("hash").agg(F.count("content").alias("whole")))
+    known = verdicts.select("hash").unionByName(backup.select("hash")).distinct()
+    return verdicts, materialize(known.join(verdicts.filter("whole > 0"), "hash", "left_anti"))
+
+
+def rescued(backup: DataFrame, failed: DataFrame) -> DataFrame:
+    """(hash, content) of each failed hash, from a backup that verifies; NULL where none does.
+
+    Only the shards (at most 1,024) that hold a failed hash are read, if the backup knows its shards, and only the
+    bytes of failed hashes are decrypted and shuffled.
+    """
+    rows = backup
+    if "h0" in backup.columns:
+        shards = [r["s"] for r in failed.select(F.substring("hash", 1, 2).alias("s")).distinct().collect()]
+        rows = backup.filter(F.concat("h0", "h1").isin(shards)) if shards else backup.limit(0)
+    held = _checked(rows.join(failed, "hash", "left_semi"), 1).filter(F.col("content").isNotNull())
+    one = held.groupBy("hash").agg(F.first("content").alias("content"))
+    return failed.join(one, "hash", "left")
 
 
 def read_verified(main: DataFrame, backup: DataFrame) -> DataFrame:
     """(hash, content, healed, status), one row per hash: a main copy that verifies, else a backup, else NULL.
 
     ``status`` is ok, healable (only a backup verifies) or lost.  A hash may have several rows in either tree, as
-    after a second write or a repair: any that verifies counts.
+    after a second write or a repair: any that verifies counts.  Verdicts come first; then main copies are read once
+    more and go straight into the result, so that of these only repeated ones are shuffled.
     """
-    rows = _checked(main, 0).unionByName(_checked(backup, 1))
-    best = rows.groupBy("hash").agg(F.min(F.struct(F.col("content").isNull().alias("bad"), "rank", "content")).alias("best"))
-    status = _status(F.col("best"))
-    return best.select("hash", F.col("best.content").alias("content"), (status == "healable").alias("healed"), status.alias("status"))
+    verdicts, failed = failures(main, backup)
+    repeated = verdicts.filter("whole > 1").select("hash")
+    whole = _checked(main, 0).filter(F.col("content").isNotNull()).select("hash", "content")
+    if not repeated.isEmpty():
+        again = whole.join(repeated, "hash", "left_semi").groupBy("hash").agg(F.first("content").alias("content"))
+        whole = whole.join(repeated, "hash", "left_anti").unionByName(again)
+    good = whole.select("hash", "content", F.lit(False).alias("healed"), F.lit("ok").alias("status"))
+    found = F.col("content").isNotNull()
+    return good.unionByName(rescued(backup, failed).select("hash", "content", found.alias("healed"), F.when(found, "healable").otherwise("lost").alias("status")))
 
 
 def audit(main: DataFrame, backup: DataFrame) -> DataFrame:
@@ -109,12 +136,14 @@ def audit(main: DataFrame, backup: DataFrame) -> DataFrame:
     rows = _checked(main, 0).unionByName(_checked(backup, 1))
     facts = rows.select("hash", F.struct(F.col("content").isNull().alias("bad"), "rank").alias("best"))
     best = facts.groupBy("hash").agg(F.min("best").alias("best"))
-    return best.groupBy(_status(F.col("best")).alias("status")).agg(F.count("*").alias("chunks"))
+    status = F.when(F.col("best.bad"), "lost").when(F.col("best.rank") == 0, "ok").otherwise("healable")
+    return best.groupBy(status.alias("status")).agg(F.count("*").alias("chunks"))
 
 
 def heal(main: DataFrame, backup: DataFrame, main_path: str, backup_path: str) -> None:
     """Chunks of which only the backup verifies are written to both trees again, as a batch of their own."""
-    write_chunks(encrypt_chunks(read_verified(main, backup).filter("healed")), main_path, backup_path)
+    _, failed = failures(main, backup)
+    write_chunks(encrypt_chunks(rescued(backup, failed).filter(F.col("content").isNotNull())), main_path, backup_path)
 
 
 def sharded(chunks: DataFrame) -> DataFrame:

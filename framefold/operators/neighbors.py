@@ -294,6 +294,20 @@ def partner_of(catalog: DataFrame, edges: DataFrame, hash_x: str) -> DataFrame:
     return near.join(x.select(F.col("hash").alias("hash_x")), "hash_x", "left_semi")
 
 
+def head_partners(catalog: DataFrame, edges: DataFrame, heads: DataFrame) -> DataFrame:
+    """J3 for ``heads`` (hash), at most one per history size: (hash_x, hash_y, distance), NULL where there is no partner.
+
+    Every image meets the one head of its stratum, so the search is linear; distances are reduced where they are computed.
+    """
+    asked = materialize(catalog.join(heads.select("hash"), "hash", "left_semi")
+                        .select(F.col("hash").alias("hash_x"), "hist_len", F.col("vector").alias("_q")))
+    met = spread_join(catalog.select("hash", "hist_len", "vector"), asked, "hist_len", "hash", "inner").filter(F.col("hash") != F.col("hash_x"))
+    seen = edges.select(F.col("hash").alias("hash_x"), F.col("peer").alias("hash")).join(asked.select("hash_x"), "hash_x", "left_semi")
+    near = F.struct(F.round(vectors.distance(F.col("vector"), F.col("_q")), 6).alias("distance"), F.col("hash"))
+    best = met.join(seen, ["hash_x", "hash"], "left_anti").groupBy("hash_x").agg(F.min(near).alias("near"))
+    return asked.select("hash_x").join(best, "hash_x", "left").select("hash_x", F.col("near.hash").alias("hash_y"), F.col("near.distance").alias("distance"))
+
+
 def unseen(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Drop proposed pairs (hash, peer) that were compared before."""
     return pairs.join(edges.select("hash", "peer"), ["hash", "peer"], "left_anti")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,28 +15,44 @@ from framefold.functions.hashing import HASH_ALPHABET
 from framefold.session import spread_join
 
 
+def _sides(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(hash, side) of the hashes on one side only: a tagged union and one combined aggregate, so one shuffle."""
+    tagged = left.select("hash", F.lit(1).alias("_bit")).unionByName(right.select("hash", F.lit(2).alias("_bit")))
+    both = tagged.groupBy("hash").agg(F.bit_or("_bit").alias("_on"))
+    return both.filter(F.col("_on") < 3).select("hash", F.when(F.col("_on") == 1, "left").otherwise("right").alias("side"))
+
+
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Hashes on one side only, with the side."""
-    a = left.select("hash", F.lit(True).alias("_l"))
-    b = right.select("hash", F.lit(True).alias("_r"))
-    return (a.join(b, "hash", "full_outer").filter(F.col("_l").isNull() | F.col("_r").isNull())
-            .select("hash", F.when(F.col("_r").isNull(), "left").otherwise("right").alias("side")))
+    return _sides(left, right)
+
+
+def _smallest(sample: int):
+    """One row per side and task: how many hashes, and the ``sample`` smallest of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        missing, heads = {"left": 0, "right": 0}, {"left": [], "right": []}
+        for batch in batches:
+            for side in missing:
+                own = batch["hash"].filter(pc.equal(batch["side"], side))
+                missing[side] += len(own)
+                some = own if len(own) <= sample else own.take(pc.select_k_unstable(own, sample, [("", "ascending")]))
+                heads[side] = sorted(heads[side] + some.to_pylist())[:sample]
+        yield pa.RecordBatch.from_arrays([pa.array(list(missing)), pa.array(list(missing.values()), pa.int64()),
+                                          pa.array(list(heads.values()), pa.list_(pa.string()))], names=["side", "missing", "heads"])
+
+    return run
 
 
 def reconcile(left: DataFrame, right: DataFrame, sample: int = 5) -> DataFrame:
     """Per side the number of one-sided hashes and the first few of them.
 
-    The counts are a combined aggregate and the samples two bounded top-k, so no side is gathered in one task.
+    Each task reduces its part to two rows, so after the shuffle of the hashes only ``sample`` names per task travel.
     """
-    diff = differences(left, right)
-    counts = diff.groupBy("side").agg(F.count("*").alias("missing"))
-    heads = None
-    for side in ("left", "right"):
-        head = (diff.filter(F.col("side") == side).orderBy("hash").limit(sample)
-                .agg(F.array_join(F.sort_array(F.collect_list("hash")), " ").alias("sample"))
-                .select(F.lit(side).alias("side"), "sample"))
-        heads = head if heads is None else heads.unionByName(head)
-    return heads.join(counts, "side", "left").select("side", F.coalesce("missing", F.lit(0)).alias("missing"), "sample")
+    parts = _sides(left, right).filter(F.col("hash").isNotNull()).mapInArrow(_smallest(sample), "side string, missing long, heads array<string>")
+    first = F.slice(F.array_sort(F.flatten(F.collect_list("heads"))), 1, sample)
+    found = parts.groupBy("side").agg(F.sum("missing").alias("missing"), F.array_join(first, " ").alias("sample"))
+    both = left.sparkSession.createDataFrame([("left",), ("right",)], "side string")
+    return both.join(F.broadcast(found), "side", "left").select("side", F.coalesce("missing", F.lit(0)).alias("missing"), F.coalesce("sample", F.lit("")).alias("sample"))
 
 
 def bad_vectors(catalog: DataFrame, dim: int) -> DataFrame:

@@ -6,13 +6,19 @@ Events: (event_id, ts, action, hash_x, hash_y, rotatemode, flipmode) with action
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framefold.functions import vectors
+from framefold.functions.hashing import seeded_draw
 from framefold.operators import neighbors, sampler, snapshot, stats
 from framefold.session import materialize, spread_join
 
+# (hash, rotatemode, flipmode) to (hash, vector) of the turned pixels
+Reembed = Callable[[DataFrame], DataFrame]
+
 
 def confirm_edges(events: DataFrame) -> DataFrame:
     """Both directions of every confirmed pair with the latest time; an image is no peer of itself.
@@ -81,59 +87,63 @@ def orientations(events: DataFrame) -> DataFrame:
             .select("hash", "turned.rotatemode", "turned.flipmode"))
 
 
-def next_catalog(catalog: DataFrame, edges: DataFrame, events: DataFrame) -> DataFrame:
-    """E6, rows: deleted images leave; the rest gets view times, orientations and recounted history sizes."""
+def next_catalog(catalog: DataFrame, merged: DataFrame, events: DataFrame, reembed: Reembed | None = None) -> DataFrame:
+    """E6, rows: deleted images leave; the rest gets view times, orientations and recounted history sizes.
+
+    ``merged`` has the old and new edges.  With ``reembed`` a turned image gets the vector of its turned pixels (M5).
+    """
     changes = image_changes(events)
-    sizes = merge_edges(edges, confirm_edges(events)).groupBy("hash").agg(F.count("*").alias("_size"))
+    sizes = merged.groupBy("hash").agg(F.count("*").alias("_size"))
     joined = (catalog.withColumnRenamed("lastview", "_seen")
               .withColumnRenamed("rotatemode", "_rotate").withColumnRenamed("flipmode", "_flip")
               .join(changes, "hash", "left").filter(F.col("deleted_at").isNull())
               .join(sizes, "hash", "left"))
-    return (joined.withColumn("lastview", F.greatest("lastview", "_seen"))
-            .withColumn("rotatemode", F.coalesce("turned.rotatemode", "_rotate"))
-            .withColumn("flipmode", F.coalesce("turned.flipmode", "_flip"))
-            .withColumn("hist_len", F.coalesce("_size", "hist_len")).select(*catalog.columns))
-
-
-def next_edges(catalog: DataFrame, edges: DataFrame, events: DataFrame) -> DataFrame:
+    out = (joined.withColumn("lastview", F.greatest("lastview", "_seen"))
+           .withColumn("rotatemode", F.coalesce("turned.rotatemode", "_rotate"))
+           .withColumn("flipmode", F.coalesce("turned.flipmode", "_flip"))
+           .withColumn("hist_len", F.coalesce("_size", "hist_len")))
+    if reembed is None:
+        return out.select(*catalog.columns)
+    moved = ~(F.col("rotatemode").eqNullSafe(F.col("_rotate")) & F.col("flipmode").eqNullSafe(F.col("_flip")))
+    turned = materialize(out.filter(moved).select("hash", "rotatemode", "flipmode"))
+    fresh = reembed(turned).select("hash", F.col("vector").alias("_fresh"))
+    return out.join(fresh, "hash", "left").withColumn("vector", F.coalesce("_fresh", "vector")).select(*catalog.columns)
+
+
+def next_edges(catalog: DataFrame, merged: DataFrame, events: DataFrame) -> DataFrame:
     """E6, history: old and new edges of the images that stay.
 
     A deleted image takes its own edges along; edges that point to it stay, and V3 reports them.
     """
     staying = catalog.select("hash").join(tombstones(events), "hash", "left_anti")
-    merged = materialize(merge_edges(edges, confirm_edges(events)))
     return spread_join(merged, staying, "hash", "peer", "left_semi")
 
 
-def apply_events(catalog: DataFrame, edges: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Catalog + events -> next (catalog, edges).
+def apply_events(catalog: DataFrame, edges: DataFrame, events: DataFrame, reembed: Reembed | None = None) -> tuple[DataFrame, DataFrame]:
+    """Catalog + events -> next (catalog, edges).  Edges are merged once, for both.
 
     Applying the same batch again changes nothing; batches are applied in order of time.
     """
-    return next_catalog(catalog, edges, events), next_edges(catalog, edges, events)
+    merged = materialize(merge_edges(edges, confirm_edges(events)))
+    return next_catalog(catalog, merged, events, reembed), next_edges(catalog, merged, events)
 
 
 def review_step(catalog: DataFrame, edges: DataFrame, readable: DataFrame, seed: str, max_images: int,
                 now: str) -> tuple[DataFrame, DataFrame]:
     """E5: one step for the drawn image: (hash_x, hash_y, distance, status), and the tombstone list.
 
-    Strata picks are tried in draw order until one has a partner, usually the first; if none has, the first keeps NULL.
+    Of the strata's picks the first in draw order that has a partner is shown; if none has, the first keeps NULL.  The
+    partners of all picks come from one pass.
     Rows whose payload cannot be read are listed for deletion and neither drawn nor offered; nothing is deleted
     here.  Rows without a usable vector (``snapshot`` and J9 fill them in) are neither drawn nor offered either.
     """
     lost = catalog.select("hash").join(readable.select("hash"), "hash", "left_anti")
     seen = catalog.filter(~vectors.needs_vector(F.col("vector"), F.size("vector")))
-    usable = seen.join(readable.select("hash"), "hash", "left_semi")
-    heads = sampler.draw_order(sampler.stratum_picks(sampler.oldest_tenth(usable), seed), seed)
-    chosen = None
-    for head in heads.toLocalIterator():
-        partner = neighbors.partner_of(usable, edges, head["hash"])
-        found = partner.first()
-        if chosen is None or found["hash_y"] is not None:
-            chosen = partner
-        if found["hash_y"] is not None:
-            break
-    chosen = neighbors.partner_of(usable, edges, "") if chosen is None else chosen
+    usable = materialize(seen.join(readable.select("hash"), "hash", "left_semi"))
+    heads = sampler.stratum_picks(sampler.oldest_tenth(usable), seed)
+    partners = neighbors.head_partners(usable, edges, heads)
+    turn = F.struct(F.col("hash_y").isNull(), seeded_draw(F.col("hash_x"), seed, "outer"), "hash_x", "hash_y", "distance")
+    chosen = partners.agg(F.min(turn).alias("first")).filter(F.col("first").isNotNull()).select("first.hash_x", "first.hash_y", "first.distance")
     step = stats.status(usable, max_images, now, chosen.withColumnRenamed("hash_x", "hash"))
     return step.withColumnRenamed("hash", "hash_x"), lost
 

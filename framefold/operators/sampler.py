@@ -14,14 +14,14 @@ from framefold.functions import clock
 from framefold.functions.hashing import seeded_draw
 from framefold.operators import neighbors
 
-BUCKETS = 1024
+BUCKETS = 1 << 16  # counters that reach the driver in one pass
 
 
 def rank_cutoff(catalog: DataFrame, k: Callable[[int], int]) -> tuple[int, str] | None:
     """(lastview micros, hash) of row number ``k(rows)`` in (lastview, hash) order, without sorting the table.
 
-    Each pass counts rows in 1024 buckets of the range that still holds row k, so the driver sees at most 1024
-    counters; the range narrows a thousandfold per pass, down to one row or one instant.  Inside one instant the search
+    Each pass counts rows in BUCKETS parts of the range that still holds row k, so the driver sees at most as many
+    counters; the range narrows by that factor per pass, down to one row or one instant.  Inside one instant the search
     goes on over hash prefixes.
     """
     micros = clock.micros_of(F.col("lastview"))
@@ -78,11 +78,6 @@ def queue_head(catalog: DataFrame, seed: str) -> DataFrame:
             .select(F.col("pick.hash").alias("hash")))
 
 
-def draw_order(picks: DataFrame, seed: str) -> DataFrame:
-    """All stratum picks in the order they are drawn; one row per history size."""
-    return picks.select(seeded_draw(F.col("hash"), seed, "outer").alias("draw"), "hash").orderBy("draw", "hash").select("hash")
-
-
 def stalest_checked(checks: DataFrame) -> DataFrame:
     """T4: smallest ``lastcheck``."""
     return checks.select("hash", "lastcheck").orderBy("lastcheck", "hash").limit(1)

@@ -308,7 +308,7 @@ step_tenth = CTE["tenth"].replace("from catalog", "from usable")
 CTE["usable_tenth"], NEEDS["usable_tenth"] = step_tenth.replace("tenth as", "usable_tenth as", 1), ["usable"]
 CTE["usable_picks"] = CTE["picks"].replace("picks as", "usable_picks as", 1).replace("from tenth", "from usable_tenth")
 NEEDS["usable_picks"] = ["usable_tenth"]
-sql("review_step", "usable_picks", f"""select u.hash as hash_x, p.hash_y, round(p.d, 4) as distance,
+sql("review_step", "usable_picks", f"""select u.hash as hash_x, p.hash_y, p.d as distance,
     {COUNTS.replace('catalog', 'usable')} || ' [' || {age(SECONDS)} || ' ago]' || coalesce(' ' || printf('%.4f', round(p.d, 4)), '') as status
 from usable u left join ({PARTNERS % ('from usable', 'from usable')}) p on p.hash_x = u.hash
 where u.hash = {HEAD.replace('picks', 'usable_picks')}""")

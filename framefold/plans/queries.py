@@ -524,13 +524,13 @@ def _before(spark, sf_dir) -> DataFrame:
 @query
 def apply_events(spark, sf_dir):
     none = fx.edges(spark, sf_dir).limit(0)
-    return reviews.next_catalog(_before(spark, sf_dir), none, fx.reviews(spark, sf_dir)).drop("vector")
+    return reviews.apply_events(_before(spark, sf_dir), none, fx.reviews(spark, sf_dir))[0].drop("vector")
 
 
 @query
 def apply_events_edges(spark, sf_dir):
     none = fx.edges(spark, sf_dir).limit(0)
-    return reviews.next_edges(_before(spark, sf_dir), none, fx.reviews(spark, sf_dir))
+    return reviews.apply_events(_before(spark, sf_dir), none, fx.reviews(spark, sf_dir))[1]
 
 
 @query
@@ -557,7 +557,7 @@ def snapshot_delete(spark, sf_dir):
 def review_step(spark, sf_dir):
     readable = fx.images(spark, sf_dir).filter("label <> 6")
     step, _ = reviews.review_step(*fx.stored(spark, sf_dir), readable, fx.SEED, fx.MAX_IMAGES, fx.NOW)
-    return step.select("hash_x", "hash_y", F.round("distance", 4).alias("distance"), "status")
+    return step.select("hash_x", "hash_y", "distance", "status")
 
 
 @query

@@ -254,6 +254,21 @@ def test_a_hash_counts_once_after_rewrites_and_repairs(spark, tmp_path):
     assert counts() == {"ok": 3}
 
 
+def test_whole_main_copies_are_not_shuffled(spark, tmp_path):
+    """Only failed hashes' bytes pass an exchange, and only their shards of the backup are read."""
+    bodies = [b"some bytes of payload %03d" % i for i in range(40)]
+    main, backup = str(tmp_path / "main"), str(tmp_path / "backup")
+    chunkstore.write_chunks(chunkstore.encrypt_chunks(payloads(spark, bodies)), main, backup)
+    bad = python_hash(bodies[7])
+    trees = chunkstore.read_chunks(spark, main).filter(F.col("hash") != bad), chunkstore.read_chunks(spark, backup)
+    read = chunkstore.read_verified(*trees)
+    whole, rescue = (str(read._jdf.queryExecution().optimizedPlan().children().apply(i)) for i in (0, 1))
+    assert not any(node in whole for node in ("Join", "Aggregate", "Repartition"))  # read, decrypted, passed on
+    assert f"IN ({bad[:2]})" in rescue or f"= {bad[:2]})" in rescue, rescue
+    rows = {r["hash"]: (r.status, bytes(r.content)) for r in read.collect()}
+    assert rows == {python_hash(b): ("healable" if python_hash(b) == bad else "ok", b) for b in bodies}
+
+
 def test_audit_shuffles_no_content(spark):
     rows = spark.createDataFrame([("a" * 16, bytearray(b"x" * 40))], "hash string, content binary")
     plan = chunkstore.audit(rows, rows)._jdf.queryExecution().executedPlan().toString()
