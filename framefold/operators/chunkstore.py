@@ -212,18 +212,3 @@ def export_plan(selection: DataFrame, readable: DataFrame, now: str) -> DataFram
     ext = media.file_type(F.col("content"))
     named = chosen.withColumn("_copy", F.explode(F.sequence(F.lit(0), (F.col("_times") - 1).cast("int"))))
     return named.select("hash", text.dated_name(at, F.col("hash"), ext, F.col("_copy")).alias("name"), "content")
-
-
-def write_files(exported: DataFrame, root: str) -> None:
-    """Write each payload as a file below ``root`` (a folder all executors share); rerun tasks rewrite the same file."""
-
-    def save(rows):
-        for row in rows:
-            target = os.path.join(root, row["name"])
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            part = f"{target}.{os.getpid()}.part"
-            with open(part, "wb") as out:
-                out.write(row["content"])
-            os.replace(part, target)
-
-    exported.select("name", "content").foreachPartition(save)

@@ -6,13 +6,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framefold.functions import clock
 from framefold.functions.hashing import content_hash
 from framefold.operators import reviews as review_fold
-from framefold.session import materialize, spread_work
+from framefold.session import materialize, shared_dir, spread_work
 
 DIM = 64
 SEED = "lamp"
@@ -105,9 +107,38 @@ def catalogued(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg((F.max("toxic") == 0).alias("chunk_ok")))
 
 
-def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each distinct payload shown as a square picture: its bytes, zero-padded to 3 * side * side."""
+def as_pictures(payload: DataFrame) -> DataFrame:
+    """(hash, content) shown as square pictures: the bytes, zero-padded to 3 * side * side."""
     side = F.greatest(F.lit(1), F.ceil(F.sqrt(F.length("content") / 3)).cast("int"))
     padded = F.rpad(F.col("content"), side * side * 3, F.lit(b"\x00"))
-    return spread_work(payloads(spark, sf_dir), "hash").select("hash", side.alias("height"), side.alias("width"),
-                                                               F.lit(3).alias("nChannels"), padded.alias("data"))
+    return spread_work(payload, "hash").select("hash", side.alias("height"), side.alias("width"),
+                                               F.lit(3).alias("nChannels"), padded.alias("data"))
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct payload as a picture."""
+    return as_pictures(payloads(spark, sf_dir))
+
+
+def little_endian(number: F.Column) -> F.Column:
+    """Four bytes of an integer, lowest first."""
+    digits = F.right(F.lpad(F.hex(number.cast("long")), F.lit(16), F.lit("0")), F.lit(8))
+    return F.unhex(F.concat(*[F.substring(digits, i, 2) for i in (7, 5, 3, 1)]))
+
+
+def bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, content): each payload as a 24-bit bitmap file, rows from the top; those whose hash starts with 0 are junk."""
+    side = (F.greatest(F.lit(1), F.ceil(F.sqrt(F.length("content") / 3) / 4)) * 4).cast("int")
+    size = side * side * 3
+    head = F.concat(F.lit(b"BM"), little_endian(size + 54), little_endian(F.lit(0)), little_endian(F.lit(54)), little_endian(F.lit(40)),
+                    little_endian(side), little_endian(-side), F.unhex(F.lit("01001800")), little_endian(F.lit(0)), little_endian(size),
+                    *[little_endian(F.lit(0))] * 4)
+    body = F.rpad(F.col("content"), size, F.lit(b"\x00"))
+    return payloads(spark, sf_dir).select(
+        F.concat(F.substring("hash", 1, 1), F.lit("/"), F.col("hash"), F.lit(".bmp")).alias("name"),
+        F.when(F.col("hash").startswith("0"), F.col("content")).otherwise(F.concat(head, body)).alias("content"))
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"

@@ -361,22 +361,78 @@ sql("export_plan", "payloads known", f"""select p.hash, strftime(timestamp '{NOW
 sql("legacy_roundtrip", "payloads", """select hash, (bytes // 16 + 1) * 16 as sealed_bytes, sha256(text) as sha256
 from payloads""")
 TURN = "('0x' || substring(md5(hash), 1, 4))::BIGINT"
-sql("embed_images", "payloads", f"select hash, {DIM} as dim, 1.0::DOUBLE as norm from payloads")
-sql("reorient", "payloads", f"""select hash, ({TURN} % 4 * 90)::INT as rotatemode, ({TURN} % 3)::INT as flipmode, {DIM} as dim
-from payloads""")
-CORNERS = f"""(select hash, n, text, case r when 1 then n - 1 when 2 then n - 1 else 0 end as y1, case when r >= 2 then n - 1 else 0 end as x1,
-    case when r >= 2 then n - 1 else 0 end as y2, case r when 0 then n - 1 when 3 then n - 1 else 0 end as x2, flip
-from (select hash, text, greatest(1, ceil(sqrt(bytes / 3.0)))::BIGINT as n, {TURN} % 4 as r, {TURN} % 3 as flip from payloads))"""
-
-
-def at(y: str, x: str) -> str:
-    """Bytes of a pixel before flip and turn; the payload is zero-padded to the square."""
-    place = f"3 * ((case flip when 2 then n - 1 - {y} else {y} end) * n + (case flip when 1 then n - 1 - {x} else {x} end))"
-    return f"rpad(hex(encode(text)[({place} + 1):({place} + 3)]), 6, '0')"
-
-
-sql("orient_pixels", "payloads", f"""select hash, n::INT as height, n::INT as width, {at('y1', 'x1')} as left_corner,
-    {at('y2', 'x2')} as right_corner from {CORNERS}""")
-sql("vector_drift", "payloads", f"""select hash, case when hash < 'a' then 0.0::DOUBLE end as distance from payloads
-order by md5(hash || '{SEED}'), hash limit 10""")
-sql("backfill", "payloads", f"select hash, {DIM} as dim from payloads")
+sql("ingest_capped", "clocked", "select path, outcome from clocked where before < 100")
+
+
+def byte(place: str) -> str:
+    """A byte of the payload as a number; the payload is zero-padded."""
+    return f"coalesce(('0x' || nullif(hex(body[({place} + 1):({place} + 1)]), ''))::INT, 0)"
+
+
+def old(y: str, x: str) -> str:
+    """Place of a pixel before flip and turn."""
+    row = f"case r when 0 then {y} when 1 then n - 1 - {x} when 2 then n - 1 - {y} else {x} end"
+    column = f"case r when 0 then {x} when 1 then {y} when 2 then n - 1 - {x} else n - 1 - {y} end"
+    return (f"3 * ((case flip when 2 then n - 1 - ({row}) else {row} end) * n"
+            f" + (case flip when 1 then n - 1 - ({column}) else {column} end))")
+
+
+CTE["squares"], NEEDS["squares"] = f"""squares as (select hash, encode(text) as body, greatest(1, ceil(sqrt(bytes / 3.0)))::BIGINT as n,
+    {TURN} % 4 as r, {TURN} % 3 as flip from payloads)""", ["payloads"]
+CHANNELS = [("2", "0.485", "0.229"), ("1", "0.456", "0.224"), ("0", "0.406", "0.225")]  # place in the pixel, mean, deviation
+
+
+def top_row(name: str, turned: bool) -> str:
+    """Unit vectors of the channel means of the top row, in the model's single precision."""
+    r, flip = ("r", "flip") if turned else ("0", "0")
+    means = ", ".join(f"(sum((({byte(f'p + {at}')}::FLOAT / 255::FLOAT - {mean}::FLOAT) / {dev}::FLOAT)::DOUBLE) / n)::FLOAT as m{i}"
+                      for i, (at, mean, dev) in enumerate(CHANNELS))
+    length = "sqrt(m0::DOUBLE * m0 + m1::DOUBLE * m1 + m2::DOUBLE * m2)"
+    units = ", ".join(f"(m{i}::DOUBLE / {length})::FLOAT as u{i}" for i in range(3))
+    return f"""{name} as (select hash, {units} from (select hash, {means}
+    from (select hash, body, n, {old('0', 'x')} as p from (select hash, body, n, {r} as r, {flip} as flip, unnest(range(n)) as x from squares))
+    group by hash, n))"""
+
+
+CTE["plain"], NEEDS["plain"] = top_row("plain", False), ["squares"]
+CTE["turned"], NEEDS["turned"] = top_row("turned", True), ["squares"]
+SHOWN = f"{DIM} as dim, " + ", ".join(f"round(u{i}::DOUBLE, 4) as v{i}" for i in range(3)) + ", 0.0::DOUBLE as v3"
+MODES = f"({TURN} % 4 * 90)::INT as rotatemode, ({TURN} % 3)::INT as flipmode"
+sql("embed_images", "plain", f"select hash, {SHOWN} from plain")
+sql("reorient", "turned", f"select hash, {MODES}, {SHOWN} from turned")
+# A picture whose modes stay 0 keeps its vector, which is NULL for hashes from a on.
+sql("apply_orientations", "turned", f"""select hash, {MODES}, case when stays then null else dim end as dim, case when stays then null else v0 end as v0,
+    case when stays then null else v1 end as v1, case when stays then null else v2 end as v2, case when stays then null else v3 end as v3
+from (select hash, {TURN} % 4 = 0 and {TURN} % 3 = 0 and hash >= 'a' as stays, {SHOWN} from turned)""")
+sql("backfill", "plain turned", f"""select hash, {SHOWN} from turned where hash < 'a'
+union all select hash, {SHOWN} from plain where hash >= 'a'""")
+sql("vector_drift", "plain turned", f"""select t.hash, case when t.hash < 'a' then round(greatest(0.0::DOUBLE, least(1.0::DOUBLE,
+    1 - (t.u0::DOUBLE * p.u0 + t.u1::DOUBLE * p.u1 + t.u2::DOUBLE * p.u2))), 6) end as distance
+from turned t join plain p on p.hash = t.hash order by md5(t.hash || '{SEED}'), t.hash limit 10""")
+sql("orient_pixels", "squares", f"""select hash, n::INT as height, n::INT as width, sha256(unhex(string_agg(px, '' order by y, x))) as sha256
+from (select hash, n, y, x, rpad(hex(body[(p + 1):(p + 3)]), 6, '0') as px
+    from (select hash, n, body, y, x, {old('y', 'x')} as p
+        from (select hash, n, body, r, flip, y, unnest(range(n)) as x from (select *, unnest(range(n)) as y from squares))))
+group by hash, n""")
+GAP = " + ".join(f"power({byte(f'a + {i}')} - {byte(f'b + {i}')}, 2)" for i in range(3))
+DIMMED = " || ".join(f"printf('%02X', {byte(f'a + {i}')} // 5)" for i in range(3))
+sql("pixel_difference", "squares", f"""select hash as hash_x, hash || 'm' as hash_y, round(avg(moved::INT), 6) as changed, n::INT as height, n::INT as width,
+    sha256(unhex(string_agg(case when moved then 'FFFFFF' else dimmed end, '' order by y, x))) as sha256
+from (select hash, n, y, x, {GAP} >= 2500 as moved, {DIMMED} as dimmed
+    from (select hash, n, body, y, x, 3 * (y * n + x) as a, 3 * (y * n + n - 1 - x) as b
+        from (select *, unnest(range(n)) as x from (select *, unnest(range(n)) as y from squares))))
+group by hash, n""")
+
+# ---------------------------------------------------------------- files
+sql("scan_files", "docs", """select row_number() over (order by contains(name, '/'), case when contains(name, '/') then split_part(name, '/', 1) else '' end, name) - 1 as position,
+    name, bytes as size, sha256(text) as sha256
+from (select *, case when lang = 'en' then '' else lang || '/' || source || '/' end || ['', '.', '_', 'raw'][1 + doc_id % 4] || doc_id || '.TXT' as name
+      from docs where doc_id % 10 <> 9 and bytes >= 16)""")
+sql("export_files", "payloads known", f"""select strftime(timestamp '{NOW}', '%Y-%m-%d/%H%M%S.') || p.hash || '.xxx' as name, p.bytes as size, sha256(p.text) as sha256
+from payloads p join known k on k.hash = p.hash""")
+sql("decode_images", "payloads", """select hash, hash[1] <> '0' as decodable, case when hash[1] <> '0' then side end as height, case when hash[1] <> '0' then side end as width,
+    case when hash[1] <> '0' then sha256(text || repeat(chr(0), side * side * 3 - bytes)) end as sha256
+from (select *, (4 * greatest(1, ceil(sqrt(bytes / 3.0) / 4)))::INT as side from payloads)""")
+sql("import_commit", "clocked plain", f"""select path, outcome, case when readable or (named and old) then content end as hash,
+    case when outcome = 'added' then case when durable then 'ok' else 'lost' end end as chunk, dim, v0, v1, v2, v3
+from clocked left join (select hash, {SHOWN} from plain) v on v.hash = content and outcome = 'added'""")

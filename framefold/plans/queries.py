@@ -13,9 +13,10 @@ from framefold.operators import (cards, chunkstore, ingest, neighbors, pixels, q
                                  stats)
 from framefold.plans import fixtures as fx
 from framefold.plans.fixtures import DIM
-from framefold.session import materialize, spread_work
+from framefold.session import materialize, numbered, spread_work
 from framefold.sources import catalog as source
 from framefold.sources import files as file_source
+from framefold.sources import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,7 +134,7 @@ def capture_date(spark, sf_dir):
     none = F.lit(None).cast("string")
     iso = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
     meta = {
-        "exif_digitized": F.when(kind == "click", F.lit("0000:00:00 00:00:00")).when(kind == "view", none)
+        "exif_digitized": F.when(kind == "click", F.lit("0000:00:00 00:00:00")).when(kind.isin("view", "signup"), none)
         .otherwise(F.date_format(ts, "yyyy:MM:dd HH:mm:ss")),
         "exif_original": F.when(kind == "click", F.date_format(ts, "yyyy:MM:dd HH:mm:ss")).otherwise(none),
         "exif_datetime": F.when(kind == "error", F.lit("2001:01:01 00:00:00")).otherwise(none),
@@ -718,17 +719,17 @@ def export_plan(spark, sf_dir):
 
 # ---------------------------------------------------------------- pixels
 
-def projection_model():
-    """Stand-in for the embedding network: channel means over a fixed grid, projected by a fixed matrix."""
-    weights = np.random.default_rng(7).normal(size=(48, DIM)).astype(np.float32)
+def top_row_model():
+    """Stand-in for the embedding network, one that SQL can express: channel means of the top row of pixels."""
+    return lambda batch: batch[:, :, 0, :].astype(np.float64).mean(axis=2)
 
-    def apply(batch: np.ndarray) -> np.ndarray:
-        n, channels, height, width = batch.shape
-        rows = np.array_split(batch, 4, axis=2)
-        cells = [c.mean(axis=(2, 3)) for r in rows for c in np.array_split(r, 4, axis=3)]
-        return (np.concatenate(cells, axis=1) @ weights)[:, None, :]
 
-    return apply
+# Pictures go through the model at their own size.
+EMBEDDING = {"dim": DIM, "short_side": None}
+
+
+def _shown(vector: str = "vector") -> list:
+    return [F.size(vector).alias("dim"), *[F.round(F.get(vector, F.lit(i)).cast("double"), 4).alias(f"v{i}") for i in range(4)]]
 
 
 def _modes(df: DataFrame) -> DataFrame:
@@ -736,58 +737,127 @@ def _modes(df: DataFrame) -> DataFrame:
     return df.select("hash", (turn % 4 * 90).alias("rotatemode"), (turn % 3).alias("flipmode"))
 
 
+def _turned(spark, sf_dir) -> DataFrame:
+    pictures = fx.pictures(spark, sf_dir)
+    return pixels.orient_images(pictures.join(_modes(pictures), "hash"))
+
+
 @query
 def orient_pixels(spark, sf_dir):
-    """Two corners of every turned picture; both must come from the right place of the payload."""
-    pictures = fx.pictures(spark, sf_dir)
-    turned = pixels.orient_images(pictures.join(_modes(pictures), "hash"))
-    right = F.substring(F.col("data"), (F.col("width") - 1) * 3 + 1, F.lit(3))
-    return turned.select("hash", "height", "width", F.hex(F.substring("data", 1, 3)).alias("left_corner"), F.hex(right).alias("right_corner"))
+    """Every pixel of every turned picture, as a digest."""
+    return _turned(spark, sf_dir).select("hash", "height", "width", F.sha2("data", 256).alias("sha256"))
 
 
 @query
 def embed_images(spark, sf_dir):
-    made = pixels.embed_images(fx.pictures(spark, sf_dir), projection_model, short_side=64, dim=fx.DIM)
-    return made.select("hash", F.size("vector").alias("dim"), F.round(vectors.norm(F.col("vector")), 4).alias("norm"))
+    return pixels.embed_images(fx.pictures(spark, sf_dir), top_row_model, **EMBEDDING).select("hash", *_shown())
 
 
 @query
 def pixel_difference(spark, sf_dir):
-    """Each picture against the one of its mirrored self."""
+    """Each picture against its mirrored self, pixel by pixel."""
     pictures = fx.pictures(spark, sf_dir)
     mirrored = pixels.orient_images(pictures.withColumn("rotatemode", F.lit(0)).withColumn("flipmode", F.lit(1)))
-    both = pictures.unionByName(mirrored.withColumn("hash", F.concat(F.col("hash"), F.lit("m"))))
+    both = materialize(pictures.unionByName(mirrored.withColumn("hash", F.concat(F.col("hash"), F.lit("m")))))
     pairs = pictures.select(F.col("hash").alias("hash_x"), F.concat(F.col("hash"), F.lit("m")).alias("hash_y"))
-    return pixels.pixel_difference(pairs, both).select("hash_x", "hash_y", F.round("changed", 4).alias("changed"),
-                                                       "height", "width")
+    return pixels.pixel_difference(pairs, both, grid=None).select(
+        "hash_x", "hash_y", F.round("changed", 6).alias("changed"), "height", "width", F.sha2("data", 256).alias("sha256"))
 
 
 def _pictured(spark, sf_dir) -> DataFrame:
-    """A catalog over the pictures; vectors exist for hashes that start with a digit."""
-    pictures = fx.pictures(spark, sf_dir)
-    made = pixels.embed_images(pictures, projection_model, short_side=64, dim=fx.DIM)
-    return made.select("hash", F.lit(0).alias("rotatemode"), F.lit(0).alias("flipmode"),
-                       F.expr(f"timestamp_ntz'{fx.NOW}'").alias("lastview"), F.lit(0).cast("long").alias("hist_len"),
-                       F.when(F.col("hash") < "a", F.col("vector")).alias("vector"))
+    """A catalog over the pictures; hashes that start with a digit have a vector, that of the turned picture."""
+    made = pixels.embed_images(_turned(spark, sf_dir), top_row_model, **EMBEDDING)
+    return materialize(made.select("hash", F.lit(0).alias("rotatemode"), F.lit(0).alias("flipmode"),
+                                   F.expr(f"timestamp_ntz'{fx.NOW}'").alias("lastview"), F.lit(0).cast("long").alias("hist_len"),
+                                   F.when(F.col("hash") < "a", F.col("vector")).alias("vector")))
 
 
 @query
 def backfill(spark, sf_dir):
-    filled = pixels.backfill(_pictured(spark, sf_dir), fx.pictures(spark, sf_dir), projection_model, fx.DIM,
-                             short_side=64)
-    return filled.select("hash", F.size("vector").alias("dim"))
+    filled = pixels.backfill(_pictured(spark, sf_dir), fx.pictures(spark, sf_dir), top_row_model, **EMBEDDING)
+    return filled.select("hash", *_shown())
 
 
 @query
 def reorient(spark, sf_dir):
     catalog = _pictured(spark, sf_dir)
-    done = pixels.reorient(catalog, fx.pictures(spark, sf_dir), _modes(catalog), projection_model, fx.DIM,
-                           short_side=64)
-    return done.select("hash", "rotatemode", "flipmode", F.size("vector").alias("dim"))
+    done = pixels.reorient(catalog, fx.pictures(spark, sf_dir), _modes(catalog), top_row_model, **EMBEDDING)
+    return done.select("hash", "rotatemode", "flipmode", *_shown())
+
+
+@query
+def apply_orientations(spark, sf_dir):
+    """The review fold with vectors on demand: turned pictures get the vector of their turned pixels."""
+    catalog = _pictured(spark, sf_dir)
+    modes = _modes(catalog)
+    events = modes.select(F.xxhash64("hash").alias("event_id"), F.expr(f"timestamp_ntz'{fx.NOW}'").alias("ts"), F.lit("orient").alias("action"),
+                          F.col("hash").alias("hash_x"), F.lit(None).cast("string").alias("hash_y"), "rotatemode", "flipmode")
+    reembed = pixels.turned_vectors(fx.pictures(spark, sf_dir), top_row_model, **EMBEDDING)
+    done, _ = reviews.apply_events(catalog, spark.createDataFrame([], "hash string, peer string"), events, reembed)
+    return done.select("hash", "rotatemode", "flipmode", *_shown())
 
 
 @query
 def vector_drift(spark, sf_dir):
-    drift = pixels.vector_drift(_pictured(spark, sf_dir), fx.pictures(spark, sf_dir), projection_model, fx.DIM,
-                                fx.SEED, short_side=64)
-    return drift
+    return pixels.vector_drift(_pictured(spark, sf_dir), fx.pictures(spark, sf_dir), top_row_model, seed=fx.SEED, **EMBEDDING)
+
+
+# ---------------------------------------------------------------- files
+
+@query
+def scan_files(spark, sf_dir):
+    """Documents written as files, some of them hidden, and scanned again: position, size and digest of those of 16 bytes or more."""
+    root = fx.folder(spark)
+    mark = F.get(F.array(*[F.lit(x) for x in ("", ".", "_", "raw")]), (F.col("doc_id") % 4).cast("int"))
+    below = F.when(F.col("lang") == "en", F.lit("")).otherwise(F.concat(F.col("lang"), F.lit("/"), F.col("source"), F.lit("/")))
+    ext = F.when(F.col("doc_id") % 10 == 9, F.lit(".tmp")).otherwise(F.lit(".TXT"))
+    files = fx.table(spark, sf_dir, "documents").select(F.concat(below, mark, F.col("doc_id"), ext).alias("name"), F.col("text").cast("binary").alias("content"))
+    folder.write_files(files, root)
+    listed = folder.list_files(spark, root, exts=["txt"], least_bytes=chunkstore.MIN_FILE_BYTES)
+    found = file_source.scanned(folder.with_content(listed)).select("scan.*", "size", F.sha2("content", 256).alias("sha256"))
+    return numbered(found, ["nested", "folder", "name"], "position").select("position", "name", "size", "sha256")
+
+
+@query
+def export_files(spark, sf_dir):
+    """The export plan written as files, and what is in the folder then."""
+    root = fx.folder(spark)
+    folder.write_files(chunkstore.export_plan(fx.catalogued(spark, sf_dir), fx.payloads(spark, sf_dir), fx.NOW), root)
+    return folder.with_content(folder.list_files(spark, root)).select("name", "size", F.sha2("content", 256).alias("sha256"))
+
+
+@query
+def decode_images(spark, sf_dir):
+    """Payloads written as bitmap files and decoded by the image source; junk stays, undecodable."""
+    root = fx.folder(spark)
+    folder.write_files(fx.bitmaps(spark, sf_dir), root)
+    return pixels.decode_folder(spark, root).select(
+        F.regexp_extract("path", "([^/]*)[.]bmp$", 1).alias("hash"), "decodable", "height", "width", F.sha2("data", 256).alias("sha256"))
+
+
+@query
+def ingest_capped(spark, sf_dir):
+    """An import that stops after its 100th added file."""
+    return _classified(spark, sf_dir, max_added=100).select("path", "outcome")
+
+
+@query
+def import_commit(spark, sf_dir):
+    """A whole import and its replay: every file's outcome, the vector and the verified chunk of what was added."""
+    root = fx.folder(spark)
+    known = materialize(fx.catalogued(spark, sf_dir))
+    first = fx.table(spark, sf_dir, "events").agg(F.min("ts")).scalar()
+    catalog = known.select("hash").withColumn("lastview", first)
+
+    def embed(payloads: DataFrame) -> DataFrame:
+        return pixels.embed_images(fx.as_pictures(payloads), top_row_model, **EMBEDDING)
+
+    def run() -> ingest.Committed:
+        return ingest.import_once(root, fx.incoming(spark, sf_dir), catalog, known, fx.MAX_IMAGES, embed)
+
+    before, after = run(), run()
+    if before.main.inputFiles() != after.main.inputFiles():
+        raise ValueError("the replay wrote again")
+    chunks = chunkstore.read_verified(after.main, after.backup).select("hash", F.col("status").alias("chunk"))
+    added = after.catalog.join(chunks, "hash", "left").select("path", "chunk", *_shown())
+    return after.log.join(added, "path", "left")

@@ -2,31 +2,24 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framefold.functions import text
 from framefold.operators import chunkstore
+from framefold.sources import folder
 
 
-# Scheme and authority of a path ("file:", "s3a://bucket").
-_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
+def scan_folder(spark: SparkSession, root: str) -> DataFrame:
+    """(path, scan, content), hidden names included.  ``scan`` sorts top-level files first, then subfolder by subfolder."""
+    return scanned(folder.with_content(folder.list_files(spark, root)))
 
 
-def scan_folder(spark: SparkSession, root: str) -> DataFrame:
-    """(path, scan, content).  ``scan`` sorts top-level files first, then subfolder by subfolder."""
-    start = len(re.sub(_SCHEME, "", root).rstrip("/")) + 2
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    below = F.substring(F.regexp_replace("path", _SCHEME, ""), start, 2147483647)
-    nested = below.contains("/")
-    return files.select(
-        "path",
-        F.struct(nested.alias("nested"),
-                 F.when(nested, F.substring_index(below, "/", 1)).otherwise(F.lit("")).alias("folder"),
-                 below.alias("name")).alias("scan"),
-        "content")
+def scanned(listed: DataFrame) -> DataFrame:
+    nested = F.col("name").contains("/")
+    top = F.when(nested, F.substring_index("name", "/", 1)).otherwise(F.lit(""))
+    return listed.select("path", F.struct(nested.alias("nested"), top.alias("folder"), "name").alias("scan"),
+                         *[c for c in ("size", "content") if c in listed.columns])
 
 
 def read_payloads(files: DataFrame) -> DataFrame:

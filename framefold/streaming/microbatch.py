@@ -1,7 +1,7 @@
 """Micro-batch wrappers: the batch operators called from Structured Streaming's foreachBatch.
 
-Every batch reads version ``batch_id`` of a snapshot directory and writes version ``batch_id + 1``.  The version
-read is never changed, so a repeated batch overwrites its target with the same rows.
+Every batch reads version ``batch_id`` of a snapshot directory and writes version ``batch_id + 1`` (``snapshots``).  The
+version read is never changed, so a repeated batch overwrites its target with the same rows.
 """
 
 from __future__ import annotations
@@ -9,36 +9,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framefold.operators import ingest, reviews, snapshot
-from framefold.sources import catalog as source
+from framefold.operators import chunkstore, ingest, reviews
+from framefold.sources import snapshots
 
 
-def version_path(root: str, version: int) -> str:
-    return f"{root.rstrip('/')}/v{version:08d}"
-
-
-def read_version(spark: SparkSession, root: str, version: int) -> tuple[DataFrame, DataFrame]:
-    path = version_path(root, version)
-    return source.read_catalog(spark, f"{path}/catalog"), source.read_edges(spark, f"{path}/edges")
-
-
-def _write_version(catalog: DataFrame, edges: DataFrame, root: str, version: int, **more: DataFrame) -> None:
-    """The tables of one version; ``commit`` is written last, and a version without it is not complete."""
-    path = version_path(root, version)
-    for name, table in {"edges": edges, "catalog": catalog, **more}.items():
-        table.write.mode("overwrite").parquet(f"{path}/{name}")
-    catalog.sparkSession.range(version, version + 1).write.mode("overwrite").parquet(f"{path}/commit")
-
-
-def fold_reviews(root: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: a batch of review events becomes the next snapshot."""
+def fold_reviews(root: str, reembed: reviews.Reembed | None = None,
+                 recycle: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: a batch of review events becomes the next snapshot.
 
+    Only the buckets of images that the batch names are read and written.  ``reembed`` gives turned images their new
+    vector (E3); ``recycle`` gets (hash, deleted_at) of deleted images once the version is complete (``soft_delete``).
+    """
     def run(batch: DataFrame, batch_id: int) -> None:
-        catalog, edges = read_version(batch.sparkSession, root, batch_id)
         batch.persist()
         try:
-            _write_version(*reviews.apply_events(catalog, edges, batch), root, batch_id + 1)
+            touched = snapshots.touched_buckets(batch)
+            catalog, edges = snapshots.read_version(batch.sparkSession, root, batch_id, touched)
+            snapshots.write_version(*reviews.apply_events(catalog, edges, batch, reembed), root, batch_id + 1, touched=touched)
+            if recycle is not None:
+                recycle(reviews.tombstones(batch))
         finally:
             batch.unpersist()
 
@@ -46,19 +37,32 @@ def fold_reviews(root: str) -> Callable[[DataFrame, int], None]:
 
 
 def import_batches(root: str, chunk_status: Callable[[SparkSession], DataFrame], max_images: int,
-                   prepare: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+                   prepare: Callable[[DataFrame], DataFrame], embed: ingest.Embed | None = None) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: a batch of files is imported (I2); known content is found again, so replays are safe.
 
-    ``prepare`` adds stem, payload and decodable (S5, M1); ``chunk_status`` gives (hash, chunk_ok).  Every file of the
-    batch gets an outcome.  The version also holds the import's log, its summary and the payloads to be stored.
+    ``prepare`` adds stem, payload and decodable (S5, M1); ``chunk_status`` gives (hash, chunk_ok); ``embed`` makes vectors
+    from (hash, content).  Every file of the batch gets an outcome.  The version holds the import's log, its summary and
+    the stored payloads as encrypted chunks; the catalog gets the added rows, no other row is written again.
     """
-
     def run(batch: DataFrame, batch_id: int) -> None:
-        catalog, edges = read_version(batch.sparkSession, root, batch_id)
+        spark = batch.sparkSession
+        catalog, _ = snapshots.read_version(spark, root, batch_id)
         files = prepare(batch)
-        result = ingest.import_files(files, catalog, chunk_status(batch.sparkSession), max_images)
-        rows = result.added.drop("path").selectExpr("*", "cast(null as array<float>) as vector")
-        _write_version(snapshot.insert_rows(catalog, rows.select(*catalog.columns)), edges, root, batch_id + 1,
-                       log=result.log, summary=result.summary, chunks=ingest.payloads_to_store(files, result.chunks))
+        result = ingest.import_files(files, catalog, chunk_status(spark), max_images)
+        payloads = ingest.payloads_to_store(files, result.chunks)
+        rows = ingest.with_vectors(result.added, payloads, embed).select(*catalog.columns)
+        fresh = rows.join(catalog.select("hash"), "hash", "left_anti")
+        snapshots.write_version(fresh, None, root, batch_id + 1, adds=True, log=result.log, summary=result.summary,
+                                chunks=chunkstore.encrypt_chunks(payloads))
+
+    return run
+
+
+def recycle_into(main: Callable[[SparkSession], DataFrame], path: str) -> Callable[[DataFrame], None]:
+    """``recycle`` for ``fold_reviews``: readable chunks of deleted images are kept as dated files' rows (K5)."""
+    def run(deleted: DataFrame) -> None:
+        chunks = main(deleted.sparkSession).join(deleted.select("hash"), "hash", "left_semi")
+        recycled, _ = chunkstore.soft_delete(chunks, chunkstore.decrypt_chunks(chunks), deleted.select("hash", F.col("deleted_at")))
+        chunkstore.write_recycled(recycled, path)
 
     return run

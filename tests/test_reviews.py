@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from framefold import schemas
-from framefold.operators import quality, reviews, snapshot
+from framefold.operators import chunkstore, quality, reviews, snapshot
 from framefold.sources import catalog as source
+from framefold.sources import snapshots
 from framefold.streaming import microbatch
 from tests.test_functions import python_hash
 
@@ -146,7 +147,7 @@ def test_review_step(spark):
 def test_streamed_fold_equals_batch_fold(spark, tmp_path):
     rows = [r for r in make_events(8, 120) if not r[2].startswith("delete")]
     root, inbox = str(tmp_path / "snap"), tmp_path / "in"
-    microbatch._write_version(make_catalog(spark), spark.createDataFrame([], schemas.EDGES), root, 0)
+    snapshots.write_version(make_catalog(spark), spark.createDataFrame([], schemas.EDGES), root, 0)
     ordered = sorted(rows, key=lambda r: (r[1], r[0]))
     for part in (ordered[:60], ordered[60:]):
         spark.createDataFrame(part, schemas.REVIEWS).coalesce(1).write.mode("append").parquet(str(inbox))
@@ -156,9 +157,63 @@ def test_streamed_fold_equals_batch_fold(spark, tmp_path):
         availableNow=True).start()
     done.awaitTermination(120)
     assert done.exception() is None
-    assert state(*microbatch.read_version(spark, root, 2)) == simulate(rows)
+    assert state(*snapshots.read_version(spark, root, 2)) == simulate(rows)
     fold(spark.createDataFrame(ordered[60:], schemas.REVIEWS), 1)
-    assert state(*microbatch.read_version(spark, root, 2)) == simulate(rows)
+    assert state(*snapshots.read_version(spark, root, 2)) == simulate(rows)
+
+
+def test_a_small_batch_rewrites_its_buckets_alone(spark, tmp_path):
+    """Reviews of images in 1 % of the buckets: 1 % of the buckets get new files, and the rest is taken over by name."""
+    letters = "0123456789abcdefghijkmnpqrstuvxz"
+    names = [a + b + f"{i:014d}" for a in letters for b in letters[:16] for i in range(2)]  # 512 buckets
+    catalog = spark.createDataFrame([(h, 0, 0, START, int(h != names[0]), [1.0]) for h in names], schemas.CATALOG)
+    root = str(tmp_path / "snap")
+    edges = spark.createDataFrame([(h, names[0]) for h in names[1:]], schemas.EDGES)
+    snapshots.write_version(catalog, edges, root, 0)
+    touched = [names[0], names[2], names[4], names[6], names[8]]
+    at = START + timedelta(hours=1)
+    events = [(0, at, "confirm", touched[0], touched[1], 0, 0), (1, at, "delete_left", touched[2], touched[3], 0, 0),
+              (2, at, "orient", touched[4], None, 90, 1)]
+    events.append((3, at, "delete_right", names[9], names[8], 0, 0))  # empties no bucket: names[9] stays in it
+    events = spark.createDataFrame(events, schemas.REVIEWS)
+    calls = []
+    fold = microbatch.fold_reviews(root, recycle=lambda gone: calls.append({r["hash"] for r in gone.collect()}))
+    for _ in range(2):
+        fold(events, 0)
+    assert calls == [{touched[2], names[8]}] * 2
+    written = {p.name for p in (tmp_path / "snap" / "v00000001" / "catalog").iterdir() if p.name.startswith("bucket=")}
+    assert written == {f"bucket={h[:2]}" for h in touched} and len(written) * 100 < 512
+    assert state(*snapshots.read_version(spark, root, 1)) == state(*reviews.apply_events(catalog, edges, events))
+    some, _ = snapshots.read_version(spark, root, 1, {touched[0][:2]})
+    assert {r["hash"] for r in some.select("hash").collect()} == {h for h in names if h[:2] == touched[0][:2]}
+    both = [(4, at, "delete_left", names[0], names[1], 0, 0), (5, at, "delete_left", names[1], names[2], 0, 0)]
+    microbatch.fold_reviews(root)(spark.createDataFrame(both, schemas.REVIEWS), 1)
+    left, left_edges = snapshots.read_version(spark, root, 2)
+    assert left.filter(F.col("hash").startswith(names[0][:2])).count() == 0  # an emptied bucket is gone
+    assert left.count() == len(names) - 4 and left_edges.filter(F.col("hash") == names[1]).count() == 0
+
+
+def test_deleted_images_are_recycled_and_turned_ones_embedded_again(spark, tmp_path):
+    bodies = [b"body number %d, long enough" % i for i in range(3)]
+    names = [python_hash(b) for b in bodies]
+    chunks = chunkstore.encrypt_chunks(spark.createDataFrame([(h, bytearray(b)) for h, b in zip(names, bodies)], "hash string, content binary"))
+    root = str(tmp_path / "snap")
+    snapshots.write_version(spark.createDataFrame([(h, 0, 0, START, 0, [1.0]) for h in names], schemas.CATALOG), spark.createDataFrame([], schemas.EDGES), root, 0)
+    at = datetime(2024, 5, 6, 7, 8, 9)
+    events = spark.createDataFrame([(0, at, "delete_left", names[0], names[1], 0, 0), (1, at, "orient", names[2], None, 90, 0),
+                                    (2, at, "orient", names[1], None, 0, 0)], schemas.REVIEWS)
+    asked = []
+
+    def reembed(turned):
+        asked.extend(tuple(r) for r in turned.collect())
+        return turned.select("hash", F.array(F.lit(9.0).cast("float")).alias("vector"))
+
+    microbatch.fold_reviews(root, reembed, microbatch.recycle_into(lambda s: chunks, str(tmp_path / "gone")))(events, 0)
+    assert asked == [(names[2], 90, 0)]  # names[1] was turned to what it is
+    rows = {r["hash"]: (r.rotatemode, r.vector) for r in snapshots.read_version(spark, root, 1)[0].collect()}
+    assert rows == {names[1]: (0, [1.0]), names[2]: (90, [9.0])}
+    kept = spark.read.parquet(str(tmp_path / "gone")).collect()
+    assert [(r.name, bytes(r.content)) for r in kept] == [(f"2024-05-06/070809.{names[0]}.xxx", bodies[0])]
 
 
 def test_review_step_tries_the_next_stratum(spark):
@@ -180,7 +235,7 @@ def test_a_streamed_import_decides_every_file(spark, tmp_path):
     """150 files in one batch: 150 outcomes, and the same again when the batch is repeated."""
     root = str(tmp_path / "import")
     catalog = spark.createDataFrame([("0" * 16, 0, 0, datetime(2024, 1, 1), 0, [1.0])], schemas.CATALOG)
-    microbatch._write_version(catalog, spark.createDataFrame([], schemas.EDGES), root, 0)
+    snapshots.write_version(catalog, spark.createDataFrame([], schemas.EDGES), root, 0)
     bodies = [b"payload number %04d" % i for i in range(150)]
     files = [(f"raw/{i}", i, f"f{i}", bytearray(b), True) for i, b in enumerate(bodies)]
     batch = spark.createDataFrame(files, "path string, scan int, stem string, payload binary, decodable boolean")
@@ -188,11 +243,11 @@ def test_a_streamed_import_decides_every_file(spark, tmp_path):
     step = microbatch.import_batches(root, status, 500, lambda df: df)
     for _ in range(2):
         step(batch, 0)
-        path = microbatch.version_path(root, 1)
-        rows = microbatch.read_version(spark, root, 1)[0].collect()
+        path = snapshots.version_path(root, 1)
+        rows = snapshots.read_version(spark, root, 1)[0].collect()
         assert {r["hash"] for r in rows} == {"0" * 16, *map(python_hash, bodies)} and len(rows) == 151
         assert len({r.lastview for r in rows if r["hash"] != "0" * 16}) == 150
         assert {r.outcome for r in spark.read.parquet(f"{path}/log").collect()} == {"added"}
         assert spark.read.parquet(f"{path}/summary").first().added == 150
-        assert {bytes(r.content) for r in spark.read.parquet(f"{path}/chunks").collect()} == set(bodies)
+        assert {bytes(r.content) for r in chunkstore.decrypt_chunks(spark.read.parquet(f"{path}/chunks")).collect()} == set(bodies)
         assert spark.read.parquet(f"{path}/commit").count() == 1

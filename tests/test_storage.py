@@ -5,10 +5,11 @@ import zlib
 from datetime import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from framefold.operators import chunkstore, ingest, pixels
-from framefold.sources import files
+from framefold.sources import files, folder
 from tests.test_functions import python_hash
 
 
@@ -92,7 +93,7 @@ def test_soft_delete_and_export(spark, tmp_path):
     plan = chunkstore.export_plan(twice, df, "2024-01-02 03:04:05")
     names = sorted(r.name for r in plan.collect())
     assert names == [f"2024-01-02/030405.{h[0]}(1).jpg", f"2024-01-02/030405.{h[0]}.jpg"]
-    chunkstore.write_files(plan, str(tmp_path / "out"))
+    folder.write_files(plan, str(tmp_path / "out"))
     assert (tmp_path / "out" / names[1]).read_bytes() == bodies[0]
 
 
@@ -152,6 +153,38 @@ def test_folder_scan_payloads_and_import(spark, tmp_path):
     assert log["junk.jpg"] == "bad" and log["tiny.png"] == "bad" and log["name.mzx"] == "bad"
 
 
+def test_folder_scan_lists_hidden_names_and_takes_predicates(spark, tmp_path):
+    for name in ("top.txt", ".hidden", "_also.txt", "sub/.deep/_x.TXT", "sub/y.png", "other/z.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode() * 3)
+    listed = folder.list_files(spark, str(tmp_path))
+    assert {r.name for r in listed.collect()} == {"top.txt", ".hidden", "_also.txt", "sub/.deep/_x.TXT", "sub/y.png", "other/z.txt"}
+    assert {r.name for r in folder.list_files(spark, f"file:{tmp_path}/").collect()} == {r.name for r in listed.collect()}
+    some = folder.list_files(spark, str(tmp_path), exts=["txt", "png"], prefix="sub/", least_bytes=30)
+    assert [r.name for r in some.collect()] == ["sub/.deep/_x.TXT"]
+    assert [r.name for r in folder.list_files(spark, str(tmp_path), most_bytes=30).filter("ext = 'png'").collect()] == ["sub/y.png"]
+    rows = {r.name: bytes(r.content) for r in folder.with_content(listed).collect()}
+    assert rows == {n: n.encode() * 3 for n in rows} and len(rows) == 6
+    empty = tmp_path / "empty"
+    empty.mkdir()
+    assert folder.with_content(folder.list_files(spark, str(empty))).count() == 0
+
+
+def test_a_failed_export_leaves_nothing(spark, tmp_path):
+    rows = spark.range(0, 200, 1, 8).select(F.concat(F.lit("d/"), F.col("id"), F.lit(".bin")).alias("name"), F.col("id").cast("string").cast("binary").alias("content"))
+    root = tmp_path / "out"
+    broken = rows.withColumn("content", F.when(F.col("name") == "d/150.bin", F.raise_error(F.lit("lost")).cast("binary")).otherwise(F.col("content")))
+    with pytest.raises(Exception):
+        folder.write_files(broken, str(root))
+    assert not root.exists() or list(root.iterdir()) == []
+    folder.write_files(rows, str(root))
+    assert {p.name: p.read_bytes() for p in (root / "d").iterdir()} == {f"{i}.bin": str(i).encode() for i in range(200)}
+    assert [p.name for p in root.iterdir()] == ["d"]
+    with pytest.raises(Exception):
+        folder.write_files(rows.select(F.lit("../escaped").alias("name"), "content"), str(root))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out"] and [p.name for p in root.iterdir()] == ["d"]
+
+
 def frame(spark, pictures):
     rows = [(k, p.shape[0], p.shape[1], 3, bytearray(pixels._data(p))) for k, p in pictures.items()]
     return spark.createDataFrame(rows, pixels.PIXELS)
