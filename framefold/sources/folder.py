@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import posixpath
 import re
+import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -99,10 +100,13 @@ class FolderWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.job = f"{STAGING}{uuid.uuid4().hex}"
+        system, root = file_system(self.path)
+        system.create_dir(f"{root}/{self.job}", recursive=True)  # tasks do not make it again once an abort has removed it
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Attempt:
         system, root = file_system(self.path)
         folder = f"{root}/{self.job}/{uuid.uuid4().hex}"
+        system.create_dir(folder, recursive=False)
         made: set[str] = set()
         for batch in iterator:
             for name, content in zip(batch["name"], batch["content"]):
@@ -110,7 +114,7 @@ class FolderWriter(DataSourceArrowWriter):
                 if not target.startswith(f"{folder}/"):
                     raise ValueError(f"a name outside of the folder: {name.as_py()!r}")
                 parent = posixpath.dirname(target)
-                if parent not in made:
+                if parent != folder and parent not in made:
                     system.create_dir(parent, recursive=True)
                     made.add(parent)
                 with system.open_output_stream(target, compression=None) as out:
@@ -131,9 +135,15 @@ class FolderWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list[Attempt | None]) -> None:
         system, root = file_system(self.path)
-        staging = f"{root}/{self.job}"
-        if system.get_file_info(staging).type == fs.FileType.Directory:
-            system.delete_dir(staging)
+        for wait in (0.0, 0.1, 0.5, 2.0, None):
+            try:
+                if system.get_file_info(f"{root}/{self.job}").type == fs.FileType.Directory:
+                    system.delete_dir(f"{root}/{self.job}")
+                return
+            except OSError:  # a task that has not stopped yet wrote meanwhile
+                if wait is None:
+                    raise
+                time.sleep(wait)
 
 
 class FolderSource(DataSource):
