@@ -1,6 +1,8 @@
 """Gated recurrent language model in numpy: class-factored softmax, truncated backpropagation, state carried over.
 
-Symbols are numbered by frequency; symbol s belongs to class s // ``CLASS_SIZE``.  P(s | state) = P(class) P(s | class).
+P(s | state) = P(class of s) P(s | class of s).  Symbols are numbered by falling frequency and a class is a range of
+numbers; classes have about equal shares of the square roots of the frequencies, so frequent symbols are in small classes
+and the softmax of a position takes few terms on the average.
 Sequences run in step, each with its own state, which starts at zero at a document's begin and is carried
 from one window of ``STEPS`` symbols to the next; gradients stop at the window's begin.
 """
@@ -9,24 +11,31 @@ from __future__ import annotations
 
 import numpy as np
 
-HIDDEN, CLASS_SIZE, STEPS = 16, 48, 32
+HIDDEN, CLASSES, STEPS = 16, 40, 32
 RATE = 0.01
 OUTPUTS = 16_384  # positions whose softmax is taken at a time
 
 
-def sizes(symbols: int) -> dict[str, tuple]:
-    classes = -(-symbols // CLASS_SIZE)
+def class_bounds(counts: np.ndarray) -> np.ndarray:
+    """First symbol of each class, and the number of symbols."""
+    share = np.sqrt(counts + 0.5)
+    kind = ((np.cumsum(share) - share / 2) / share.sum() * CLASSES).astype(np.int64)
+    return np.concatenate([[0], np.flatnonzero(np.diff(kind)) + 1, [len(counts)]])
+
+
+def sizes(bounds: np.ndarray) -> dict[str, tuple]:
+    classes, symbols = len(bounds) - 1, int(bounds[-1])
     return {"inputs": (symbols, 3 * HIDDEN), "recur": (HIDDEN, 3 * HIDDEN), "classes": (HIDDEN, classes), "class_bias": (classes,),
-            "words": (classes * CLASS_SIZE, HIDDEN), "word_bias": (classes * CLASS_SIZE,)}
+            "words": (symbols, HIDDEN), "word_bias": (symbols,)}
 
 
 def flat(params: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([v.ravel() for v in params.values()])
 
 
-def shaped(data: np.ndarray, symbols: int) -> dict[str, np.ndarray]:
+def shaped(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for name, shape in sizes(symbols).items():
+    for name, shape in sizes(bounds).items():
         n = int(np.prod(shape))
         out[name] = data[at:at + n].reshape(shape).astype(np.float32)
         at += n
@@ -35,44 +44,55 @@ def shaped(data: np.ndarray, symbols: int) -> dict[str, np.ndarray]:
 
 def fresh(counts: np.ndarray) -> dict[str, np.ndarray]:
     """Small random weights, and biases that make the untrained model the unigram model of ``counts``."""
-    random = np.random.default_rng(1)
-    out = {k: (random.standard_normal(s) * 0.1).astype(np.float32) for k, s in sizes(len(counts)).items()}
-    classes = len(out["class_bias"])
-    padded = np.full(classes * CLASS_SIZE, 1e-30)
-    padded[:len(counts)] = counts + 0.5
-    by_class = padded.reshape(classes, CLASS_SIZE)
-    out["class_bias"] = np.log(by_class.sum(1) / padded.sum()).astype(np.float32)
-    out["word_bias"] = np.log(by_class / by_class.sum(1, keepdims=True)).ravel().astype(np.float32)
+    random, bounds = np.random.default_rng(1), class_bounds(counts)
+    out = {k: (random.standard_normal(s) * 0.1).astype(np.float32) for k, s in sizes(bounds).items()}
+    smooth = counts + 0.5
+    by_class = np.add.reduceat(smooth, bounds[:-1])
+    out["class_bias"] = np.log(by_class / smooth.sum()).astype(np.float32)
+    out["word_bias"] = np.log(smooth / np.repeat(by_class, np.diff(bounds))).astype(np.float32)
     out["classes"] *= 0.1
     out["words"] *= 0.1
     return out
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
-
-
-def run(p: dict, inputs: np.ndarray, state: np.ndarray, starts: np.ndarray | None = None, keep: list | None = None) -> np.ndarray:
-    """States after each of the T columns of ``inputs`` (rows x T); ``keep`` collects what the way back needs."""
+def run(p: dict, inputs: np.ndarray, state: np.ndarray, starts: np.ndarray | None = None, keep: dict | None = None) -> np.ndarray:
+    """States after each of the T columns of ``inputs`` (rows x T); ``keep`` gets what the way back needs, step by step."""
     rows, steps = inputs.shape
-    states = np.empty((steps, rows, HIDDEN), np.float32)
+    given = p["inputs"][inputs.T]  # T x rows x 3 HIDDEN: update, reset, new
+    given[:, :, :2 * HIDDEN] *= given.dtype.type(0.5)  # a sigmoid is half a tanh of the half
+    recur = p["recur"].copy()
+    recur[:, :2 * HIDDEN] *= given.dtype.type(0.5)
+    states = np.empty((steps, rows, HIDDEN), given.dtype)
+    kept = {name: np.empty((steps, rows, width * HIDDEN), given.dtype) for name, width in (("before", 1), ("gates", 2), ("new", 1), ("un", 1))} if keep is not None else {}
     for t in range(steps):
-        if starts is not None:
-            state = np.where(starts[:, t, None], np.float32(0), state)
-        x, u = p["inputs"][inputs[:, t]], state @ p["recur"]
-        gates = sigmoid(x[:, :2 * HIDDEN] + u[:, :2 * HIDDEN])
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        n = np.tanh(x[:, 2 * HIDDEN:] + r * u[:, 2 * HIDDEN:])
-        before, state = state, n + z * (state - n)
-        states[t] = state
-        if keep is not None:
-            keep.append((before, gates, n, u[:, 2 * HIDDEN:]))
+        if starts is not None and starts[:, t].any():
+            state = np.where(starts[:, t, None], given.dtype.type(0), state)
+        u = state @ recur
+        gates = kept["gates"][t] if kept else np.empty((rows, 2 * HIDDEN), given.dtype)
+        np.add(given[t, :, :2 * HIDDEN], u[:, :2 * HIDDEN], out=gates)
+        np.tanh(gates, out=gates)
+        gates += 1
+        gates *= given.dtype.type(0.5)
+        un = u[:, 2 * HIDDEN:]
+        new = kept["new"][t] if kept else np.empty((rows, HIDDEN), given.dtype)
+        np.multiply(gates[:, HIDDEN:], un, out=new)
+        new += given[t, :, 2 * HIDDEN:]
+        np.tanh(new, out=new)
+        if kept:
+            kept["before"][t], kept["un"][t] = state, un
+        after = states[t]
+        np.subtract(state, new, out=after)
+        after *= gates[:, :HIDDEN]
+        after += new
+        state = after
+    if keep is not None:
+        keep.update(kept)
     return states
 
 
-def outputs(p: dict, states: np.ndarray, targets: np.ndarray, gradient: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+def outputs(p: dict, bounds: np.ndarray, states: np.ndarray, targets: np.ndarray, gradient: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log-probabilities of targets (n) given states (n x HIDDEN), and the loss's gradient by the states."""
-    kind = targets // CLASS_SIZE
+    kind = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint8), np.diff(bounds))[targets]
     at = np.arange(len(targets))
     logits = p["classes"].T @ states.T + p["class_bias"][:, None]  # a column per position, so sums run along rows
     logits -= logits.max(0)
@@ -88,13 +108,13 @@ def outputs(p: dict, states: np.ndarray, targets: np.ndarray, gradient: dict | N
         gradient["class_bias"] += logits.sum(1)
         back = np.ascontiguousarray((p["classes"] @ logits).T)
     order = np.argsort(kind, kind="stable")
-    bounds = np.searchsorted(kind[order], np.arange(len(p["class_bias"]) + 1))
-    for c in range(len(bounds) - 1):
-        some = order[bounds[c]:bounds[c + 1]]
-        if not len(some):
+    ends = np.cumsum(np.bincount(kind, minlength=len(bounds) - 1))
+    for c, (low, high) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+        some = order[low:high]
+        if not len(some) or bounds[c + 1] - bounds[c] == 1:  # the only symbol of its class is certain
             continue
-        part = slice(c * CLASS_SIZE, (c + 1) * CLASS_SIZE)
-        mine, place, columns = states[some], targets[some] - c * CLASS_SIZE, at[:len(some)]
+        part = slice(bounds[c], bounds[c + 1])
+        mine, place, columns = states[some], targets[some] - bounds[c], at[:len(some)]
         logits = p["words"][part] @ mine.T + p["word_bias"][part][:, None]
         logits -= logits.max(0)
         own = logits[place, columns]
@@ -110,26 +130,35 @@ def outputs(p: dict, states: np.ndarray, targets: np.ndarray, gradient: dict | N
     return result, back
 
 
-def backward(p: dict, inputs: np.ndarray, starts: np.ndarray, kept: list, back: np.ndarray, gradient: dict) -> None:
-    """Gradients of one window; ``back`` is (T x rows x HIDDEN)."""
+def backward(p: dict, inputs: np.ndarray, starts: np.ndarray, kept: dict, back: np.ndarray, gradient: dict) -> None:
+    """Gradients of one window; ``back`` is (T x rows x HIDDEN).  All factors that do not depend on what comes back are taken at once."""
     steps, rows, _ = back.shape
-    into = np.empty((steps, rows, 3 * HIDDEN), np.float32)
-    later = np.zeros((rows, HIDDEN), np.float32)
+    update, reset = kept["gates"][:, :, :HIDDEN], kept["gates"][:, :, HIDDEN:]
+    new, before = kept["new"], kept["before"]
+    by_new = (1 - update) * (1 - new * new)
+    by_update = (before - new) * update * (1 - update)
+    by_reset = kept["un"] * reset * (1 - reset)
+    into = np.empty((steps, rows, 3 * HIDDEN), back.dtype)
+    through = np.empty_like(into)  # the same as it passes the recurrent weights
+    later = np.zeros((rows, HIDDEN), back.dtype)
+    transposed = np.ascontiguousarray(p["recur"].T)
     for t in range(steps - 1, -1, -1):
-        before, gates, n, un = kept[t]
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        d = back[t] + later
-        dn = d * (1 - z) * (1 - n * n)
-        into[t, :, :HIDDEN] = d * (before - n) * z * (1 - z)
-        into[t, :, HIDDEN:2 * HIDDEN] = dn * un * r * (1 - r)
-        into[t, :, 2 * HIDDEN:] = dn
-        du = into[t].copy()
-        du[:, 2 * HIDDEN:] *= r
-        gradient["recur"] += before.T @ du
-        later = d * z + du @ p["recur"].T
-        later[starts[:, t]] = 0
-    order = np.argsort(inputs.T.ravel(), kind="stable")
-    symbol = inputs.T.ravel()[order]
+        d = later
+        d += back[t]
+        dn, du = into[t, :, 2 * HIDDEN:], through[t]
+        np.multiply(d, by_new[t], out=dn)
+        np.multiply(d, by_update[t], out=du[:, :HIDDEN])
+        np.multiply(dn, by_reset[t], out=du[:, HIDDEN:2 * HIDDEN])
+        np.multiply(dn, reset[t], out=du[:, 2 * HIDDEN:])
+        d *= update[t]
+        d += du @ transposed
+        if starts[:, t].any():
+            d[starts[:, t]] = 0
+    into[:, :, :2 * HIDDEN] = through[:, :, :2 * HIDDEN]
+    gradient["recur"] += before.reshape(-1, HIDDEN).T @ through.reshape(-1, 3 * HIDDEN)
+    symbol = inputs.T.ravel().astype(np.uint16)  # sixteen bits are sorted by radix
+    order = np.argsort(symbol, kind="stable")
+    symbol = symbol[order]
     first = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
     gradient["inputs"][symbol[first]] += np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], first)
 
@@ -137,8 +166,8 @@ def backward(p: dict, inputs: np.ndarray, starts: np.ndarray, kept: list, back:
 class Trainer:
     """One task's copy of the model: Adam steps on windows of many lanes at once."""
 
-    def __init__(self, params: np.ndarray, symbols: int, rate: float = RATE):
-        self.p, self.symbols, self.rate = shaped(params, symbols), symbols, rate
+    def __init__(self, params: np.ndarray, bounds: np.ndarray, rate: float = RATE):
+        self.p, self.bounds, self.rate = shaped(params, bounds), bounds, rate
         self.mean, self.square = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         self.turn = 0
 
@@ -161,12 +190,12 @@ class Trainer:
             state = self.window(inputs[:, part], targets[:, part], starts[:, part], real[:, part], state)
 
     def window(self, inputs, targets, starts, real, state) -> np.ndarray:
-        kept: list = []
+        kept: dict = {}
         states = run(self.p, inputs, state, starts, kept)
         gradient = {k: np.zeros_like(v) for k, v in self.p.items()}
         use = real.T.ravel()
         back = np.zeros((len(use), HIDDEN), np.float32)
-        _, back[use] = outputs(self.p, states.reshape(-1, HIDDEN)[use], targets.T.ravel()[use], gradient)
+        _, back[use] = outputs(self.p, self.bounds, states.reshape(-1, HIDDEN)[use], targets.T.ravel()[use], gradient)
         backward(self.p, inputs, starts, kept, back.reshape(states.shape), gradient)
         self.step(gradient, max(1, int(use.sum())))
         return states[-1]
@@ -183,7 +212,7 @@ class Trainer:
             self.p[k] -= rate * self.mean[k] / (np.sqrt(self.square[k]) + np.float32(1e-7))
 
 
-def log_likelihoods(p: dict, documents: list[np.ndarray], end: int) -> np.ndarray:
+def log_likelihoods(p: dict, bounds: np.ndarray, documents: list[np.ndarray], end: int) -> np.ndarray:
     """Natural log-probability of each whole document (symbols closed by ``end``), all in step, longest first.
 
     States wait until ``OUTPUTS`` of them can go through the softmax together, so that the few documents that are left after
@@ -203,7 +232,7 @@ def log_likelihoods(p: dict, documents: list[np.ndarray], end: int) -> np.ndarra
         states, targets, owners = (np.concatenate(x) for x in zip(*waiting))
         for at in range(0, len(targets), OUTPUTS):
             part = slice(at, at + OUTPUTS)
-            found, _ = outputs(p, states[part], targets[part])
+            found, _ = outputs(p, bounds, states[part], targets[part])
             out[:] += np.bincount(owners[part], found, len(out))
         waiting.clear()
 

@@ -1,24 +1,27 @@
 """LM scoring: complete-document log-probabilities under a unigram base and a gated recurrent model.
 
 Training documents are those whose crc32(doc_id as text) mod 7 is not 2.  Spark counts every word of them; the
-``VOCABULARY`` most frequent words, the end, and ``BUCKETS`` classes of other words (by their last letters and
+``VOCABULARY`` most frequent words, the end, and ``BUCKETS`` buckets of other words (by their last letters and
 punctuation) are the symbols of the recurrent model, whose output biases start from the counts.  Its weights are
 trained in ``ROUNDS`` rounds by truncated backpropagation (gru.py): in each round every task trains a copy on its documents
 of that round, and copies are averaged by the tokens they saw.  The rounds split all training documents by a hash of the id, so
 each is learned from once.
 
-The probability of a word outside the vocabulary is that of its class times (c + 1) / (N_class + V_class + 1).
+The probability of a word outside the vocabulary is that of its bucket times (c + 1) / (N_bucket + V_bucket + 1).
 
-For scoring, documents are taken in chunks; a chunk's distinct words meet their counts in a join and come back
-to the chunk's texts, so no count table is broadcast.
+For scoring, documents are taken in chunks, which are written once with their texts (compressed) and distinct words; the words
+meet their counts in a join and come back to the chunk's texts, so no count table is broadcast.  Tasks are planned by the
+number of chunks.
 
 Cases: a null or empty text is the end alone; rows with null doc_id are scored but not learned from, ``held_out`` is
 null; repeated rows count as often as they occur; without training documents all counts and train_tokens are 0 and
-the base is log10(1 / 1) per token; extra columns are not read.
+the base is log10(1 / 1) per token; very long texts are learned from and scored whole, in a chunk of their own if need be; words of equal
+frequency are ordered by their bytes; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -38,6 +41,7 @@ VOCABULARY, BUCKETS = 2047, 64
 ROUNDS = 2
 LEARN_TOKENS = 1_000_000  # a task trains on so many tokens at a time
 BLOCK = 4096
+CHUNKS_PER_TASK = 4
 TEXTS = 2**31 - 1  # place of a chunk's texts, after its words
 END_WORDS = b".,;:!?"
 
@@ -57,8 +61,13 @@ def in_round(doc_id: int, turn: int) -> bool:
     return zlib.crc32(f"round {doc_id}".encode()) % ROUNDS == turn
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, place, word, n): a chunk's distinct words in order, with their occurrences in training documents."""
+CHUNKS = "chunk long, place int, word binary, n long, data binary"
+KINDS = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
+
+
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """CHUNKS: a chunk's distinct words in order, with their occurrences in training documents, and then its texts."""
+    names = ["chunk", "place", "word", "n", "data"]
     for chunk, ids, texts in chunks(batches):
         trained, others = Counter(), set()
         for doc_id, text in zip(ids, texts):
@@ -68,47 +77,59 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 others.update(found)
         order = sorted(trained.keys() | others)
-        n = np.array([trained[w] for w in order], np.int64)
+        n = np.fromiter(map(trained.__getitem__, order), np.int64, len(order))
         for low in range(0, len(order), 20_000):
             part = order[low:low + 20_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(part), chunk)), pa.array(np.arange(low, low + len(part), dtype=np.int32)), pa.array(part, pa.binary()), pa.array(n[low:low + len(part)])],
-                ["chunk", "place", "word", "n"])
+            columns = (np.full(len(part), chunk), np.arange(low, low + len(part), dtype=np.int32), part, n[low:low + len(part)], [None] * len(part))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS)], names)
+        sink = pa.BufferOutputStream()
+        batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.large_string())], ["doc_id", "text"])
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+        columns = [chunk], [TEXTS], [None], [0], [pack(sink.getvalue().to_pybytes())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS)], names)
 
 
 class Symbols:
-    """Numbers of vocabulary words (by frequency), the end and the classes of other words."""
+    """Vocabulary words, the end and the buckets of other words, numbered by falling counts."""
+
+    def __init__(self, vocabulary: dict[bytes, int], end: int, buckets: list[int]):
+        entries = [*((n, 0, w) for w, n in vocabulary.items()), (end, 1, b""), *((n, 2, bytes([i])) for i, n in enumerate(buckets))]
+        entries.sort(key=lambda e: (-e[0], e[1:]))
+        self.counts = np.array([n for n, _, _ in entries], float)
+        self.number = {w: i for i, (_, kind, w) in enumerate(entries) if kind == 0}
+        self.end = next(i for i, (_, kind, _) in enumerate(entries) if kind == 1)
+        of_bucket = {w[0]: i for i, (_, kind, w) in enumerate(entries) if kind == 2}
+        self.bucket = np.array([of_bucket[i] for i in range(len(buckets))], np.int64)
+        self.bounds = gru.class_bounds(self.counts)
+
 
-    def __init__(self, vocabulary: list[bytes]):
-        self.number = {w: i for i, w in enumerate(vocabulary)}
-        self.end = len(vocabulary)
-        self.count = len(vocabulary) + 1 + BUCKETS
+class Known(dict):
+    """Symbols of words, kept for one task and emptied when ``limit`` words are held."""
 
-    def of(self, word: bytes) -> int:
-        found = self.number.get(word)
-        return self.end + 1 + bucket_of(word) if found is None else found
+    def __init__(self, symbols: Symbols, limit: int = 500_000):
+        super().__init__()
+        self.symbols, self.limit = symbols, limit
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        found = self.symbols.number.get(word)
+        value = self[word] = int(self.symbols.bucket[bucket_of(word)]) if found is None else found
+        return value
 
 
 def _learn(symbols: Symbols, params: np.ndarray, turn: int):
     """Trains on a task's documents of this round; emits the weights, times the tokens seen, in blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, known = gru.Trainer(params, symbols.count), {}
+        trainer, known = gru.Trainer(params, symbols.bounds), Known(symbols)
         held, size, total = [], 0, 0
-
-        def of(word: bytes) -> int:
-            got = known.get(word)
-            if got is None:
-                if len(known) > 500_000:
-                    known.clear()
-                got = known[word] = symbols.of(word)
-            return got
-
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 if not in_training(doc_id) or not in_round(doc_id, turn):
                     continue
                 found = words(text, lower=True)
-                held.append(np.fromiter((*map(of, found), symbols.end), np.int64, len(found) + 1))
+                held.append(np.fromiter((*map(known.__getitem__, found), symbols.end), np.int64, len(found) + 1))
                 size += len(found) + 1
                 if size >= LEARN_TOKENS:
                     trainer.learn(held, symbols.end)
@@ -157,23 +178,18 @@ def averaged(trained: DataFrame) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["data"]) / r["tokens"] for r in rows]) if rows else None
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for chunk, ids, texts in chunks(batches):
-        sink = pa.BufferOutputStream()
-        batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.large_string())], ["doc_id", "text"])
-        with pa.ipc.new_stream(sink, batch.schema) as out:
-            out.write_batch(batch)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([chunk]), pa.array([TEXTS], pa.int32()), pa.array([0]), pa.array([pack(sink.getvalue().to_pybytes())], pa.binary())], ["chunk", "place", "n", "data"])
+RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
-RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+def _score(symbols: Symbols, params: np.ndarray, tokens: int, distinct: int, end_count: int, others: np.ndarray):
+    """Rows sorted by (chunk, place): counts of the chunk's words, then its texts; each as often as there are equal chunks.
 
+    ``others`` has the words of each bucket and how many of them differ.
+    """
+    share = np.log10(others.sum(1) + 1.0)
 
-def _score(symbols: Symbols, params: np.ndarray, tokens: int, distinct: int, end_count: int, others: dict[int, tuple[int, int]]):
-    """Rows sorted by (chunk, place): counts of the chunk's words, then its texts; each as often as there are equal chunks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = gru.shaped(params, symbols.count)
+        p = gru.shaped(params, symbols.bounds)
         now, last, counts = None, -1, []
         for batch in batches:
             chunk, place, n = (batch[c].to_numpy() for c in ("chunk", "place", "n"))
@@ -193,17 +209,18 @@ def _score(symbols: Symbols, params: np.ndarray, tokens: int, distinct: int, end
         found = [words(t, lower=True) for t in rows["text"].to_pylist()]
         order = sorted(set().union(*found)) if found else []
         if len(order) != len(counts):
-            raise RuntimeError("documents changed between two reads of one query")
+            raise RuntimeError("a chunk's words and its texts do not belong together")
         number = {w: i for i, w in enumerate(order)}
         base_of = np.append(np.log10(counts + 1.0), np.log10(end_count + 1.0)) - np.log10(tokens + distinct + 1.0)
         known = np.append(counts > 0, end_count > 0)
-        symbol = np.array([*map(symbols.of, order), symbols.end], np.int64)
+        symbol = np.array([*(symbols.number.get(w, -1) for w in order), symbols.end], np.int64)
+        rare = np.flatnonzero(symbol < 0)
+        bucket = np.fromiter((bucket_of(order[i]) for i in rare.tolist()), np.int64, len(rare))
+        symbol[rare] = symbols.bucket[bucket]
         extra = np.zeros(len(order) + 1)
-        for i in np.flatnonzero(symbol > symbols.end).tolist():
-            n, v = others.get(int(symbol[i]) - symbols.end - 1, (0, 0))
-            extra[i] = np.log10((counts[i] + 1.0) / (n + v + 1.0))
+        extra[rare] = np.log10(counts[rare] + 1.0) - share[bucket]
         places = [np.fromiter((*map(number.__getitem__, f), len(order)), np.int64, len(f) + 1) for f in found]
-        likely = gru.log_likelihoods(p, [symbol[x] for x in places], symbols.end) / np.log(10)
+        likely = gru.log_likelihoods(p, symbols.bounds, [symbol[x] for x in places], symbols.end) / np.log(10)
         return pa.RecordBatch.from_arrays(
             [pa.array(rows["doc_id"].to_pylist(), pa.int64()), pa.array([len(x) for x in places], pa.int64()), pa.array([int(known[x].sum()) for x in places], pa.int64()),
              pa.array([float(base_of[x].sum()) for x in places], pa.float64()), pa.array([float(s + extra[x].sum()) for s, x in zip(likely, places)], pa.float64())],
@@ -215,37 +232,39 @@ def _score(symbols: Symbols, params: np.ndarray, tokens: int, distinct: int, end
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    parts = work_partitions(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    asked = materialize(source.mapInArrow(_count, "chunk long, place int, word binary, n long"))
+    cut = materialize(source.mapInArrow(_chunked, CHUNKS))
+    asked = cut.where("word is not null").select("chunk", "place", "word", "n")
     counts = materialize(asked.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     trained: Column = id_bucket(F.col("doc_id"), FOLDS) != HELD_OUT
     ends = source.where(trained).count()
     tokens, distinct = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(VOCABULARY).collect()
-    symbols = Symbols([bytes(r["word"]) for r in top])
+    top = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(VOCABULARY).collect()}
 
-    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, v = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for word, c in zip(batch["word"].to_pylist(), batch["c"].to_pylist()):
-                if word not in symbols.number:
+                if word not in top:
                     place = bucket_of(word)
                     n[place] += c
                     v[place] += 1
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(n), pa.array(v)], ["bucket", "n", "v"])
 
-    rest = counts.mapInArrow(classes, "bucket long, n long, v long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    others = {r["bucket"]: (r["n"], r["v"]) for r in rest}
-    start = np.array([*(r["c"] for r in top), ends, *(others.get(b, (0, 0))[0] for b in range(BUCKETS))], float)
-    params = gru.flat(gru.fresh(start))
+    rest = counts.mapInArrow(buckets, "bucket long, n long, v long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+    others = np.zeros((BUCKETS, 2), np.int64)
+    for r in rest:
+        others[r["bucket"]] = r["n"], r["v"]
+    symbols = Symbols(top, ends, others[:, 0].tolist())
+    params = gru.flat(gru.fresh(symbols.counts))
     for turn in range(ROUNDS):
         mean = averaged(source.where(trained).mapInArrow(_learn(symbols, params, turn), WEIGHTS))
         params = params if mean is None else mean.astype(np.float32)
+    texts = cut.where(F.col("place") == TEXTS).select("chunk", "place", "n", "data")
+    parts = max(work_partitions(spark), math.ceil(texts.count() / CHUNKS_PER_TASK))
     answered = asked.select("chunk", "place", "word").join(counts, "word", "left")
-    answered = answered.select("chunk", "place", F.coalesce("c", F.lit(0)).alias("n"), F.lit(None).cast("binary").alias("data"))
-    both = answered.union(source.mapInArrow(_texts, "chunk long, place int, n long, data binary"))
+    both = answered.select("chunk", "place", F.coalesce("c", F.lit(0)).alias("n"), F.lit(None).cast("binary").alias("data")).union(texts)
     both = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "place")
     scored = both.mapInArrow(_score(symbols, params, tokens, distinct, ends, others), RESULT)
     held_out = id_bucket(F.col("doc_id"), FOLDS) == HELD_OUT

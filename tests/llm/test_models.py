@@ -120,17 +120,18 @@ def test_kth_largest(spark, monkeypatch):
 
 def test_gradients():
     rng = np.random.default_rng(0)
-    p = {k: v.astype(float) for k, v in gru.fresh(rng.integers(1, 50, 100)).items()}
+    counts = np.sort(rng.integers(1, 50, 100))[::-1]
+    p, bounds = {k: v.astype(float) for k, v in gru.fresh(counts).items()}, gru.class_bounds(counts)
     inputs, targets, starts = rng.integers(0, 100, (5, 7)), rng.integers(0, 100, (5, 7)), np.zeros((5, 7), bool)
     starts[:, 0] = starts[2, 3] = True
 
     def loss():
         states = gru.run(p, inputs, np.zeros((5, gru.HIDDEN)), starts)
-        return -gru.outputs(p, states.reshape(-1, gru.HIDDEN).astype(float), targets.T.ravel())[0].sum()
+        return -gru.outputs(p, bounds, states.reshape(-1, gru.HIDDEN).astype(float), targets.T.ravel())[0].sum()
 
-    kept, gradient = [], {k: np.zeros_like(v) for k, v in p.items()}
+    kept, gradient = {}, {k: np.zeros_like(v) for k, v in p.items()}
     states = gru.run(p, inputs, np.zeros((5, gru.HIDDEN)), starts, kept)
-    _, back = gru.outputs(p, states.reshape(-1, gru.HIDDEN).astype(float), targets.T.ravel(), gradient)
+    _, back = gru.outputs(p, bounds, states.reshape(-1, gru.HIDDEN).astype(float), targets.T.ravel(), gradient)
     gru.backward(p, inputs, starts, kept, back.reshape(states.shape), gradient)
     for name in p:
         at = tuple(np.unravel_index(np.abs(gradient[name]).argmax(), p[name].shape))
@@ -143,15 +144,17 @@ def test_gradients():
 
 
 def test_probabilities_add_up_and_states_are_carried():
-    p = gru.fresh(np.arange(1, 61))
+    counts = 1000 // np.arange(1, 61)
+    p, bounds = gru.fresh(counts), gru.class_bounds(counts)
+    assert np.diff(bounds).min() == 1 and np.diff(bounds).max() > 2 and bounds[-1] == 60
     rng = np.random.default_rng(1)
     documents = [rng.integers(0, 60, n) for n in (1, 31, 32, 33, 200, 5)]
-    together = gru.log_likelihoods(p, documents, 59)
+    together = gru.log_likelihoods(p, bounds, documents, 59)
     for doc, value in zip(documents, together):
         inputs = np.concatenate([[59], doc[:-1]])[None]
         states = gru.run(p, inputs, np.zeros((1, gru.HIDDEN), np.float32)).reshape(-1, gru.HIDDEN)
-        assert value == pytest.approx(gru.outputs(p, states, doc)[0].sum(), rel=1e-4)
-        every = sum(np.exp(gru.outputs(p, states[:1], np.array([s]))[0][0]) for s in range(60))
+        assert value == pytest.approx(gru.outputs(p, bounds, states, doc)[0].sum(), rel=1e-4)
+        every = sum(np.exp(gru.outputs(p, bounds, states[:1], np.array([s]))[0][0]) for s in range(60))
         assert every == pytest.approx(1, abs=1e-3)
 
 
@@ -179,8 +182,9 @@ def test_lm_weights_learn_from_every_training_document():
     ids = [*range(300), None]
     texts = [text_of(i, 5 + i % 7) for i in range(len(ids))]
     batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts)], ["doc_id", "text"])
-    symbols = lm_scoring.Symbols([b"a", b"b"])
-    params = gru.flat(gru.fresh(np.ones(symbols.count)))
+    symbols = lm_scoring.Symbols({b"a": 5, b"b": 3}, 4, [1] * lm_scoring.BUCKETS)
+    assert symbols.number == {b"a": 0, b"b": 2} and symbols.end == 1 and symbols.bucket.tolist() == [*range(3, 3 + lm_scoring.BUCKETS)]
+    params = gru.flat(gru.fresh(symbols.counts))
     learned = [next(lm_scoring._learn(symbols, params, turn)(iter([batch])))["tokens"][0].as_py() for turn in range(lm_scoring.ROUNDS)]
     assert sum(learned) == sum(len(words(t)) + 1 for i, t in zip(ids, texts) if lm_scoring.in_training(i))
 
@@ -215,3 +219,13 @@ def test_quality_field_learns_from_all_lines(spark, monkeypatch):
     monkeypatch.setattr(quality_rules, "fit_field", lambda sequences, ys: seen.extend(zip(map(len, sequences), (y[0] for y in ys))))
     quality_rules.train(docs, labels)
     assert sorted(seen) == [(1, 1), (5, 1), (6, 0), (32, 0), (32, 0), (32, 1)]
+
+
+def test_lm_beats_its_base_on_held_out_documents(spark):
+    """Whole given tables; log10 per token of the documents that nothing was learned from."""
+    for sf, margin in (("sf0.01", 0.05), ("sf0.1", 0.25)):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").repartition(8)
+        sums = lm_scoring.lm_scores(docs).where("held_out").selectExpr("sum(base_score) / sum(n_tokens) as base", "sum(score) / sum(n_tokens) as model").first()
+        print(sf, "held-out log10 per token: base", round(sums["base"], 3), "model", round(sums["model"], 3))
+        assert sums["model"] > sums["base"] + margin
+
