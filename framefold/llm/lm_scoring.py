@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +39,7 @@ from .common import id_bucket, table, words
 FOLDS, HELD_OUT = 7, 2
 VOCABULARY, BUCKETS = 2047, 64
 ROUNDS = 2
-LEARN_TOKENS = 1_000_000  # a task trains on so many tokens at a time
+LEARN_TOKENS = 1_000_000  # a task trains on so many tokens at a time, up to twice as many at its end
 BLOCK = 4096
 CHUNKS_PER_TASK = 4
 TEXTS = 2**31 - 1  # place of a chunk's texts, after its words
@@ -65,19 +65,21 @@ CHUNKS = "chunk long, place int, word binary, n long, data binary"
 KINDS = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
 
 
+def numbered_words(texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
+    """The words of each text as numbers, and the distinct words in order of appearance."""
+    numbers: defaultdict[bytes, int] = defaultdict(int)
+    numbers.default_factory = numbers.__len__
+    places = [np.fromiter(map(numbers.__getitem__, words(t, lower=True)), np.int64) for t in texts]
+    return places, list(numbers)
+
+
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """CHUNKS: a chunk's distinct words in order, with their occurrences in training documents, and then its texts."""
+    """CHUNKS: a chunk's distinct words in order of appearance, with their occurrences in training documents, and then its texts."""
     names = ["chunk", "place", "word", "n", "data"]
     for chunk, ids, texts in chunks(batches):
-        trained, others = Counter(), set()
-        for doc_id, text in zip(ids, texts):
-            found = words(text, lower=True)
-            if in_training(doc_id):
-                trained.update(found)
-            else:
-                others.update(found)
-        order = sorted(trained.keys() | others)
-        n = np.fromiter(map(trained.__getitem__, order), np.int64, len(order))
+        places, order = numbered_words(texts)
+        learned = [p for p, i in zip(places, ids) if in_training(i)]
+        n = np.bincount(np.concatenate(learned) if learned else np.zeros(0, np.int64), minlength=len(order))
         for low in range(0, len(order), 20_000):
             part = order[low:low + 20_000]
             columns = (np.full(len(part), chunk), np.arange(low, low + len(part), dtype=np.int32), part, n[low:low + len(part)], [None] * len(part))
@@ -123,7 +125,7 @@ def _learn(symbols: Symbols, params: np.ndarray, turn: int):
     """Trains on a task's documents of this round; emits the weights, times the tokens seen, in blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, known = gru.Trainer(params, symbols.bounds), Known(symbols)
-        held, size, total = [], 0, 0
+        ready, held, size, total = [], [], 0, 0
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 if not in_training(doc_id) or not in_round(doc_id, turn):
@@ -131,11 +133,12 @@ def _learn(symbols: Symbols, params: np.ndarray, turn: int):
                 found = words(text, lower=True)
                 held.append(np.fromiter((*map(known.__getitem__, found), symbols.end), np.int64, len(found) + 1))
                 size += len(found) + 1
-                if size >= LEARN_TOKENS:
-                    trainer.learn(held, symbols.end)
-                    held, size, total = [], 0, total + size
-        if held:
-            trainer.learn(held, symbols.end)
+                if size >= LEARN_TOKENS:  # what came before can go, so that the last pass is never a small one
+                    if ready:
+                        trainer.learn(ready, symbols.end)
+                    ready, held, size, total = held, [], 0, total + size
+        if ready or held:
+            trainer.learn(ready + held, symbols.end)
             total += size
         if not total:
             return
@@ -206,11 +209,9 @@ def _score(symbols: Symbols, params: np.ndarray, tokens: int, distinct: int, end
 
     def score_chunk(p: dict, counts: np.ndarray, data: bytes) -> pa.RecordBatch:
         rows = pa.ipc.open_stream(data).read_all()
-        found = [words(t, lower=True) for t in rows["text"].to_pylist()]
-        order = sorted(set().union(*found)) if found else []
+        places, order = numbered_words(rows["text"].to_pylist())
         if len(order) != len(counts):
             raise RuntimeError("a chunk's words and its texts do not belong together")
-        number = {w: i for i, w in enumerate(order)}
         base_of = np.append(np.log10(counts + 1.0), np.log10(end_count + 1.0)) - np.log10(tokens + distinct + 1.0)
         known = np.append(counts > 0, end_count > 0)
         symbol = np.array([*(symbols.number.get(w, -1) for w in order), symbols.end], np.int64)
@@ -219,11 +220,12 @@ def _score(symbols: Symbols, params: np.ndarray, tokens: int, distinct: int, end
         symbol[rare] = symbols.bucket[bucket]
         extra = np.zeros(len(order) + 1)
         extra[rare] = np.log10(counts[rare] + 1.0) - share[bucket]
-        places = [np.fromiter((*map(number.__getitem__, f), len(order)), np.int64, len(f) + 1) for f in found]
+        places = [np.append(x, len(order)) for x in places]
+        every, starts = np.concatenate(places), np.cumsum([0] + [len(x) for x in places[:-1]])
         likely = gru.log_likelihoods(p, symbols.bounds, [symbol[x] for x in places], symbols.end) / np.log(10)
         return pa.RecordBatch.from_arrays(
-            [pa.array(rows["doc_id"].to_pylist(), pa.int64()), pa.array([len(x) for x in places], pa.int64()), pa.array([int(known[x].sum()) for x in places], pa.int64()),
-             pa.array([float(base_of[x].sum()) for x in places], pa.float64()), pa.array([float(s + extra[x].sum()) for s, x in zip(likely, places)], pa.float64())],
+            [pa.array(rows["doc_id"].to_pylist(), pa.int64()), pa.array([len(x) for x in places], pa.int64()), pa.array(np.add.reduceat(known[every].astype(np.int64), starts)),
+             pa.array(np.add.reduceat(base_of[every], starts)), pa.array(likely + np.add.reduceat(extra[every], starts))],
             ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
