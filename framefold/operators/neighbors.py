@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from framefold.functions import vectors
 from framefold.operators import pivot_tree
-from framefold.session import hot_keys, materialize, materialize_counted, spread_join, work_partitions
+from framefold.session import hot_keys, materialize, materialize_counted, one_thread_per_task, spread_join, work_partitions
 
 BLOCK_ROWS = 2048  # candidates that a task compares with at a time
 MAX_BROADCAST_ROWS = 50_000
@@ -134,6 +134,7 @@ def nearest(queries: DataFrame, candidates: DataFrame | None = None, *, within:
     into blocks by a hash of their key and compared whole, larger ones go through the pivots.  Inputs are read a few
     times; give tables, not long derivations.
     """
+    one_thread_per_task(queries.sparkSession)
     block = block_rows or BLOCK_ROWS
     keyed = F.col(within).cast("string") if within else F.lit("")
     q = queries.select("hash", F.coalesce(keyed, F.lit("")).alias("key"), "vector")

@@ -134,6 +134,16 @@ def numbered(df: DataFrame, by: list[str], name: str) -> DataFrame:
     return ranged.withColumn("_own", own).join(starts, "_range").withColumn(name, F.col("_start") + F.col("_own")).select(*df.columns, name)
 
 
+def one_thread_per_task(spark: SparkSession) -> None:
+    """Matrix products of Python tasks take one thread each, from the next function on.
+
+    Spark allows every worker as many threads as its executor has cores, so that with several tasks at a time they wait for
+    each other, spinning.  Tasks are the parallelism here.
+    """
+    for name in ("OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        spark.sparkContext.environment[name] = "1"
+
+
 def work_partitions(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
