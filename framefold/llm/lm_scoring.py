@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, work_partitions
+from ..session import materialize, one_thread_per_task, work_partitions
 from . import gru
 from .byte_bpe import chunks, pack, unpack
 from .common import id_bucket, table, words
@@ -74,15 +74,16 @@ def numbered_words(texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """CHUNKS: a chunk's distinct words in order of appearance, with their occurrences in training documents, and then its texts."""
+    """CHUNKS: a chunk's distinct words, numbered by appearance, with their occurrences in training documents, and then its texts."""
     names = ["chunk", "place", "word", "n", "data"]
     for chunk, ids, texts in chunks(batches):
         places, order = numbered_words(texts)
         learned = [p for p, i in zip(places, ids) if in_training(i)]
         n = np.bincount(np.concatenate(learned) if learned else np.zeros(0, np.int64), minlength=len(order))
+        place = np.array(sorted(range(len(order)), key=order.__getitem__), np.int32)  # rows in order of words are small and sort fast
         for low in range(0, len(order), 20_000):
-            part = order[low:low + 20_000]
-            columns = (np.full(len(part), chunk), np.arange(low, low + len(part), dtype=np.int32), part, n[low:low + len(part)], [None] * len(part))
+            some = place[low:low + 20_000]
+            columns = (np.full(len(some), chunk), some, [order[i] for i in some.tolist()], n[some], [None] * len(some))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS)], names)
         sink = pa.BufferOutputStream()
         batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.large_string())], ["doc_id", "text"])
@@ -234,6 +235,7 @@ def _score(symbols: Symbols, params: np.ndarray, tokens: int, distinct: int, end
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    one_thread_per_task(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cut = materialize(source.mapInArrow(_chunked, CHUNKS))
     asked = cut.where("word is not null").select("chunk", "place", "word", "n")
