@@ -76,7 +76,7 @@ def materialize(df: DataFrame, lasting: bool = False) -> DataFrame:
     ``temporary_tables`` a ``lasting`` one belongs to the scope around it, if there is one.
     """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     owner = _scopes[:-1] if lasting else _scopes
     if owner:
         owner[-1].append(path)
