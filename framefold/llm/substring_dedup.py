@@ -19,7 +19,8 @@ a smaller doc_id, or further left in the same document).
 
 Cases: a null or empty text has no words; a text of fewer words than a window loses none; rows with null doc_id are
 left as they are and do not count as occurrences; of rows that repeat a doc_id with different texts one (the smallest
-digest) is the document and the others are left as they are; equal rows get equal results; extra columns are not read.
+digest) is the document and the others are left as they are; equal rows get equal results; very long texts are taken whole,
+in runs of at most ``RUN`` windows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, work_partitions
-from .common import WordHashes, rolling, table, words
+from .common import WordHashes, rolling, table, utf8, words
 
 LENGTH = 20
 GRAM = 6
@@ -164,11 +165,20 @@ class FmIndex:
         return [found[i, length - 1:size][::-1] for i, size in enumerate(sizes)]
 
 
+def _sliding(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
+    """``pick`` (minimum or maximum) of every run of ``size`` values, by runs of doubled length."""
+    n, width = len(values) - size + 1, 1
+    while 2 * width <= size:
+        values = pick(values[:-width], values[width:])
+        width *= 2
+    return pick(values[:n], values[size - width:size - width + n])
+
+
 def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: the anchor's hash, the first window and the last + 1; at most RUN windows a run."""
     if len(hashes) < LENGTH:
         return np.zeros(0, np.int64), np.zeros(0, int), np.zeros(0, int)
-    least = np.lib.stride_tricks.sliding_window_view(rolling(hashes, GRAM), LENGTH - GRAM + 1).min(1)
+    least = _sliding(rolling(hashes, GRAM), LENGTH - GRAM + 1, np.minimum)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     last = np.append(first[1:], len(least))
     if (last - first).max() > RUN:
@@ -178,13 +188,17 @@ def anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def anchor_places(hashes: np.ndarray) -> np.ndarray:
-    """Anchor hashes of a document, once for each place where one lies."""
+    """Anchor hashes of a document, once for each place where one lies.
+
+    A place is an anchor's if its value is the smallest of a window around it, hence the largest of these windows' smallest.
+    """
     if len(hashes) < LENGTH:
         return np.zeros(0, np.int64)
-    grams = rolling(hashes, GRAM)
-    at = np.lib.stride_tricks.sliding_window_view(grams, LENGTH - GRAM + 1).argmin(1)
-    at += np.arange(len(at))
-    return grams[at[np.concatenate([[True], at[1:] != at[:-1]])]].view(np.int64)
+    grams, size = rolling(hashes, GRAM), LENGTH - GRAM + 1
+    least = _sliding(grams, size, np.minimum)
+    edge = np.zeros(size - 1, np.uint64)
+    around = _sliding(np.concatenate([edge, least, edge]), size, np.maximum)
+    return grams[grams == around].view(np.int64)
 
 
 def digest(data: bytes) -> tuple[int, int]:
@@ -194,6 +208,17 @@ def digest(data: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) with the text compressed, as it is to be shuffled."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for whole in batches:
+        for low in range(0, whole.num_rows, 1000):
+            batch = whole.slice(low, 1000)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([pack(utf8(t)) for t in batch["text"].to_pylist()], pa.binary())], ["doc_id", "packed"])
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for whole in batches:
@@ -216,25 +241,27 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 SKETCH = "doc_id long, n_words long, sha string, high long, low long, anchors array<long>"
-SEGMENTS = "doc_id long, text string, start int, windows int, shard_key long, alone boolean, high long, low long, words binary"
-KINDS = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+SEGMENTS = "doc_id long, packed binary, start int, windows int, shard_key long, alone boolean, high long, low long, words binary"
+KINDS = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with their repeated anchors, the hot ones among them and their digest, to rows of three kinds:
 
-    the text; segments with their words and the digest of those; segments equal to an earlier one of the document.
+    the text (compressed); segments with their words and the digest of those; segments equal to an earlier one of the document.
     """
-    hashes = WordHashes()
+    import zstandard
+
+    hashes, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
     for whole in batches:
         for low in range(0, whole.num_rows, 100):
             batch = whole.slice(low, 100)
             rows: list[tuple] = []
-            for doc_id, text, repeated, hot, high, low64 in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "repeated", "hot", "high", "low"))):
-                own = words(text)
+            for doc_id, packed, repeated, hot, high, low64 in zip(*(batch[c].to_pylist() for c in ("doc_id", "packed", "repeated", "hot", "high", "low"))):
+                own = unpack(packed).split()
                 if digest(b" ".join(own)) != (high, low64):  # another row of this doc_id
                     continue
-                rows.append((doc_id, text) + (None,) * 7)
+                rows.append((doc_id, packed) + (None,) * 7)
                 repeated, hot, seen = set(repeated), set(hot), set()
                 for key, first, last in zip(*(x.tolist() for x in anchors(hashes.of(own)))):
                     if key not in repeated:
@@ -249,7 +276,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         seen.add(data)
                         rows.append((doc_id, None, start, step, key, alone, *digest(data), data))
             columns = list(zip(*rows)) if rows else [()] * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS)], ["doc_id", "text", "start", "windows", "shard_key", "alone", "high", "low", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS)], ["doc_id", "packed", "start", "windows", "shard_key", "alone", "high", "low", "words"])
 
 
 def shard_repeats(doc_ids: list[int], starts: list[int], texts: list[bytes]) -> list[bytes]:
@@ -299,10 +326,13 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with their repeated windows: words removed, digest and text of what is kept."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         removed, sha, kept = [], [], []
-        for text, runs in zip(batch["text"].to_pylist(), batch["runs"].to_pylist()):
-            own = words(text)
+        for packed, runs in zip(batch["packed"].to_pylist(), batch["runs"].to_pylist()):
+            own = unpack(packed).split()
             step = np.zeros(len(own) + 1, np.int32)
             for run in runs:
                 at = run["start"] + np.flatnonzero(np.frombuffer(run["flags"], np.uint8))
@@ -316,9 +346,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.string())], ["doc_id", "removed", "cut_sha", "kept_text"])
 
 
-def repeated_anchors(heads: DataFrame) -> DataFrame:
-    """Documents with the anchors that occur twice or more in the corpus, and the hot ones among these."""
-    marked = heads.select("doc_id", F.explode("anchors").alias("anchor"))
+def repeated_anchors(sketch: DataFrame, heads: DataFrame) -> DataFrame:
+    """Documents with the anchors that occur twice or more in the corpus, and the hot ones among these.
+
+    ``heads`` (doc_id, high, low, n) are the documents that count, and in how many equal rows of ``sketch`` each stands.
+    """
+    rows = sketch.select("doc_id", "high", "low", "anchors")
+    single = rows.join(heads.where("n = 1"), ["doc_id", "high", "low"], "left_semi").select("doc_id", "anchors")
+    again = heads.where("n > 1")
+    if not again.isEmpty():
+        once = rows.join(again, ["doc_id", "high", "low"], "left_semi").groupBy("doc_id").agg(F.first("anchors").alias("anchors"))
+        single = single.unionByName(once)
+    marked = single.select("doc_id", F.explode("anchors").alias("anchor"))
     counts = marked.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     counts = materialize(counts.select("anchor", (F.col("n") > HOT).alias("is_hot")))
     known = marked.join(counts, "anchor").groupBy("doc_id").agg(
@@ -349,17 +388,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: doc_id, n_words, n_removed, kept_sha256, and kept_text where a text loses words."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = materialize(source.mapInArrow(_sketch, SKETCH))
-    long_enough = sketch.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= LENGTH)).select("doc_id", "high", "low", "anchors")
+    long_enough = sketch.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= LENGTH)).select("doc_id", "high", "low")
     classes = long_enough.groupBy("high", "low").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
     copies = materialize(classes.where("n > 1").select("high", "low", "first_id"))
     heads = long_enough.join(copies, ["high", "low"], "left").where("coalesce(first_id, doc_id) = doc_id")
-    heads = materialize(heads.groupBy("doc_id").agg(F.min(F.struct("high", "low", "anchors")).alias("s")).select("doc_id", "s.*"))
-    known = repeated_anchors(heads).join(heads.select("doc_id", "high", "low"), "doc_id")
-    segments = materialize(source.where("doc_id is not null").join(known, "doc_id").mapInArrow(_segments, SEGMENTS))
-    runs = repeated_runs(segments.where("text is null").drop("text"))
+    heads = heads.groupBy("doc_id", "high", "low").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.min(F.struct("high", "low", "n")).alias("s"))
+    heads = materialize(heads.select("doc_id", "s.*"))
+    known = repeated_anchors(sketch, heads).join(heads.select("doc_id", "high", "low"), "doc_id")
+    texts = source.where("doc_id is not null").mapInArrow(_packed, "doc_id long, packed binary")
+    segments = materialize(texts.join(known, "doc_id").mapInArrow(_segments, SEGMENTS))
+    runs = repeated_runs(segments.where("packed is null").drop("packed"))
     runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "flags")).alias("runs"))
-    texts = segments.where("text is not null").select("doc_id", "text")
-    cut = texts.join(runs, "doc_id").mapInArrow(_cut, "doc_id long, removed long, cut_sha string, kept_text string")
+    cut = segments.where("packed is not null").select("doc_id", "packed").join(runs, "doc_id").mapInArrow(_cut, "doc_id long, removed long, cut_sha string, kept_text string")
     cut = cut.join(heads.select("doc_id", "high", "low"), "doc_id")
     all_rows = sketch.drop("anchors").join(copies, ["high", "low"], "left").join(cut, ["doc_id", "high", "low"], "left")
     gone = F.coalesce(F.col("first_id") < F.col("doc_id"), F.lit(False))
