@@ -4,7 +4,7 @@ Every stage takes (spark, docs, sf_dir) and decides on all rows its predecessor
 as parquet in the shared folder and reads it again.  All stages but the last return the columns of documents.
 
 Cases: null and empty texts fail the quality rules (no words) and go; rows with null doc_id are no duplicates of
-anything and stay; of rows that repeat a doc_id one stays, the smallest in its columns' order; without labels toxicity keeps all rows
+anything and stay; of rows that repeat a doc_id one stays, chosen by a hash of its columns; without labels toxicity keeps all rows
 and the quality rules decide by their base alone; columns beside doc_id, text and n_chars are passed on as they are.
 """
 
@@ -33,29 +33,34 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.where(quality_rules.rules_column(model, F.col("text"))["kept"])
 
 
+def _names(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that share 80 % of their 5-word shingles, directly or through others, the smallest doc_id stays."""
     found = materialize(near_dedup.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "kept"))
     ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
     gone = ids.where("not kept").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone, "doc_id", "left_anti").select(*_names(docs))
     repeated = materialize(ids.where("kept and n > 1").select("doc_id"))
     if repeated.isEmpty():
         return left
-    row = F.min(F.struct(*(c for c in docs.columns if c != "doc_id"))).alias("_row")
-    single = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(row).select("doc_id", "_row.*")
-    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(single)
+    rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "doc_id"))
+    row = F.min_by(rest, F.sha2(F.to_json(rest), 256)).alias("r")
+    single = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(row).select("doc_id", "r.*")
+    return left.join(repeated, "doc_id", "left_anti").select(*_names(docs)).unionByName(single)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words covered by 20-word windows that also start earlier are cut; what is left is joined by single spaces."""
     found = substring_dedup.substring_dedup(docs.select("doc_id", "text")).where("kept_text is not null and doc_id is not null")
-    cut = found.select("doc_id", F.col("kept_text").alias("_kept")).dropDuplicates(["doc_id"])
-    changed = F.col("_kept").isNotNull()
-    out = docs.join(cut, "doc_id", "left")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", F.coalesce("_kept", "text")).select(*docs.columns)
+    cut = found.groupBy("doc_id").agg(F.min("kept_text").alias("kept_text")).alias("cut")
+    changed, whole = F.col("cut.kept_text").isNotNull(), docs.alias("whole")
+    new = {"text": F.col("cut.kept_text"), "n_chars": F.length("cut.kept_text")}
+    columns = [F.when(changed, new[f.name].cast(f.dataType)).otherwise(F.col(f"whole.`{f.name}`")).alias(f.name) if f.name in new
+               else F.col(f"whole.`{f.name}`") for f in docs.schema.fields]
+    return whole.join(cut, F.col("whole.doc_id") == F.col("cut.doc_id"), "left").select(*columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

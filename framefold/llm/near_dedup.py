@@ -134,6 +134,11 @@ def family_links(ids: list[int], blocks: list[int], signatures: np.ndarray, sets
     return links
 
 
+def short(minima: np.ndarray) -> np.ndarray:
+    """Sixteen bits of each minimum, mixed first: a minimum over many shingles begins with zeros, whatever the shingles are."""
+    return (mix(minima) >> np.uint64(48)).astype(np.uint16)
+
+
 def _sketch(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -151,7 +156,7 @@ def _sketch(size: int):
                     low64.append(int.from_bytes(digest[8:], "little", signed=True))
                     minima = signature(found) if len(found) else None
                     bands.append(None if minima is None else band_keys(minima).view(np.int64))
-                    signs.append(None if minima is None else (minima >> np.uint64(48)).astype(np.uint16).tobytes())
+                    signs.append(None if minima is None else short(minima).tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [batch["doc_id"], pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low64, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
                     ["doc_id", "n_shingles", "high", "low", "bands", "signature"])

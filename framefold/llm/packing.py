@@ -107,12 +107,11 @@ def put(tree: RoomTree, open_at: dict[int, deque], room: int, start: int, width:
 
 
 def tokenizer_encoder(path: str):
-    """Encoder of text pieces by the tokenizers library; strings of special tokens count as ordinary text."""
+    """Encoder of text pieces by the tokenizers library; strings of special tokens in a text become those tokens, as by its plain call."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     long_piece = 200
 
     def encode(pieces: list[str]) -> list[bytes]:

@@ -40,7 +40,7 @@ CAPITALS = bytes(range(65, 91))
 DIGITS = bytes(range(48, 58))
 BLANKS = b" \t\n\x0b\x0c\r"
 N_FEATURES = 14
-RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content_share double, base_failed boolean, kept boolean"
+RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, content_share double"
 
 
 @dataclass
@@ -208,8 +208,8 @@ def rules_column(model: Field | None, text: Column) -> Column:
         for t in texts.tolist():
             found = marks(t)
             share, kept = verdict(model, found)
-            rows.append((found.n_words, found.word_chars, found.n_symbols, found.n_dup_lines, found.n_repeat_words, share, found.base_failed, kept))
-        return pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "content_share", "base_failed", "kept"])
+            rows.append((found.n_words, found.word_chars, found.n_symbols, found.n_dup_lines, found.n_repeat_words, found.base_failed, kept, share))
+        return pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"])
 
     return rules(text)
 

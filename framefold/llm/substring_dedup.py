@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, work_partitions
-from .common import WordHashes, rolling, table, utf8, words
+from .common import rolling, table, utf8, word_hashes, words
 
 LENGTH = 20
 GRAM = 6
@@ -220,7 +220,6 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for whole in batches:
         for low in range(0, whole.num_rows, 1000):
             batch = whole.slice(low, 1000)
@@ -233,7 +232,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sha.append(hashlib.sha256(joined).hexdigest())
                 one.append(a)
                 two.append(b)
-                anchor, times = np.unique(anchor_places(hashes.of(own)), return_counts=True)
+                anchor, times = np.unique(anchor_places(word_hashes(utf8(text))), return_counts=True)
                 found.append(np.repeat(anchor, np.minimum(times, 2)))  # twice if the document repeats it itself
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(n, pa.int64()), pa.array(sha), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
@@ -252,29 +251,30 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     import zstandard
 
-    hashes, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
+    unpack = zstandard.ZstdDecompressor().decompress
     for whole in batches:
         for low in range(0, whole.num_rows, 100):
             batch = whole.slice(low, 100)
             rows: list[tuple] = []
             for doc_id, packed, repeated, hot, high, low64 in zip(*(batch[c].to_pylist() for c in ("doc_id", "packed", "repeated", "hot", "high", "low"))):
-                own = unpack(packed).split()
+                data = unpack(packed)
+                own = data.split()
                 if digest(b" ".join(own)) != (high, low64):  # another row of this doc_id
                     continue
                 rows.append((doc_id, packed) + (None,) * 7)
                 repeated, hot, seen = set(repeated), set(hot), set()
-                for key, first, last in zip(*(x.tolist() for x in anchors(hashes.of(own)))):
+                for key, first, last in zip(*(x.tolist() for x in anchors(word_hashes(data)))):
                     if key not in repeated:
                         continue
                     alone = key in hot
                     step = 1 if alone else last - first
                     for start in range(first, last, step):
-                        data = b" ".join(own[start:start + step + LENGTH - 1])
-                        if data in seen:
+                        part = b" ".join(own[start:start + step + LENGTH - 1])
+                        if part in seen:
                             rows.append((doc_id, None, start, step) + (None,) * 5)
                             continue
-                        seen.add(data)
-                        rows.append((doc_id, None, start, step, key, alone, *digest(data), data))
+                        seen.add(part)
+                        rows.append((doc_id, None, start, step, key, alone, *digest(part), part))
             columns = list(zip(*rows)) if rows else [()] * 9
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS)], ["doc_id", "packed", "start", "windows", "shard_key", "alone", "high", "low", "words"])
 

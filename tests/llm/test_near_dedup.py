@@ -74,3 +74,13 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (300, 300), (201, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in [*range(41), 100]}, 200: 200, 201: 200}
+
+
+def test_unrelated_long_texts_do_not_agree():
+    """Twelve texts of 60,000 words without a common shingle: next to no place of their signatures agrees, no pair is loose."""
+    rng, least = np.random.default_rng(3), near_dedup.least_matches(near_dedup.LOOSE)
+    signs = [near_dedup.short(near_dedup.signature(rng.integers(0, 1 << 63, 60_000).astype(np.uint64))) for _ in range(12)]
+    for i in range(12):
+        for j in range(i):
+            same = (signs[i] == signs[j]).reshape(-1, near_dedup.BATCH).sum(1).cumsum()
+            assert same[-1] <= 2 and not (same >= np.array(least)).all()

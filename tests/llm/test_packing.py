@@ -44,19 +44,19 @@ def test_plan_is_best_fit_decreasing(seed):
 
 def encode(texts):
     model = Tokenizer.from_file(PATH)
-    model.encode_special_tokens = True
     return [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_pieces_of_text_are_encoded_as_the_whole():
     r = random.Random(5)
-    texts = ["", " ", "  a  b ", "don't we'll  \t x\x1cy \x1c z", "<|endoftext|> hi <|endoftext|>", "　你好 世界 ", "foo\n", "foo\n bar", "z  ", "z, z. "]
-    texts += ["".join(r.choice(["a", "B", " ", "  ", "\n", "'s", "é", "1", "\t", "!", "\x1c", " ", "你", ","]) for _ in range(r.randint(0, 60))) for _ in range(1500)]
+    texts = ["", " ", "  a  b ", "don't we'll  \t x\x1cy \x1c z", "<|endoftext|> hi <|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>, y  <|endoftext|>\n <|endoftext|>", "　你好 世界 ", "foo\n", "foo\n bar", "z  ", "z, z. "]
+    texts += ["".join(r.choice(["a", "B", " ", "  ", "\n", "'s", "é", "1", "\t", "!", "\x1c", " ", "你", ",", "<|endoftext|>"]) for _ in range(r.randint(0, 60))) for _ in range(1500)]
     codes = PieceCodes(packing.tokenizer_encoder(PATH), limit=500)
     got = []
     for low in range(0, len(texts), 100):
         got += [np.frombuffer(b"".join(x), np.uint32).tolist() for x in codes.of(texts[low:low + 100])]
     assert got == encode(texts)
+    assert encode(["a <|endoftext|> b"]) == [[64, 220, 50256, 275]]
 
 
 def test_pack(odd, monkeypatch):

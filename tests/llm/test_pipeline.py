@@ -1,6 +1,8 @@
 """The pipeline's stages against the brute-force versions of the operators' tests."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from framefold.llm.common import table
 from tests.llm.conftest import odd_rows
 from tests.llm.test_near_dedup import brute as linked
@@ -52,3 +54,15 @@ def test_odd_rows(spark, odd, no_docs):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert rows and {"doc_id", "piece", "sequence_id", "offset", "length"} <= set(rows[0].asDict())
+
+
+def test_columns_of_any_name_and_kind(spark):
+    """A column named like the stages' own, and a map beside a repeated doc_id."""
+    shared = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, "alpha beta " + shared, 1, {"a": 1}), (2, "gamma delta " + shared, 2, {"b": 2}), (3, shared[::-1], 3, None), (3, shared[::-1], 4, {"c": 3})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept int, `odd.name` map<string,int>").withColumn("kept_text", F.lit("x"))
+    cut = corpus_pipeline.drop_repeated_passages(spark, docs, SF)
+    assert cut.columns == docs.columns
+    assert {(r["doc_id"], r["text"], r["_kept"]) for r in cut.collect()} == {(1, rows[0][1], 1), (2, "gamma delta", 2), (3, rows[2][1], 3), (3, rows[3][1], 4)}
+    single = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert single.columns == docs.columns and sorted(r["doc_id"] for r in single.collect()) in ([1, 2, 3], [1, 3])

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from framefold.llm import substring_dedup
@@ -79,3 +80,28 @@ def test_index_against_scanning():
         for (doc, start, text), flags in zip(rows, substring_dedup.shard_repeats(*map(list, zip(*rows)))):
             words = text.split()
             assert list(flags) == [int(first[tuple(words[k:k + 20])] < (doc, start + k)) for k in range(len(words) - 19)]
+
+
+def test_word_hashes_follow_the_words():
+    from framefold.llm.common import word_hashes, words
+
+    texts = ["", " \t", "a", "ab ba ab", "x" * 5000 + " x", "größe 你好\x1cz\n a\x0bb", "a  aa aaa a", "\x00 \x00\x00"]
+    seen = {}
+    for text in texts:
+        found, own = word_hashes(text.encode()), words(text)
+        assert len(found) == len(own)
+        for h, w in zip(found.tolist(), own):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_sliding_and_anchor_places():
+    rng = np.random.default_rng(1)
+    for n in (20, 21, 50, 400):
+        hashes = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        grams = substring_dedup.rolling(hashes, substring_dedup.GRAM)
+        size = substring_dedup.LENGTH - substring_dedup.GRAM + 1
+        least = np.array([grams[i:i + size].min() for i in range(len(grams) - size + 1)])
+        assert (substring_dedup._sliding(grams, size, np.minimum) == least).all()
+        at = sorted({i + int(grams[i:i + size].argmin()) for i in range(len(least))})
+        assert substring_dedup.anchor_places(hashes).tolist() == grams[at].view(np.int64).tolist()
