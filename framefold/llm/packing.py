@@ -112,16 +112,16 @@ def tokenizer_encoder(path: str):
     from tokenizers import Tokenizer
 
     model, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    model.encode_special_tokens = True  # spares the search for special strings in pieces that have none
+    model.encode_special_tokens = True  # spares the library's search in pieces without special strings
     special = [t.content for t in plain.get_added_tokens_decoder().values()]
     long_piece = 200
 
-    def has_special(piece: str) -> bool:
-        return any(s in piece for s in special)
-
     def encode(pieces: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(pieces)
-        short = [i for i, p in enumerate(pieces) if p and len(p) <= long_piece and not has_special(p)]
+        together = "\n".join(pieces)
+        present = [s for s in special if s in together]
+        marked = {i for i, p in enumerate(pieces) if any(s in p for s in present)} if present else set()
+        short = [i for i, p in enumerate(pieces) if p and len(p) <= long_piece and i not in marked]
         for at in range(0, len(short), 4096):
             group = short[at:at + 4096]
             found = model.encode([pieces[i] for i in group], is_pretokenized=True, add_special_tokens=False)
@@ -131,7 +131,7 @@ def tokenizer_encoder(path: str):
             for k, i in enumerate(group):
                 out[i] = data[ends[k]:ends[k + 1]]
         for i, p in enumerate(pieces):
-            if len(p) > long_piece or has_special(p):
+            if len(p) > long_piece or i in marked:
                 out[i] = np.array(plain.encode(p, add_special_tokens=False).ids, np.uint32).tobytes()
         return out
 
