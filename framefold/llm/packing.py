@@ -111,9 +111,9 @@ def tokenizer_encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    model, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    model, plain = Tokenizer.from_file(path), []
     model.encode_special_tokens = True  # spares the library's search in pieces without special strings
-    special = [t.content for t in plain.get_added_tokens_decoder().values()]
+    special = [t.content for t in model.get_added_tokens_decoder().values()]
     long_piece = 200
 
     def encode(pieces: list[str]) -> list[bytes]:
@@ -121,6 +121,8 @@ def tokenizer_encoder(path: str):
         together = "\n".join(pieces)
         present = [s for s in special if s in together]
         marked = {i for i, p in enumerate(pieces) if any(s in p for s in present)} if present else set()
+        if marked and not plain:
+            plain.append(Tokenizer.from_file(path))
         short = [i for i, p in enumerate(pieces) if p and len(p) <= long_piece and i not in marked]
         for at in range(0, len(short), 4096):
             group = short[at:at + 4096]
@@ -132,7 +134,7 @@ def tokenizer_encoder(path: str):
                 out[i] = data[ends[k]:ends[k + 1]]
         for i, p in enumerate(pieces):
             if len(p) > long_piece or i in marked:
-                out[i] = np.array(plain.encode(p, add_special_tokens=False).ids, np.uint32).tobytes()
+                out[i] = np.array((plain[0] if i in marked else model).encode(p, add_special_tokens=False).ids, np.uint32).tobytes()
         return out
 
     return encode
