@@ -1,19 +1,25 @@
 """WARC archives as a PySpark Python data source (format ``warc``), and their revisit records.
 
 Writing: every task writes one file, a gzip member per record behind a ``warcinfo`` record; the driver then commits a
-manifest of the files whose tasks succeeded, so what a lost or repeated attempt left behind is never read.  Reading: the
-driver plans partitions over the manifest's files (small ones together), takes over comparisons with the
-record type and with header fields, and each task parses a record's headers first: only wanted records have their
-block read into memory and parsed, the others are skipped.  Files are opened by pyarrow's file systems, so the path may be
-local, shared or remote.
-
-Rows of both directions are ``SCHEMA``; a ``headers`` map holds all fields by lower-case name.  Filters on
+manifest of the files whose tasks succeeded, so what a lost or repeated attempt left behind is never read.  Each write has a
+manifest of its own, so an append adds files; an overwrite's manifest names those it replaces, whose files are then removed.
+A folder without manifests, as other tools write it, is read as all its ``*.warc.gz`` files; the first append takes these over.
+
+Reading: the driver plans partitions over parts of files (small ones together; a manifest holds a member's offset every
+PARTITION_BYTES), takes over comparisons with the record type and with header fields, and each task parses a record's headers
+first: only wanted records have their block inflated.  Others are skipped unread by the member's length, which the writer leaves in
+the gzip header (the ``sl`` extra field); without it, or with several records in a member, they are inflated without keeping
+them.  Files are opened by pyarrow's file systems, so the path may be local, shared or remote.
+
+Rows of both directions are ``SCHEMA``; a response's payload is what follows its HTTP header, without undoing transfer or content
+encodings, and ``payload_bytes`` is its length if the record does not say.  Filters on
 ``warc_type``, ``record_id``, ``target_uri``, ``payload_digest`` and ``refers_to`` are pushed down with
 ``spark.sql.python.filterPushdown.enabled``.  Option ``payload`` = "false" leaves the payload column null.
 
 Cases: a null html is an empty payload; a null url is left out; rows with null page_id get a record id made of their
 digest, come back with null page_id, and are plain responses; repeated page_ids of one payload: one row is the response and the
-others of that page_id are responses too, since a record does not refer to itself; extra columns are not read.
+others of that page_id are responses too, since a record does not refer to itself; very long payloads are one record each, held
+by one task at a time; no rows give a manifest without records; a folder that is missing raises; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +27,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -42,9 +50,10 @@ FIELDS = {"warc_type": "warc-type", "record_id": "warc-record-id", "target_uri":
           "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest-"
+OWN_FILE = re.compile(r"pages-[0-9a-f]{32}\.warc\.gz")  # read only if a manifest names it
 PARTITION_BYTES = 32 << 20
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 LEAST_BYTES = 0  # payloads of at least so many bytes are written once
 
 
@@ -76,69 +85,106 @@ def page_record(row: dict) -> bytes:
     return record(fields, head if kind == "revisit" else head + payload)
 
 
-class Members:
-    """Reads the gzip members of a file one after the other; a member's rest can be skipped without keeping it."""
+class Records:
+    """Headers of the records in part of a file, from a member's offset to another; ``block`` gives the last one's content."""
 
-    def __init__(self, stream):
-        self.stream, self.left = stream, b""
+    def __init__(self, stream, start: int, end: int):
+        self.stream, self.end = stream, end
+        self.seek(start)
 
-    def __iter__(self) -> Iterator[Members]:
-        while True:
-            if not self.left:
-                self.left = self.stream.read(CHUNK)
+    def seek(self, to: int) -> None:
+        self.stream.seek(to)
+        self.at, self.left = to, b""  # end of what was read, and what of it is not used yet
+
+    def fill(self) -> bool:
+        data = self.stream.read(CHUNK)
+        self.at += len(data)
+        self.left += data
+        return bool(data)
+
+    def __iter__(self) -> Iterator[dict[str, str]]:
+        while self.at - len(self.left) < self.end:
+            while len(self.left) < 24 and self.fill():
+                pass
             if not self.left:
                 return
+            length = member_length(self.left)
+            stop = length and self.at - len(self.left) + length
             self.member, self.seen = zlib.decompressobj(31), b""
-            yield self
-            while not self.member.eof:
-                self.more()
+            while (head := self.headers()) is not None:
+                self.rest = int(head["content-length"])
+                yield head
+                if stop:
+                    break
+                self.block(keep=False)
+            if stop:
+                self.skip(stop)
+
+    def skip(self, to: int) -> None:
+        unused = self.at - to
+        if unused < 0:
+            self.seek(to)
+        elif unused < len(self.left):
+            self.left = self.left[len(self.left) - unused:]
 
     def more(self, most: int = 1 << 16) -> bytes:
         """Up to ``most`` further bytes of the member; nothing at its end."""
         while not self.member.eof:
             out = self.member.decompress(self.left, most)
             self.left = self.member.unused_data if self.member.eof else self.member.unconsumed_tail
-            if not self.left and not self.member.eof:
-                self.left = self.stream.read(CHUNK)
-                if not self.left and not out:
-                    raise EOFError("a gzip member is cut off")
             if out:
                 return out
+            if not self.left and not self.member.eof and not self.fill():
+                raise EOFError("a gzip member is cut off")
         return b""
 
-    def headers(self) -> dict[str, str]:
+    def headers(self) -> dict[str, str] | None:
+        """Fields of the member's next record by lower-case name; None if there is no other."""
         while b"\r\n\r\n" not in self.seen:
             part = self.more(4096)
             if not part:
-                raise ValueError("a WARC record has no end of its headers")
-            self.seen += part
+                if self.seen:
+                    raise ValueError("a WARC record has no end of its headers")
+                return None
+            self.seen = (self.seen + part).lstrip(b"\r\n")
         head, _, self.seen = self.seen.partition(b"\r\n\r\n")
         version, *lines = head.decode("utf-8", "replace").split("\r\n")
         if not version.startswith("WARC/"):
             raise ValueError(f"not a WARC record: {version[:40]!r}")
         return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
 
-    def block(self, length: int) -> bytes:
-        parts, size = [self.seen], len(self.seen)
-        while size < length:
-            part = self.more(1 << 20)
+    def block(self, keep: bool = True) -> bytes:
+        """What is left of the record's content, and the line ends behind it off the way."""
+        parts = []
+        while self.rest:
+            part = self.seen or self.more(1 << 20)
             if not part:
                 raise EOFError("a WARC block is shorter than its Content-Length")
-            parts.append(part)
-            size += len(part)
-        return b"".join(parts)[:length]
+            used, self.seen = part[:self.rest], part[self.rest:]
+            self.rest -= len(used)
+            if keep:
+                parts.append(used)
+        self.seen = self.seen.lstrip(b"\r\n")
+        return b"".join(parts)
+
+
+def member_length(start: bytes) -> int | None:
+    """Length of the gzip member that starts so, if its ``sl`` field tells."""
+    if len(start) < 24 or not start[3] & 4 or start[12:16] != b"sl\x08\x00":
+        return None
+    return struct.unpack_from("<I", start, 16)[0] or None
 
 
 @dataclass
-class Files(InputPartition):
-    paths: list[str]
+class Parts(InputPartition):
+    parts: list[tuple[str, int, int]]  # file name, first and last + 1 byte
 
 
 @dataclass
 class Written(WriterCommitMessage):
     name: str
     size: int
-    records: int
+    splits: list[int]
 
 
 class WarcReader(DataSourceReader):
@@ -160,34 +206,36 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        system, root = file_system(self.path)
-        with system.open_input_stream(f"{root}/{MANIFEST}") as f:
-            files = json.loads(f.read())
-        out: list[list[str]] = []
+        parts = []
+        for name, (size, splits) in archive_files(*file_system(self.path))[0].items():
+            ends = [*splits, size]
+            parts += [(name, start, end) for start, end in zip([0, *splits], ends) if end > start]
+        out: list[list] = []
         room = 0
-        for name, size in sorted(files, key=lambda x: (-x[1], x[0])):
+        for part in sorted(parts, key=lambda x: (x[1] - x[2], x)):
+            size = part[2] - part[1]
             if size > room:
                 out.append([])
                 room = PARTITION_BYTES
-            out[-1].append(name)
+            out[-1].append(part)
             room -= size
-        return [Files(x) for x in out] or [Files([])]
+        return [Parts(x) for x in out] or [Parts([])]
 
-    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Parts) -> Iterator[pa.RecordBatch]:
         system, root = file_system(self.path)
         rows, size = [], 0
-        for name in partition.paths:
-            with system.open_input_stream(f"{root}/{name}", compression=None) as stream:
-                for member in Members(stream):
-                    head = member.headers()
+        for name, start, end in partition.parts:
+            with system.open_input_file(f"{root}/{name}") as stream:
+                records = Records(stream, start, end)
+                for head in records:
                     if any(k not in head or (v and head[k] not in v) for k, v in self.wanted):
                         continue
-                    payload = None
+                    payload, length = None, head.get("warc-payload-bytes")
                     if self.payload and head.get("warc-type") == "response":
-                        payload = member.block(int(head["content-length"])).partition(b"\r\n\r\n")[2]
+                        payload = records.block().partition(b"\r\n\r\n")[2]
                         size += len(payload)
-                    length = head.get("warc-payload-bytes")
-                    rows.append((*(head.get(k) for k in FIELDS.values()), length and int(length), payload))
+                        length = len(payload) if length is None else length
+                    rows.append((*(head.get(k) for k in FIELDS.values()), None if length is None else int(length), payload))
                     if len(rows) >= 1000 or size > 8 << 20:
                         yield self.batch(rows)
                         rows, size = [], 0
@@ -202,21 +250,42 @@ class WarcReader(DataSourceReader):
             ["warc_type", "record_id", "target_uri", "payload_digest", "payload_bytes", "refers_to", "payload"])
 
 
+def archive_files(system, root: str) -> tuple[dict[str, tuple[int, list[int]]], list[str]]:
+    """Files of a folder by name, each with its size and offsets to split it at, and the names of its manifests.
+
+    Without a manifest all archives count that are not left over from writes of this source.
+    """
+    from pyarrow import fs
+
+    found = {f.path.removeprefix(root).lstrip("/"): f.size for f in system.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File}
+    names = sorted(n for n in found if n.startswith(MANIFEST))
+    if not names:
+        return {n: (size, []) for n, size in found.items() if n.endswith(".warc.gz") and not OWN_FILE.fullmatch(n.rsplit("/", 1)[-1])}, []
+    manifests = {}
+    for name in names:
+        with system.open_input_stream(f"{root}/{name}") as f:
+            manifests[name] = json.loads(f.read())
+    gone = {old for m in manifests.values() for old in m["replaces"]}
+    files = {name: (size, splits) for n, m in manifests.items() if n not in gone for name, size, splits in m["files"]}
+    return files, [n for n in names if n not in gone]
+
+
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
-        self.path = options["path"].rstrip("/")
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, root = file_system(self.path)
         system.create_dir(root, recursive=True)
-        name, count, size = f"pages-{uuid.uuid4().hex}.warc.gz", 0, 0
+        name, size, splits = f"pages-{uuid.uuid4().hex}.warc.gz", 0, [0]
         with system.open_output_stream(f"{root}/{name}", compression=None) as out:
             info = record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
             for data in self.members(info, iterator):
+                if size - splits[-1] >= PARTITION_BYTES:
+                    splits.append(size)
                 out.write(data)
                 size += len(data)
-                count += 1
-        return Written(name, size, count - 1)
+        return Written(name, size, splits[1:])
 
     @staticmethod
     def members(info: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
@@ -229,16 +298,34 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         system, root = file_system(self.path)
         system.create_dir(root, recursive=True)
-        with system.open_output_stream(f"{root}/{MANIFEST}", compression=None) as out:
-            out.write(json.dumps([[m.name, m.size] for m in messages if m]).encode())
+        before, manifests = archive_files(system, root)
+        files = [[m.name, m.size, m.splits] for m in messages if m]
+        if not manifests and not self.overwrite:  # archives of other tools stay part of the folder
+            files += [[name, size, splits] for name, (size, splits) in before.items()]
+        with system.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json", compression=None) as out:
+            out.write(json.dumps({"replaces": manifests if self.overwrite else [], "files": files}).encode())
+        if self.overwrite:
+            for name in before:
+                system.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
-        """Nothing to take back: without a manifest no file is read."""
+        """Files that no manifest names are not read; those of finished tasks are removed."""
+        system, root = file_system(self.path)
+        for m in messages:
+            if m:
+                system.delete_file(f"{root}/{m.name}")
 
 
 def zipped(data: bytes) -> bytes:
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return packer.compress(data) + packer.flush()
+    """A gzip member whose header has its compressed and plain length, if 32 bits can hold them."""
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    trailer = struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    total = 24 + len(body) + len(trailer)
+    if max(total, len(data)) >> 32:
+        return b"\x1f\x8b\x08\x00" + bytes(5) + b"\xff" + body + trailer
+    extra = b"sl" + struct.pack("<HII", 8, total, len(data))
+    return b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff" + struct.pack("<H", len(extra)) + extra + body + trailer
 
 
 class WarcSource(DataSource):
@@ -255,7 +342,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 @F.pandas_udf(T.StringType())
@@ -294,9 +381,9 @@ def page_records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
         F.when(~again, F.col("payload")).alias("payload"))
 
 
-def write_archives(records: DataFrame, path: str) -> None:
+def write_archives(records: DataFrame, path: str, mode: str = "append") -> None:
     records.sparkSession.dataSource.register(WarcSource)
-    records.write.format("warc").mode("append").save(path)
+    records.write.format("warc").mode(mode).save(path)
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:

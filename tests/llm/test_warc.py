@@ -77,3 +77,70 @@ def test_empty(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     warc.write_archives(warc.page_records(spark.createDataFrame([], "page_id long, url string, html string")), path)
     assert warc.read_archives(spark, path).where("warc_type <> 'warcinfo'").count() == 0
+
+
+def test_a_second_write_adds_and_an_overwrite_replaces(spark, tmp_path):
+    path = f"file://{tmp_path}/twice"
+    records = lambda i: warc.page_records(spark.createDataFrame([(i, "u", f"page {i}")], "page_id long, url string, html string"))
+    ids = lambda: sorted(r["record_id"] for r in warc.read_archives(spark, path).where("warc_type <> 'warcinfo'").collect())
+    warc.write_archives(records(1), path)
+    warc.write_archives(records(2), path)
+    assert ids() == ["<urn:page:1>", "<urn:page:2>"]
+    warc.write_archives(records(3), path, "overwrite")
+    assert ids() == ["<urn:page:3>"]
+    warc.write_archives(records(4), path)
+    assert ids() == ["<urn:page:3>", "<urn:page:4>"]
+
+
+def foreign(i, payload):
+    return f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:other:{i}>\r\nContent-Length: {len(payload) + 19}\r\n\r\nHTTP/1.1 200 OK\r\n\r\n".encode() + payload + b"\r\n\r\n"
+
+
+def test_folders_of_other_tools(spark, tmp_path):
+    """No manifest, no lengths in gzip headers, a member per record or one for all, a file in a subfolder."""
+    folder = tmp_path / "others"
+    (folder / "sub").mkdir(parents=True)
+    big = os.urandom(700_000)
+    with open(folder / "a.warc.gz", "wb") as f:
+        for i, payload in enumerate([b"one", big, b""]):
+            f.write(gzip.compress(foreign(i, payload)))
+    (folder / "sub" / "b.warc.gz").write_bytes(gzip.compress(foreign(3, b"x\r\n") + foreign(4, big) + foreign(5, b"last")))
+    path = f"file://{folder}"
+    want = {f"<urn:other:{i}>": p for i, p in enumerate([b"one", big, b"", b"x\r\n", big, b"last"])}
+    rows = warc.read_archives(spark, path).collect()
+    assert {r["record_id"]: bytes(r["payload"]) for r in rows} == want and len(rows) == 6
+    assert {r["record_id"]: r["payload_bytes"] for r in rows} == {k: len(v) for k, v in want.items()}
+    assert [r["record_id"] for r in warc.read_archives(spark, path).where("record_id = '<urn:other:5>'").collect()] == ["<urn:other:5>"]
+    warc.write_archives(warc.page_records(spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string")), path)
+    assert warc.read_archives(spark, path).where("warc_type <> 'warcinfo'").count() == 7
+
+
+def test_files_are_split_at_members_and_unwanted_ones_are_not_read(tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "PARTITION_BYTES", 300_000)
+    path = f"file://{tmp_path}/split"
+    writer = warc.WarcWriter({"path": path}, False)
+    fields = ["warc_type", "record_id", "target_uri", "payload_digest", "payload_bytes", "refers_to", "payload"]
+    sent = [dict(zip(fields, ("response", f"<urn:page:{i}>", "u", "d", 200_000, None, os.urandom(200_000)))) for i in range(40)]
+    import pyarrow as pa
+
+    writer.commit([writer.write(iter([pa.RecordBatch.from_pylist(sent)])), None])
+    reader = warc.WarcReader({"path": path})
+    parts = reader.partitions()
+    assert len(parts) > 10
+    rows = [r for p in parts for batch in reader.read(p) for r in batch.to_pylist() if r["warc_type"] == "response"]
+    assert sorted((r["record_id"], r["payload"]) for r in rows) == sorted((r["record_id"], r["payload"]) for r in sent)
+
+    inflated = []
+    plain = warc.Records.more
+    monkeypatch.setattr(warc.Records, "more", lambda self, most=1 << 16: inflated.append(plain(self, most)) or inflated[-1])
+    reader.wanted = [("warc-record-id", {"<urn:page:7>"})]
+    found = [r["payload"] for p in parts for batch in reader.read(p) for r in batch.to_pylist()]
+    assert found == [sent[7]["payload"]]
+    assert sum(map(len, inflated)) < 200_000 + 45 * 5000
+
+
+def test_a_cut_file_raises(tmp_path):
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(foreign(0, os.urandom(5000)))[:-900])
+    reader = warc.WarcReader({"path": f"file://{tmp_path}"})
+    with pytest.raises(EOFError):
+        [b for p in reader.partitions() for b in reader.read(p)]
