@@ -18,7 +18,7 @@ ENDINGS = ",.;:!?"  # after letters, one of these is a match of its own
 
 
 def whole(part: str) -> bool:
-    return part != "" and not part[0].isspace() and not part[-1].isspace()
+    return part != "" and part == part.strip()
 
 
 class Unsafe(Exception):

@@ -10,7 +10,7 @@ from framefold.llm import packing
 from framefold.llm.pretokens import PieceCodes
 from tests.llm.conftest import odd_rows
 
-PATH = public_tokenizers.path("byte_bpe_50k.json")
+PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 
 
 def one_by_one(lengths, capacity):
@@ -51,7 +51,7 @@ def test_pieces_of_text_are_encoded_as_the_whole():
     r = random.Random(5)
     texts = ["", " ", "  a  b ", "don't we'll  \t x\x1cy \x1c z", "<|endoftext|> hi <|endoftext|>", "a <|endoftext|> b", "x<|endoftext|>, y  <|endoftext|>\n <|endoftext|>", "　你好 世界 ", "foo\n", "foo\n bar", "z  ", "z, z. "]
     texts += ["".join(r.choice(["a", "B", " ", "  ", "\n", "'s", "é", "1", "\t", "!", "\x1c", " ", "你", ",", "<|endoftext|>"]) for _ in range(r.randint(0, 60))) for _ in range(1500)]
-    codes = PieceCodes(packing.tokenizer_encoder(PATH), limit=500)
+    codes = PieceCodes(packing.tokenizer_encoder(PATH, PATTERN), limit=500)
     got = []
     for low in range(0, len(texts), 100):
         got += [np.frombuffer(b"".join(x), np.uint32).tolist() for x in codes.of(texts[low:low + 100])]
@@ -59,9 +59,32 @@ def test_pieces_of_text_are_encoded_as_the_whole():
     assert encode(["a <|endoftext|> b"]) == [[64, 220, 50256, 275]]
 
 
+def test_latin_pieces_are_encoded_alike():
+    """Every character of PLAIN next to letters, digits, signs, an apostrophe and itself."""
+    latin, pieces = packing.latin_encoder(PATH, PATTERN), []
+    for c in map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x250)]):
+        pieces += [f" {c}", f" a{c}b", f" 1{c}2", f" !{c}?", f" it'{c}s", f" {c}{c}", f" x{c}1{c}-{c}", f" {c}'ll"]
+    r = random.Random(9)
+    chars = [chr(i) for i in [*range(0x21, 0x7F)] * 4 + [*range(0xA1, 0x250)]]
+    pieces += [" " + "".join(r.choices(chars, k=r.randint(1, 30))) for _ in range(20_000)]
+    pieces = [p for p in pieces if "<|endoftext|>" not in p]
+    assert all(packing.PLAIN(p) for p in pieces)
+    assert not any(packing.PLAIN(p) for p in ["", " ", "a", "  a", " a b", " a\n", " \u00a0", " 你", " a\u2028"])
+    got = [np.frombuffer(x, np.uint32).tolist() for x in latin(pieces)]
+    assert got == encode(pieces)
+
+
+def test_ranks_are_those_of_the_rank_file():
+    import base64
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        want = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, f.read().splitlines()))}
+    assert packing.merge_ranks(PATH) == want
+
+
 def test_pack(odd, monkeypatch):
     monkeypatch.setattr(packing, "SALT_ROWS", 3)  # frequent lengths over several salts
-    rows = packing.pack(odd, PATH, capacity=64).collect()
+    rows = packing.pack(odd, PATH, PATTERN, capacity=64).collect()
     want = sorted((i if i is not None else -1, x + [0]) for (i, _), x in zip(odd_rows(), encode([t or "" for _, t in odd_rows()])))
     pieces = []
     for i, ids in want:
@@ -84,4 +107,4 @@ def test_pack(odd, monkeypatch):
 
 
 def test_empty(no_docs):
-    assert packing.pack(no_docs, PATH).collect() == []
+    assert packing.pack(no_docs, PATH, PATTERN).collect() == []
