@@ -1,5 +1,6 @@
-"""Vector arithmetic on ARRAY<FLOAT> columns, computed in DOUBLE inside the JVM."""
+"""Vector arithmetic on ARRAY<FLOAT> columns, computed in DOUBLE; rows against one known vector as matrix products, the rest inside the JVM."""
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -22,6 +23,25 @@ def distance(x: Column, y: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - product))
 
 
+def distance_to(v: Column, query: list[float] | None) -> Column:
+    """``distance`` to one vector that is known: a matrix product per Arrow batch, in double."""
+    q = np.array([] if query is None else query, np.float64)
+
+    @F.arrow_udf(T.DoubleType())
+    def measured(rows: pa.Array) -> pa.Array:
+        out = np.ones(len(rows))
+        fits = pc.equal(pc.list_value_length(rows), q.size).fill_null(False)
+        if q.size and fits.true_count:
+            x = rows.filter(fits).flatten().to_numpy(zero_copy_only=False).reshape(-1, q.size)
+            with np.errstate(invalid="ignore"):
+                product = np.concatenate([x[low:low + 1024].astype(np.float64) @ q for low in range(0, len(x), 1024)])
+                near = np.clip(1.0 - product, 0.0, 1.0)
+            out[fits.to_numpy(zero_copy_only=False)] = np.where(np.isfinite(product), near, 1.0)
+        return pa.array(out)
+
+    return measured(v)
+
+
 def finite(value: Column) -> Column:
     """Neither NULL nor NaN (which sorts above infinity) nor infinite."""
     return F.coalesce(F.abs(value) < F.lit(float("inf")), F.lit(False))

@@ -30,27 +30,29 @@ PAIR_BYTES = 48
 
 # ---------------------------------------------------------------- one query against the whole catalog
 
+def _distance_to(catalog: DataFrame, query: Column) -> Column:
+    """Distance of each row's vector to ``query``, a constant or a scalar subquery.  That one vector is fetched and goes with the function."""
+    one_thread_per_task(catalog.sparkSession)
+    return vectors.distance_to(F.col("vector"), catalog.sparkSession.range(1).select(query.alias("q")).first()["q"])
+
+
 def beam(catalog: DataFrame, query: Column) -> DataFrame:
     """Distance of every vector to one query vector, nearest first.  ``query`` may be a scalar subquery."""
-    measured = catalog.withColumn("_q", query)
-    return (measured.select("hash", F.round(vectors.distance(F.col("vector"), F.col("_q")), 6).alias("distance"))
-            .orderBy("distance", "hash"))
+    return catalog.select("hash", F.round(_distance_to(catalog, query), 6).alias("distance")).orderBy("distance", "hash")
 
 
 def closest(catalog: DataFrame, query: Column) -> DataFrame:
     """The nearest image of a free vector; partial argmin per task, no sort.  Empty catalog: one NULL row."""
-    measured = catalog.withColumn("_q", query)
-    near = F.struct(F.round(vectors.distance(F.col("vector"), F.col("_q")), 6).alias("distance"), F.col("hash"))
-    return (measured.agg(F.min(near).alias("near"))
+    near = F.struct(F.round(F.col("distance"), 6).alias("distance"), F.col("hash"))
+    return (catalog.select("hash", _distance_to(catalog, query).alias("distance")).agg(F.min(near).alias("near"))
             .select(F.col("near.hash").alias("hash"), F.col("near.distance").alias("distance")))
 
 
 def labelled_distances(catalog: DataFrame, base: str, query: Column) -> DataFrame:
     """One base against many, as labelled text."""
-    measured = catalog.filter(F.col("hash") != base).withColumn("_q", query)
-    dist = vectors.distance(F.col("vector"), F.col("_q"))
-    return measured.select("hash", F.concat(F.lit(f"{base}-"), F.col("hash"), F.format_string(" = %.4f", dist))
-                           .alias("label"))
+    others = catalog.filter(F.col("hash") != base)
+    return others.select("hash", F.concat(F.lit(f"{base}-"), F.col("hash"), F.format_string(" = %.4f", _distance_to(catalog, query)))
+                         .alias("label"))
 
 
 # ---------------------------------------------------------------- helpers of the join

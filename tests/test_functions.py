@@ -171,3 +171,13 @@ def test_card(spark):
     got = [r.label for r in cards.catalog_cards(df).collect()]
     assert got == ["abcd.jpg [3]\n2.0 Kb  (640x480)\n 2 days ago  [2024-01-02] E:1",
                    "abcd.png\n10 b  (1x1)\n 1 seconds ago  "]
+
+
+def test_distances_to_one_vector_equal_the_plain_ones(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [[0.6, 0.8], [1.0, 0.0], [-1.0, 0.0], [2.0, 3.0], [nan, 1.0], [inf, 1.0], [-inf, 1.0], [inf, -inf], [None, 1.0], [0.6], [0.6, 0.8, 0.1], [], None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rows)], "id int, v array<float>").repartition(3)
+    for query in ([0.6, 0.8], [0.0, 0.0], [nan, 1.0], [1.0, inf], [None, 1.0], [1.0], [], None):
+        q = F.lit(None).cast("array<double>") if query is None else F.array(*map(F.lit, query)).cast("array<double>")
+        got = df.select("id", F.round(vectors.distance_to(F.col("v"), query), 6).alias("a"), F.round(vectors.distance(F.col("v"), q), 6).alias("b")).collect()
+        assert [r for r in got if r.a != r.b] == [] and len(got) == len(rows)
