@@ -194,7 +194,7 @@ def nearest(queries: DataFrame, candidates: DataFrame | None = None, *, within:
         found = materialize(pivot_tree.compare(first, dim, tasks))
     answered = None
     if tree:
-        found, answered = materialize_counted(_merge(pivot_tree.search(tree, found, n_rows, excluded)))
+        found, answered = materialize_counted(_merge(pivot_tree.search(tree, found, excluded)))
     if candidates is None and answered == n_rows + (n_small or 0):
         return found
     unresolved = q_large.select("hash", "key") if found is None else q_large.select("hash", "key").join(found, "hash", "left_anti")

@@ -6,10 +6,12 @@ node to the nearest of its own pivots, which makes a leaf.  A row is a pivot of
 the top pivots and their radii (the square root of the number of leaves) travel with the tasks; the pivots of a node meet its
 rows by a shuffle.
 
-The distance that a query finds in its own leaf bounds the rest.  The bound opens nodes, then leaves of these nodes, by
-pivot, radius and largest norm; the leaves that stay open are compared.  Comparison streams through rows sorted by block: the
-candidates of a block (at most about ``block`` of them), its excluded pairs, then any number of queries, so a task holds one
-block and one batch.  Excluded pairs go to the block of the excluded candidate alone, once for each salt of it.
+The distance that a query finds in its own leaf bounds the rest.  The bound opens nodes by pivot, radius and largest norm.
+Nodes are dealt over groups of at most about GROUP_BYTES of vectors, and a query travels once to each group that holds an
+open node; inside, the bound is tried on each block, and the blocks that stay open are compared.  So what travels follows
+queries times groups, however little the bounds prune, and never queries times blocks.  Comparison streams through sorted
+rows: candidates, excluded pairs, then any number of queries, so a task holds one block or group and one batch.  Excluded
+pairs go to where the excluded candidate is, once for each salt of it.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framefold.functions import vectors
-from framefold.session import materialize, materialize_counted, spread_work, work_partitions
+from framefold.session import materialize, spread_work, work_partitions
 
 TASK_ROWS = 131_072  # rows that a task is planned for
 BLOCKS_PER_SALT = 16  # queries that meet one copy of a block, in blocks
+GROUP_BYTES = 32 << 20  # vectors of the candidates that a task of the sweep holds
 ROUNDING = 1e-6
 ASKS, OFFERS = 2, 1  # roles of a row, added up
 
@@ -135,6 +138,37 @@ def _open_cells(pivots: np.ndarray, spreads: dict[tuple[int, int], tuple[float,
     return open_cells
 
 
+def _open_groups(pivots: np.ndarray, spreads: dict[tuple[int, int], tuple[float, float]], groups: int, parts: int):
+    """Arrow UDF: the groups that hold a node that a query with this bound has to look into; nodes are dealt as in ``PivotTree.sweep``."""
+    dim = pivots.shape[1]
+    p_norm = np.sqrt((pivots ** 2).sum(axis=1))
+
+    @F.arrow_udf("array<int>")
+    def open_groups(column: pa.Array, layers: pa.Array, bounds: pa.Array, turns: pa.Array) -> pa.Array:
+        v, _ = matrix(column, dim)
+        layer, bound, turn = (x.to_numpy(zero_copy_only=False) for x in (layers, bounds, turns))
+        norms = np.sqrt((v ** 2).sum(axis=1))
+        found = [np.zeros((2, 0), np.int64)]
+        for depth in np.unique(layer):
+            held = np.array(sorted(cell for at, cell in spreads if at == depth), np.int64)
+            if not len(held):
+                continue
+            radius, norm = np.array([spreads[int(depth), int(cell)] for cell in held]).T
+            holds = np.zeros((len(held), groups), np.float32)
+            for part in range(min(parts, groups)):
+                holds[np.arange(len(held)), (held * parts + part) % groups] = 1
+            rows = np.flatnonzero(layer == depth)
+            mask = may_hold(v[rows] @ pivots[held].T, norms[rows], p_norm[held], radius, norm, bound[rows])
+            row, group = np.nonzero(mask.astype(np.float32) @ holds)
+            found.append(np.stack([rows[row], (group + turn[rows[row]]) % groups]))
+        row, group = np.concatenate(found, axis=1)
+        order = np.argsort(row, kind="stable")
+        ends = np.searchsorted(row[order], np.arange(len(v) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(group[order].astype(np.int32)))
+
+    return open_groups
+
+
 # ---------------------------------------------------------------- level 2: a node's pivots meet its rows
 
 def _settle(pivots: np.ndarray):
@@ -315,6 +349,106 @@ def _compare(dim: int):
     return run
 
 
+class Group:
+    """Candidates of a group in the order of their blocks, inside by hash, and the pairs that are excluded from it.
+
+    A block is bounded by the mean of its rows, which serves as well as a pivot and needs no other group's rows.
+    """
+
+    def __init__(self, candidates: pa.Table, pairs: pa.Table | None, dim: int):
+        rows = candidates.sort_by([("node", "ascending"), ("leaf", "ascending"), ("block", "ascending"), ("hash", "ascending")])
+        self.hashes = rows["hash"].combine_chunks()
+        self.rank = np.empty(len(self.hashes), np.int64)
+        self.rank[pc.sort_indices(self.hashes).to_numpy()] = np.arange(len(self.hashes))
+        self.points, _ = matrix(rows["vector"], dim, np.float32)
+        codes = [rows[name].combine_chunks().dictionary_encode().indices.to_numpy() for name in ("node", "leaf")]
+        codes.append(rows["block"].to_numpy())
+        self.starts = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in codes], axis=0)])
+        self.ends = np.r_[self.starts[1:], len(self.hashes)]
+        self.strata = pc.unique(rows["key"].combine_chunks())
+        self.stratum = pc.index_in(rows["key"].combine_chunks(), value_set=self.strata).to_numpy(zero_copy_only=False)[self.starts]
+        sizes = self.ends - self.starts
+        exact = self.points.astype(np.float64)
+        self.middle = np.add.reduceat(exact, self.starts) / sizes[:, None]
+        self.radius = np.sqrt(np.maximum.reduceat(((exact - np.repeat(self.middle, sizes, axis=0)) ** 2).sum(axis=1), self.starts))
+        self.norm = np.sqrt(np.maximum.reduceat((exact ** 2).sum(axis=1), self.starts))
+        self.asking, self.banned = pa.array([], pa.string()), np.zeros(0, np.int64)
+        if pairs is not None:
+            place = pc.index_in(pairs["peer"].combine_chunks(), value_set=self.hashes)
+            self.asking = pairs["hash"].combine_chunks().filter(place.is_valid())
+            self.banned = place.drop_null().to_numpy()
+
+    def _forbidden(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, candidate) that must not be matched, in the order of candidates: themselves and the excluded ones."""
+        own = pc.index_in(names, value_set=self.hashes)
+        rows, cols = [np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False))], [own.drop_null().to_numpy()]
+        if len(self.asking):
+            distinct, inverse = np.unique(names.to_numpy(zero_copy_only=False), return_inverse=True)
+            asked = pc.index_in(self.asking, value_set=pa.array(distinct, pa.string()))
+            number, banned = asked.drop_null().to_numpy(), self.banned[asked.is_valid().to_numpy(zero_copy_only=False)]
+            order = np.argsort(inverse, kind="stable")  # rows of one hash; as a rule one
+            first, last = np.searchsorted(inverse[order], number), np.searchsorted(inverse[order], number, "right")
+            rows += [order[a:b] for a, b in zip(first, last)]
+            cols.append(np.repeat(banned, last - first))
+        rows, cols = np.concatenate(rows).astype(np.int64), np.concatenate(cols).astype(np.int64)
+        order = np.argsort(cols, kind="stable")
+        return rows[order], cols[order]
+
+    def best(self, queries: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place and distance of the nearest allowed candidate of each query in the blocks that its bound leaves open."""
+        exact, _ = matrix(queries["vector"], dim)
+        q = exact.astype(np.float32)
+        asked = pc.index_in(queries["key"], value_set=self.strata).fill_null(-1).to_numpy(zero_copy_only=False)
+        mask = may_hold(exact @ self.middle.T, np.sqrt((exact ** 2).sum(axis=1)), np.sqrt((self.middle ** 2).sum(axis=1)),
+                        self.radius, self.norm, queries["bound"].to_numpy()) & (asked[:, None] == self.stratum[None, :])
+        rows, cols = self._forbidden(queries["hash"])
+        at, dist = np.zeros(len(q), np.int64), np.full(len(q), np.inf)
+        for block in np.flatnonzero(mask.any(axis=0)):
+            low, high = self.starts[block], self.ends[block]
+            a, b = np.searchsorted(cols, [low, high])
+            open_rows = np.flatnonzero(mask[:, block])
+            step = max(1, 4_000_000 // (high - low))
+            for start in range(0, len(open_rows), step):
+                some = open_rows[start:start + step]
+                place = np.searchsorted(some, rows[a:b])
+                here = np.flatnonzero(some[np.minimum(place, len(some) - 1)] == rows[a:b])
+                near, d = nearest_rows(q[some], self.points[low:high], place[here], cols[a:b][here] - low)
+                near = near + low
+                better = (d < dist[some]) | ((d == dist[some]) & np.isfinite(d) & (self.rank[near] < self.rank[at[some]]))
+                at[some[better]], dist[some[better]] = near[better], d[better]
+        return at, dist
+
+
+def _sweep(dim: int):
+    """Rows sorted by (group, salt, kind): candidates, excluded pairs, queries with a bound; the best peer of each query row.
+
+    Peers at distance 1 are left to the fallback.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: dict[int, list[pa.RecordBatch]] = {}
+        held = None
+        for new, part in runs(batches, ["group", "salt"]):
+            if new:
+                given, held = {0: [], 1: []}, None
+            kinds = part["kind"].to_numpy()
+            for kind in (0, 1):
+                some = _only(part, kinds, kind)
+                if some.num_rows:
+                    given[kind].append(some)
+            queries = _only(part, kinds, 2)
+            if not queries.num_rows or not (held or given[0]):
+                continue
+            if held is None:
+                held = Group(pa.Table.from_batches(given[0]), pa.Table.from_batches(given[1]) if given[1] else None, dim)
+                given = {0: [], 1: []}
+            at, dist = held.best(queries, dim)
+            keep = pa.array(dist < 1.0)
+            yield pa.RecordBatch.from_arrays(
+                [queries["hash"].filter(keep), held.hashes.take(pa.array(at)).filter(keep), pa.array(dist).filter(keep)], names=["hash", "peer", "distance"])
+
+    return run
+
+
 def block_rows(df: DataFrame, kind: int, salts: Column | None = None, salt: Column | None = None) -> DataFrame:
     """Rows for ``_compare``: copied to all ``salts``, or dealt to one."""
     dealt = F.lit(0) if salt is None else salt.cast("int")
@@ -434,7 +568,8 @@ class PivotTree:
         return out if excluded is None else [*out, block_rows(excluded, 1, F.col("salts"))]
 
     def visits(self, seeds: DataFrame) -> DataFrame:
-        """One row for each query and block that may hold something at least as near as the query's seed."""
+        """One row for each query and block that may hold something at least as near as the query's seed: what the bounds leave
+        open at most, for tests and trials.  Without structure that is queries times blocks, so the search does not list it."""
         bounds = seeds.select("hash", F.col("distance").alias("bound"))
         asked = self.seeds().join(bounds, "hash", "left").withColumn("bound", F.coalesce("bound", F.lit(1.0)))
         cells = _open_cells(self.pivots, self.spreads)("vector", "layer", "bound")
@@ -449,21 +584,42 @@ class PivotTree:
         stream = self._to_all_salts(held).unionByName(routed)
         return stream.repartition(self.tasks, "node", "salt").sortWithinPartitions("node", "salt", "kind").mapInArrow(_route(self.pivots), _VISIT)
 
-    def found(self, visits: DataFrame, n_visits: int, n_queries: int, excluded: DataFrame | None) -> DataFrame:
-        """Results of all visits.  No block is visited by more rows than there are queries, so few queries need no salts."""
-        limit = BLOCKS_PER_SALT * self.block
-        offered = self.blocks().drop("salts")
-        excluded = None if excluded is None else excluded.drop("salts")
-        if n_queries <= limit:
-            parts = [block_rows(offered, 0), block_rows(visits, 2)]
-            parts += [] if excluded is None else [block_rows(excluded, 1)]
-        else:
-            loads = materialize(visits.groupBy(*_BLOCK).agg(F.ceil(F.count("*") / limit).cast("int").alias("salts")))
-            busy = loads.where("salts > 1")
-            salt = F.pmod(F.xxhash64("hash", F.lit("visit")), F.coalesce("salts", F.lit(1)))
-            parts = [block_rows(offered.join(loads, _BLOCK), 0, F.col("salts")), block_rows(visits.join(busy, _BLOCK, "left"), 2, salt=salt)]
-            parts += [] if excluded is None else [block_rows(excluded.join(loads, _BLOCK), 1, F.col("salts"))]
-        return compare(parts, self.dim, max(self.tasks, math.ceil(n_visits / TASK_ROWS)))
+    def sweep(self, seeds: DataFrame, excluded: DataFrame | None) -> DataFrame:
+        """Nearest peer of every query among all that its seed leaves open: queries times groups, candidates times salts.
+
+        There are as many groups as candidates ask for (GROUP_BYTES each), more if that makes fewer rows travel for the same
+        number of tasks.
+        """
+        nodes = self.leaves.groupBy("node").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked"))
+        offers, largest, asks = nodes.agg(F.sum("n"), F.max("n"), F.sum("asked")).first()
+        if not offers or not asks:
+            return seeds.limit(0)
+        groups = max(math.ceil(offers * self.dim * 4 / GROUP_BYTES), min(self.tasks, round(math.sqrt(self.tasks * offers / asks))))
+        parts = min(groups, math.ceil(4 * groups * largest / offers))  # a node's share of a group is a quarter of it at most
+        salts = math.ceil(self.tasks / groups)
+
+        def group(node: Column, leaf: Column, block: Column) -> Column:
+            cell, key = F.substring_index(node, "/", 1).cast("int"), F.substr(node, F.instr(node, "/") + 1)
+            return F.pmod(F.pmod(F.xxhash64(key), F.lit(groups)) + cell * parts + F.pmod(F.xxhash64(leaf, block), F.lit(parts)), F.lit(groups)).cast("int")
+
+        place = group(F.col("node"), F.col("leaf"), F.col("block"))
+        every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+        none = {"node": "string", "leaf": "string", "block": "int", "key": "string", "peer": "string", "bound": "double", "vector": "array<float>"}
+
+        def shown(df: DataFrame, kind: int, *at: Column) -> DataFrame:
+            rest = [F.col(c) if c in df.columns else F.lit(None).cast(k).alias(c) for c, k in none.items()]
+            return df.select(*at, F.lit(kind).alias("kind"), "hash", *rest)
+
+        bounds = seeds.select("hash", F.col("distance").alias("bound"))
+        asked = self.asking.join(bounds, "hash", "left").withColumn("bound", F.coalesce("bound", F.lit(1.0)))
+        turn = F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int")
+        opened = _open_groups(self.pivots, self.spreads, groups, parts)("vector", "layer", "bound", turn)
+        routed = asked.select(F.explode(opened).alias("group"), F.pmod(F.xxhash64("hash", F.lit("sweep")), F.lit(salts)).cast("int").alias("salt"), "hash", "key", "bound", "vector")
+        stream = shown(self.blocks(), 0, place.alias("group"), every).unionByName(shown(routed, 2, F.col("group"), F.col("salt")))
+        if excluded is not None:
+            stream = stream.unionByName(shown(excluded, 1, place.alias("group"), every))
+        stream = stream.repartitionById(groups * salts, F.col("group") * salts + F.col("salt"))
+        return stream.sortWithinPartitions("group", "salt", "kind").mapInArrow(_sweep(self.dim), RESULT)
 
 
 def choose_pivots(candidates: DataFrame, count: int, dim: int) -> np.ndarray:
@@ -473,6 +629,5 @@ def choose_pivots(candidates: DataFrame, count: int, dim: int) -> np.ndarray:
     return np.array([r["vector"] for r in rows], dtype=float).reshape(-1, dim)
 
 
-def search(tree: PivotTree, seeds: DataFrame, n_queries: int, excluded: DataFrame | None) -> DataFrame:
-    visits, n_visits = materialize_counted(tree.visits(seeds))
-    return seeds if n_visits == 0 else seeds.unionByName(tree.found(visits, n_visits, n_queries, excluded))
+def search(tree: PivotTree, seeds: DataFrame, excluded: DataFrame | None) -> DataFrame:
+    return seeds.unionByName(tree.sweep(seeds, excluded))

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,3 +258,36 @@ def test_next_after_delete_may_be_the_survivor(spark):
                                     "hash string, vector array<float>")
     deleted = catalog.filter("hash = 'x'")
     assert found(neighbors.next_after_delete(catalog, deleted)) == {"x": (0.2, "y")}
+
+
+def test_without_structure_queries_travel_once_to_a_group(spark, monkeypatch):
+    """Random directions, where the bounds prune next to nothing: what is shuffled follows rows times groups, not rows times blocks."""
+    def counted(dim):
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([""]), pa.array([""]), pa.array([float(batch.num_rows)])], names=["hash", "peer", "distance"])
+        return run
+
+    monkeypatch.setattr(pivot_tree, "_sweep", counted)
+    block, dim, rng = 32, 16, np.random.default_rng(2)
+    for n in (1_000, 4_000):
+        x = rng.normal(size=(n, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        depth = math.ceil(math.log2(n / block) / 2)
+        rows = materialize(spark.createDataFrame([(f"{i:05d}", "", v.tolist(), depth) for i, v in enumerate(x)], "hash string, key string, vector array<float>, layer int"))
+        tree = pivot_tree.PivotTree(rows, None, pivot_tree.choose_pivots(rows, 1 << depth, dim), block, n)
+        seeds = materialize(pivot_tree.compare(tree.seed_parts(None), dim, 8))
+        travelled = pivot_tree.search(tree, seeds, None).where("hash = ''").agg(F.sum("distance")).first()[0]
+        assert travelled <= n * 2 * (math.sqrt(tree.tasks) + 1)
+        assert tree.visits(seeds).count() > n * n / block / 4  # what was listed with vectors before
+
+
+@pytest.mark.parametrize("group_rows", [10, 60])
+def test_many_groups(spark, data, monkeypatch, group_rows):
+    monkeypatch.setattr(pivot_tree, "GROUP_BYTES", group_rows * 4 * D)
+    pairs = edges(spark, data)
+    for keyed in (False, True):
+        got = neighbors.nearest(frame(spark, data, range(N)), within="hist_len" if keyed else None, exclusions=pairs, block_rows=20)
+        assert found(got) == brute(data, range(N), range(N), keyed, data[3])
+    few = neighbors.nearest(frame(spark, data, range(7)), frame(spark, data, range(7, N)), exclusions=pairs, block_rows=20)
+    assert found(few) == brute(data, range(7), range(7, N), False, data[3])
