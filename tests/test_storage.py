@@ -347,3 +347,12 @@ def test_keys_that_come_along_are_completed(spark):
         assert read == {python_hash(b): ("ok", b) for b in bodies}
     nameless = chunks.drop("key").unionByName(spark.createDataFrame([(None, bytearray(b"x" * 40))], "hash string, content binary"))
     assert {r.status: r.chunks for r in chunkstore.audit(chunkstore.with_keys(nameless, some), nameless).collect()} == {"ok": 4, "lost": 1}
+
+
+def test_pictures_leave_their_batch_a_few_at_a_time(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"hash": [str(i) for i in range(200)], "data": [b"x"] * 200})
+    copied, columns = [], pixels._columns
+    monkeypatch.setattr(pixels, "_columns", lambda part, names: copied.append(part.num_rows) or columns(part, names))
+    rows = list(pixels._pictures(iter([batch, batch.slice(0, 0), batch.slice(10, 3)]), ["hash", "data"]))
+    assert [r[0] for r in rows] == [*map(str, range(200)), "10", "11", "12"]
+    assert max(copied) <= 64
