@@ -113,10 +113,12 @@ class FolderWriter(DataSourceArrowWriter):
                 target = posixpath.normpath(f"{folder}/{name.as_py()}")
                 if not target.startswith(f"{folder}/"):
                     raise ValueError(f"a name outside of the folder: {name.as_py()!r}")
-                parent = posixpath.dirname(target)
-                if parent != folder and parent not in made:
-                    system.create_dir(parent, recursive=True)
-                    made.add(parent)
+                parent = folder
+                for step in posixpath.dirname(target)[len(folder) + 1:].split("/"):
+                    parent = posixpath.join(parent, step)
+                    if step and parent not in made:
+                        system.create_dir(parent, recursive=False)  # nor is what an abort has removed made again here
+                        made.add(parent)
                 with system.open_output_stream(target, compression=None) as out:
                     out.write(content.as_py() or b"")
         return Attempt(folder)

@@ -189,6 +189,19 @@ def test_a_failed_export_leaves_nothing(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.iterdir()) == ["out"] and [p.name for p in root.iterdir()] == ["d"]
 
 
+def test_a_task_that_outlives_the_abort_leaves_nothing(tmp_path):
+    writer = folder.FolderWriter({"path": str(tmp_path / "out")})
+
+    def batches():
+        yield pa.RecordBatch.from_pydict({"name": ["a/b/1.bin", "a/2.bin", "3.bin"], "content": [b"x", b"y", None]})
+        writer.abort([])
+        yield pa.RecordBatch.from_pydict({"name": ["c/d/4.bin"], "content": [b"z"]})
+
+    with pytest.raises(OSError):
+        writer.write(batches())
+    assert list((tmp_path / "out").iterdir()) == []
+
+
 def frame(spark, pictures):
     rows = [(k, p.shape[0], p.shape[1], 3, bytearray(pixels._data(p))) for k, p in pictures.items()]
     return spark.createDataFrame(rows, pixels.PIXELS)
