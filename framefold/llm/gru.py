@@ -9,11 +9,15 @@ from one window of ``STEPS`` symbols to the next; gradients stop at the window's
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 
 HIDDEN, CLASSES, STEPS = 16, 40, 32
 RATE = 0.01
 OUTPUTS = 16_384  # positions whose softmax is taken at a time
+LANES = 256  # documents that are scored in step
+SAFE = 75.0  # exponentials of numbers up to this, and their sums, stay in the range of 32 bits
 
 
 def class_bounds(counts: np.ndarray) -> np.ndarray:
@@ -55,112 +59,166 @@ def fresh(counts: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+def lines(n: int, size: int, kind: type) -> np.ndarray:
+    """An empty array of ``n`` lines that do not lie a power of two apart, where they would evict each other from the cache."""
+    return np.empty((n, size + 16), kind)[:, :size]
+
+
 def run(p: dict, inputs: np.ndarray, state: np.ndarray, starts: np.ndarray | None = None, keep: dict | None = None) -> np.ndarray:
-    """States after each of the T columns of ``inputs`` (rows x T); ``keep`` gets what the way back needs, step by step."""
+    """States after each of the T columns of ``inputs`` (rows x T), as T x rows x HIDDEN; ``keep`` gets what the way back needs.
+
+    In memory the rows of a step are beside each other, so that a step is a few operations on long lines.
+    """
     rows, steps = inputs.shape
-    given = p["inputs"][inputs.T]  # T x rows x 3 HIDDEN: update, reset, new
-    given[:, :, :2 * HIDDEN] *= given.dtype.type(0.5)  # a sigmoid is half a tanh of the half
-    recur = p["recur"].copy()
-    recur[:, :2 * HIDDEN] *= given.dtype.type(0.5)
-    states = np.empty((steps, rows, HIDDEN), given.dtype)
-    kept = {name: np.empty((steps, rows, width * HIDDEN), given.dtype) for name, width in (("before", 1), ("gates", 2), ("new", 1), ("un", 1))} if keep is not None else {}
-    for t in range(steps):
-        if starts is not None and starts[:, t].any():
-            state = np.where(starts[:, t, None], given.dtype.type(0), state)
-        u = state @ recur
-        gates = kept["gates"][t] if kept else np.empty((rows, 2 * HIDDEN), given.dtype)
-        np.add(given[t, :, :2 * HIDDEN], u[:, :2 * HIDDEN], out=gates)
-        np.tanh(gates, out=gates)
-        gates += 1
-        gates *= given.dtype.type(0.5)
-        un = u[:, 2 * HIDDEN:]
-        new = kept["new"][t] if kept else np.empty((rows, HIDDEN), given.dtype)
-        np.multiply(gates[:, HIDDEN:], un, out=new)
-        new += given[t, :, 2 * HIDDEN:]
-        np.tanh(new, out=new)
-        if kept:
-            kept["before"][t], kept["un"][t] = state, un
-        after = states[t]
-        np.subtract(state, new, out=after)
-        after *= gates[:, :HIDDEN]
-        after += new
-        state = after
+    kind = p["recur"].dtype.type
+    half, one, two = kind(0.5), kind(1), kind(2)
+    table, recur = p["inputs"].T.copy(), p["recur"].T.copy()
+    for x in (table, recur):  # sigmoid and tanh are 1 / (1 + exp(-x)) and 1 - 2 / (1 + exp(2 x))
+        np.negative(x[:2 * HIDDEN], out=x[:2 * HIDDEN])
+        x[2 * HIDDEN:] *= two
+    columns = np.ascontiguousarray(inputs.T)
+    alive = None if starts is None or not starts.any() else np.ascontiguousarray(~starts.T).astype(kind)
+    states = lines(HIDDEN, steps * rows, kind).reshape(HIDDEN, steps, rows)
     if keep is not None:
-        keep.update(kept)
-    return states
+        keep.update({name: np.empty((steps, width * HIDDEN, rows), kind) for name, width in (("before", 1), ("gates", 2), ("new", 1), ("un", 1))})
+    u, given, state = np.empty((3 * HIDDEN, rows), kind), np.empty((3 * HIDDEN, rows), kind), np.ascontiguousarray(state.T)
+    gates, un, new = u[:2 * HIDDEN], u[2 * HIDDEN:], given[2 * HIDDEN:]
+    with np.errstate(over="ignore"):  # to infinity, which gives 0 and 1
+        for t in range(steps):
+            if alive is not None:
+                state = state * alive[t]
+            np.matmul(recur, state, out=u)
+            np.take(table, columns[t], axis=1, out=given, mode="clip")
+            if keep is not None:
+                keep["before"][t] = state
+                np.multiply(un, half, out=keep["un"][t])
+                gates = keep["gates"][t]
+            np.add(u[:2 * HIDDEN], given[:2 * HIDDEN], out=gates)
+            np.exp(gates, out=gates)
+            gates += one
+            np.divide(one, gates, out=gates)
+            un *= gates[HIDDEN:]
+            new += un
+            np.exp(new, out=new)
+            new += one
+            np.divide(-two, new, out=new)
+            new += one
+            state = state - new
+            state *= gates[:HIDDEN]
+            state += new
+            states[:, t] = state
+            if keep is not None:
+                keep["new"][t] = new
+    return states.transpose(1, 2, 0)
+
+
+def _softmax(weights: np.ndarray, safe: bool, states: np.ndarray, place: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of ``place`` among the rows of ``weights``, and all probabilities, for each column of ``states``."""
+    logits = weights @ states
+    if not safe:
+        logits -= logits.max(0)
+    own = logits[place, at]
+    np.exp(logits, out=logits)
+    total = logits.sum(0)
+    logits *= 1 / total
+    own -= np.log(total)
+    return own, logits
+
+
+def _with_bias(weights: np.ndarray, bias: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[bool]]:
+    """Weights with the bias as the last, less the largest of its class, and whether a class's exponentials stay in the range of numbers.
+
+    States are within -1 and 1, so weights bound the logits; only where they may be too large the largest logit has to be found.
+    """
+    sizes = np.diff(np.append(first, len(bias)))
+    bias = bias - np.repeat(np.maximum.reduceat(bias, first), sizes)
+    return np.concatenate([weights, bias[:, None]], 1), (np.maximum.reduceat(np.abs(weights).sum(1), first) < SAFE).tolist()
 
 
 def outputs(p: dict, bounds: np.ndarray, states: np.ndarray, targets: np.ndarray, gradient: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log-probabilities of targets (n) given states (n x HIDDEN), and the loss's gradient by the states."""
     kind = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint8), np.diff(bounds))[targets]
-    at = np.arange(len(targets))
-    logits = p["classes"].T @ states.T + p["class_bias"][:, None]  # a column per position, so sums run along rows
-    logits -= logits.max(0)
-    own = logits[kind, at]
-    np.exp(logits, out=logits)
-    total = logits.sum(0)
-    result = own - np.log(total)
+    order = np.argsort(kind, kind="stable")
+    kind, targets, at = kind[order], targets[order], np.arange(len(targets))
+    with_one = lines(HIDDEN + 1, len(targets), states.dtype)
+    with_one[HIDDEN] = 1  # the bias is the weight of the one
+    for line, values in zip(with_one, states.T):
+        np.take(values, order, out=line, mode="clip")
+    classes, safe = _with_bias(p["classes"].T, p["class_bias"], np.zeros(1, np.int64))
+    found, share = _softmax(classes, safe[0], with_one, kind, at)
     back = None
     if gradient is not None:
-        logits /= total
-        logits[kind, at] -= 1
-        gradient["classes"] += states.T @ logits.T
-        gradient["class_bias"] += logits.sum(1)
-        back = np.ascontiguousarray((p["classes"] @ logits).T)
-    order = np.argsort(kind, kind="stable")
+        share[kind, at] -= 1
+        by = share @ with_one.T
+        gradient["classes"] += by[:, :-1].T
+        gradient["class_bias"] += by[:, -1]
+        back = p["classes"] @ share
     ends = np.cumsum(np.bincount(kind, minlength=len(bounds) - 1))
+    words, safe = _with_bias(p["words"], p["word_bias"], bounds[:-1])
     for c, (low, high) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
-        some = order[low:high]
-        if not len(some) or bounds[c + 1] - bounds[c] == 1:  # the only symbol of its class is certain
+        if low == high or bounds[c + 1] - bounds[c] == 1:  # the only symbol of its class is certain
             continue
-        part = slice(bounds[c], bounds[c + 1])
-        mine, place, columns = states[some], targets[some] - bounds[c], at[:len(some)]
-        logits = p["words"][part] @ mine.T + p["word_bias"][part][:, None]
-        logits -= logits.max(0)
-        own = logits[place, columns]
-        np.exp(logits, out=logits)
-        total = logits.sum(0)
-        result[some] += own - np.log(total)
+        part, mine, place = slice(bounds[c], bounds[c + 1]), with_one[:, low:high], targets[low:high] - bounds[c]
+        own, share = _softmax(words[part], safe[c], mine, place, at[:high - low])
+        found[low:high] += own
         if gradient is not None:
-            logits /= total
-            logits[place, columns] -= 1
-            gradient["words"][part] += logits @ mine
-            gradient["word_bias"][part] += logits.sum(1)
-            back[some] += logits.T @ p["words"][part]
-    return result, back
+            share[place, at[:high - low]] -= 1
+            by = share @ mine.T
+            gradient["words"][part] += by[:, :-1]
+            gradient["word_bias"][part] += by[:, -1]
+            back[:, low:high] += p["words"][part].T @ share
+    result = np.empty_like(found)
+    result[order] = found
+    if back is None:
+        return result, None
+    place = np.empty_like(order)
+    place[order] = at
+    return result, np.take(back, place, axis=1).T
 
 
 def backward(p: dict, inputs: np.ndarray, starts: np.ndarray, kept: dict, back: np.ndarray, gradient: dict) -> None:
     """Gradients of one window; ``back`` is (T x rows x HIDDEN).  All factors that do not depend on what comes back are taken at once."""
-    steps, rows, _ = back.shape
-    update, reset = kept["gates"][:, :, :HIDDEN], kept["gates"][:, :, HIDDEN:]
+    back = back.transpose(2, 0, 1)
+    _, steps, rows = back.shape
+    update, reset = kept["gates"][:, :HIDDEN], kept["gates"][:, HIDDEN:]
     new, before = kept["new"], kept["before"]
-    by_new = (1 - update) * (1 - new * new)
-    by_update = (before - new) * update * (1 - update)
-    by_reset = kept["un"] * reset * (1 - reset)
-    into = np.empty((steps, rows, 3 * HIDDEN), back.dtype)
-    through = np.empty_like(into)  # the same as it passes the recurrent weights
-    later = np.zeros((rows, HIDDEN), back.dtype)
-    transposed = np.ascontiguousarray(p["recur"].T)
+    factors = np.empty((steps, 4, HIDDEN, rows), back.dtype)  # of update, reset, new as the recurrent weights see it, new
+    stay, by_new = 1 - update, factors[:, 3]
+    np.multiply(new, new, out=by_new)
+    np.subtract(1, by_new, out=by_new)
+    by_new *= stay
+    np.subtract(before, new, out=factors[:, 0])
+    factors[:, 0] *= update
+    factors[:, 0] *= stay
+    np.multiply(by_new, reset, out=factors[:, 2])
+    np.subtract(1, reset, out=factors[:, 1])
+    factors[:, 1] *= factors[:, 2]
+    factors[:, 1] *= kept["un"]
+    into = lines(3 * HIDDEN, steps * rows, back.dtype)
+    of_step = into.reshape(3 * HIDDEN, steps, rows)
+    later, recur, own = np.zeros((HIDDEN, rows), back.dtype), p["recur"], np.zeros_like(p["recur"])
+    alive = np.ascontiguousarray(~starts.T).astype(back.dtype) if starts.any() else None
     for t in range(steps - 1, -1, -1):
         d = later
-        d += back[t]
-        dn, du = into[t, :, 2 * HIDDEN:], through[t]
-        np.multiply(d, by_new[t], out=dn)
-        np.multiply(d, by_update[t], out=du[:, :HIDDEN])
-        np.multiply(dn, by_reset[t], out=du[:, HIDDEN:2 * HIDDEN])
-        np.multiply(dn, reset[t], out=du[:, 2 * HIDDEN:])
+        d += back[:, t]
+        by = factors[t]
+        by *= d
+        du = by[:3].reshape(3 * HIDDEN, rows)
+        own += before[t] @ du.T
+        of_step[:2 * HIDDEN, t], of_step[2 * HIDDEN:, t] = du[:2 * HIDDEN], by[3]
         d *= update[t]
-        d += du @ transposed
-        if starts[:, t].any():
-            d[starts[:, t]] = 0
-    into[:, :, :2 * HIDDEN] = through[:, :, :2 * HIDDEN]
-    gradient["recur"] += before.reshape(-1, HIDDEN).T @ through.reshape(-1, 3 * HIDDEN)
+        d += recur @ du
+        if alive is not None:
+            d *= alive[t]
+    gradient["recur"] += own
     symbol = inputs.T.ravel().astype(np.uint16)  # sixteen bits are sorted by radix
     order = np.argsort(symbol, kind="stable")
     symbol = symbol[order]
     first = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
-    gradient["inputs"][symbol[first]] += np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], first)
+    sums = np.empty((len(into), len(first)), back.dtype)
+    for line, out in zip(into, sums):
+        np.add.reduceat(np.take(line, order), first, out=out)
+    gradient["inputs"][symbol[first]] += sums.T
 
 
 class Trainer:
@@ -173,7 +231,7 @@ class Trainer:
 
     def learn(self, documents: list[np.ndarray], end: int) -> None:
         """One pass over documents of symbols, each closed by ``end``, laid end to end on the lanes."""
-        targets = np.concatenate(documents)
+        targets = np.concatenate(documents).astype(np.int64, copy=False)
         starts = np.zeros(len(targets), bool)
         starts[np.concatenate([[0], np.cumsum([len(d) for d in documents])[:-1]])] = True
         inputs = np.concatenate([[end], targets[:-1]])
@@ -194,8 +252,11 @@ class Trainer:
         states = run(self.p, inputs, state, starts, kept)
         gradient = {k: np.zeros_like(v) for k, v in self.p.items()}
         use = real.T.ravel()
-        back = np.zeros((len(use), HIDDEN), np.float32)
-        _, back[use] = outputs(self.p, self.bounds, states.reshape(-1, HIDDEN)[use], targets.T.ravel()[use], gradient)
+        if use.all():
+            _, back = outputs(self.p, self.bounds, states.reshape(-1, HIDDEN), targets.T.ravel(), gradient)
+        else:
+            back = np.zeros((len(use), HIDDEN), np.float32)
+            _, back[use] = outputs(self.p, self.bounds, states.reshape(-1, HIDDEN)[use], targets.T.ravel()[use], gradient)
         backward(self.p, inputs, starts, kept, back.reshape(states.shape), gradient)
         self.step(gradient, max(1, int(use.sum())))
         return states[-1]
@@ -212,24 +273,41 @@ class Trainer:
             self.p[k] -= rate * self.mean[k] / (np.sqrt(self.square[k]) + np.float32(1e-7))
 
 
+def _dealt(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents dealt over at most LANES lanes of about equal length: their order lane by lane, longest lane first, and the lanes' lengths."""
+    lanes = [(0, i) for i in range(min(LANES, len(lengths)))]
+    held: list[list[int]] = [[] for _ in lanes]
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        size, lane = lanes[0]
+        held[lane].append(i)
+        heapq.heapreplace(lanes, (size + int(lengths[i]), lane))
+    lanes.sort(reverse=True)
+    return np.array([i for _, lane in lanes for i in held[lane]], np.int64), np.array([size for size, _ in lanes], np.int64)
+
+
 def log_likelihoods(p: dict, bounds: np.ndarray, documents: list[np.ndarray], end: int) -> np.ndarray:
-    """Natural log-probability of each whole document (symbols closed by ``end``), all in step, longest first.
+    """Natural log-probability of each whole document (symbols closed by ``end``), laid end to end on lanes that run in step.
 
-    States wait until ``OUTPUTS`` of them can go through the softmax together, so that the few documents that are left after
-    many windows cost no more per symbol than the many at the start.
+    States wait until ``OUTPUTS`` of them can go through the softmax together, so that the few lanes that are left after
+    many windows cost no more per symbol than all of them at the start.
     """
     out = np.zeros(len(documents))
-    order = np.array(sorted(range(len(documents)), key=lambda i: -len(documents[i])), np.int64)
-    lengths = np.array([len(documents[i]) for i in order])
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    everything = np.concatenate([documents[i] for i in order]) if len(order) else np.zeros(0, np.int64)
-    state = np.zeros((len(order), HIDDEN), np.float32)
-    previous = np.full(len(order), end)
+    if not len(documents):
+        return out
+    sizes = np.array([len(d) for d in documents])
+    order, lengths = _dealt(sizes)
+    everything = np.concatenate([documents[i] for i in order])
+    owner = np.repeat(order, sizes[order])
+    first = np.zeros(len(everything) + 1, bool)
+    first[np.concatenate([[0], np.cumsum(sizes[order])[:-1]])] = True
+    lanes = np.concatenate([[0], np.cumsum(lengths)])
+    state = np.zeros((len(lengths), HIDDEN), np.float32)
+    previous = np.full(len(lengths), end)
     waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     held = 0
 
     def flush() -> None:
-        states, targets, owners = (np.concatenate(x) for x in zip(*waiting))
+        states, targets, owners = waiting[0] if len(waiting) == 1 else (np.concatenate(x) for x in zip(*waiting))
         for at in range(0, len(targets), OUTPUTS):
             part = slice(at, at + OUTPUTS)
             found, _ = outputs(p, bounds, states[part], targets[part])
@@ -239,14 +317,18 @@ def log_likelihoods(p: dict, bounds: np.ndarray, documents: list[np.ndarray], en
     for at in range(0, int(lengths.max(initial=0)), STEPS):
         active = int((lengths > at).sum())
         steps = min(STEPS, int(lengths[0]) - at)
-        place = starts[:active, None] + at + np.arange(steps)
-        real = place < starts[1:active + 1, None]
-        targets = np.where(real, everything[np.minimum(place, len(everything) - 1)], end)
+        place = lanes[:active, None] + at + np.arange(steps)
+        real = place < lanes[1:active + 1, None]
+        place = np.minimum(place, len(everything) - 1)
+        targets = np.where(real, everything[place], end).astype(np.int64, copy=False)
+        starts = first[place] & real
         inputs = np.concatenate([previous[:active, None], targets[:, :-1]], 1)
-        states = run(p, inputs, state[:active])
+        inputs[starts] = end
+        states = run(p, inputs, state[:active], starts)
         state, previous = states[-1], targets[:, -1]
-        use = real.T.ravel()
-        waiting.append((states.reshape(-1, HIDDEN)[use], targets.T.ravel()[use], np.tile(order[:active], steps)[use]))
+        use, states = real.T.ravel(), states.reshape(-1, HIDDEN)
+        owners, targets = owner[place.T.ravel()], targets.T.ravel()
+        waiting.append((states, targets, owners) if use.all() else (states[use], targets[use], owners[use]))
         held += int(use.sum())
         if held >= OUTPUTS:
             flush()

@@ -9,9 +9,10 @@ each is learned from once.
 
 The probability of a word outside the vocabulary is that of its bucket times (c + 1) / (N_bucket + V_bucket + 1).
 
-For scoring, documents are taken in chunks, which are written once with their texts (compressed) and distinct words; the words
-meet their counts in a join and come back to the chunk's texts, so no count table is broadcast.  Tasks are planned by the
-number of chunks.
+Texts are read and cut into words once.  Documents are taken in chunks, which are written with their distinct words and their
+documents as numbers of these words (compressed); the words meet their counts and symbols in a join and come back to the chunk, so
+no count table is broadcast.  That gives every document's base score and its sequence of symbols, from which all rounds
+learn and which the trained model scores.  Tasks are planned by the number of chunks.
 
 Cases: a null or empty text is the end alone; rows with null doc_id are scored but not learned from, ``held_out`` is
 null; repeated rows count as often as they occur; without training documents all counts and train_tokens are 0 and
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +44,8 @@ ROUNDS = 2
 LEARN_TOKENS = 1_000_000  # a task trains on so many tokens at a time, up to twice as many at its end
 BLOCK = 4096
 CHUNKS_PER_TASK = 4
-TEXTS = 2**31 - 1  # place of a chunk's texts, after its words
+TEXTS = 2**31 - 1  # place of a chunk's documents, after its words
+SCORED_TOKENS = 4_000_000  # a task scores documents of about so many tokens together
 END_WORDS = b".,;:!?"
 
 
@@ -69,24 +72,29 @@ def numbered_words(texts: list[str]) -> tuple[list[np.ndarray], list[bytes]]:
     """The words of each text as numbers, and the distinct words in order of appearance."""
     numbers: defaultdict[bytes, int] = defaultdict(int)
     numbers.default_factory = numbers.__len__
-    places = [np.fromiter(map(numbers.__getitem__, words(t, lower=True)), np.int64) for t in texts]
+    places = [np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)) for found in (words(t, lower=True) for t in texts)]
     return places, list(numbers)
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """CHUNKS: a chunk's distinct words, numbered by appearance, with their occurrences in training documents, and then its texts."""
+    """CHUNKS: a chunk's distinct words, numbered in their order, with their occurrences in training documents, and then its documents."""
     names = ["chunk", "place", "word", "n", "data"]
     for chunk, ids, texts in chunks(batches):
         places, order = numbered_words(texts)
         learned = [p for p, i in zip(places, ids) if in_training(i)]
         n = np.bincount(np.concatenate(learned) if learned else np.zeros(0, np.int64), minlength=len(order))
-        place = np.array(sorted(range(len(order)), key=order.__getitem__), np.int32)  # rows in order of words are small and sort fast
+        found = pa.array(order, pa.binary())
+        place = pc.array_sort_indices(found)  # rows in order of words are small and sort fast
+        found, n = found.take(place), n[place.to_numpy()]
+        place = place.cast(pa.int32())
         for low in range(0, len(order), 20_000):
-            some = place[low:low + 20_000]
-            columns = (np.full(len(some), chunk), some, [order[i] for i in some.tolist()], n[some], [None] * len(some))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS)], names)
+            size = min(20_000, len(order) - low)
+            columns = pa.repeat(pa.scalar(chunk, pa.int64()), size), place.slice(low, size), found.slice(low, size), pa.array(n[low:low + size], pa.int64()), pa.nulls(size, pa.binary())
+            yield pa.RecordBatch.from_arrays(list(columns), names)
         sink = pa.BufferOutputStream()
-        batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.large_string())], ["doc_id", "text"])
+        offsets = pa.array(np.cumsum([0] + [len(x) for x in places]), pa.int64())
+        every = np.concatenate(places) if places else np.zeros(0, np.int32)
+        batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.LargeListArray.from_arrays(offsets, pa.array(every, pa.int32()))], ["doc_id", "places"])
         with pa.ipc.new_stream(sink, batch.schema) as out:
             out.write_batch(batch)
         columns = [chunk], [TEXTS], [None], [0], [pack(sink.getvalue().to_pybytes())]
@@ -123,17 +131,23 @@ class Known(dict):
 
 
 def _learn(symbols: Symbols, params: np.ndarray, turn: int):
-    """Trains on a task's documents of this round; emits the weights, times the tokens seen, in blocks."""
+    """Trains on a task's documents of this round, given as DOCUMENTS or as texts; emits the weights, times the tokens seen, in blocks."""
+    known = Known(symbols)
+
+    def of_text(text: str | None) -> np.ndarray:
+        found = words(text, lower=True)
+        return np.fromiter((*map(known.__getitem__, found), symbols.end), SYMBOL, len(found) + 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, known = gru.Trainer(params, symbols.bounds), Known(symbols)
+        trainer = gru.Trainer(params, symbols.bounds)
         ready, held, size, total = [], [], 0, 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            given = "symbols" in batch.schema.names
+            for doc_id, one in zip(batch["doc_id"].to_pylist(), batch["symbols" if given else "text"]):
                 if not in_training(doc_id) or not in_round(doc_id, turn):
                     continue
-                found = words(text, lower=True)
-                held.append(np.fromiter((*map(known.__getitem__, found), symbols.end), np.int64, len(found) + 1))
-                size += len(found) + 1
+                held.append(np.frombuffer(one.as_buffer(), SYMBOL).copy() if given else of_text(one.as_py()))
+                size += len(held[-1])
                 if size >= LEARN_TOKENS:  # what came before can go, so that the last pass is never a small one
                     if ready:
                         trainer.learn(ready, symbols.end)
@@ -182,52 +196,75 @@ def averaged(trained: DataFrame) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(r["data"]) / r["tokens"] for r in rows]) if rows else None
 
 
-RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+SYMBOL = np.uint16
+DOCUMENTS = "doc_id long, n_tokens long, n_known long, base_score double, extra double, symbols binary"
 
 
-def _score(symbols: Symbols, params: np.ndarray, tokens: int, distinct: int, end_count: int, others: np.ndarray):
-    """Rows sorted by (chunk, place): counts of the chunk's words, then its texts; each as often as there are equal chunks.
+def _documents(symbols: Symbols, tokens: int, distinct: int, end_count: int, others: np.ndarray):
+    """Rows sorted by (chunk, place): counts and symbols of the chunk's words, then its documents, as often as there are equal chunks.
 
-    ``others`` has the words of each bucket and how many of them differ.
+    ``others`` has the words of each bucket and how many of them differ; ``extra`` is what the words outside the vocabulary add
+    to the probability of their buckets.
     """
-    share = np.log10(others.sum(1) + 1.0)
+    share = np.full(len(symbols.counts), np.nan)
+    share[symbols.bucket] = np.log10(others.sum(1) + 1.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = gru.shaped(params, symbols.bounds)
-        now, last, counts = None, -1, []
+        now, last, counts, kinds = None, -1, [], []
         for batch in batches:
-            chunk, place, n = (batch[c].to_numpy() for c in ("chunk", "place", "n"))
+            chunk, place, n, symbol = (batch[c].to_numpy() for c in ("chunk", "place", "n", "symbol"))
             edges = (np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist()
             for low, high in zip([0, *edges], [*edges, len(chunk)] if len(chunk) else []):
                 if chunk[low] != now:
-                    now, last, counts = chunk[low], -1, []
+                    now, last, counts, kinds = chunk[low], -1, [], []
                 own = place[low:high]
-                new = own != np.concatenate([[last], own[:-1]])  # a copy of the chunk repeats its places
+                new = (own != np.concatenate([[last], own[:-1]])) & (own != TEXTS)  # a copy of the chunk repeats its places
                 last = own[-1]
-                counts.append(n[low:high][new & (own != TEXTS)])
+                counts.append(n[low:high][new])
+                kinds.append(symbol[low:high][new])
                 for at in (low + np.flatnonzero(own == TEXTS)).tolist():
-                    yield score_chunk(p, np.concatenate(counts), unpack(batch["data"][at].as_py()))
-
-    def score_chunk(p: dict, counts: np.ndarray, data: bytes) -> pa.RecordBatch:
-        rows = pa.ipc.open_stream(data).read_all()
-        places, order = numbered_words(rows["text"].to_pylist())
-        if len(order) != len(counts):
-            raise RuntimeError("a chunk's words and its texts do not belong together")
+                    yield of_chunk(np.concatenate(counts), np.concatenate(kinds), unpack(batch["data"][at].as_py()))
+
+    def of_chunk(counts: np.ndarray, kinds: np.ndarray, data: bytes) -> pa.RecordBatch:
+        rows = pa.ipc.open_stream(data).read_all().combine_chunks()
+        ids, lists = rows["doc_id"].combine_chunks(), rows["places"].combine_chunks()
+        ends, numbers = lists.offsets.to_numpy(), lists.values.to_numpy()
+        if int(numbers.max(initial=-1)) + 1 != len(counts):
+            raise RuntimeError("a chunk's words and its documents do not belong together")
         base_of = np.append(np.log10(counts + 1.0), np.log10(end_count + 1.0)) - np.log10(tokens + distinct + 1.0)
-        known = np.append(counts > 0, end_count > 0)
-        symbol = np.array([*(symbols.number.get(w, -1) for w in order), symbols.end], np.int64)
-        rare = np.flatnonzero(symbol < 0)
-        bucket = np.fromiter((bucket_of(order[i]) for i in rare.tolist()), np.int64, len(rare))
-        symbol[rare] = symbols.bucket[bucket]
-        extra = np.zeros(len(order) + 1)
-        extra[rare] = np.log10(counts[rare] + 1.0) - share[bucket]
-        places = [np.append(x, len(order)) for x in places]
-        every, starts = np.concatenate(places), np.cumsum([0] + [len(x) for x in places[:-1]])
-        likely = gru.log_likelihoods(p, symbols.bounds, [symbol[x] for x in places], symbols.end) / np.log(10)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(rows["doc_id"].to_pylist(), pa.int64()), pa.array([len(x) for x in places], pa.int64()), pa.array(np.add.reduceat(known[every].astype(np.int64), starts)),
-             pa.array(np.add.reduceat(base_of[every], starts)), pa.array(likely + np.add.reduceat(extra[every], starts))],
-            ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+        known = np.append(counts > 0, end_count > 0).astype(np.int64)
+        extra = np.append(np.where(np.isnan(share[kinds]), 0.0, np.log10(counts + 1.0) - share[kinds]), 0.0)
+        symbol = np.append(kinds, symbols.end).astype(SYMBOL)
+        every = np.insert(numbers, ends[1:], len(counts))  # each document's end
+        starts = ends[:-1] + np.arange(len(ids))
+        sizes = np.diff(ends) + 1
+        offsets = np.append(starts, len(every)) * SYMBOL(0).itemsize
+        sequences = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(symbol[every])])
+        columns = [ids, pa.array(sizes, pa.int64()), pa.array(np.add.reduceat(known[every], starts)), pa.array(np.add.reduceat(base_of[every], starts)),
+                   pa.array(np.add.reduceat(extra[every], starts)), sequences.cast(pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "extra", "symbols"])
+
+    return run
+
+
+RESULT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _score(symbols: Symbols, params: np.ndarray):
+    """Rows of DOCUMENTS with the model's score, documents of about SCORED_TOKENS tokens at a time; equal ones of these are scored once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = gru.shaped(params, symbols.bounds)
+        for batch in batches:
+            turn = np.cumsum(batch["n_tokens"].to_numpy()) // SCORED_TOKENS
+            edges = (np.flatnonzero(np.diff(turn)) + 1).tolist()
+            for low, high in zip([0, *edges], [*edges, batch.num_rows] if batch.num_rows else []):
+                yield scored(p, batch.slice(low, high - low))
+
+    def scored(p: dict, rows: pa.RecordBatch) -> pa.RecordBatch:
+        distinct = rows["symbols"].dictionary_encode()
+        likely = gru.log_likelihoods(p, symbols.bounds, [np.frombuffer(x.as_buffer(), SYMBOL) for x in distinct.dictionary], symbols.end) / np.log(10)
+        columns = [rows[c] for c in ("doc_id", "n_tokens", "n_known", "base_score")]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(likely[distinct.indices.to_numpy()] + rows["extra"].to_numpy())], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
@@ -239,7 +276,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     cut = materialize(source.mapInArrow(_chunked, CHUNKS))
     asked = cut.where("word is not null").select("chunk", "place", "word", "n")
-    counts = materialize(asked.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
+    all_counts = materialize(asked.groupBy("word").agg(F.sum("n").alias("c")))
+    counts = all_counts.where("c > 0")
     totals = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     trained: Column = id_bucket(F.col("doc_id"), FOLDS) != HELD_OUT
     ends = source.where(trained).count()
@@ -261,16 +299,24 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     for r in rest:
         others[r["bucket"]] = r["n"], r["v"]
     symbols = Symbols(top, ends, others[:, 0].tolist())
+
+    def with_symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(symbols, 0)
+        for batch in batches:
+            found = np.fromiter(map(known.__missing__, batch["word"].to_pylist()), np.int32, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], pa.array(found)], ["word", "c", "symbol"])
+
+    texts = cut.where(F.col("place") == TEXTS).select("chunk", "place", "n", F.lit(-1).alias("symbol"), "data")
+    parts = max(work_partitions(spark), math.ceil(texts.count() / CHUNKS_PER_TASK))
+    answered = asked.select("chunk", "place", "word").join(all_counts.mapInArrow(with_symbols, "word binary, c long, symbol int"), "word")
+    both = answered.select("chunk", "place", F.col("c").alias("n"), "symbol", F.lit(None).cast("binary").alias("data")).union(texts)
+    both = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "place")
+    documents = materialize(both.mapInArrow(_documents(symbols, tokens, distinct, ends, others), DOCUMENTS))
     params = gru.flat(gru.fresh(symbols.counts))
     for turn in range(ROUNDS):
-        mean = averaged(source.where(trained).mapInArrow(_learn(symbols, params, turn), WEIGHTS))
+        mean = averaged(documents.where(trained).select("doc_id", "symbols").mapInArrow(_learn(symbols, params, turn), WEIGHTS))
         params = params if mean is None else mean.astype(np.float32)
-    texts = cut.where(F.col("place") == TEXTS).select("chunk", "place", "n", "data")
-    parts = max(work_partitions(spark), math.ceil(texts.count() / CHUNKS_PER_TASK))
-    answered = asked.select("chunk", "place", "word").join(counts, "word", "left")
-    both = answered.select("chunk", "place", F.coalesce("c", F.lit(0)).alias("n"), F.lit(None).cast("binary").alias("data")).union(texts)
-    both = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "place")
-    scored = both.mapInArrow(_score(symbols, params, tokens, distinct, ends, others), RESULT)
+    scored = documents.mapInArrow(_score(symbols, params), RESULT)
     held_out = id_bucket(F.col("doc_id"), FOLDS) == HELD_OUT
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -229,3 +229,29 @@ def test_lm_beats_its_base_on_held_out_documents(spark):
         print(sf, "held-out log10 per token: base", round(sums["base"], 3), "model", round(sums["model"], 3))
         assert sums["model"] > sums["base"] + margin
 
+
+
+def test_lm_symbols_of_documents_are_those_of_their_texts():
+    """Texts are cut into words once: what is learned from and scored follows from the chunk's numbers, and is what the texts give."""
+    ids, texts = [1, 2, None, 4, 5, 1], ["The cat, the Dog.", "", "zebra the\u00a0x", None, "cat " * 40, "The cat, the Dog."]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    symbols = lm_scoring.Symbols({b"the": 5, b"cat": 3}, 4, [1] * lm_scoring.BUCKETS)
+    *found, data = lm_scoring._chunked(iter([batch]))
+    distinct = [w for b in found for w in b["word"].to_pylist()]
+    assert distinct == sorted({w for t in texts for w in words(t, True)})
+    known, places = lm_scoring.Known(symbols), [x for b in found for x in b["place"].to_pylist()]
+    joined = sorted(zip(places, [7] * len(distinct), map(known.__getitem__, distinct))) + [(lm_scoring.TEXTS, 0, -1)]
+    place, n, symbol = zip(*joined)
+    chunk = [data["chunk"][0].as_py()] * len(joined)
+    rows = pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(place, pa.int32()), pa.array(n), pa.array(symbol, pa.int32()), pa.array([None] * len(distinct) + data["data"].to_pylist(), pa.binary())],
+                                      ["chunk", "place", "n", "symbol", "data"])
+    documents = next(lm_scoring._documents(symbols, 50, 9, 4, np.ones((lm_scoring.BUCKETS, 2), np.int64))(iter([rows])))
+    want = [[*map(known.__getitem__, words(t, True)), symbols.end] for t in texts]
+    assert documents["doc_id"].to_pylist() == ids and documents["n_tokens"].to_pylist() == [len(w) for w in want]
+    assert [np.frombuffer(x, lm_scoring.SYMBOL).tolist() for x in documents["symbols"].to_pylist()] == want
+    params = gru.flat(gru.fresh(symbols.counts))
+    for turn in range(lm_scoring.ROUNDS):
+        of_texts, of_symbols = (list(lm_scoring._learn(symbols, params, turn)(iter([b]))) for b in (batch, documents))
+        assert [b.to_pydict() for b in of_texts] == [b.to_pydict() for b in of_symbols]
+    scores = next(lm_scoring._score(symbols, params)(iter([documents])))["score"].to_pylist()
+    assert scores[0] == scores[5] and all(map(math.isfinite, scores))
