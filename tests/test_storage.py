@@ -369,3 +369,35 @@ def test_pictures_leave_their_batch_a_few_at_a_time(monkeypatch):
     rows = list(pixels._pictures(iter([batch, batch.slice(0, 0), batch.slice(10, 3)]), ["hash", "data"]))
     assert [r[0] for r in rows] == [*map(str, range(200)), "10", "11", "12"]
     assert max(copied) <= 64
+
+
+def bitmap(p, from_top=False, gap=b"", size=None):
+    """24-bit bitmap file of RGB pixels; with ``gap`` the pixels begin later, and ``size`` is what the head says of the file."""
+    lines = [r[:, ::-1].tobytes() + b"\0" * (-3 * p.shape[1] % 4) for r in (p if from_top else p[::-1])]
+    size = 54 + len(gap) + sum(map(len, lines)) if size is None else size
+    head = struct.pack("<2sIIIIiiHHIIiiII", b"BM", size, 0, 54 + len(gap), 40, p.shape[1], -len(p) if from_top else len(p), 1, 24, 0, 0, 0, 0, 0, 0)
+    return head + gap + b"".join(lines)
+
+
+def test_bitmaps_are_decoded_in_tasks_as_the_image_source_does(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pixels, "IMAGES_AT_A_TIME", 2)
+    a, b = picture(1, 5, 7), picture(2, 4, 4)
+    files = {"up.bmp": bitmap(a), "sub/down 1%.bmp": bitmap(a, True), "gap.bmp": bitmap(b, gap=b"12345678"), "é#x.png": png(b), "p.png": png(a), "cut.bmp": bitmap(a)[:60],
+             "head.bmp": b"BM", "size.bmp": bitmap(a, size=0), "junk": b"text", "gif": b"GIF89a", "empty.bmp": b"", ".hidden.bmp": bitmap(a), "_part/x.bmp": bitmap(a), "k=1/_y=2/z.bmp": bitmap(b)}
+    for name, data in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    image = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true")
+    for name in ("cut.bmp", "head.bmp", "size.bmp", "gif"):  # these the image source may refuse by an error
+        try:
+            image.load(str(tmp_path / name)).collect()
+        except Exception:
+            (tmp_path / name).unlink()
+    want = {r.origin: (r.height, r.width, r.nChannels, bytes(r.data)) if r.height > 0 else None for r in image.load(str(tmp_path)).select("image.*").collect()}
+    loads = []
+    load = pixels._by_image_source
+    monkeypatch.setattr(pixels, "_by_image_source", lambda spark, listed, n: loads.append({os.path.basename(r.path) for r in listed.collect()}) or load(spark, listed, n))
+    rows = pixels.decode_folder(spark, str(tmp_path)).collect()
+    assert {r.path: (r.height, r.width, r.nChannels, bytes(r.data)) if r.decodable else None for r in rows} == want and len(rows) == len(want)
+    assert len(want) >= 7 and sum(x is not None for x in want.values()) == 6
+    assert not loads[0] & {"up.bmp", "down 1%.bmp", "z.bmp", "junk"} and {"p.png", "gap.bmp"} <= loads[0]
