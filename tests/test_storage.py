@@ -1,3 +1,4 @@
+import ctypes
 import hashlib
 import os
 import struct
@@ -401,3 +402,22 @@ def test_bitmaps_are_decoded_in_tasks_as_the_image_source_does(spark, tmp_path,
     assert {r.path: (r.height, r.width, r.nChannels, bytes(r.data)) if r.decodable else None for r in rows} == want and len(rows) == len(want)
     assert len(want) >= 7 and sum(x is not None for x in want.values()) == 6
     assert not loads[0] & {"up.bmp", "down 1%.bmp", "z.bmp", "junk"} and {"p.png", "gap.bmp"} <= loads[0]
+
+
+def test_keys_are_the_same_by_either_library(monkeypatch):
+    """OpenSSL's contexts take as long as the hashing; where libgcrypt is at hand hashlib only proves that both agree."""
+    passwords, rounds, plain = ["", "abc", "i5pg09v5ek3krrra", "ä€\0b", "x" * 200], [], hashlib.pbkdf2_hmac
+    want = [plain("sha256", p.encode(), b"{mex}", 500, 32) for p in passwords]
+    monkeypatch.setattr(hashlib, "pbkdf2_hmac", lambda kind, p, salt, n, size: rounds.append(n) or plain(kind, p, salt, n, size))
+    derive = chunkstore.key_derivation()
+    assert [derive(p.encode(), 500) for p in passwords] == want
+    try:
+        ctypes.CDLL("libgcrypt.so.20")
+    except OSError:
+        assert rounds == [500] * len(passwords)
+    else:
+        assert rounds[0] == 2 and len(rounds) <= 2  # the empty password is refused by some versions
+    monkeypatch.setattr(ctypes, "CDLL", lambda name: (_ for _ in ()).throw(OSError(name)))
+    rounds.clear()
+    derive = chunkstore.key_derivation()
+    assert [derive(p.encode(), 500) for p in passwords] == want and rounds == [500] * len(passwords)
