@@ -59,80 +59,85 @@ def fresh(counts: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def lines(n: int, size: int, kind: type) -> np.ndarray:
-    """An empty array of ``n`` lines that do not lie a power of two apart, where they would evict each other from the cache."""
-    return np.empty((n, size + 16), kind)[:, :size]
-
-
 def run(p: dict, inputs: np.ndarray, state: np.ndarray, starts: np.ndarray | None = None, keep: dict | None = None) -> np.ndarray:
     """States after each of the T columns of ``inputs`` (rows x T), as T x rows x HIDDEN; ``keep`` gets what the way back needs.
 
-    In memory the rows of a step are beside each other, so that a step is a few operations on long lines.
+    Update, reset and new part of a step lie behind each other (3 x rows x HIDDEN), so a step is a few operations on long
+    lines, and what a symbol gives to a part is fetched as one piece.
     """
     rows, steps = inputs.shape
     kind = p["recur"].dtype.type
-    half, one, two = kind(0.5), kind(1), kind(2)
-    table, recur = p["inputs"].T.copy(), p["recur"].T.copy()
-    for x in (table, recur):  # sigmoid and tanh are 1 / (1 + exp(-x)) and 1 - 2 / (1 + exp(2 x))
-        np.negative(x[:2 * HIDDEN], out=x[:2 * HIDDEN])
-        x[2 * HIDDEN:] *= two
-    columns = np.ascontiguousarray(inputs.T)
-    alive = None if starts is None or not starts.any() else np.ascontiguousarray(~starts.T).astype(kind)
-    states = lines(HIDDEN, steps * rows, kind).reshape(HIDDEN, steps, rows)
+    one = kind(1)
+    table, recur = _by_part(p["inputs"]), _by_part(p["recur"])
+    for x in (table, recur):  # a sigmoid is 1 / (1 + exp(-x))
+        np.negative(x[:2], out=x[:2])
+    columns, begun = np.ascontiguousarray(inputs.T), _begun(starts, steps)
+    states = np.empty((steps, rows, HIDDEN), kind)
+    u, given, new = np.empty((3, rows, HIDDEN), kind), np.empty((3, rows, HIDDEN), kind), np.empty((rows, HIDDEN), kind)
     if keep is not None:
-        keep.update({name: np.empty((steps, width * HIDDEN, rows), kind) for name, width in (("before", 1), ("gates", 2), ("new", 1), ("un", 1))})
-    u, given, state = np.empty((3 * HIDDEN, rows), kind), np.empty((3 * HIDDEN, rows), kind), np.ascontiguousarray(state.T)
-    gates, un, new = u[:2 * HIDDEN], u[2 * HIDDEN:], given[2 * HIDDEN:]
-    with np.errstate(over="ignore"):  # to infinity, which gives 0 and 1
+        keep.update({name: np.empty((steps, *x.shape), kind) for name, x in (("parts", u), ("new", new), ("before", state))})
+    with np.errstate(over="ignore"):  # to infinity, which gives 0
         for t in range(steps):
-            if alive is not None:
-                state = state * alive[t]
-            np.matmul(recur, state, out=u)
-            np.take(table, columns[t], axis=1, out=given, mode="clip")
+            if begun[t] is not None:
+                state = state.copy()
+                state[begun[t]] = 0
             if keep is not None:
+                u, new = keep["parts"][t], keep["new"][t]
                 keep["before"][t] = state
-                np.multiply(un, half, out=keep["un"][t])
-                gates = keep["gates"][t]
-            np.add(u[:2 * HIDDEN], given[:2 * HIDDEN], out=gates)
+            np.matmul(state, recur, out=u)
+            np.take(table, columns[t], axis=1, out=given, mode="clip")
+            gates = u[:2]
+            gates += given[:2]
             np.exp(gates, out=gates)
             gates += one
             np.divide(one, gates, out=gates)
-            un *= gates[HIDDEN:]
-            new += un
-            np.exp(new, out=new)
-            new += one
-            np.divide(-two, new, out=new)
-            new += one
-            state = state - new
-            state *= gates[:HIDDEN]
+            np.multiply(u[2], gates[1], out=new)
+            new += given[2]
+            np.tanh(new, out=new)
+            state = np.subtract(state, new, out=states[t])
+            state *= gates[0]
             state += new
-            states[:, t] = state
-            if keep is not None:
-                keep["new"][t] = new
-    return states.transpose(1, 2, 0)
+    return states
+
 
+def _by_part(weights: np.ndarray) -> np.ndarray:
+    """Weights (n x 3 HIDDEN) as 3 x n x HIDDEN, copied."""
+    return weights.reshape(len(weights), 3, HIDDEN).transpose(1, 0, 2).copy()
 
-def _softmax(weights: np.ndarray, safe: bool, states: np.ndarray, place: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of ``place`` among the rows of ``weights``, and all probabilities, for each column of ``states``."""
-    logits = weights @ states
+
+def _begun(starts: np.ndarray | None, steps: int) -> list[np.ndarray | None]:
+    """The rows whose document begins at each step, None where none does."""
+    if starts is None or not starts.any():
+        return [None] * steps
+    step, row = np.nonzero(starts.T)
+    ends = np.searchsorted(step, np.arange(steps + 1)).tolist()
+    return [row[low:high] if low < high else None for low, high in zip(ends, ends[1:])]
+
+
+def _softmax(weights: np.ndarray, bias: np.ndarray, safe: bool, states: np.ndarray, place: np.ndarray, at: np.ndarray, share: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probabilities of ``place`` among the rows of ``weights`` for each row of ``states``, and all probabilities if asked for."""
+    logits = weights @ states.T
+    logits += bias[:, None]
     if not safe:
         logits -= logits.max(0)
     own = logits[place, at]
     np.exp(logits, out=logits)
     total = logits.sum(0)
-    logits *= 1 / total
     own -= np.log(total)
+    if not share:
+        return own, None
+    logits *= 1 / total
     return own, logits
 
 
-def _with_bias(weights: np.ndarray, bias: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[bool]]:
-    """Weights with the bias as the last, less the largest of its class, and whether a class's exponentials stay in the range of numbers.
+def _scaled(weights: np.ndarray, bias: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[bool]]:
+    """The bias less the largest of its class, and whether a class's exponentials stay in the range of numbers.
 
     States are within -1 and 1, so weights bound the logits; only where they may be too large the largest logit has to be found.
     """
     sizes = np.diff(np.append(first, len(bias)))
     bias = bias - np.repeat(np.maximum.reduceat(bias, first), sizes)
-    return np.concatenate([weights, bias[:, None]], 1), (np.maximum.reduceat(np.abs(weights).sum(1), first) < SAFE).tolist()
+    return bias, (np.maximum.reduceat(np.abs(weights).sum(1), first) < SAFE).tolist()
 
 
 def outputs(p: dict, bounds: np.ndarray, states: np.ndarray, targets: np.ndarray, gradient: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -140,85 +145,77 @@ def outputs(p: dict, bounds: np.ndarray, states: np.ndarray, targets: np.ndarray
     kind = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint8), np.diff(bounds))[targets]
     order = np.argsort(kind, kind="stable")
     kind, targets, at = kind[order], targets[order], np.arange(len(targets))
-    with_one = lines(HIDDEN + 1, len(targets), states.dtype)
-    with_one[HIDDEN] = 1  # the bias is the weight of the one
-    for line, values in zip(with_one, states.T):
-        np.take(values, order, out=line, mode="clip")
-    classes, safe = _with_bias(p["classes"].T, p["class_bias"], np.zeros(1, np.int64))
-    found, share = _softmax(classes, safe[0], with_one, kind, at)
+    states = np.take(states, order, axis=0)
+    classes, learn = np.ascontiguousarray(p["classes"].T), gradient is not None
+    bias, safe = _scaled(classes, p["class_bias"], np.zeros(1, np.int64))
+    found, share = _softmax(classes, bias, safe[0], states, kind, at, learn)
     back = None
-    if gradient is not None:
+    if learn:
         share[kind, at] -= 1
-        by = share @ with_one.T
-        gradient["classes"] += by[:, :-1].T
-        gradient["class_bias"] += by[:, -1]
-        back = p["classes"] @ share
+        gradient["classes"] += (share @ states).T
+        gradient["class_bias"] += share.sum(1)
+        back = share.T @ classes
     ends = np.cumsum(np.bincount(kind, minlength=len(bounds) - 1))
-    words, safe = _with_bias(p["words"], p["word_bias"], bounds[:-1])
+    bias, safe = _scaled(p["words"], p["word_bias"], bounds[:-1])
     for c, (low, high) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
         if low == high or bounds[c + 1] - bounds[c] == 1:  # the only symbol of its class is certain
             continue
-        part, mine, place = slice(bounds[c], bounds[c + 1]), with_one[:, low:high], targets[low:high] - bounds[c]
-        own, share = _softmax(words[part], safe[c], mine, place, at[:high - low])
+        part, mine, place = slice(bounds[c], bounds[c + 1]), states[low:high], targets[low:high] - bounds[c]
+        own, share = _softmax(p["words"][part], bias[part], safe[c], mine, place, at[:high - low], learn)
         found[low:high] += own
-        if gradient is not None:
+        if learn:
             share[place, at[:high - low]] -= 1
-            by = share @ mine.T
-            gradient["words"][part] += by[:, :-1]
-            gradient["word_bias"][part] += by[:, -1]
-            back[:, low:high] += p["words"][part].T @ share
+            gradient["words"][part] += share @ mine
+            gradient["word_bias"][part] += share.sum(1)
+            back[low:high] += share.T @ p["words"][part]
     result = np.empty_like(found)
     result[order] = found
     if back is None:
         return result, None
     place = np.empty_like(order)
     place[order] = at
-    return result, np.take(back, place, axis=1).T
+    return result, np.take(back, place, axis=0)
 
 
 def backward(p: dict, inputs: np.ndarray, starts: np.ndarray, kept: dict, back: np.ndarray, gradient: dict) -> None:
     """Gradients of one window; ``back`` is (T x rows x HIDDEN).  All factors that do not depend on what comes back are taken at once."""
-    back = back.transpose(2, 0, 1)
-    _, steps, rows = back.shape
-    update, reset = kept["gates"][:, :HIDDEN], kept["gates"][:, HIDDEN:]
+    steps, rows, _ = back.shape
+    update, reset, un = (kept["parts"][:, i] for i in range(3))
     new, before = kept["new"], kept["before"]
-    factors = np.empty((steps, 4, HIDDEN, rows), back.dtype)  # of update, reset, new as the recurrent weights see it, new
-    stay, by_new = 1 - update, factors[:, 3]
+    factors = np.empty((4, steps, rows, HIDDEN), back.dtype)  # of update, reset, new as the recurrent weights see it, new
+    stay, by_new = 1 - update, factors[3]
     np.multiply(new, new, out=by_new)
     np.subtract(1, by_new, out=by_new)
     by_new *= stay
-    np.subtract(before, new, out=factors[:, 0])
-    factors[:, 0] *= update
-    factors[:, 0] *= stay
-    np.multiply(by_new, reset, out=factors[:, 2])
-    np.subtract(1, reset, out=factors[:, 1])
-    factors[:, 1] *= factors[:, 2]
-    factors[:, 1] *= kept["un"]
-    into = lines(3 * HIDDEN, steps * rows, back.dtype)
-    of_step = into.reshape(3 * HIDDEN, steps, rows)
-    later, recur, own = np.zeros((HIDDEN, rows), back.dtype), p["recur"], np.zeros_like(p["recur"])
-    alive = np.ascontiguousarray(~starts.T).astype(back.dtype) if starts.any() else None
-    for t in range(steps - 1, -1, -1):
+    np.subtract(before, new, out=factors[0])
+    factors[0] *= update
+    factors[0] *= stay
+    np.multiply(by_new, reset, out=factors[2])
+    np.subtract(1, reset, out=factors[1])
+    factors[1] *= factors[2]
+    factors[1] *= un
+    later, recur = np.zeros((rows, HIDDEN), back.dtype), _by_part(p["recur"]).transpose(0, 2, 1).copy()
+    sums, begun = np.empty((3, rows, HIDDEN), back.dtype), _begun(starts, steps)
+    for t in range(steps - 1, -1, -1):  # factors become gradients
         d = later
-        d += back[:, t]
-        by = factors[t]
+        d += back[t]
+        by = factors[:, t]
         by *= d
-        du = by[:3].reshape(3 * HIDDEN, rows)
-        own += before[t] @ du.T
-        of_step[:2 * HIDDEN, t], of_step[2 * HIDDEN:, t] = du[:2 * HIDDEN], by[3]
         d *= update[t]
-        d += recur @ du
-        if alive is not None:
-            d *= alive[t]
-    gradient["recur"] += own
+        for x in np.matmul(by[:3], recur, out=sums):
+            d += x
+        if begun[t] is not None:
+            d[begun[t]] = 0
+    factors = factors.reshape(4, steps * rows, HIDDEN)
+    gradient["recur"] += np.concatenate(before.reshape(-1, HIDDEN).T @ factors[:3], 1)
     symbol = inputs.T.ravel().astype(np.uint16)  # sixteen bits are sorted by radix
     order = np.argsort(symbol, kind="stable")
     symbol = symbol[order]
     first = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]]))
-    sums = np.empty((len(into), len(first)), back.dtype)
-    for line, out in zip(into, sums):
-        np.add.reduceat(np.take(line, order), first, out=out)
-    gradient["inputs"][symbol[first]] += sums.T
+    for i, part in enumerate((0, 1, 3)):
+        by = np.take(factors[part], order, axis=0)
+        pairs = by.view(np.result_type(by, np.complex64))  # as complex numbers two neighbours are added at once
+        gradient["inputs"][symbol[first], i * HIDDEN:(i + 1) * HIDDEN] += np.add.reduceat(pairs, first, axis=0).view(by.dtype)
 
 
 class Trainer:

@@ -10,8 +10,8 @@ each is learned from once.
 The probability of a word outside the vocabulary is that of its bucket times (c + 1) / (N_bucket + V_bucket + 1).
 
 Texts are read and cut into words once.  Documents are taken in chunks, which are written with their distinct words and their
-documents as numbers of these words (compressed); the words meet their counts and symbols in a join and come back to the chunk, so
-no count table is broadcast.  That gives every document's base score and its sequence of symbols, from which all rounds
+documents as numbers of these words (compressed); the words meet their counts and symbols in a join and come back to the chunk, those
+that meet in one task as a few rows, so no count table is broadcast and no word is sorted a second time.  That gives every document's base score and its sequence of symbols, from which all rounds
 learn and which the trained model scores.  Tasks are planned by the number of chunks.
 
 Cases: a null or empty text is the end alone; rows with null doc_id are scored but not learned from, ``held_out`` is
@@ -45,6 +45,8 @@ LEARN_TOKENS = 1_000_000  # a task trains on so many tokens at a time, up to twi
 BLOCK = 4096
 CHUNKS_PER_TASK = 4
 TEXTS = 2**31 - 1  # place of a chunk's documents, after its words
+ANSWERS = 250_000  # words whose counts and symbols a task gathers at a time
+ROW_ANSWERS = 4096  # of these in a row at most, so that rows are no large objects
 SCORED_TOKENS = 4_000_000  # a task scores documents of about so many tokens together
 END_WORDS = b".,;:!?"
 
@@ -197,6 +199,73 @@ def averaged(trained: DataFrame) -> np.ndarray | None:
 
 
 SYMBOL = np.uint16
+ANSWER = np.dtype([("place", np.int32), ("n", np.int64), ("symbol", np.int32)])
+ANSWERED = "chunk long, place int, data binary"
+
+
+def _by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ANSWERED: the ANSWERs (place, n, symbol) that a task has for a chunk, in as few rows as may be."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= ANSWERS:
+            yield _gathered(held)
+            held, size = [], 0
+    if held:
+        yield _gathered(held)
+
+
+def _gathered(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    chunk = np.concatenate([b["chunk"].to_numpy() for b in held])
+    answers = np.empty(len(chunk), ANSWER)
+    for name in ANSWER.names:
+        answers[name] = np.concatenate([b[name].to_numpy() for b in held])
+    order = np.argsort(chunk, kind="stable")
+    chunk = chunk[order]
+    first = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
+    inside = np.arange(len(chunk)) - np.repeat(first, np.diff(np.append(first, len(chunk))))
+    first = np.flatnonzero(inside % ROW_ANSWERS == 0)
+    offsets = np.append(first, len(chunk)).astype(np.int64) * ANSWER.itemsize
+    data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(answers[order].view(np.uint8))])
+    return pa.RecordBatch.from_arrays([pa.array(chunk[first]), pa.array(np.zeros(len(first), np.int32)), data.cast(pa.binary())], ["chunk", "place", "data"])
+
+
+def _in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ANSWERED sorted by (chunk, place), as _documents takes them: a row for each place, in order, then the chunk's documents.
+
+    Equal chunks bring equal answers; of these no more are held than twice those of one, or 4 ANSWERS, and one row.
+    """
+    now, parts, size, limit = None, [], 0, 0
+    for batch in batches:
+        for chunk, place, data in zip(batch["chunk"].to_pylist(), batch["place"].to_pylist(), batch["data"]):
+            if chunk != now:
+                now, parts, size, limit = chunk, [], 0, 4 * ANSWERS
+            if place != TEXTS:
+                parts.append(np.frombuffer(data.as_buffer(), ANSWER))
+                size += len(parts[-1])
+                if size > limit:
+                    parts = [_distinct(parts)]
+                    size, limit = len(parts[0]), max(4 * ANSWERS, 2 * len(parts[0]))
+                continue
+            if parts:
+                answers, parts = _distinct(parts), []
+                yield _rows(chunk, answers, pa.nulls(len(answers), pa.binary()))
+            yield _rows(chunk, np.array([(TEXTS, 0, -1)], ANSWER), pa.array([data.as_py()], pa.binary()))
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    """Answers by place, one for each."""
+    answers = np.concatenate(parts)
+    return answers[np.unique(answers["place"], return_index=True)[1]]
+
+
+def _rows(chunk: int, answers: np.ndarray, data: pa.Array) -> pa.RecordBatch:
+    columns = [np.full(len(answers), chunk), *(answers[name].copy() for name in ANSWER.names)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), data], ["chunk", *ANSWER.names, "data"])
+
+
 DOCUMENTS = "doc_id long, n_tokens long, n_known long, base_score double, extra double, symbols binary"
 
 
@@ -306,12 +375,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             found = np.fromiter(map(known.__missing__, batch["word"].to_pylist()), np.int32, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch["word"], batch["c"], pa.array(found)], ["word", "c", "symbol"])
 
-    texts = cut.where(F.col("place") == TEXTS).select("chunk", "place", "n", F.lit(-1).alias("symbol"), "data")
+    texts = cut.where(F.col("place") == TEXTS).select("chunk", "place", "data")
     parts = max(work_partitions(spark), math.ceil(texts.count() / CHUNKS_PER_TASK))
     answered = asked.select("chunk", "place", "word").join(all_counts.mapInArrow(with_symbols, "word binary, c long, symbol int"), "word")
-    both = answered.select("chunk", "place", F.col("c").alias("n"), "symbol", F.lit(None).cast("binary").alias("data")).union(texts)
+    both = answered.select("chunk", "place", F.col("c").alias("n"), "symbol").mapInArrow(_by_chunk, ANSWERED).union(texts)
     both = both.repartition(parts, "chunk").sortWithinPartitions("chunk", "place")
-    documents = materialize(both.mapInArrow(_documents(symbols, tokens, distinct, ends, others), DOCUMENTS))
+    of_places = _documents(symbols, tokens, distinct, ends, others)
+    documents = materialize(both.mapInArrow(lambda batches: of_places(_in_place(batches)), DOCUMENTS))
     params = gru.flat(gru.fresh(symbols.counts))
     for turn in range(ROUNDS):
         mean = averaged(documents.where(trained).select("doc_id", "symbols").mapInArrow(_learn(symbols, params, turn), WEIGHTS))
