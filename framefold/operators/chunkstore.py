@@ -10,7 +10,9 @@ import ctypes
 import hashlib
 import os
 import posixpath
+import time
 from collections.abc import Callable
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +29,7 @@ KEY_SALT = b"{mex}"
 KEY_ROUNDS = 100_000
 KEY_BYTES = 32
 PBKDF2, SHA256 = 34, 8  # numbers of libgcrypt
+KEY_WAVES = 8  # tasks a core where keys are derived, at least
 LEGACY_SUFFIX = "{mzx}"
 LEGACY_IV = "E1D994E6E6433934330ACC9E7D669716"
 MIN_CHUNK_BYTES = 17
@@ -34,27 +37,54 @@ MIN_FILE_BYTES = 16
 
 
 def key_derivation() -> Callable[..., bytes]:
-    """PBKDF2-HMAC-SHA256 of the stored format: libgcrypt's where this machine has it and it agrees, else hashlib's.
+    """PBKDF2-HMAC-SHA256 of the stored format: by nettle or libgcrypt, the quicker one this machine has, if it agrees; else by hashlib.
 
-    OpenSSL 3, which hashlib calls, copies its contexts in every round; that takes about as long as the hashing itself.
+    OpenSSL 3, which hashlib calls, copies its contexts in every round; that takes longer than the hashing itself.  Of the
+    libraries nettle does least besides the hashing.
     """
     def plain(password: bytes, rounds: int = KEY_ROUNDS) -> bytes:
         return hashlib.pbkdf2_hmac("sha256", password, KEY_SALT, rounds, KEY_BYTES)
 
-    try:
+    def nettle() -> Callable[..., bytes]:
+        derive = ctypes.CDLL("libnettle.so.8").nettle_pbkdf2_hmac_sha256
+        derive.restype, derive.argtypes = None, [ctypes.c_size_t, ctypes.c_char_p, ctypes.c_uint, ctypes.c_size_t, ctypes.c_char_p, ctypes.c_size_t, ctypes.c_char_p]
+
+        def quick(password: bytes, rounds: int = KEY_ROUNDS) -> bytes:
+            key = ctypes.create_string_buffer(KEY_BYTES)
+            derive(len(password), password, rounds, len(KEY_SALT), KEY_SALT, KEY_BYTES, key)
+            return key.raw
+
+        return quick
+
+    def gcrypt() -> Callable[..., bytes]:
         library = ctypes.CDLL("libgcrypt.so.20")
         library.gcry_check_version(None)  # which also sets it up
         derive = library.gcry_kdf_derive
-    except (OSError, AttributeError):
-        return plain
-    derive.argtypes = [ctypes.c_char_p, ctypes.c_size_t, ctypes.c_int, ctypes.c_int, ctypes.c_char_p, ctypes.c_size_t, ctypes.c_ulong, ctypes.c_size_t, ctypes.c_char_p]
-
-    def quick(password: bytes, rounds: int = KEY_ROUNDS) -> bytes:
-        key = ctypes.create_string_buffer(KEY_BYTES)
-        refused = derive(password, len(password), PBKDF2, SHA256, KEY_SALT, len(KEY_SALT), rounds, KEY_BYTES, key)
-        return plain(password, rounds) if refused else key.raw
-
-    return quick if quick(b"some password", 2) == plain(b"some password", 2) else plain
+        derive.argtypes = [ctypes.c_char_p, ctypes.c_size_t, ctypes.c_int, ctypes.c_int, ctypes.c_char_p, ctypes.c_size_t, ctypes.c_ulong, ctypes.c_size_t, ctypes.c_char_p]
+
+        def quick(password: bytes, rounds: int = KEY_ROUNDS) -> bytes:
+            key = ctypes.create_string_buffer(KEY_BYTES)
+            refused = derive(password, len(password), PBKDF2, SHA256, KEY_SALT, len(KEY_SALT), rounds, KEY_BYTES, key)
+            return plain(password, rounds) if refused else key.raw
+
+        return quick
+
+    def seconds(derive: Callable[..., bytes]) -> float:
+        taken = []
+        for _ in range(3):
+            start = time.thread_time()
+            derive(b"some password", 200)
+            taken.append(time.thread_time() - start)
+        return min(taken)
+
+    found = []
+    for library in (nettle, gcrypt):
+        with suppress(OSError, AttributeError):
+            found.append(library())
+    if found:
+        key = plain(b"some password", 2)
+        found = [derive for derive in found if derive(b"some password", 2) == key]
+    return min(found, key=seconds) if found else plain
 
 
 @F.arrow_udf(T.BinaryType())

@@ -148,10 +148,12 @@ def work_partitions(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def spread_work(df: DataFrame, key: str) -> DataFrame:
-    """Spread rows over all cores for CPU-bound work.
+def spread_work(df: DataFrame, key: str, waves: int = 1) -> DataFrame:
+    """Spread rows over all cores for CPU-bound work, in at least ``waves`` tasks a core.
 
     The partition count is given and the key is hashed once more, so neither AQE's coalescing nor an earlier
-    grouping by the same key can undo it.
+    grouping by the same key can undo it.  Where a row takes long, several tasks a core keep a slow core from holding
+    up the others.
     """
-    return df.repartition(work_partitions(df.sparkSession), F.xxhash64(key))
+    spark = df.sparkSession
+    return df.repartition(max(work_partitions(spark), waves * spark.sparkContext.defaultParallelism), F.xxhash64(key))

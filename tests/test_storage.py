@@ -421,3 +421,39 @@ def test_keys_are_the_same_by_either_library(monkeypatch):
     rounds.clear()
     derive = chunkstore.key_derivation()
     assert [derive(p.encode(), 500) for p in passwords] == want and rounds == [500] * len(passwords)
+
+
+def test_keys_are_derived_by_the_quicker_library(monkeypatch):
+    """Of the libraries that give the right key the quicker one derives, whichever that is; one that gives another is left."""
+    load, plain, asked = ctypes.CDLL, hashlib.pbkdf2_hmac, []
+
+    class Nettle:
+        def __init__(self, slow, wrong):
+            def derive(size, password, rounds, salt_size, salt, length, key):
+                asked.append(rounds)
+                sum(range(slow))
+                made = plain("sha256", password[:size], salt[:salt_size], rounds + wrong, length)
+                ctypes.memmove(key, made, length)
+
+            self.nettle_pbkdf2_hmac_sha256 = type("Function", (), {"__call__": lambda self, *a: derive(*a)})()
+
+    class Gcrypt:
+        def __init__(self):
+            def derive(password, size, kind, digest, salt, salt_size, rounds, length, key):
+                sum(range(20_000))
+                ctypes.memmove(key, plain("sha256", password[:size], salt[:salt_size], rounds, length), length)
+                return 0
+
+            self.gcry_check_version = lambda version: None
+            self.gcry_kdf_derive = type("Function", (), {"__call__": lambda self, *a: derive(*a)})()
+
+    want = plain("sha256", b"a\0b", b"{mex}", 700, 32)
+    for slow, wrong, chosen in ((0, 0, True), (200_000, 0, False), (0, 1, False)):
+        monkeypatch.setattr(ctypes, "CDLL", lambda name: Nettle(slow, wrong) if "nettle" in name else Gcrypt())
+        derive = chunkstore.key_derivation()
+        assert derive(b"a\0b", 700) == want
+        assert (700 in asked) == chosen
+        asked.clear()
+    monkeypatch.setattr(ctypes, "CDLL", load)
+    for password in ("", "abc", "ä€\0b", "x" * 200):
+        assert chunkstore.key_derivation()(password.encode(), 300) == plain("sha256", password.encode(), b"{mex}", 300, 32)
