@@ -137,7 +137,7 @@ def _spread_keyed(rows: DataFrame) -> DataFrame:
     """(hash, content, key); rows without keys are spread over all cores first."""
     if "key" in rows.columns:
         return with_keys(rows.select("hash", "content", "key"))
-    return with_keys(spread_work(rows.select("hash", "content"), "hash"))
+    return with_keys(spread_work(rows.select("hash", "content"), "hash", KEY_WAVES))
 
 
 def encrypt_chunks(payloads: DataFrame, keep_key: bool = False) -> DataFrame:

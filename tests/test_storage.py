@@ -457,3 +457,10 @@ def test_keys_are_derived_by_the_quicker_library(monkeypatch):
     monkeypatch.setattr(ctypes, "CDLL", load)
     for password in ("", "abc", "ä€\0b", "x" * 200):
         assert chunkstore.key_derivation()(password.encode(), 300) == plain("sha256", password.encode(), b"{mex}", 300, 32)
+
+
+def test_keys_are_derived_in_several_tasks_a_core(spark):
+    """With a task or three a core a slow one held up the query while the others were done."""
+    bodies = [b"payload %04d of some length" % i for i in range(400)]
+    keyed = chunkstore._spread_keyed(payloads(spark, bodies))
+    assert keyed.rdd.getNumPartitions() >= 8 * spark.sparkContext.defaultParallelism
